@@ -38,11 +38,11 @@ def shift(c: Column, n: int, unit: str) -> Column:
 
 
 def interval(n: int, unit: str) -> str:
-    """SQL interval text usable as a range-frame bound."""
+    """SQL interval literal usable as a bound of a range frame."""
     if unit == "hour":
-        return f"INTERVAL {n} HOUR"
+        return f"INTERVAL '{n}' HOUR"
     if unit in DAYS:
-        return f"INTERVAL {n * DAYS[unit]} DAY"
+        return f"INTERVAL '{n * DAYS[unit]}' DAY"
     if unit in MONTHS:
-        return f"INTERVAL {n * MONTHS[unit]} MONTH"
+        return f"INTERVAL '{n * MONTHS[unit]}' MONTH"
     raise ValueError(f"unknown unit: {unit}")

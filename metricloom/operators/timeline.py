@@ -7,7 +7,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from metricloom.functions.time import period_start, shift
+from metricloom.functions.time import interval, period_start, shift
 from metricloom.plans import cells as C
 from metricloom.plans.model import Dimension, Measure, MetricView, Window, mentions
 from metricloom.plans.query import columns, frame_text, run, split_conditions
@@ -89,10 +89,7 @@ def rolling(mv, spark, measure, d, n, period="month", agg="avg", dims=(), where=
     values = _early(mv, spark, [measure], dims, d, period, early).values()
     order, m = mv.dim(d).name, mv.measure(measure).name
     keys = [c for c in values.columns if c not in (order, m)]
-    back = {"day": f"INTERVAL {n - 1} DAY", "month": f"INTERVAL {n - 1} MONTH"}
-    back |= {"week": f"INTERVAL {7 * (n - 1)} DAY", "quarter": f"INTERVAL {3 * (n - 1)} MONTH"}
-    back |= {"year": f"INTERVAL {12 * (n - 1)} MONTH"}
-    frame = frame_text(keys, order, f"{back[period]} PRECEDING AND CURRENT ROW")
+    frame = frame_text(keys, order, f"{interval(n - 1, period)} PRECEDING AND CURRENT ROW")
     if agg == "avg":
         value = f"try_divide(CAST(sum(`{m}`) OVER ({frame}) AS DOUBLE), count(`{m}`) OVER ({frame}))"
     else:

@@ -101,19 +101,6 @@ class Cells:
         cols = {n: c for i in chosen for n, c in self._framed(i, frame).items()}
         return replace(self, df=self.df.withColumns(cols)) if cols else self
 
-    def minus(self, frame: str, cut: str, leaves: Iterable[int] | None = None) -> Cells:
-        """Merge over a frame less the part of it that another frame covers (sums and counts)."""
-        cols = {}
-        for i in range(len(self.leaves)) if leaves is None else leaves:
-            if self.leaves[i].fn in ("MIN", "MAX"):
-                raise ValueError(f"{self.leaves[i].sql()} cannot be taken out of a frame")
-            inner = self._framed(i, cut)
-            for name, whole in self._framed(i, frame).items():
-                present = [F.expr(f"count({name}) OVER ({f})") for f in (frame, cut)]
-                rest = whole - F.coalesce(inner[name], F.lit(0))
-                cols[name] = F.when(present[0] > present[1], rest)
-        return replace(self, df=self.df.withColumns(cols)) if cols else self
-
     def value(self, measure: Measure) -> Column:
         """Value of a measure from the parts."""
         text = "".join(

@@ -144,28 +144,44 @@ def over_frame(cells: C.Cells, keys: Sequence[str], order: str, w: Window, key_r
 
 
 def _additive(cells: C.Cells, keys: Sequence[str], order: str, w: Window, leaves: list[int]) -> C.Cells:
-    def frame(bounds: str) -> str:
-        return frame_text(keys, order, bounds)
-
     if w.normal_range == "cumulative":
-        return cells.over(frame("UNBOUNDED PRECEDING AND CURRENT ROW"), leaves)
+        return cells.over(frame_text(keys, order, "UNBOUNDED PRECEDING AND CURRENT ROW"), leaves)
     if w.normal_range == "all":
-        return cells.over(frame("UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"), leaves)
+        return cells.over(frame_text(keys, order, "UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"), leaves)
     side, n, unit = w.span
-    step = interval(1, "hour" if unit == "hour" else "day")
-    far = interval(n, unit)
-    if not w.include_anchor:
-        if side == "trailing":
-            return cells.over(frame(f"{far} PRECEDING AND {step} PRECEDING"), leaves)
-        return cells.over(frame(f"{step} FOLLOWING AND {far} FOLLOWING"), leaves)
     if unit in MONTHS:
-        edge = f"{far} {'PRECEDING' if side == 'trailing' else 'FOLLOWING'}"
-        whole = f"{edge} AND CURRENT ROW" if side == "trailing" else f"CURRENT ROW AND {edge}"
-        return cells.minus(frame(whole), frame(f"{edge} AND {edge}"), leaves)
-    near = interval(n - 1, "hour") if unit == "hour" else interval(n * DAYS[unit] - 1, "day")
-    if side == "trailing":
-        return cells.over(frame(f"{near} PRECEDING AND CURRENT ROW"), leaves)
-    return cells.over(frame(f"CURRENT ROW AND {near} FOLLOWING"), leaves)
+        return _over_months(cells, keys, order, side, n * MONTHS[unit], w.include_anchor, leaves)
+    word = "PRECEDING" if side == "trailing" else "FOLLOWING"
+    step = "hour" if unit == "hour" else "day"
+    width = n * DAYS.get(unit, 1)
+    near = "CURRENT ROW" if w.include_anchor else f"{interval(1, step)} {word}"
+    far = f"{interval(width - 1 if w.include_anchor else width, step)} {word}"
+    bounds = f"{far} AND {near}" if side == "trailing" else f"{near} AND {far}"
+    return cells.over(frame_text(keys, order, bounds), leaves)
+
+
+def _over_months(
+    cells: C.Cells, keys: Sequence[str], order: str, side: str, months: int, anchor: bool, leaves: list[int]
+) -> C.Cells:
+    """Frames of whole months that leave out the anchor's day, or the day at their far end.
+
+    A frame bound cannot mix months and days. Instead every cell enters the window twice: as an
+    anchor at midnight without values, and as values moved half a day, which puts exactly the
+    unwanted day outside of `N months` around the anchor.
+    """
+    later = (side == "trailing") != anchor
+    parts = [n for i in leaves for n in cells.part_names(i).values()]
+    at = F.col(f"`{order}`").cast("timestamp")
+    half = F.expr("INTERVAL '12' HOUR")
+    valued = cells.df.withColumn("__at", at + half if later else at - half).withColumn("__anchor", F.lit(False))
+    types = dict(cells.df.dtypes)
+    bare = cells.df.withColumns({n: F.lit(None).cast(types[n]) for n in parts})
+    anchors = bare.withColumn("__at", at).withColumn("__anchor", F.lit(True))
+    both = C.replace(cells, df=valued.unionByName(anchors))
+    span = f"INTERVAL '{months}' MONTH"
+    bounds = f"{span} PRECEDING AND CURRENT ROW" if side == "trailing" else f"CURRENT ROW AND {span} FOLLOWING"
+    out = both.over(frame_text(keys, "__at", bounds), leaves)
+    return C.replace(out, df=out.df.where("__anchor").drop("__at", "__anchor"))
 
 
 def _key_rows(mv, spark, leaf, grain, early, relationship, keys, order) -> DataFrame:
@@ -202,7 +218,7 @@ def distinct_over(
     if side == "trailing":
         seen = F.date_sub(d, 1) if w.include_anchor else d
         start = F.date_add(seen, 1)
-        end = F.least(_last_anchor(seen, n, unit), F.date_add(F.lead(seen).over(by_key), 0))
+        end = F.least(_last_anchor(seen, n, unit), F.lead(seen).over(by_key))
     else:
         seen = F.date_add(d, 1) if w.include_anchor else d
         start = F.greatest(_first_anchor(seen, n, unit), F.lag(seen).over(by_key))
