@@ -218,7 +218,7 @@ def filtered(expr: str, *conditions: str) -> str:
 
     A reference `[M]` becomes `[M] FILTER (WHERE ...)`, applied once the reference is inlined.
     """
-    clause = " AND ".join(f"({c})" for c in conditions)
+    clause = " AND ".join(_wrapped(c) for c in conditions)
     out = []
     for part in lift(expr):
         if isinstance(part, Agg):
@@ -229,6 +229,14 @@ def filtered(expr: str, *conditions: str) -> str:
     return "".join(out)
 
 
+def _wrapped(condition: str) -> str:
+    """The condition in one pair of parentheses."""
+    bare = _QUOTED.sub(lambda m: "_" * len(m.group()), condition)
+    if bare.startswith("(") and _closing(bare, 1) == len(bare) - 1:
+        return condition
+    return f"({condition})"
+
+
 def inline(expr: str, lookup: Callable[[str], str]) -> str:
     """Replace references by `(expression)`, filtered where the reference is."""
     out, pos = [], 0

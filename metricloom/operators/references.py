@@ -80,7 +80,8 @@ def cycles(edges: DataFrame) -> DataFrame:
     loops = edges.where("measure_name = ref").select(*NODE).distinct()
     rest = edges.where("measure_name <> ref")
     found = [S.settle(loops.withColumn("cyclic", F.lit(True)))]
-    while True:
+    rest = S.settle(rest)
+    while not rest.isEmpty():
         rest = _core(rest)
         if rest.isEmpty():
             break

@@ -25,12 +25,13 @@ def direct_query(mv: MetricView, spark: SparkSession, measure: Measure, dims: Se
     order = star.needed_joins(mv, [f"{j.name}.x" for j in mv.joins])
     position = {j.name: i for i, j in enumerate(mv.joins)}
     joins = " ".join(f"LEFT JOIN {{__j{position[j.name]}}} AS {j.name} ON {j.condition()}" for j in order)
+    structs = "".join(f", struct({j.name}.*) AS {j.name}" for j in order)
     grain = [mv.dim(d) for d in dims]
     shown = "".join(f"{d.expr} AS `{d.name}`, " for d in grain)
     where = f"WHERE {mv.filter}" if mv.filter else ""
     group = "GROUP BY ALL" if grain else ""
-    sql = f"SELECT {shown}{measure.expr} AS result FROM {{__src}} AS source {joins} {where} {group}"
-    return spark.sql(sql, **tables)
+    rows = f"SELECT source.*{structs} FROM {{__src}} AS source {joins}"
+    return spark.sql(f"SELECT {shown}{measure.expr} AS result FROM ({rows}) AS source {where} {group}", **tables)
 
 
 def passes(actual: Column, expected: Column, tolerance: float = TOLERANCE) -> Column:

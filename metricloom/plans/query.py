@@ -163,25 +163,29 @@ def _additive(cells: C.Cells, keys: Sequence[str], order: str, w: Window, leaves
 def _over_months(
     cells: C.Cells, keys: Sequence[str], order: str, side: str, months: int, anchor: bool, leaves: list[int]
 ) -> C.Cells:
-    """Frames of whole months that leave out the anchor's day, or the day at their far end.
+    """Frames of whole months without the anchor's day, or without the day at their far end.
 
-    A frame bound cannot mix months and days. Instead every cell enters the window twice: as an
-    anchor at midnight without values, and as values moved half a day, which puts exactly the
-    unwanted day outside of `N months` around the anchor.
+    A frame bound cannot mix months and days, so the closed frame is taken and the one day is cut
+    out: sums and counts are reduced by it, extremes are taken over the other days of the frame.
     """
-    later = (side == "trailing") != anchor
-    parts = [n for i in leaves for n in cells.part_names(i).values()]
-    at = F.col(f"`{order}`").cast("timestamp")
-    half = F.expr("INTERVAL '12' HOUR")
-    valued = cells.df.withColumn("__at", at + half if later else at - half).withColumn("__anchor", F.lit(False))
-    types = dict(cells.df.dtypes)
-    bare = cells.df.withColumns({n: F.lit(None).cast(types[n]) for n in parts})
-    anchors = bare.withColumn("__at", at).withColumn("__anchor", F.lit(True))
-    both = C.replace(cells, df=valued.unionByName(anchors))
-    span = f"INTERVAL '{months}' MONTH"
-    bounds = f"{span} PRECEDING AND CURRENT ROW" if side == "trailing" else f"CURRENT ROW AND {span} FOLLOWING"
-    out = both.over(frame_text(keys, "__at", bounds), leaves)
-    return C.replace(out, df=out.df.where("__anchor").drop("__at", "__anchor"))
+    edge = f"INTERVAL '{months}' MONTH {'PRECEDING' if side == 'trailing' else 'FOLLOWING'}"
+    whole = f"{edge} AND CURRENT ROW" if side == "trailing" else f"CURRENT ROW AND {edge}"
+    frame = frame_text(keys, order, whole)
+    cut = frame_text(keys, order, f"{edge} AND {edge}" if anchor else "CURRENT ROW AND CURRENT ROW")
+    day = F.col(f"`{order}`")
+    unwanted = F.add_months(day, -months if side == "trailing" else months) if anchor else day
+    cols = {}
+    for i in leaves:
+        for name in cells.part_names(i).values():
+            if cells.leaves[i].fn in ("MIN", "MAX"):
+                seen = F.expr(f"collect_list(struct(`{order}` AS d, {name} AS v)) OVER ({frame})")
+                rest = F.transform(F.filter(seen, lambda x: x["d"] != unwanted), lambda x: x["v"])
+                cols[name] = F.array_min(rest) if cells.leaves[i].fn == "MIN" else F.array_max(rest)
+            else:
+                total, inner = (F.expr(f"sum({name}) OVER ({f})") for f in (frame, cut))
+                n, n_cut = (F.expr(f"count({name}) OVER ({f})") for f in (frame, cut))
+                cols[name] = F.when(n > n_cut, total - F.coalesce(inner, F.lit(0)))
+    return C.replace(cells, df=cells.df.withColumns(cols))
 
 
 def _key_rows(mv, spark, leaf, grain, early, relationship, keys, order) -> DataFrame:

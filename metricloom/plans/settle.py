@@ -84,8 +84,17 @@ def hot_keys(df: DataFrame, keys: list[str], share: float = 0.001) -> DataFrame:
     )
 
 
+# Up to this many rows no single key can overload a task, and a plain join is used.
+PLAIN_ROWS = 1_000_000
+
+
 def salted_join(
-    left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", share: float = 0.001
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    how: str = "inner",
+    share: float = 0.001,
+    plain_rows: int = PLAIN_ROWS,
 ) -> DataFrame:
     """Equi-join whose hot left keys are split over several tasks.
 
@@ -93,8 +102,11 @@ def salted_join(
     copied once per piece; other keys stay as they are. `left` should be settled, it is read for
     the counts as well. `how` is inner or left.
     """
+    if left.limit(plain_rows + 1).count() <= plain_rows:
+        return left.join(right, keys, how)
     hot = F.broadcast(hot_keys(left, keys, share))
-    row_hash: Column = F.xxhash64(*[F.col(f"`{c}`") for c in left.columns])
+    hashable = [f.name for f in left.schema.fields if "map<" not in f.dataType.simpleString()]
+    row_hash: Column = F.xxhash64(*[F.col(f"`{c}`") for c in hashable])
     pieces = F.coalesce(F.col("__pieces"), F.lit(1))
     salted = left.join(hot, keys, "left").withColumn("__salt", F.pmod(row_hash, pieces)).drop("__pieces")
     copies = (

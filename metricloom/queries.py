@@ -1133,3 +1133,463 @@ def format_measure(spark, sf):
         TX.format_measure(F.col("total"), "$#,#.00").alias("money"),
         TX.format_measure(F.col("orders"), "#,##0").alias("count_text"),
     )
+
+
+# ================================================================ catalog of measure texts
+
+CATALOG = f"""cat AS ({X.CATALOG_SQL}),
+fx AS (SELECT c.*, concat('main.sales.fact_', CAST(b % 7 AS VARCHAR)) AS fact,
+  (r = 11) OR (b % 3 = 1 AND r = 12) OR (b % 3 = 2 AND r IN (12, 13)) AS cyclic,
+  (b % 3 = 1 AND r = 13) AS dependant, p3.p_brand AS brand3, p5.p_brand AS brand5, p0.p_brand AS brand0, p0.p_size AS size0, p0.p_name AS name0
+  FROM cat c LEFT JOIN part p0 ON p0.p_partkey = c.k LEFT JOIN part p3 ON p3.p_partkey = c.k - 3 LEFT JOIN part p5 ON p5.p_partkey = c.k - 5),
+tr AS (SELECT *, CASE
+  WHEN r = 0 THEN 'SUM(amount)' WHEN r = 1 THEN 'COUNT(1)' WHEN r = 2 THEN 'COUNT(DISTINCT customer_id)'
+  WHEN r = 3 THEN 'SUM(amount) FILTER (WHERE brand = ''' || brand0 || ''')'
+  WHEN r = 4 THEN 'SUM(amount) FILTER (WHERE brand = ''' || brand0 || ''' AND size > ' || size0 || ')'
+  WHEN r = 5 THEN 'SUM(quantity * unit_price)'
+  WHEN r = 6 THEN 'SUM(amount) FILTER (WHERE brand = ''' || brand3 || ''') / NULLIF(SUM(amount), 0)'
+  WHEN r = 7 THEN 'SUM(amount) / COUNT(DISTINCT customer_id)'
+  WHEN r = 8 THEN '(SUM(amount) FILTER (WHERE brand = ''' || brand5 || ''') / NULLIF(SUM(amount), 0)) * 100'
+  WHEN r = 9 THEN 'SUM(amount)' WHEN r = 12 THEN 'AVG(amount)' WHEN r = 13 THEN 'MAX(amount)'
+  WHEN r = 14 THEN 'CASE WHEN SUM(amount) > 1000 THEN ''' || name0 || ' (a, b)'' ELSE ''No'' END' END AS expr,
+  CASE WHEN r = 10 THEN 'unsupported' WHEN r = 9 THEN 'window' ELSE 'supported' END AS class,
+  CASE WHEN r = 10 THEN 'unsupported_dax' END AS warning_type
+  FROM fx WHERE NOT cyclic AND NOT dependant)"""
+
+
+def _catalog_modules():
+    from metricloom.operators import assembly, references, rules
+
+    return assembly, references, rules
+
+
+def _translated(spark, sf):
+    _, references, rules = _catalog_modules()
+    return settle.settle(rules.translate_rules(references.resolve_composites(X.catalog(spark, sf))))
+
+
+@query(
+    "q_measure_edges",
+    f"""WITH {CATALOG}, e AS (SELECT DISTINCT model, measure_name, unnest(regexp_extract_all(measure_expr, '\\[(M[0-9]+)\\]', 1)) AS ref FROM cat)
+    SELECT e.* FROM e WHERE EXISTS (SELECT 1 FROM cat c WHERE c.model = e.model AND c.measure_name = e.ref)""",
+)
+def measure_edges(spark, sf):
+    return _catalog_modules()[1].measure_edges(X.catalog(spark, sf))
+
+
+@query("q_cycles", f"WITH {CATALOG} SELECT model, measure_name FROM fx WHERE cyclic")
+def cycles(spark, sf):
+    """Every member of a cycle of length one, two or three; dependants of cycles are not."""
+    _, references, _ = _catalog_modules()
+    return references.cycles(references.measure_edges(X.catalog(spark, sf)))
+
+
+@query(
+    "q_levels",
+    f"""WITH {CATALOG} SELECT model, measure_name, CASE WHEN r = 8 THEN 2 WHEN r IN (6, 7, 10, 14) THEN 1 ELSE 0 END AS level
+    FROM fx WHERE NOT cyclic AND NOT dependant""",
+)
+def levels(spark, sf):
+    return _catalog_modules()[1].levels(X.catalog(spark, sf))
+
+
+@query(
+    "q_resolve_composites",
+    f"""WITH {CATALOG} SELECT measure_name, CASE WHEN cyclic OR dependant THEN NULL
+    WHEN r = 6 THEN 'DIVIDE((CALCULATE(SUM(Sales[Amount]), Sales[Brand]="' || brand3 || '")), (SUM(Sales[Amount])), 0)'
+    WHEN r = 7 THEN '(SUM(Sales[Amount])) / (DISTINCTCOUNT(Sales[CustomerID]))'
+    WHEN r = 8 THEN '(DIVIDE((CALCULATE(SUM(Sales[Amount]), Sales[Brand]="' || brand5 || '")), (SUM(Sales[Amount])), 0)) * 100'
+    WHEN r = 10 THEN 'RANKX(ALL(Sales), (SUM(Sales[Amount])))'
+    WHEN r = 14 THEN 'IF((SUM(Sales[Amount])) > 1000, "' || name0 || ' (a, b)", "No")' END AS resolved_expr,
+    CASE WHEN cyclic OR dependant THEN 'error' ELSE 'pending' END AS final_status,
+    CASE WHEN cyclic THEN 'Circular measure reference: ' || measure_name WHEN dependant THEN 'Depends on a circular measure reference' END AS error_message
+    FROM fx""",
+)
+def resolve_composites(spark, sf):
+    df = _catalog_modules()[1].resolve_composites(X.catalog(spark, sf))
+    return df.select("measure_name", "resolved_expr", "final_status", "error_message")
+
+
+@query(
+    "q_classify",
+    f"""WITH {CATALOG} SELECT measure_name, CASE WHEN r = 10 THEN 'unsupported' WHEN r = 9 THEN 'window' ELSE 'supported' END AS class FROM cat""",
+)
+def classify(spark, sf):
+    rules = _catalog_modules()[2]
+    return X.catalog(spark, sf).select("measure_name", rules.classify(F.col("measure_expr")).alias("class"))
+
+
+@query(
+    "q_translate_rules",
+    f"""WITH {CATALOG} SELECT measure_name, class, expr, r = 9 AS needs_window, warning_type,
+    CASE WHEN r = 9 THEN 'date cumulative,year current' ELSE '' END AS windows,
+    CASE WHEN r = 9 THEN 'date:calendar.date,year:calendar.year' ELSE '' END AS dims,
+    CASE WHEN r = 9 THEN 'source.date_key = calendar.date' ELSE '' END AS joins FROM tr""",
+)
+def translate_rules(spark, sf):
+    df = _translated(spark, sf)
+    windows = F.transform(
+        F.coalesce("window", F.array().cast(TX.WINDOW_TYPE)), lambda w: F.concat_ws(" ", w["order"], w["range"])
+    )
+    return df.select(
+        "measure_name", "class", "expr", "needs_window", "warning_type",
+        F.array_join(windows, ",").alias("windows"),
+        F.array_join("dimensions_needed", ",").alias("dims"),
+        F.array_join(F.transform("joins_needed", lambda j: j["on"]), ",").alias("joins"),
+    )
+
+
+@query(
+    "q_over_guard",
+    f"""WITH {CATALOG} SELECT measure_name, CASE WHEN r <> 1 THEN expr END AS expr,
+    CASE WHEN r = 1 THEN 'unsupported_dax' ELSE warning_type END AS warning_type FROM tr""",
+)
+def over_guard(spark, sf):
+    _, _, rules = _catalog_modules()
+    planted = F.when(F.col("position") % 15 == 1, "SUM(amount) over (ORDER BY day)").otherwise(F.col("expr"))
+    df = rules.guard_over(_translated(spark, sf).withColumn("expr", planted))
+    return df.select("measure_name", "expr", "warning_type")
+
+
+@query(
+    "q_parse_answers",
+    f"""WITH {CATALOG} SELECT measure_name, CASE WHEN k % 4 < 2 THEN expr END AS expr, k % 4 < 2 AND r = 9 AS needs_window,
+    CASE WHEN k % 4 >= 2 THEN 'translation_error' ELSE warning_type END AS warning_type,
+    CASE WHEN k % 4 >= 2 THEN 'failed' WHEN r = 10 THEN 'warning' ELSE 'success' END AS status FROM tr""",
+)
+def parse_answers(spark, sf):
+    """Stored answers: plain, fenced, failed and cut off."""
+    assembly, _, _ = _catalog_modules()
+    df = _translated(spark, sf)
+    text = F.to_json(F.struct("expr", "needs_window", "window", "warning_type", "dimensions_needed", "joins_needed"))
+    kind = F.col("position") % 4
+    answer = (
+        F.when(kind == 0, text)
+        .when(kind == 1, F.concat(F.lit("```json\n"), text, F.lit("\n```")))
+        .when(kind == 2, "Error: no answer")
+        .otherwise(F.substring(text, F.lit(1), F.length(text) - 5))
+    )
+    got = assembly.parse_answers(df.withColumn("ai_result", answer))
+    status = assembly.status(F.col("warning_type"), F.col("expr")).alias("status")
+    return got.select("measure_name", "expr", "needs_window", "warning_type", status)
+
+
+@query(
+    "q_assemble_views",
+    f"""WITH {CATALOG} SELECT concat('main.marts.mv_batch_fact_', CAST(b % 7 AS VARCHAR)) AS view_name, fact AS source,
+    CASE WHEN bool_or(r = 9) THEN '0.1' ELSE '1.1' END AS version, CAST(bool_or(r = 9) AS INT)::BIGINT AS join_count,
+    CASE WHEN bool_or(r = 9) THEN 2 ELSE 1 END::BIGINT AS dimension_count, COUNT(*) AS measure_count FROM tr WHERE expr IS NOT NULL GROUP BY 1, 2""",
+)
+def assemble_views(spark, sf):
+    return _catalog_modules()[0].assemble_views(_translated(spark, sf), "main", "marts")
+
+
+@query(
+    "q_view_stats",
+    f"""WITH {CATALOG} SELECT fact AS source_table, COUNT(*) AS measures_total, COUNT(*) FILTER (WHERE expr IS NOT NULL) AS measures_success,
+    COUNT(*) FILTER (WHERE expr IS NULL) AS measures_warning, 0::BIGINT AS measures_failed,
+    CASE WHEN COUNT(*) FILTER (WHERE expr IS NULL) = 0 THEN 'success' ELSE 'partial' END AS status FROM tr GROUP BY 1""",
+)
+def view_stats(spark, sf):
+    return _catalog_modules()[0].view_stats(_translated(spark, sf))
+
+
+@query(
+    "q_measure_details",
+    f"""WITH {CATALOG} SELECT fact AS source_table, measure_name, CASE WHEN expr IS NULL THEN 'warning' ELSE 'success' END AS status,
+    expr, r = 9 AS needs_window, warning_type FROM tr""",
+)
+def measure_details(spark, sf):
+    return _catalog_modules()[0].measure_details(_translated(spark, sf))
+
+
+@query(
+    "q_warnings",
+    f"""WITH {CATALOG} SELECT fact AS source_table, measure_name, measure_expr AS expression, warning_type,
+    'no metric-view form' AS message, expr AS approximation FROM tr WHERE warning_type IS NOT NULL""",
+)
+def warning_rows(spark, sf):
+    return _catalog_modules()[0].warnings(_translated(spark, sf))
+
+
+@query(
+    "q_render_views",
+    f"""WITH {CATALOG}, kept AS (SELECT * FROM tr WHERE expr IS NOT NULL),
+    v AS (SELECT fact, concat('main.marts.mv_batch_', split_part(fact, '.', 3)) AS view_name, bool_or(r = 9) AS win FROM kept GROUP BY 1),
+    items AS (
+      SELECT view_name, 0 AS s, -1 AS p, '' AS i, 'version: "' || CASE WHEN win THEN '0.1' ELSE '1.1' END || '"' || chr(10) || 'source: "' || fact || '"' AS t FROM v
+      UNION ALL SELECT view_name, 1, -1, '', 'joins:' FROM v WHERE win
+      UNION ALL SELECT view_name, 1, 0, 'calendar', '- name: "calendar"' || chr(10) || '  source: "main.sales.dim_date"' || chr(10) || '  "on": "source.date_key = calendar.date"' FROM v WHERE win
+      UNION ALL SELECT view_name, 2, -1, '', 'dimensions:' FROM v
+      UNION ALL SELECT view_name, 2, 0, 'date', '- name: "date"' || chr(10) || '  expr: "calendar.date"' FROM v WHERE win
+      UNION ALL SELECT view_name, 2, 1, 'year', '- name: "year"' || chr(10) || '  expr: "calendar.year"' FROM v WHERE win
+      UNION ALL SELECT view_name, 2, 0, 'status', '- name: "status"' || chr(10) || '  expr: "status"' FROM v WHERE NOT win
+      UNION ALL SELECT view_name, 3, -1, '', 'measures:' FROM v
+      UNION ALL SELECT v.view_name, 3, k, measure_name, '- name: "' || measure_name || '"' || chr(10) || '  expr: "' || expr || '"' ||
+        CASE WHEN r = 9 THEN chr(10) || '  window:' || chr(10) || '  - order: "date"' || chr(10) || '    range: "cumulative"' || chr(10) || '    semiadditive: "last"'
+        || chr(10) || '  - order: "year"' || chr(10) || '    range: "current"' || chr(10) || '    semiadditive: "last"' ELSE '' END FROM kept JOIN v USING (fact)),
+    n AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY view_name ORDER BY s, p, i) - 1) / 50) AS INT) AS part,
+      CAST(ceil(COUNT(*) OVER (PARTITION BY view_name) / 50) AS INT) AS parts FROM items),
+    y AS (SELECT view_name, part, parts, string_agg(t, chr(10) ORDER BY s, p, i) AS yaml FROM n GROUP BY 1, 2, 3)
+    SELECT view_name, part, parts, yaml, CASE WHEN part = 0 THEN 'CREATE OR REPLACE VIEW ' || view_name || chr(10) || 'WITH METRICS' || chr(10) || 'LANGUAGE YAML' || chr(10) || 'AS $$' || chr(10) ELSE '' END
+    || '  ' || replace(yaml, chr(10), chr(10) || '  ') || CASE WHEN part = parts - 1 THEN chr(10) || '$$' ELSE '' END AS ddl FROM y""",
+)
+def render_views(spark, sf):
+    """View texts in parts of fifty blocks."""
+    return _catalog_modules()[0].render_views(_translated(spark, sf), "main", "marts", part=50)
+
+
+@query(
+    "q_dedupe_first",
+    "SELECT p_brand, min_by(p_partkey, p_partkey) AS p_partkey, min_by(p_name, p_partkey) AS p_name FROM part GROUP BY 1",
+)
+def dedupe_first(spark, sf):
+    df = X.table(spark, sf, "part").select("p_brand", "p_partkey", "p_name")
+    return _catalog_modules()[0].dedupe_first(df, ["p_brand"], ["p_partkey"])
+
+
+# ================================================================ exports, audit, registry
+
+
+def _export_texts(spark, sf, model: bool) -> DataFrame:
+    """One export text per block of fifteen measures of the derived catalog."""
+    rows = X.catalog(spark, sf).withColumn("b", F.floor(F.col("position") / 15)).withColumn("r", F.col("position") % 15)
+    if model:
+        item = F.struct("r", F.col("measure_name").alias("name"), F.col("measure_expr").alias("expression"))
+        listed = F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(x["name"], x["expression"]))
+        ms = F.to_json(listed)
+        partition = F.concat(F.lit('Source{[Item=\\"fact_'), (F.col("b") % 7).cast("string"), F.lit('\\"]}[Data]'))
+        sales = F.concat(
+            F.lit('{"name":"Sales","columns":[{"name":"Amount","sourceColumn":"amt"},{"name":"DateKey"}],"partitions":[{"name":"p","source":{"type":"m","expression":"'),
+            partition, F.lit('"}}],"measures":'), F.col("ms"), F.lit("}"),
+        )
+        rest = F.lit(
+            ',{"name":"Calendar","columns":[{"name":"Date"},{"name":"MonthStart"}]}],"relationships":'
+            '[{"fromTable":"Sales","fromColumn":"DateKey","toTable":"Calendar","toColumn":"Date"}]'
+        )
+        body = F.concat(F.lit('"tables":['), sales, rest)
+        text = F.when(F.col("b") % 2 == 0, F.concat(F.lit('{"name":"x","model":{'), body, F.lit("}}"))).otherwise(
+            F.concat(F.lit("{"), body, F.lit("}"))
+        )
+        df = rows.groupBy("b").agg(ms.alias("ms"))
+    else:
+        member = F.concat(
+            F.lit("-- member\nCREATE MEMBER CURRENTCUBE.[Measures].["), F.col("measure_name"), F.lit("]\nAS "), F.col("measure_expr"),
+            F.when(F.col("r") % 2 == 0, F.lit(',\nFORMAT_STRING = "#,##0",\nVISIBLE = 1;\n')).otherwise(F.lit(" ;\n")),
+        )
+        df = rows.withColumn("t", member).groupBy("b").agg(F.array_sort(F.collect_list(F.struct("r", "t"))).alias("ts"))
+        text = F.concat(F.lit("CALCULATE;\n"), F.array_join(F.transform("ts", lambda x: x["t"]), ""))
+    return df.select(F.concat(F.lit("block_"), F.col("b").cast("string")).alias("path"), text.alias("value"))
+
+
+@query(
+    "q_read_bim",
+    f"""WITH {CATALOG} SELECT 'block_' || b AS model, r AS position, 'Sales' AS source_table, measure_name, measure_expr, 'dax' AS mode,
+    'main.dw.fact_' || (b % 7) AS fact_table_fqn, 'amt,date_key' AS fact_columns, 'calendar main.dw.calendar date_key date date,month_start' AS dims FROM cat""",
+)
+def read_bim(spark, sf):
+    """Wrapped and bare model texts: fact by its measures, physical names, relationships to joins."""
+    from metricloom.sources import exports as E
+
+    df = E.parse_bim(_export_texts(spark, sf, True), "main", "dw")
+    dims = F.transform(
+        "dim_tables",
+        lambda d: F.concat_ws(" ", d["alias"], d["table"], d["join_key"], d["dim_key"], F.array_join(d["columns"], ",")),
+    )
+    return df.select(
+        "model", "position", "source_table", "measure_name", "measure_expr", "mode", "fact_table_fqn",
+        F.array_join("fact_columns", ",").alias("fact_columns"), F.array_join(dims, ";").alias("dims"),
+    )
+
+
+@query(
+    "q_read_mdx_scripts",
+    f"""WITH {CATALOG} SELECT 'block_' || b AS model, r AS position, measure_name, measure_expr, 'mdx' AS mode, 'main.s.fact' AS fact_table_fqn FROM cat""",
+)
+def read_mdx_scripts(spark, sf):
+    from metricloom.sources import exports as E
+
+    mapping = {"fact_table": "main.s.fact", "dimension_tables": []}
+    df = E.parse_mdx_scripts(_export_texts(spark, sf, False), mapping)
+    return df.select("model", "position", "measure_name", "measure_expr", "mode", "fact_table_fqn")
+
+
+@query(
+    "q_read_measure_csv",
+    f"""WITH {CATALOG} SELECT 'Sales' AS source_table, measure_name, measure_expr, 'line 1' || chr(10) || 'line "2"' AS description, 'dax' AS mode FROM cat""",
+)
+def read_measure_csv(spark, sf):
+    """Quoted cells with doubled quotes and line breaks, written to the shared folder and read back."""
+    from metricloom.sources import exports as E
+
+    path = settle.scratch(spark, "measures")
+    rows = X.catalog(spark, sf).select(
+        F.col("source_table").alias("TableName"), F.col("measure_name").alias("MeasureName"),
+        F.col("measure_expr").alias("Expression"), F.lit('line 1\nline "2"').alias("Description"),
+    )
+    rows.write.csv(path, header=True, quote='"', escape='"', quoteAll=True)
+    df = E.read_measure_csv(spark, path, {"fact_table": "main.s.fact"})
+    return df.select("source_table", "measure_name", "measure_expr", "description", "mode")
+
+
+@query(
+    "q_stage_all",
+    f"""WITH {CATALOG} SELECT f AS source_format, CASE WHEN f = 'mdx_script' THEN 'mdx' ELSE 'dax' END AS mode, COUNT(*) AS measures,
+    COUNT(DISTINCT measure_name) AS names FROM cat, (VALUES ('bim'), ('mdx_script')) AS t(f) GROUP BY ALL""",
+)
+def stage_all(spark, sf):
+    """Rows of two export formats in one staging frame."""
+    from metricloom.sources import exports as E
+
+    both = E.stage_all(
+        [
+            E.parse_bim(_export_texts(spark, sf, True), "main", "dw"),
+            E.parse_mdx_scripts(_export_texts(spark, sf, False), {"fact_table": "main.s.fact"}),
+        ]
+    )
+    return both.groupBy("source_format", "mode").agg(
+        F.count(F.lit(1)).alias("measures"), F.count_distinct("measure_name").alias("names")
+    )
+
+
+@query(
+    "q_enrich_columns",
+    f"""WITH {CATALOG} SELECT measure_name, CASE WHEN b % 7 < 4 THEN 'amount,date_key,f' || (b % 7) ELSE '' END AS fact_columns FROM cat""",
+)
+def enrich_columns(spark, sf):
+    """Column lists from the catalog for fact tables whose export has none."""
+    from metricloom.sources import exports as E
+
+    staging = X.catalog(spark, sf)
+    known = staging.select("fact_table_fqn").distinct().withColumn("n", F.substring("fact_table_fqn", -1, 1))
+    columns = known.where("n < 4").select(
+        F.col("fact_table_fqn").alias("table"),
+        F.array(F.lit("amount"), F.lit("date_key"), F.concat(F.lit("f"), "n")).alias("columns"),
+    )
+    return E.enrich_columns(staging, columns).select("measure_name", F.array_join("fact_columns", ",").alias("fact_columns"))
+
+
+AUDIT_EVENTS = """ev AS (SELECT 'a' || p_partkey AS id, p_partkey AS k, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 MINUTE * p_partkey AS ts FROM part)"""
+
+
+def _audit_events(spark, sf) -> DataFrame:
+    from metricloom.sources import audit
+
+    p = X.table(spark, sf, "part")
+    minutes = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp")) + F.col("p_partkey") * 60)
+    key = F.concat(F.lit("a"), F.col("p_partkey").cast("string")).alias("id")
+    done = p.select(
+        key, minutes.alias("timestamp"), F.lit("dax").alias("mode"), F.lit("success").alias("status"),
+        F.repeat("p_name", 1000).alias("measures_input"),
+        F.when(F.col("p_partkey") % 5 == 0, "bad input").otherwise("").alias("error_message"), F.lit("ann").alias("user_name"),
+    )
+    third = p.where("p_partkey % 3 = 0")
+    tries = [
+        third.select(
+            key, (minutes + F.expr(f"INTERVAL {n} HOUR")).alias("timestamp"), F.lit(f"v{n}").alias("deployed_view"),
+            F.lit(s).alias("deploy_status"), F.lit(e).alias("error_message"), F.lit("bob").alias("user_name"),
+        )
+        for n, s, e in ((1, "success", ""), (2, "failed", "no rights"))
+    ]
+    frames = [audit.audit_rows(done), *[audit.audit_rows(t, "deploy") for t in tries]]
+    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+
+
+@query(
+    "q_audit_current",
+    f"""WITH {AUDIT_EVENTS} SELECT id, 'success' AS status, CASE WHEN k % 3 = 0 THEN 'v2' ELSE '' END AS deployed_view,
+    CASE WHEN k % 3 = 0 THEN 'failed' ELSE '' END AS deploy_status,
+    CASE WHEN k % 5 = 0 THEN 'bad input' WHEN k % 3 = 0 THEN 'no rights' ELSE '' END AS error_message,
+    CASE WHEN k % 3 = 0 THEN 'bob' ELSE 'ann' END AS user_name, least(4000, 1000 * length(p.p_name)) AS kept
+    FROM ev JOIN part p ON p.p_partkey = ev.k""",
+)
+def audit_current(spark, sf):
+    """Latest deployment per entry; an error of the entry itself is kept, long texts are clipped."""
+    from metricloom.sources import audit
+
+    df = audit.audit_current(_audit_events(spark, sf))
+    return df.select(
+        "id", "status", "deployed_view", "deploy_status", "error_message", "user_name",
+        F.length("measures_input").cast("bigint").alias("kept"),
+    )
+
+
+@query(
+    "q_audit_history",
+    f"""WITH {AUDIT_EVENTS} SELECT id, CAST(ts AS VARCHAR) AS at, CASE WHEN k % 3 = 0 THEN 'failed' ELSE '' END AS deploy_status
+    FROM ev ORDER BY ts DESC, id DESC LIMIT 50""",
+)
+def audit_history(spark, sf):
+    from metricloom.sources import audit
+
+    df = audit.audit_history(audit.audit_current(_audit_events(spark, sf)))
+    return df.select("id", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("at"), "deploy_status")
+
+
+@query(
+    "q_audit_of_batch",
+    f"""WITH {CATALOG} SELECT 'b1/' || fact AS id, 'batch_bim' AS mode, fact AS source_table,
+    CASE WHEN bool_or(expr IS NULL) THEN 'partial' ELSE 'success' END AS status, CASE WHEN bool_or(r = 9) THEN '0.1' ELSE '1.1' END AS version,
+    CAST(COUNT(expr) AS INT) AS measure_count, COUNT(*) FILTER (WHERE expr IS NULL) AS warning_count,
+    left('[' || string_agg('{{"name":"' || measure_name || '","type":"unsupported_dax","msg":"no metric-view form"}}', ',' ORDER BY measure_name) FILTER (WHERE expr IS NULL) || ']', 4000) AS warnings
+    FROM tr GROUP BY fact""",
+)
+def audit_of_batch(spark, sf):
+    from metricloom.sources import audit
+
+    df = audit.audit_of_batch(_translated(spark, sf), "b1")
+    return df.select(
+        "id", "mode", "source_table", "status", "version", F.col("measure_count").cast("int").alias("measure_count"),
+        "warning_count", "warnings",
+    )
+
+
+@query(
+    "q_registry",
+    """WITH l AS (SELECT 'v' || p_size AS view_name, max_by(p_partkey, p_partkey) AS k, max_by(p_name, p_partkey) AS definition FROM part GROUP BY 1)
+    SELECT view_name, definition FROM l WHERE k % 4 <> 0""",
+)
+def registry(spark, sf):
+    """Newest definition of each view; a name whose newest event is a drop is gone."""
+    from metricloom.sources import audit
+
+    events = X.table(spark, sf, "part").select(
+        F.concat(F.lit("v"), F.col("p_size").cast("string")).alias("view_name"),
+        F.timestamp_seconds(F.col("p_partkey")).alias("changed_at"),
+        F.lit("1.1").alias("version"),
+        F.col("p_name").alias("definition"),
+        (F.col("p_partkey") % 4 == 0).alias("dropped"),
+    )
+    return audit.published(events).select("view_name", "definition")
+
+
+@query(
+    "q_translated_view",
+    f"""SELECT o_orderpriority AS priority, {dbl(f'SUM({AMT})')} AS "Total Sales", {dbl(f"SUM({AMT}) FILTER (WHERE o_orderstatus = 'F')")} AS "Active Sales",
+    round({dbl(f"SUM({AMT}) FILTER (WHERE o_orderstatus = 'F')")} / NULLIF({dbl(f'SUM({AMT})')}, 0), 6) AS "Active Share",
+    COUNT(DISTINCT o_custkey) AS "Unique Customers" FROM orders GROUP BY 1""",
+)
+def translated_view(spark, sf):
+    """Measure texts translated by rules and evaluated on the order table."""
+    from metricloom.sources import exports as E
+
+    texts = {
+        "Total Sales": "SUM(Sales[Amount])",
+        "Active Sales": 'CALCULATE([Total Sales], Sales[Status]="F")',
+        "Active Share": "DIVIDE([Active Sales], [Total Sales], 0)",
+        "Unique Customers": "DISTINCTCOUNT(Sales[CustomerID])",
+    }
+    rows = spark.createDataFrame([(i, n, e) for i, (n, e) in enumerate(texts.items())], "position long, measure_name string, measure_expr string")
+    staging = E._staged(
+        rows, model=F.lit("m"), source_format=F.lit("csv"), source_table=F.lit("Sales"), description=F.lit(""),
+        mode=F.lit("dax"), fact_table_fqn=F.lit("orders"), fact_columns=F.lit(None), dim_tables=F.lit(None), col_map=F.lit(None),
+    )
+    _, references, rules = _catalog_modules()
+    definitions = rules.translate_rules(references.resolve_composites(staging)).select("measure_name", "expr").collect()
+    orders = X.table(spark, sf, "orders").selectExpr(
+        f"{X.AMOUNT} AS amount", "o_orderstatus AS status", "o_custkey AS customer_id", "o_orderpriority AS priority"
+    )
+    ms = {r["measure_name"]: r["expr"] for r in definitions}
+    mv = MetricView("mv_translated", orders, (), (Dimension("priority", "priority"),), tuple(Measure(n, e) for n, e in ms.items()))
+    share = F.round(F.col("Active Share").cast("double"), 6)
+    return mv.query(spark, list(texts), ["priority"]).withColumn("Active Share", share)

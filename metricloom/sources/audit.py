@@ -67,7 +67,13 @@ def write_staging(df: DataFrame, table: str) -> None:
             for f in target.schema.fields
         ]
     )
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(table)
+    mode = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(mode)
+    spark.conf.set(mode, "dynamic")
+    try:
+        rows.write.mode("overwrite").insertInto(table)
+    finally:
+        spark.conf.set(mode, before)
 
 
 def pending(staging: DataFrame, batch_id: str) -> DataFrame:
