@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from metricloom.functions.time import period_start
+from metricloom.operators.shares import both_sides
 from metricloom.plans import cells as C
 from metricloom.plans import settle as S
 from metricloom.plans.model import Dimension, Measure, MetricView
@@ -46,12 +48,17 @@ def members_where(mv, spark, member, measure, condition, where=None) -> DataFram
 
 
 def query_members_where(mv, spark, measures, dims, member, condition_measure, condition, where=None):
-    """A query restricted to the members that satisfy a condition (semi-join)."""
-    chosen = members_where(mv, spark, member, condition_measure, condition, where)
+    """A query restricted to the members that satisfy a condition on their measure.
+
+    The cells per member serve both the condition and the result.
+    """
     d = mv.dim(member).name
-    cells = C.build(mv, spark, measures, [*dims, member], where)
-    kept = cells.df.join(chosen.select(F.col(f"`{d}`").alias("__member")), C.same(d, "__member"), "left_semi")
-    return C.replace(cells, df=kept).regroup([mv.dim(x).name for x in dims]).values()
+    tested = replace(mv.measure(condition_measure), name="value")
+    asked = [mv.measure(m) for m in measures]
+    cells = C.build(mv, spark, [*asked, tested], [*dims, member], where).settled()
+    chosen = cells.only([tested]).regroup([d]).values().where(condition).select(F.col(f"`{d}`").alias("__member"))
+    kept = cells.df.join(chosen, C.same(f"`{d}`", "__member"), "left_semi")
+    return replace(cells, df=kept).only(asked).regroup([mv.dim(x).name for x in dims]).values()
 
 
 def new_members(mv, spark, member, d, period="month", where=None) -> DataFrame:
@@ -115,9 +122,10 @@ def cross_members(mv, spark, dims: Sequence, measures: Sequence, where=None, den
 
     With `dense=False` only the cells that have facts.
     """
-    names = [mv.dim(d).name for d in dims]
-    cells = run(mv, spark, measures, dims, where)
+    grain = [mv.dim(d) for d in dims]
+    names = [d.name for d in grain]
     if not dense:
-        return cells
-    sets = [_rows(mv, spark, [d]).distinct() for d in dims]
-    return C.join_on(reduce(pair_members, sets), cells, names)
+        return run(mv, spark, measures, dims, where)
+    inside, whole = both_sides(mv, spark, [mv.measure(m) for m in measures], grain, C.conditions(where))
+    sets = [whole.df.select(F.col(f"`{n}`")).distinct() for n in names]
+    return C.join_on(reduce(pair_members, sets), inside.values(), names)

@@ -256,7 +256,9 @@ def translate_rules(staging: DataFrame) -> DataFrame:
     df = df.withColumn("__text", named)
     rounds = F.sequence(F.lit(1), F.lit(ROUNDS))
     df = df.withColumn("__mdx", mdx)
-    df = df.withColumn("__text", F.aggregate(rounds, F.col("__text"), lambda acc, i: _round(acc, F.col("__mdx"))))
+    # A text without open parentheses is finished.
+    step = lambda acc, i: F.when(acc.contains("("), _round(acc, F.col("__mdx"))).otherwise(acc)
+    df = df.withColumn("__text", F.aggregate(rounds, F.col("__text"), step))
     closed = ~F.col("__text").rlike(r"[()\[\]{}]|(?i)\b(VAR|RETURN|BLANK|CURRENTMEMBER|ALL|VALUES)\b")
     translated = closed & F.col("__text").contains(FILTERS)
     sql = F.trim(_show_literals(_finish(F.col("__text")), F.col("__lits")))

@@ -34,14 +34,13 @@ def pct_of(
     if remove is not None:
         scope = [n for n in names if n not in remove]
     resolved = mv.measure(measure)
-    leaves = C.leaves_of([resolved])
     m = resolved.name
     conds = C.conditions(where)
     if selected or not conds:
-        inside = C.build(mv, spark, [resolved], grain, conds)
-        whole = inside
+        whole = C.build(mv, spark, [resolved], grain, conds)
+        inside = whole = whole.settled() if whole.mergeable else whole
     else:
-        inside, whole = _both(mv, spark, resolved, leaves, grain, conds)
+        inside, whole = both_sides(mv, spark, [resolved], grain, conds)
     if whole.mergeable:
         total = whole.regroup(scope)
     else:
@@ -52,30 +51,27 @@ def pct_of(
     return joined.select(*columns(names), F.col(f"`{m}`"), "scope_total", pct.alias("pct"))
 
 
-def _both(mv, spark, measure, leaves, grain, conds) -> tuple[C.Cells, C.Cells]:
+def both_sides(mv, spark, measures, grain, conds) -> tuple[C.Cells, C.Cells]:
     """Cells under the conditions and without them, from one pass over the facts."""
+    measures = tuple(measures)
+    leaves = C.leaves_of(measures)
     names = tuple(d.name for d in grain)
     rows = C.project(mv, spark, leaves, C.with_filtered_dims(mv, grain, conds))
     met = F.lit(True)
     for cond in conds:
         met = met & C.as_column(cond)
     rows = rows.withColumn("__in", F.coalesce(met, F.lit(False)))
-    under = rows.withColumns({f"__a{i}": F.when(F.col("__in"), F.col(f"__a{i}")) for i in range(len(leaves))})
-    if not all(leaf.mergeable for leaf in leaves):
-        df = under.where("__in").groupBy(*columns(names)).agg(*C.part_columns(leaves))
-        return C.Cells(df, names, leaves, (measure,)), C.Cells(df, names, leaves, (measure,))
     wide = rows.withColumns(
         {f"__a{len(leaves) + i}": F.when(F.col("__in"), F.col(f"__a{i}")) for i in range(len(leaves))}
     )
-    parts = C.part_columns([*leaves, *leaves])
-    df = wide.groupBy(*columns(names)).agg(*parts, F.max("__in").alias("__hit"))
-    whole = C.Cells(df, names, leaves, (measure,))
+    df = wide.groupBy(*columns(names)).agg(*C.part_columns([*leaves, *leaves]), F.max("__in").alias("__hit"))
+    whole = C.Cells(df, names, leaves, measures).settled()
     under_condition = {
         name: F.col(f"__{i + len(leaves)}{part}")
         for i in range(len(leaves))
         for part, name in whole.part_names(i).items()
     }
-    return replace(whole, df=df.where("__hit").withColumns(under_condition)), whole
+    return replace(whole, df=whole.df.where("__hit").withColumns(under_condition)), whole
 
 
 def pct_of_total(mv, spark, measure, dims, where=None) -> DataFrame:

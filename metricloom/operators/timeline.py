@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from metricloom.functions.time import interval, period_start, shift
+from metricloom.functions.time import MONTHS, interval, period_start, shift
 from metricloom.plans import cells as C
 from metricloom.plans.model import Dimension, Measure, MetricView, Window, mentions
 from metricloom.plans.query import columns, frame_text, run, split_conditions
+from metricloom.plans.settle import settle
 
 
 def _with_window(mv: MetricView, measure: str | Measure, *windows: Window) -> Measure:
@@ -100,19 +101,32 @@ def rolling(mv, spark, measure, d, n, period="month", agg="avg", dims=(), where=
 def shifted(values: DataFrame, order: str, n: int, unit: str, measures: Sequence[str], suffix: str) -> DataFrame:
     """Each row with the values found `n` units away (earlier when negative) on the order column.
 
-    The lookup goes from the anchor to the other period, so a clamped month end finds one row.
+    Every row is sent to its own date and to the dates that look it up, and both meet in one
+    aggregation; the values are computed once and nothing is joined. A month end may be looked up
+    from up to four dates (28 February from 28 to 31 March).
     """
     keys = [c for c in values.columns if c not in (*measures, order)]
-    other = values.select(
-        *[F.col(f"`{k}`").alias(f"__o_{k}") for k in keys],
-        F.col(f"`{order}`").alias("__o_order"),
-        *[F.col(f"`{m}`").alias(f"{m}{suffix}") for m in measures],
+    day = F.col(f"`{order}`")
+    back = shift(day, -n, unit)
+    lookers = F.filter(
+        F.sequence(back, F.date_add(back, 3 if unit in MONTHS else 0)), lambda a: shift(a, n, unit) == day
+    )
+    pack = F.struct(*columns(measures))
+    none = F.lit(None).cast(values.select(pack.alias("p")).schema["p"].dataType)
+    own = F.array(F.struct(day.alias("__day"), pack.alias("__now"), none.alias("__then")))
+    sent = F.transform(lookers, lambda a: F.struct(a.alias("__day"), none.alias("__now"), pack.alias("__then")))
+    both = values.select(*columns(keys), F.inline(F.concat(own, F.coalesce(sent, F.array().cast(_array_of(values, own))))))
+    met = both.groupBy(*columns(keys), F.col("__day").alias(order)).agg(
+        F.max("__now").alias("__now"), F.max("__then").alias("__then")
+    )
+    return met.where("__now IS NOT NULL").select(
+        *[F.col(f"`{c}`") if c not in measures else F.col("__now")[c].alias(c) for c in values.columns],
+        *[F.col("__then")[m].alias(f"{m}{suffix}") for m in measures],
     )
-    cond = shift(F.col(f"`{order}`"), n, unit) == F.col("__o_order")
-    for k in keys:
-        cond = cond & F.col(f"`{k}`").eqNullSafe(F.col(f"`__o_{k}`"))
-    kept = [*values.columns, *[f"{m}{suffix}" for m in measures]]
-    return values.join(other, cond, "left").select(*columns(kept))
+
+
+def _array_of(df: DataFrame, c: Column):
+    return df.select(c.alias("a")).schema["a"].dataType
 
 
 def date_shift(mv, spark, measure, d, n, unit, grain=None, dims=(), where=None, suffix="_prior") -> DataFrame:
@@ -184,12 +198,14 @@ def densify(df: DataFrame, order: str, unit: str, keys: Sequence[str] = (), star
     """Every period between the first and the last one for each key combination.
 
     Each combination generates its own dates, so nothing is paired beyond combination x calendar,
-    which is the result itself. Bounds default to the whole range of the frame.
+    which is the result itself. Bounds default to the whole range of the frame. The frame is settled,
+    since its bounds, its combinations and its rows are all read.
     """
+    df = settle(df)
     day = F.col(f"`{order}`")
-    span = df.agg(F.min(day).alias("lo"), F.max(day).alias("hi"))
-    lo = F.lit(start).cast("date") if start else span.select("lo").scalar()
-    hi = F.lit(end).cast("date") if end else span.select("hi").scalar()
+    span = df.agg(F.struct(F.min(day).alias("lo"), F.max(day).alias("hi"))).scalar()
+    lo = F.lit(start).cast("date") if start else span["lo"]
+    hi = F.lit(end).cast("date") if end else span["hi"]
     step = {"day": "INTERVAL 1 DAY", "week": "INTERVAL 7 DAY", "month": "INTERVAL 1 MONTH"}
     step |= {"quarter": "INTERVAL 3 MONTH", "year": "INTERVAL 1 YEAR"}
     combos = df.select(*columns(keys)).distinct() if keys else df.sparkSession.range(1).select()

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
-from functools import reduce
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -19,8 +18,8 @@ def validation_cases(mv: MetricView, warned: Iterable[str] = ()) -> list[Measure
     return [mv.measure(m) for m in mv.measures if not m.window and m.name not in skipped]
 
 
-def direct_query(mv: MetricView, spark: SparkSession, measure: Measure, dims: Sequence = ()) -> DataFrame:
-    """The measure as plain SQL over the source and all its joins, a plan of its own (V2)."""
+def direct_query(mv: MetricView, spark: SparkSession, measures: Sequence[Measure], dims: Sequence = ()) -> DataFrame:
+    """Measures as plain SQL over the source and all its joins, a plan of its own (V2)."""
     tables = {"__src": star.load(spark, mv.source), **{f"__j{i}": star.load(spark, j.source) for i, j in enumerate(mv.joins)}}
     order = star.needed_joins(mv, [f"{j.name}.x" for j in mv.joins])
     position = {j.name: i for i, j in enumerate(mv.joins)}
@@ -31,7 +30,8 @@ def direct_query(mv: MetricView, spark: SparkSession, measure: Measure, dims: Se
     where = f"WHERE {mv.filter}" if mv.filter else ""
     group = "GROUP BY ALL" if grain else ""
     rows = f"SELECT source.*{structs} FROM {{__src}} AS source {joins}"
-    return spark.sql(f"SELECT {shown}{measure.expr} AS result FROM ({rows}) AS source {where} {group}", **tables)
+    values = ", ".join(f"{m.expr} AS `{m.name}`" for m in measures)
+    return spark.sql(f"SELECT {shown}{values} FROM ({rows}) AS source {where} {group}", **tables)
 
 
 def passes(actual: Column, expected: Column, tolerance: float = TOLERANCE) -> Column:
@@ -47,53 +47,48 @@ def compare_frames(
     actual: DataFrame,
     expected: DataFrame,
     keys: Sequence[str],
-    actual_col: str,
-    expected_col: str,
-    measure_name: str | None = None,
+    columns: Mapping[str, str] | Sequence[str],
     tolerance: float = TOLERANCE,
 ) -> DataFrame:
-    """All groups of both sides, compared (V3-V5).
+    """All groups of both sides, compared measure by measure (V3-V5).
 
-    Output: measure_name, keys, metric_view_value, expected_value, passed, error.
+    `columns` maps the value columns of `actual` to those of `expected`. Both sides meet in one join,
+    whatever the number of measures. Output: measure_name, keys, metric_view_value, expected_value,
+    passed, error.
     """
-    left = actual.select(
-        *[F.col(f"`{k}`").alias(f"__a{i}") for i, k in enumerate(keys)],
-        F.col(f"`{actual_col}`").alias("__actual"),
-        F.lit(True).alias("__left"),
-        F.lit(1).alias("__one"),
-    )
-    right = expected.select(
-        *[F.col(f"`{k}`").alias(f"__e{i}") for i, k in enumerate(keys)],
-        F.col(f"`{expected_col}`").alias("__expected"),
-        F.lit(True).alias("__right"),
-        F.lit(1).alias("__eone"),
-    )
-    on = F.col("__one") == F.col("__eone")
-    for i, _ in enumerate(keys):
-        on = on & F.col(f"__a{i}").eqNullSafe(F.col(f"__e{i}")) if i else F.col("__a0").eqNullSafe(F.col("__e0"))
-    both = left.join(right, on, "full")
-    error = F.when(F.col("__left").isNull(), "view has no row for this group").when(
-        F.col("__right").isNull(), "direct SQL has no row for this group"
-    )
-    return both.select(
-        F.lit(measure_name or actual_col).alias("measure_name"),
-        *[F.coalesce(f"__a{i}", f"__e{i}").alias(k) for i, k in enumerate(keys)],
-        F.col("__actual").cast("string").alias("metric_view_value"),
-        F.col("__expected").cast("string").alias("expected_value"),
-        (error.isNull() & passes(F.col("__actual"), F.col("__expected"), tolerance)).alias("passed"),
-        error.alias("error"),
-    )
+    pairs = dict(columns) if isinstance(columns, Mapping) else {c: c for c in columns}
 
+    def side(df: DataFrame, mark: str, names: Iterable[str]) -> DataFrame:
+        found = [F.col(f"`{k}`").alias(f"__{mark}{i}") for i, k in enumerate(keys)] or [F.lit(1).alias(f"__{mark}0")]
+        return df.select(*found, F.struct(*[F.col(f"`{n}`").alias(f"v{i}") for i, n in enumerate(names)]).alias(f"__{mark}"))
 
-def validate_measure(mv: MetricView, spark: SparkSession, measure: Measure, dims: Sequence = (), tolerance=TOLERANCE):
-    keys = [mv.dim(d).name for d in dims]
-    actual = mv.query(spark, [measure], dims)
-    return compare_frames(
-        actual, direct_query(mv, spark, measure, dims), keys, measure.name, "result", measure.name, tolerance
+    left, right = side(actual, "a", pairs), side(expected, "e", pairs.values())
+    on = F.lit(True)
+    for i in range(max(len(keys), 1)):
+        on = on & F.col(f"__a{i}").eqNullSafe(F.col(f"__e{i}"))
+    both = left.join(right, on, "full")
+    error = F.when(F.col("__a").isNull(), "view has no row for this group").when(
+        F.col("__e").isNull(), "direct SQL has no row for this group"
     )
+    results = [
+        F.struct(
+            F.lit(name).alias("measure_name"),
+            F.col("__a")[f"v{i}"].cast("string").alias("metric_view_value"),
+            F.col("__e")[f"v{i}"].cast("string").alias("expected_value"),
+            (error.isNull() & passes(F.col("__a")[f"v{i}"], F.col("__e")[f"v{i}"], tolerance)).alias("passed"),
+            error.alias("error"),
+        )
+        for i, name in enumerate(pairs)
+    ]
+    shown = [F.coalesce(f"__a{i}", f"__e{i}").alias(k) for i, k in enumerate(keys)]
+    df = both.select(*shown, F.inline(F.array(*results)))
+    rest = ["metric_view_value", "expected_value", "passed", "error"]
+    return df.select("measure_name", *[F.col(f"`{k}`") for k in keys], *rest)
 
 
 def validate_all(mv: MetricView, spark: SparkSession, dims: Sequence = (), warned: Iterable[str] = ()) -> DataFrame:
-    """Every case in one frame (V6)."""
-    frames = [validate_measure(mv, spark, m, dims) for m in validation_cases(mv, warned)]
-    return reduce(lambda a, b: a.unionByName(b), frames)
+    """Every case in one frame (V6): one plan for the view, one for the direct SQL."""
+    cases = validation_cases(mv, warned)
+    keys = [mv.dim(d).name for d in dims]
+    actual, expected = mv.query(spark, cases, dims), direct_query(mv, spark, cases, dims)
+    return compare_frames(actual, expected, keys, [m.name for m in cases])

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from metricloom.functions.aggs import Agg, lift
 from metricloom.plans import star
 from metricloom.plans.model import Condition, Dimension, Measure, MetricView, mentions, qualifiers
+from metricloom.plans.settle import settle
 
 
 def conditions(where: Condition | Iterable[Condition] | None) -> list[Condition]:
@@ -40,17 +41,16 @@ def same(left: Column | str, right: Column | str) -> Column:
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Null-safe join on equally named columns; the left keys are kept.
 
-    Without keys both sides are single-row totals and meet on a constant.
+    Without keys the right side is a one-row total, read as scalar values.
     """
+    if not keys:
+        return left.withColumns({c: right.select(F.col(f"`{c}`")).scalar() for c in right.columns})
     taken = {k: f"__r_{k}" for k in keys}
     right = right.select(
         *[F.col(f"`{k}`").alias(r) for k, r in taken.items()],
         *[F.col(f"`{c}`") for c in right.columns if c not in taken],
     )
     cond = F.lit(True)
-    if not keys:
-        left, right = left.withColumn("__one", F.lit(1)), right.withColumn("__r_one", F.lit(1))
-        return left.join(right, F.col("__one") == F.col("__r_one"), how).drop("__one", "__r_one")
     for k, r in taken.items():
         cond = cond & same(F.col(f"`{k}`"), F.col(f"`{r}`"))
     return left.join(right, cond, how).drop(*taken.values())
@@ -84,7 +84,9 @@ class Cells:
     def regroup(self, dims: Sequence[str], extra: Sequence[Column] = ()) -> Cells:
         """Merge to a coarser grain."""
         cols = [c.alias(n) for i in range(len(self.leaves)) for n, c in self._merged(i).items()]
-        df = self.df.groupBy(*[F.col(f"`{d}`") for d in dims]).agg(*cols, *extra)
+        cols += extra
+        grouped = [F.col(f"`{d}`") for d in dims]
+        df = self.df.groupBy(*grouped).agg(*cols) if cols else self.df.select(*grouped).distinct()
         return replace(self, df=df, dims=tuple(dims))
 
     def _framed(self, i: int, frame: str) -> dict[str, Column]:
@@ -95,6 +97,14 @@ class Cells:
             for p, name in self.part_names(i).items()
         }
 
+    def only(self, measures: Sequence[Measure]) -> Cells:
+        """The same cells for some of the measures."""
+        return replace(self, measures=tuple(measures))
+
+    def settled(self) -> Cells:
+        """Written once, so that several branches of a plan read cells and not the facts again."""
+        return replace(self, df=settle(self.df))
+
     def over(self, frame: str, leaves: Iterable[int] | None = None) -> Cells:
         """Merge over a window frame (SQL text); rows stay."""
         chosen = range(len(self.leaves)) if leaves is None else leaves
@@ -110,9 +120,11 @@ class Cells:
 
     def values(self, keep: Sequence[str] = ()) -> DataFrame:
         """Dimension columns and measure values."""
+        used = set(leaves_of(self.measures))
         finished = {
             f"__{i}": leaf.finish({p: F.col(n) for p, n in self.part_names(i).items()})
             for i, leaf in enumerate(self.leaves)
+            if leaf in used
         }
         cols = [F.col(f"`{d}`") for d in (*self.dims, *keep)]
         return self.df.withColumns(finished).select(
@@ -121,8 +133,9 @@ class Cells:
 
 
 def leaves_of(measures: Sequence[Measure]) -> tuple[Agg, ...]:
-    found = [p for m in measures for p in lift(m.expr) if isinstance(p, Agg)]
-    return tuple(dict.fromkeys(found))
+    """The different aggregate calls, those that merge first."""
+    found = dict.fromkeys(p for m in measures for p in lift(m.expr) if isinstance(p, Agg))
+    return tuple(sorted(found, key=lambda leaf: not leaf.mergeable))
 
 
 def with_filtered_dims(
@@ -166,10 +179,14 @@ def build(
     dims: Sequence[str | Dimension],
     where: Condition | Iterable[Condition] | None = None,
     relationship: str | None = None,
+    leaves: tuple[Agg, ...] | None = None,
 ) -> Cells:
-    """Cells of the measures at the grain of the dimensions, under the conditions."""
+    """Cells of the measures at the grain of the dimensions, under the conditions.
+
+    `leaves` restricts the aggregate calls that are kept.
+    """
     resolved = tuple(mv.measure(m) for m in measures)
-    leaves = leaves_of(resolved)
+    leaves = leaves_of(resolved) if leaves is None else leaves
     grain = [mv.dim(d) for d in dims]
     where = conditions(where)
     shown = with_filtered_dims(mv, grain, where)
@@ -181,7 +198,8 @@ def build(
     df = project(mv, spark, leaves, shown, relationship)
     for cond in where:
         df = df.where(as_column(cond))
-    df = df.groupBy(*[F.col(f"`{n}`") for n in names]).agg(*part_columns(leaves))
+    grouped = [F.col(f"`{n}`") for n in names]
+    df = df.groupBy(*grouped).agg(*part_columns(leaves)) if leaves else df.select(*grouped).distinct()
     return Cells(df, names, leaves, resolved)
 
 

@@ -32,13 +32,20 @@ def run(
     grain = [mv.dim(d) for d in dims]
     names = [d.name for d in grain]
     where = C.conditions(where)
-    plain = [m for m in resolved if not m.window]
+    specs = list(dict.fromkeys(m.window for m in resolved))
+    shared = _shared_cells(mv, spark, resolved, specs, grain, where, relationship) if len(specs) > 1 else None
     frames = []
-    if plain:
-        frames.append(C.build(mv, spark, plain, grain, where, relationship).values())
-    for spec in dict.fromkeys(m.window for m in resolved if m.window):
+    for spec in sorted(specs, key=bool):
         same_spec = [m for m in resolved if m.window == spec]
-        frames.append(windowed(mv, spark, same_spec, spec, grain, where, relationship))
+        if spec:
+            frames.append(windowed(mv, spark, same_spec, spec, grain, where, relationship, shared))
+        elif shared:
+            cells = shared.only(same_spec)
+            for cond in _split_by(mv, specs, where)[1]:
+                cells = C.replace(cells, df=cells.df.where(C.as_column(cond)))
+            frames.append(cells.regroup(names).values())
+        else:
+            frames.append(C.build(mv, spark, same_spec, grain, where, relationship).values())
     df = frames[0]
     for other in frames[1:]:
         df = C.join_on(df, other, names)
@@ -48,6 +55,40 @@ def run(
     return df
 
 
+def _split_by(mv: MetricView, specs: Sequence[tuple[Window, ...]], where: Sequence[Condition]):
+    """Conditions before and after the windows, or None where the windows disagree."""
+    splits = [split_conditions(mv, where, mv.dim(main_entry(s).order)) for s in specs if s]
+    # Conditions may be columns, which cannot be compared; their positions can.
+    marks = {tuple(any(c is e for e in early) for c in where) for early, _ in splits}
+    return splits[0] if len(marks) == 1 else None
+
+
+def _shared_cells(mv, spark, measures, specs, dims, where, relationship) -> C.Cells | None:
+    """Cells fine enough for all the measures of a query, so that the facts are read once.
+
+    Not for distinct counts, which do not merge, nor for windows that split the conditions
+    differently.
+    """
+    if not all(leaf.mergeable for leaf in C.leaves_of(measures)):
+        return None
+    split = _split_by(mv, specs, where)
+    if split is None:
+        return None
+    grain = {d.name: d for d in dims}
+    for s in specs:
+        grain |= {w.order: mv.dim(w.order) for w in s}
+    grain |= {d.name: d for d in C.with_filtered_dims(mv, [], split[1])}
+    return C.build(mv, spark, measures, list(grain.values()), split[0], relationship).settled()
+
+
+def main_entry(spec: tuple[Window, ...]) -> Window:
+    """The entry that gives the frame: the one that is not `current`."""
+    framed = [w for w in spec if w.normal_range != "current"]
+    if len(framed) > 1:
+        raise ValueError("a measure may have one ordered window entry besides `current` entries")
+    return framed[0] if framed else spec[0]
+
+
 def is_period(mv: MetricView, d: Dimension, order: Dimension) -> bool:
     """The dimension is the order dimension or a period of it (its year, its month ...).
 
@@ -89,6 +130,7 @@ def windowed(
     dims: Sequence[Dimension],
     where: Sequence[Condition],
     relationship: str | None = None,
+    shared: C.Cells | None = None,
 ) -> DataFrame:
     """Measures with the same window entries.
 
@@ -97,10 +139,7 @@ def windowed(
     dimension has members. When the order dimension is not queried, its last (or first) value is
     taken per group.
     """
-    framed = [w for w in spec if w.normal_range != "current"]
-    if len(framed) > 1:
-        raise ValueError("a measure may have one ordered window entry besides `current` entries")
-    main = framed[0] if framed else spec[0]
+    main = main_entry(spec)
     order = mv.dim(main.order)
     currents = [mv.dim(w.order) for w in spec if w is not main]
     early, late = split_conditions(mv, where, order)
@@ -108,11 +147,17 @@ def windowed(
     hidden = C.with_filtered_dims(mv, [], late)
     grain = list({d.name: d for d in (*dims, *currents, *hidden, order)}.values())
     keys = list(dict.fromkeys(d.name for d in (*entity, *currents)))
+    names = [d.name for d in grain]
 
-    cells = C.build(mv, spark, [*measures], grain, early, relationship)
-    if framed:
-        cells = over_frame(cells, keys, order.name, main, lambda leaf: _key_rows(
-            mv, spark, leaf, [mv.dim(d) for d in grain], early, relationship, keys, order.name))
+    distinct = [leaf for leaf in C.leaves_of(measures) if leaf.distinct]
+    if shared:
+        cells = shared.only(measures).regroup(names)
+    elif main.normal_range != "current" and distinct:
+        cells = over_distinct(mv, spark, measures, distinct, grain, early, relationship, keys, main)
+    else:
+        cells = C.build(mv, spark, measures, grain, early, relationship)
+    if main.normal_range != "current":
+        cells = over_frame(cells, keys, order.name, main)
     df = cells.values()
     for cond in late:
         df = df.where(C.as_column(cond))
@@ -130,20 +175,38 @@ def frame_text(keys: Sequence[str], order: str, bounds: str) -> str:
     return f"{part} ORDER BY `{order}` RANGE BETWEEN {bounds}"
 
 
-def over_frame(cells: C.Cells, keys: Sequence[str], order: str, w: Window, key_rows) -> C.Cells:
-    """Cells with each part merged over the frame; distinct counts by their own plan."""
-    additive = [i for i, leaf in enumerate(cells.leaves) if leaf.mergeable]
-    distinct = [i for i, leaf in enumerate(cells.leaves) if not leaf.mergeable]
-    anchors = cells.df.select(*columns([*keys, order])).distinct()
-    out = _additive(cells, keys, order, w, additive)
-    for i in distinct:
-        counts = distinct_over(key_rows(cells.leaves[i]), anchors, keys, order, w)
-        counts = counts.withColumnRenamed("__count", f"__{i}v")
-        out = C.replace(out, df=C.join_on(out.df.drop(f"__{i}v"), counts, [*keys, order]))
-    return out
+def over_distinct(mv, spark, measures, distinct, grain, early, relationship, keys, w: Window) -> C.Cells:
+    """Cells whose distinct counts are already those of the frames; the other parts are still plain.
 
-
-def _additive(cells: C.Cells, keys: Sequence[str], order: str, w: Window, leaves: list[int]) -> C.Cells:
+    With one counted expression the facts are read once, as cells that have its values as one more
+    dimension.
+    """
+    leaves = C.leaves_of(measures)
+    additive = tuple(leaf for leaf in leaves if leaf.mergeable)
+    names = [d.name for d in grain]
+    frames = []
+    if len(distinct) == 1:
+        keyed = [*grain, Dimension("__key", distinct[0].input())]
+        fine = C.build(mv, spark, measures, keyed, early, relationship, leaves=additive).settled()
+        cells = fine.regroup(names)
+        frames.append(fine.df.select(*columns([*keys, w.order]), "__key"))
+    else:
+        cells = C.build(mv, spark, measures, grain, early, relationship, leaves=additive).settled()
+        for leaf in distinct:
+            keyed = [*grain, Dimension("__key", leaf.input())]
+            frames.append(C.build(mv, spark, [], keyed, early, relationship).df.select(*columns([*keys, w.order]), "__key"))
+    anchors = cells.df.select(*columns([*keys, w.order])).distinct()
+    df = cells.df
+    for i, rows in enumerate(frames, start=len(additive)):
+        rows = rows.where("__key IS NOT NULL").distinct()
+        counts = distinct_over(rows, anchors, keys, w.order, w)
+        df = C.join_on(df, counts.withColumnRenamed("__count", f"__{i}v"), [*keys, w.order])
+    return C.replace(cells, df=df, leaves=leaves)
+
+
+def over_frame(cells: C.Cells, keys: Sequence[str], order: str, w: Window) -> C.Cells:
+    """Cells with each mergeable part merged over the frame."""
+    leaves = [i for i, leaf in enumerate(cells.leaves) if leaf.mergeable]
     if w.normal_range == "cumulative":
         return cells.over(frame_text(keys, order, "UNBOUNDED PRECEDING AND CURRENT ROW"), leaves)
     if w.normal_range == "all":
@@ -188,16 +251,6 @@ def _over_months(
     return C.replace(cells, df=cells.df.withColumns(cols))
 
 
-def _key_rows(mv, spark, leaf, grain, early, relationship, keys, order) -> DataFrame:
-    """Distinct (window keys, order, counted value) rows of a distinct count."""
-    shown = C.with_filtered_dims(mv, grain, early)
-    df = C.project(mv, spark, [leaf], shown, relationship)
-    for cond in early:
-        df = df.where(C.as_column(cond))
-    rows = df.select(*columns([*keys, order]), F.col("__a0").alias("__key"))
-    return rows.where("__key IS NOT NULL").distinct()
-
-
 def distinct_over(
     rows: DataFrame, anchors: DataFrame, keys: Sequence[str], order: str, w: Window
 ) -> DataFrame:

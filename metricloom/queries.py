@@ -1078,7 +1078,7 @@ def compare_frames(spark, sf):
     planted = F.expr("CASE WHEN custkey % 7 = 0 THEN total * 2 WHEN custkey % 5 = 0 THEN total * 1.005 ELSE total END")
     left = g.where("custkey % 11 <> 0")
     right = g.where("custkey % 13 <> 0").select("custkey", planted.alias("result"))
-    df = V.compare_frames(left, right, ["custkey"], "total", "result")
+    df = V.compare_frames(left, right, ["custkey"], {"total": "result"})
     return df.select("measure_name", "custkey", "passed", "error")
 
 

@@ -2,27 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from metricloom.functions.time import period
 
 
-def date_dim(spark: SparkSession, start: str | Column, end: str | Column) -> DataFrame:
+def date_dim(spark: SparkSession, start: str, end: str) -> DataFrame:
     """Every day of a range with year, month, quarter and first day of the month."""
-    lo = F.lit(start).cast("date") if isinstance(start, str) else start
-    hi = F.lit(end).cast("date") if isinstance(end, str) else end
-    days = spark.range(1).select(F.explode(F.sequence(lo, hi, F.expr("INTERVAL 1 DAY"))).alias("date"))
+    return _days(spark.range(1).select(F.lit(start).cast("date").alias("lo"), F.lit(end).cast("date").alias("hi")))
+
+
+def calendar_of(df: DataFrame, date: str) -> DataFrame:
+    """Calendar over the whole years that a date column covers."""
+    span = df.agg(F.min(date).alias("lo"), F.max(date).alias("hi"))
+    first = F.date_trunc("year", "lo").cast("date")
+    last = F.date_trunc("year", "hi").cast("date")
+    return _days(span.select(first.alias("lo"), F.date_sub(F.add_months(last, 12), 1).alias("hi")))
+
+
+def _days(span: DataFrame) -> DataFrame:
     d = F.col("date")
-    units = ["year", "month", "quarter", "month_start"]
-    return days.select(d, *[period(d, u).alias(u) for u in units])
-
-
-def calendar_of(df: DataFrame, *dates: str) -> DataFrame:
-    """Calendar over the whole years that the date columns of a table cover."""
-    span = df.select(
-        F.least(*[F.min(c) for c in dates]).alias("lo") if len(dates) > 1 else F.min(dates[0]).alias("lo"),
-        F.greatest(*[F.max(c) for c in dates]).alias("hi") if len(dates) > 1 else F.max(dates[0]).alias("hi"),
-    )
-    lo = F.date_trunc("year", span.select("lo").scalar()).cast("date")
-    last = F.date_trunc("year", span.select("hi").scalar()).cast("date")
-    return date_dim(df.sparkSession, lo, F.date_sub(F.add_months(last, 12), 1))
+    days = span.select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 DAY"))).alias("date"))
+    return days.select(d, *[period(d, u).alias(u) for u in ("year", "month", "quarter", "month_start")])

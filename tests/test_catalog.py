@@ -274,12 +274,12 @@ def test_compare_values(spark):
     data = [("1", "1.005", True), ("1", "1.02", False), ("100", "100.9", True), ("100", "102", False), (None, None, True),
             (None, "0", False), (" x", "x ", True), ("x", "y", False), ("0.001", "0.009", True)]
     df = spark.createDataFrame([(str(i), a, b) for i, (a, b, _) in enumerate(data)], "k string, a string, b string")
-    got = validate.compare_frames(df.select("k", "a"), df.select("k", "b"), ["k"], "a", "b")
+    got = validate.compare_frames(df.select("k", "a"), df.select("k", "b"), ["k"], {"a": "b"})
     assert {r.k: r.passed for r in got.collect()} == {str(i): ok for i, (_, _, ok) in enumerate(data)}
 
 
 def test_compare_without_keys_and_with_an_empty_side(spark):
     one = spark.createDataFrame([(1.0,)], "v double")
-    assert validate.compare_frames(one, one, [], "v", "v").first().passed
-    got = validate.compare_frames(one, one.where("v > 5"), [], "v", "v").collect()
+    assert validate.compare_frames(one, one, [], ["v"]).first().passed
+    got = validate.compare_frames(one, one.where("v > 5"), [], ["v"]).collect()
     assert [(r.passed, r.error) for r in got] == [(False, "direct SQL has no row for this group")]
