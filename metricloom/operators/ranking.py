@@ -11,10 +11,6 @@ from metricloom.plans import settle as S
 from metricloom.plans.model import Measure, MetricView
 from metricloom.plans.query import columns, run
 
-# Up to this many aggregated members one sorted window is used; beyond it ranks come from
-# range-partitioned running counts.
-WINDOW_ROWS = 1_000_000
-
 
 def rankx(
     mv: MetricView,
@@ -25,7 +21,7 @@ def rankx(
     ties: str = "skip",
     descending: bool = True,
     where=None,
-    window_rows: int = WINDOW_ROWS,
+    window_rows: int = S.WINDOW_ROWS,
 ) -> DataFrame:
     """Rank of members by a measure, within the groups of `within` (R1, R2); column `rank`.
 
@@ -39,11 +35,11 @@ def rankx(
 
 
 def rank_rows(
-    df: DataFrame, value: str, groups: Sequence[str], ties="skip", descending=True, window_rows=WINDOW_ROWS
+    df: DataFrame, value: str, groups: Sequence[str], ties="skip", descending=True, window_rows=S.WINDOW_ROWS
 ) -> DataFrame:
     """Add `rank` to a settled frame."""
     v = F.col(f"`{value}`")
-    if df.limit(window_rows + 1).count() <= window_rows:
+    if S.within(df, window_rows):
         order = v.desc_nulls_last() if descending else v.asc_nulls_last()
         fn = F.dense_rank() if ties == "dense" else F.rank()
         return df.withColumn("rank", fn.over(W.partitionBy(*columns(groups)).orderBy(order)).cast("int"))

@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from metricloom.plans import cells as C
-from metricloom.plans.model import MetricView
+from metricloom.plans.model import Dimension, MetricView
 from metricloom.plans.query import columns
 
 
@@ -91,17 +91,22 @@ def pct_of_parent(mv, spark, measure, levels: Sequence, where=None) -> DataFrame
 
 
 def hierarchy_rollup(mv, spark, levels: Sequence, measures: Sequence, where=None) -> DataFrame:
-    """Subtotals for every level of a hierarchy (A25); `level` 0 is the grand total."""
+    """Subtotals for every level of a hierarchy (A25); `level` 0 is the grand total.
+
+    The facts are first reduced to cells (with counted values as one more dimension), so that rows
+    are multiplied by the number of levels only after that.
+    """
     grain = [mv.dim(x) for x in levels]
     names = [d.name for d in grain]
     resolved = tuple(mv.measure(m) for m in measures)
     leaves = C.leaves_of(resolved)
-    conds = C.conditions(where)
-    rows = C.project(mv, spark, leaves, C.with_filtered_dims(mv, grain, conds))
-    for cond in conds:
-        rows = rows.where(C.as_column(cond))
+    additive = tuple(leaf for leaf in leaves if leaf.mergeable)
+    distinct = leaves[len(additive) :]
+    keys = [Dimension(f"__key{i}", leaf.input()) for i, leaf in enumerate(distinct)]
+    cells = C.build(mv, spark, resolved, [*grain, *keys], where, leaves=additive)
     depth = F.lit(len(names)) - F.bit_count(F.grouping_id())
-    df = rows.rollup(*columns(names)).agg(depth.cast("int").alias("level"), *C.part_columns(leaves))
+    counted = [F.count_distinct(f"__key{i}").alias(f"__{len(additive) + i}v") for i in range(len(distinct))]
+    df = cells.df.rollup(*columns(names)).agg(depth.cast("int").alias("level"), *cells.merged(), *counted)
     return C.Cells(df, tuple(names), leaves, resolved).values(keep=["level"])
 
 

@@ -77,14 +77,17 @@ class Cells:
             raise ValueError(f"{leaf.sql()} cannot be merged from finer groups")
         return {name: leaf.merge(p, F.col(name)) for p, name in self.part_names(i).items()}
 
+    def merged(self) -> list[Column]:
+        """Aggregations that merge all parts."""
+        return [c.alias(n) for i in range(len(self.leaves)) for n, c in self._merged(i).items()]
+
     @property
     def mergeable(self) -> bool:
         return all(leaf.mergeable for leaf in self.leaves)
 
     def regroup(self, dims: Sequence[str], extra: Sequence[Column] = ()) -> Cells:
         """Merge to a coarser grain."""
-        cols = [c.alias(n) for i in range(len(self.leaves)) for n, c in self._merged(i).items()]
-        cols += extra
+        cols = [*self.merged(), *extra]
         grouped = [F.col(f"`{d}`") for d in dims]
         df = self.df.groupBy(*grouped).agg(*cols) if cols else self.df.select(*grouped).distinct()
         return replace(self, df=df, dims=tuple(dims))

@@ -118,7 +118,7 @@ def qualifiers(text: str) -> set[str]:
 
 
 def hierarchy(name: str, levels: Sequence[tuple[str, str]]) -> list[Dimension]:
-    """One dimension per level; all but the last are periods of (or parents to) the last."""
+    """One dimension per level (Q8); `shares.hierarchy_rollup` gives their subtotals."""
     return [Dimension(level, expr, comment=f"{name} level {i + 1}") for i, (level, expr) in enumerate(levels)]
 
 

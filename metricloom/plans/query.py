@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from metricloom.functions.time import DAYS, MONTHS, interval, shift
 from metricloom.plans import cells as C
+from metricloom.plans import settle as S
 from metricloom.plans.model import (
     Condition,
     Dimension,
@@ -207,22 +208,69 @@ def over_distinct(mv, spark, measures, distinct, grain, early, relationship, key
 def over_frame(cells: C.Cells, keys: Sequence[str], order: str, w: Window) -> C.Cells:
     """Cells with each mergeable part merged over the frame."""
     leaves = [i for i, leaf in enumerate(cells.leaves) if leaf.mergeable]
+    by_day = dict(cells.df.dtypes)[order] == "date"
     if w.normal_range == "cumulative":
-        return cells.over(frame_text(keys, order, "UNBOUNDED PRECEDING AND CURRENT ROW"), leaves)
+        return _cumulative(cells, keys, order, leaves, by_day)
     if w.normal_range == "all":
-        return cells.over(frame_text(keys, order, "UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"), leaves)
+        names = [n for i in leaves for n in cells.part_names(i).values()]
+        cells = cells.settled()
+        plain = C.replace(cells, leaves=tuple(cells.leaves[i] for i in leaves))
+        return C.replace(cells, df=C.join_on(cells.df.drop(*names), plain.regroup(keys).df, keys))
     side, n, unit = w.span
     if unit in MONTHS:
         return _over_months(cells, keys, order, side, n * MONTHS[unit], w.include_anchor, leaves)
+    if not by_day:
+        return _over_hours(cells, keys, order, side, n * 24 * DAYS.get(unit, 0) or n, w.include_anchor, leaves)
     word = "PRECEDING" if side == "trailing" else "FOLLOWING"
-    step = "hour" if unit == "hour" else "day"
-    width = n * DAYS.get(unit, 1)
-    near = "CURRENT ROW" if w.include_anchor else f"{interval(1, step)} {word}"
-    far = f"{interval(width - 1 if w.include_anchor else width, step)} {word}"
+    width = n * DAYS[unit]
+    near = "CURRENT ROW" if w.include_anchor else f"{interval(1, 'day')} {word}"
+    far = f"{interval(width - 1 if w.include_anchor else width, 'day')} {word}"
     bounds = f"{far} AND {near}" if side == "trailing" else f"{near} AND {far}"
     return cells.over(frame_text(keys, order, bounds), leaves)
 
 
+def _cumulative(cells: C.Cells, keys: Sequence[str], order: str, leaves: list[int], by_day: bool) -> C.Cells:
+    """Running values: one window per group over days, whose number the calendar bounds.
+
+    Other order columns, such as raw timestamps, may have any number of members per group. Their
+    cells are settled and counted, and beyond the size of one window the work is range-partitioned.
+    """
+    frame = frame_text(keys, order, "UNBOUNDED PRECEDING AND CURRENT ROW")
+    if by_day:
+        return cells.over(frame, leaves)
+    cells = cells.settled()
+    if S.within(cells.df, S.WINDOW_ROWS):
+        return cells.over(frame, leaves)
+    fns = {"s": "sum", "n": "sum", "lo": "min", "hi": "max"}
+    parts = {n: (fns[p], n) for i in leaves for p, n in cells.part_names(i).items()}
+    return C.replace(cells, df=S.running(cells.df, list(keys), order, parts))
+
+
+def _over_hours(
+    cells: C.Cells, keys: Sequence[str], order: str, side: str, hours: int, anchor: bool, leaves: list[int]
+) -> C.Cells:
+    """Frames of hours over timestamps: the N hours before (after) the anchor, or up to it.
+
+    Time is cut into slices at least as long as the frame; a row also enters the neighbouring slice
+    if frames there reach it. A group of any size is thus spread over its slices.
+    """
+    micros = 1_000_000
+    width = max(hours, 24) * 3600 * micros
+    at = F.unix_micros(F.col(f"`{order}`").cast("timestamp"))
+    reach = hours * 3600 * micros
+    slice_of = lambda c: F.floor(c / F.lit(width)).cast("bigint")
+    own = slice_of(at)
+    span = F.sequence(own, slice_of(at + reach)) if side == "trailing" else F.sequence(slice_of(at - reach), own)
+    spread = cells.df.withColumn("__own", own).withColumn("__slice", F.explode(span))
+    word = "PRECEDING" if side == "trailing" else "FOLLOWING"
+    whole, nearly = f"INTERVAL '{hours * 3600}' SECOND", f"INTERVAL '{hours * 3600 - 1}.999999' SECOND"
+    near = "CURRENT ROW" if anchor else f"INTERVAL '0.000001' SECOND {word}"
+    far = f"{nearly if anchor else whole} {word}"
+    bounds = f"{far} AND {near}" if side == "trailing" else f"{near} AND {far}"
+    out = C.replace(cells, df=spread).over(frame_text([*keys, "__slice"], order, bounds), leaves)
+    return C.replace(out, df=out.df.where("__own = __slice").drop("__own", "__slice"))
+
+
 def _over_months(
     cells: C.Cells, keys: Sequence[str], order: str, side: str, months: int, anchor: bool, leaves: list[int]
 ) -> C.Cells:

@@ -37,39 +37,51 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def prefix_sums(
+def running(
     df: DataFrame,
     group: list[str],
     order: str,
-    sums: dict[str, str],
+    parts: dict[str, tuple[str, str]],
     descending: bool = False,
 ) -> DataFrame:
-    """Inclusive running sums over rows that are too many for one task.
+    """Running aggregates over rows that are too many for one task.
 
-    `df` has one row per (group, order) value. Rows are range-partitioned by (group, order), each
-    range is summed, the sums of earlier ranges of a group become its offset, and the running sum
-    inside a range is local. A group of any size is spread over many tasks; what a window sees in
-    one partition is a range, and at most one row per range when offsets are added up.
+    `df` has one row per (group, order) value; `parts` maps output names to (sum, min or max, input
+    column) and may overwrite inputs. Rows are range-partitioned by (group, order), each range is
+    aggregated, earlier ranges of a group give its offset, and the running value inside a range is
+    local. A group of any size is spread over many tasks; what a window sees in one partition is a
+    range, and at most one row per range when offsets are made.
     """
-    by = F.col(order).desc() if descending else F.col(order).asc()
+    functions = {"sum": F.sum, "min": F.min, "max": F.max}
+    by = F.col(f"`{order}`").desc() if descending else F.col(f"`{order}`").asc()
     key = [F.col(f"`{g}`") for g in group]
     ranged = settle(df.repartitionByRange(*key, by).withColumn("__range", F.spark_partition_id()))
-    totals = ranged.groupBy(*key, "__range").agg(*[F.sum(v).alias(f"__t_{k}") for k, v in sums.items()])
+    totals = ranged.groupBy(*key, "__range").agg(*[functions[fn](c).alias(f"__t_{k}") for k, (fn, c) in parts.items()])
     before = W.partitionBy(*key).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
         *[c.alias(f"__g_{g}") for c, g in zip(key, group)],
         F.col("__range").alias("__r"),
-        *[F.coalesce(F.sum(f"__t_{k}").over(before), F.lit(0)).alias(f"__o_{k}") for k in sums],
+        *[functions[fn](f"__t_{k}").over(before).alias(f"__o_{k}") for k, (fn, _) in parts.items()],
     )
     cond = F.col("__range") == F.col("__r")
     for g in group:
         cond = cond & F.col(f"`{g}`").eqNullSafe(F.col(f"`__g_{g}`"))
     local = W.partitionBy(*key, "__range").orderBy(by).rowsBetween(W.unboundedPreceding, 0)
     joined = ranged.join(offsets, cond, "left")
-    return joined.select(
-        *[F.col(f"`{c}`") for c in df.columns],
-        *[(F.col(f"__o_{k}") + F.sum(v).over(local)).alias(k) for k, v in sums.items()],
-    )
+
+    def value(k: str, fn: str, c: str) -> Column:
+        before_range, inside = F.col(f"__o_{k}"), functions[fn](c).over(local)
+        if fn == "sum":
+            return F.coalesce(before_range + inside, before_range, inside)
+        return F.least(before_range, inside) if fn == "min" else F.greatest(before_range, inside)
+
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in parts]
+    return joined.select(*kept, *[value(k, fn, c).alias(k) for k, (fn, c) in parts.items()])
+
+
+def prefix_sums(df: DataFrame, group: list[str], order: str, sums: dict[str, str], descending: bool = False):
+    """Inclusive running sums, see `running`."""
+    return running(df, group, order, {k: ("sum", c) for k, c in sums.items()}, descending)
 
 
 def hot_keys(df: DataFrame, keys: list[str], share: float = 0.001) -> DataFrame:
@@ -84,6 +96,15 @@ def hot_keys(df: DataFrame, keys: list[str], share: float = 0.001) -> DataFrame:
     )
 
 
+# Up to this many rows one sorted window is used; beyond it running values are range-partitioned.
+WINDOW_ROWS = 1_000_000
+
+
+def within(df: DataFrame, rows: int) -> bool:
+    """A settled frame has at most so many rows."""
+    return df.limit(rows + 1).count() <= rows
+
+
 # Up to this many rows no single key can overload a task, and a plain join is used.
 PLAIN_ROWS = 1_000_000
 
@@ -102,7 +123,7 @@ def salted_join(
     copied once per piece; other keys stay as they are. `left` should be settled, it is read for
     the counts as well. `how` is inner or left.
     """
-    if left.limit(plain_rows + 1).count() <= plain_rows:
+    if within(left, plain_rows):
         return left.join(right, keys, how)
     hot = F.broadcast(hot_keys(left, keys, share))
     hashable = [f.name for f in left.schema.fields if "map<" not in f.dataType.simpleString()]

@@ -801,6 +801,47 @@ def trailing_month_anchor(spark, sf):
     return timeline.trailing(X.orders_view(spark, sf), spark, "total", "day", 1, "month", include_anchor=True)
 
 
+def _events(spark, sf) -> MetricView:
+    cents = "CAST(value AS DECIMAL(12,2))"
+    return MetricView(
+        "mv_events", f"{sf}/events.parquet", (),
+        (Dimension("kind", "event_type"), Dimension("at", "ts"), Dimension("hour", "date_trunc('HOUR', ts)")),
+        (Measure("value", A.sum_(cents)), Measure("events", A.count_rows()), Measure("top", A.max_(cents))),
+    )
+
+
+def _hours(name: str, bounds: str, range_: str, anchor: bool):
+    @query(
+        name,
+        f"""WITH e AS (SELECT event_type AS kind, ts, CAST(value AS DECIMAL(12,2)) AS v FROM events)
+        SELECT kind, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at, {dbl('SUM(v) OVER w')} AS value, COUNT(*) OVER w AS events, {dbl('MAX(v) OVER w')} AS top
+        FROM e WINDOW w AS (PARTITION BY kind ORDER BY ts RANGE BETWEEN {bounds})""",
+    )
+    def run(spark, sf):
+        """Hours over raw timestamps; a busy group is cut into slices of time."""
+        mv = _events(spark, sf)
+        w = (Window("at", range_, include_anchor=anchor),)
+        df = mv.query(spark, [Measure(m.name, m.expr, window=w) for m in mv.measures], ["kind", "at"])
+        return df.withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+_hours("q_trailing_hours", "INTERVAL 3 HOUR PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING", "trailing 3 hours", False)
+_hours("q_leading_hours", "CURRENT ROW AND INTERVAL 107999999999 MICROSECOND FOLLOWING", "leading 30 hour", True)
+
+
+@query(
+    "q_running_total_timestamps",
+    f"""WITH e AS (SELECT event_type AS kind, ts, CAST(value AS DECIMAL(12,2)) AS v FROM events)
+    SELECT kind, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at, {dbl('SUM(v) OVER w')} AS value, COUNT(*) OVER w AS events, {dbl('MAX(v) OVER w')} AS top
+    FROM e WINDOW w AS (PARTITION BY kind ORDER BY ts)""",
+)
+def running_total_timestamps(spark, sf):
+    mv = _events(spark, sf)
+    w = (Window("at", "cumulative"),)
+    df = mv.query(spark, [Measure(m.name, m.expr, window=w) for m in mv.measures], ["kind", "at"])
+    return df.withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
 @query(
     "q_rolling_month_avg",
     f"""WITH {MONTHLY} SELECT month AS day, {dbl('v')} AS total,

@@ -57,3 +57,27 @@ def test_shared_dir_is_the_sessions(spark):
 def test_top_n_is_limited_before_the_shuffle(spark, star):
     plan = ranking.topn_sum(star, spark, "Total Sales", "Customer Name", 5, ["Region"])._jdf.queryExecution().toString()
     assert plan.count("WindowGroupLimit") >= 2
+
+
+@pytest.mark.parametrize("group", [[], ["k"]])
+def test_running_extremes_and_missing_values(skewed, group):
+    v = F.when(F.col("id") % 4 != 0, F.col("id") * 7919 % 1000)
+    df = skewed.select(*group, "id", v.alias("v"))
+    parts = {"s": ("sum", "v"), "lo": ("min", "v"), "hi": ("max", "v")}
+    got = S.running(df, group, "id", parts).select(*group, "id", *parts)
+    w = W.partitionBy(*group).orderBy("id").rowsBetween(W.unboundedPreceding, 0)
+    want = df.select(*group, "id", *[getattr(F, fn)("v").over(w).alias(k) for k, (fn, _) in parts.items()])
+    assert rows(got) == rows(want)
+
+
+def test_running_total_beyond_one_window(spark, skewed, monkeypatch):
+    from metricloom import Dimension, Measure, MetricView, Window
+    from metricloom.functions import aggs as A
+
+    df = skewed.select("k", F.timestamp_seconds(F.col("id") * 61).alias("ts"), "v")
+    w = (Window("ts", "cumulative"),)
+    ms = [Measure(f"m{i}", e, window=w) for i, e in enumerate([A.sum_("v"), A.avg_("v"), A.min_("v"), A.max_("v")])]
+    mv = MetricView("m", df, (), (Dimension("k", "k"), Dimension("ts", "ts")), tuple(ms))
+    plain = rows(mv.query(spark, ms, ["k", "ts"]))
+    monkeypatch.setattr(S, "WINDOW_ROWS", 0)
+    assert rows(mv.query(spark, ms, ["k", "ts"])) == plain
