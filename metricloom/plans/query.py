@@ -177,34 +177,84 @@ def frame_text(keys: Sequence[str], order: str, bounds: str) -> str:
 
 
 def over_distinct(mv, spark, measures, distinct, grain, early, relationship, keys, w: Window) -> C.Cells:
-    """Cells whose distinct counts are already those of the frames; the other parts are still plain.
-
-    With one counted expression the facts are read once, as cells that have its values as one more
-    dimension.
-    """
+    """Cells whose distinct counts are already those of the frames; the other parts are still plain."""
     leaves = C.leaves_of(measures)
     additive = tuple(leaf for leaf in leaves if leaf.mergeable)
-    names = [d.name for d in grain]
-    frames = []
-    if len(distinct) == 1:
-        keyed = [*grain, Dimension("__key", distinct[0].input())]
-        fine = C.build(mv, spark, measures, keyed, early, relationship, leaves=additive).settled()
-        cells = fine.regroup(names)
-        frames.append(fine.df.select(*columns([*keys, w.order]), "__key"))
-    else:
-        cells = C.build(mv, spark, measures, grain, early, relationship, leaves=additive).settled()
-        for leaf in distinct:
-            keyed = [*grain, Dimension("__key", leaf.input())]
-            frames.append(C.build(mv, spark, [], keyed, early, relationship).df.select(*columns([*keys, w.order]), "__key"))
+    keyed = [[*grain, Dimension("__key", leaf.input())] for leaf in distinct]
+    if len(distinct) == 1 and w.normal_range != "all":
+        fine = C.build(mv, spark, measures, keyed[0], early, relationship, leaves=additive)
+        cells = _count_along(fine, [d.name for d in grain], keys, w)
+        return C.replace(cells, leaves=leaves)
+    cells = C.build(mv, spark, measures, grain, early, relationship, leaves=additive).settled()
     anchors = cells.df.select(*columns([*keys, w.order])).distinct()
     df = cells.df
-    for i, rows in enumerate(frames, start=len(additive)):
-        rows = rows.where("__key IS NOT NULL").distinct()
-        counts = distinct_over(rows, anchors, keys, w.order, w)
+    for i, dims in enumerate(keyed, start=len(additive)):
+        rows = C.build(mv, spark, [], dims, early, relationship).df.select(*columns([*keys, w.order]), "__key")
+        counts = distinct_over(rows.where("__key IS NOT NULL").distinct(), anchors, keys, w.order, w)
         df = C.join_on(df, counts.withColumnRenamed("__count", f"__{i}v"), [*keys, w.order])
     return C.replace(cells, df=df, leaves=leaves)
 
 
+def _count_along(fine: C.Cells, names: Sequence[str], keys: Sequence[str], w: Window) -> C.Cells:
+    """Cells with the distinct count of `__key` in the frame, from cells per counted value.
+
+    Every row sends its parts to its own date and up to two events to the dates where its value
+    starts and ceases to be in sight. One aggregation per date brings them together, a running sum
+    of the events is the count: one pass over the facts and no join.
+    """
+    order = w.order
+    day = F.col(f"`{order}`")
+    start, end = _run_of(day, W.partitionBy(*columns(keys), F.col("__key")).orderBy(day), w)
+    parts = [n for i in range(len(fine.leaves)) for n in fine.part_names(i).values()]
+    others = [n for n in names if n not in (*keys, order)]
+    marked = fine.df.withColumn("__start", start).withColumn("__end", end)
+    in_sight = F.col("__key").isNotNull() & F.col("__start").isNotNull()
+    carried = [F.col(f"`{n}`") for n in (*parts, *others)]
+    types = dict(fine.df.dtypes)
+
+    def sent(at: Column, delta: int, anchor: bool) -> Column:
+        given = carried if anchor else [F.lit(None).cast(types[n]) for n in (*parts, *others)]
+        named = [c.alias(f"c{i}") for i, c in enumerate(given)]
+        return F.struct(at.alias("__day"), F.lit(delta).alias("__delta"), F.lit(anchor).alias("__anchor"), *named)
+
+    begins = F.when(in_sight & F.coalesce(F.col("__start") <= F.col("__end"), F.lit(True)), F.col("__start"))
+    ceases = F.when(begins.isNotNull(), F.date_add("__end", 1))
+    events = F.array(sent(day, 0, True), sent(begins, 1, False), sent(ceases, -1, False))
+    flat = marked.select(*columns(keys), F.inline(F.filter(events, lambda e: e["__anchor"] | e["__day"].isNotNull())))
+    merged = {n: fn for i in range(len(fine.leaves)) for n, fn in _merge_names(fine, i).items()}
+    daily = flat.groupBy(*columns(keys), "__day").agg(
+        F.sum("__delta").alias("__delta"),
+        F.max("__anchor").alias("__anchor"),
+        *[merged[n](f"c{i}").alias(n) for i, n in enumerate(parts)],
+        *[F.max(f"c{len(parts) + i}").alias(n) for i, n in enumerate(others)],
+    )
+    total = F.sum("__delta").over(W.partitionBy(*columns(keys)).orderBy("__day").rowsBetween(W.unboundedPreceding, 0))
+    df = daily.withColumn(f"__{len(fine.leaves)}v", total).where("__anchor").withColumnRenamed("__day", order)
+    return C.replace(fine, df=df.drop("__delta", "__anchor"), dims=tuple(names))
+
+
+def _merge_names(cells: C.Cells, i: int) -> dict:
+    leaf = cells.leaves[i]
+    return {n: (lambda c, p=p: leaf.merge(p, F.col(c))) for p, n in cells.part_names(i).items()}
+
+
+def _run_of(day: Column, by_key, w: Window) -> tuple[Column, Column]:
+    """First and last anchor that see an occurrence of a value and no nearer one.
+
+    The end is NULL where the value stays in sight for good.
+    """
+    if w.normal_range == "cumulative":
+        return F.when(F.lag(day).over(by_key).isNull(), day), F.lit(None).cast("date")
+    side, n, unit = w.span
+    if unit == "hour":
+        raise ValueError("distinct counts support windows of days and longer")
+    if side == "trailing":
+        seen = F.date_sub(day, 1) if w.include_anchor else day
+        return F.date_add(seen, 1), F.least(_last_anchor(seen, n, unit), F.lead(seen).over(by_key))
+    seen = F.date_add(day, 1) if w.include_anchor else day
+    return F.greatest(_first_anchor(seen, n, unit), F.lag(seen).over(by_key)), F.date_sub(seen, 1)
+
+
 def over_frame(cells: C.Cells, keys: Sequence[str], order: str, w: Window) -> C.Cells:
     """Cells with each mergeable part merged over the frame."""
     leaves = [i for i, leaf in enumerate(cells.leaves) if leaf.mergeable]
@@ -313,22 +363,9 @@ def distinct_over(
     if w.normal_range == "all":
         totals = rows.groupBy(*part).agg(F.count_distinct("__key").alias("__count"))
         return C.join_on(anchors, totals, list(keys))
-    if w.normal_range == "cumulative":
-        first = rows.groupBy(*part, F.col("__key")).agg(F.min(d).alias("__day"))
-        return running_count(first.withColumn("__delta", F.lit(1)), anchors, keys, order)
-    side, n, unit = w.span
-    if unit == "hour":
-        raise ValueError("distinct counts support windows of days and longer")
-    by_key = W.partitionBy(*part, F.col("__key")).orderBy(d)
-    if side == "trailing":
-        seen = F.date_sub(d, 1) if w.include_anchor else d
-        start = F.date_add(seen, 1)
-        end = F.least(_last_anchor(seen, n, unit), F.lead(seen).over(by_key))
-    else:
-        seen = F.date_add(d, 1) if w.include_anchor else d
-        start = F.greatest(_first_anchor(seen, n, unit), F.lag(seen).over(by_key))
-        end = F.date_sub(seen, 1)
-    runs = rows.select(*part, start.alias("__start"), end.alias("__end")).where("__start <= __end")
+    start, end = _run_of(d, W.partitionBy(*part, F.col("__key")).orderBy(d), w)
+    runs = rows.select(*part, start.alias("__start"), end.alias("__end"))
+    runs = runs.where("__start IS NOT NULL AND (__end IS NULL OR __start <= __end)")
     events = runs.select(
         *part,
         F.inline(
@@ -338,7 +375,7 @@ def distinct_over(
             )
         ),
     )
-    return running_count(events, anchors, keys, order)
+    return running_count(events.where("__day IS NOT NULL"), anchors, keys, order)
 
 
 def _last_anchor(d: Column, n: int, unit: str) -> Column:
