@@ -32,6 +32,11 @@ def distinct_count(col: str) -> str:
     return f"COUNT(DISTINCT {col})"
 
 
+def approx_distinct(col: str) -> str:
+    """Approximate distinct count, for plain queries; windows and subtotals count exactly."""
+    return f"APPROX_COUNT_DISTINCT({col})"
+
+
 def avg_(col: str) -> str:
     return f"AVG({col})"
 
@@ -108,7 +113,7 @@ def let(variables: Mapping[str, str], expr: str) -> str:
 
 # ---------------------------------------------------------------- aggregate calls in text
 
-_CALL = re.compile(r"\b(SUM|COUNT|AVG|MIN|MAX)\s*\(", re.IGNORECASE)
+_CALL = re.compile(r"\b(SUM|COUNT|AVG|MIN|MAX|APPROX_COUNT_DISTINCT)\s*\(", re.IGNORECASE)
 _DISTINCT = re.compile(r"\s*DISTINCT\b", re.IGNORECASE)
 _FILTER = re.compile(r"\s*FILTER\s*\(\s*WHERE\b", re.IGNORECASE)
 _QUOTED = re.compile(r"'(?:[^']|'')*'|`[^`]*`")
@@ -138,7 +143,7 @@ class Agg:
 
     @property
     def mergeable(self) -> bool:
-        return not self.distinct
+        return not self.distinct and self.fn != "APPROX_COUNT_DISTINCT"
 
     def partials(self, col: Column) -> dict[str, Column]:
         """Values kept at a fine grain, from the input column."""
@@ -155,7 +160,7 @@ class Agg:
         """Value of the call from its merged parts."""
         if self.fn == "AVG":
             return F.try_divide(cols["s"].cast("double"), cols["n"])
-        if self.fn == "COUNT":
+        if self.fn == "COUNT" or not self.mergeable:
             return F.coalesce(next(iter(cols.values())), F.lit(0))
         return next(iter(cols.values()))
 
@@ -163,6 +168,8 @@ class Agg:
         """The call evaluated in a single aggregation."""
         if self.fn == "COUNT":
             return F.count_distinct(col) if self.distinct else F.count(col)
+        if self.fn == "APPROX_COUNT_DISTINCT":
+            return F.approx_count_distinct(col)
         if self.distinct:
             raise ValueError(f"DISTINCT is supported for COUNT only: {self.sql()}")
         if self.fn == "AVG":

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from metricloom.functions.text import parse_answer_json, split_pair, view_name
+from metricloom.functions.text import normalize_range, parse_answer_json, split_pair, view_name
 from metricloom.operators.rules import guard_over
 from metricloom.plans import settle as S
 
@@ -19,6 +19,36 @@ def with_batch(df: DataFrame, batch_id: str) -> DataFrame:
     )
 
 
+def _tidy_windows(window: Column, dimensions: Column) -> Column:
+    """Window entries with normal ranges and with orders that name one of the measure's dimensions.
+
+    An order is looked for by name, then by expression, then by containment (longest name first).
+    """
+    dims = F.transform(dimensions, split_pair)
+
+    def order(text: Column) -> Column:
+        low = F.lower(text)
+        near = F.array_sort(
+            F.filter(dims, lambda d: F.lower(d["name"]).contains(low) | low.contains(F.lower(d["name"]))),
+            lambda a, b: F.when(F.length(a["name"]) != F.length(b["name"]), F.length(b["name"]) - F.length(a["name"]))
+            .when(a["name"] < b["name"], -1)
+            .when(a["name"] > b["name"], 1)
+            .otherwise(0),
+        )
+        by_expr = F.get(F.filter(dims, lambda d: d["expr"] == text), F.lit(0))["name"]
+        by_name = F.when(F.exists(dims, lambda d: d["name"] == text), text)
+        return F.coalesce(by_name, by_expr, F.get(near, F.lit(0))["name"], text)
+
+    return F.transform(
+        window,
+        lambda w: F.struct(
+            order(w["order"]).alias("order"),
+            normalize_range(w["range"]).alias("range"),
+            F.coalesce(w["semiadditive"], F.lit("last")).alias("semiadditive"),
+        ),
+    )
+
+
 def parse_answers(answered: DataFrame) -> DataFrame:
     """Typed answer columns from the text column `ai_result` (B7); broken texts become warnings."""
     df = answered.withColumn("__a", parse_answer_json(F.col("ai_result")))
@@ -30,7 +60,7 @@ def parse_answers(answered: DataFrame) -> DataFrame:
         {
             "expr": F.col("__a.expr"),
             "needs_window": F.coalesce("__a.needs_window", F.lit(False)),
-            "window": F.col("__a.window"),
+            "window": _tidy_windows(F.col("__a.window"), F.coalesce("__a.dimensions_needed", empty)),
             "warning_type": F.when(failed, "translation_error").otherwise(F.col("__a.warning_type")),
             "warning_message": F.when(
                 failed, F.concat(F.lit("answer cannot be read: "), shown)
@@ -89,6 +119,11 @@ def view_stats(translated: DataFrame) -> DataFrame:
     return df.withColumn("status", overall)
 
 
+def batch_report(translated: DataFrame) -> dict[str, DataFrame]:
+    """The three reports of a batch."""
+    return {"views": view_stats(translated), "measures": measure_details(translated), "warnings": warnings(translated)}
+
+
 def dedupe_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """First row per key in an order (U3), by aggregation, so that a frequent key is merged early."""
     rest = [c for c in df.columns if c not in keys]

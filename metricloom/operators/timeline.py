@@ -108,27 +108,32 @@ def shifted(values: DataFrame, order: str, n: int, unit: str, measures: Sequence
     keys = [c for c in values.columns if c not in (*measures, order)]
     day = F.col(f"`{order}`")
     back = shift(day, -n, unit)
-    lookers = F.filter(
-        F.sequence(back, F.date_add(back, 3 if unit in MONTHS else 0)), lambda a: shift(a, n, unit) == day
+    near = F.sequence(back, F.date_add(back, 3 if unit in MONTHS else 0))
+    lookers = F.coalesce(F.filter(near, lambda a: shift(a, n, unit) == day), F.array().cast("array<date>"))
+    types = dict(values.dtypes)
+    now, then = ([f"__{side}{i}" for i in range(len(measures))] for side in ("now", "then"))
+
+    def sent(at: Column, own: bool) -> Column:
+        """A row for a date, with the values in the place of its own or of the looked-up ones."""
+        given = [F.col(f"`{m}`") for m in measures]
+        none = [F.lit(None).cast(types[m]) for m in measures]
+        first, second = (given, none) if own else (none, given)
+        named = [c.alias(n) for c, n in zip([*first, *second], [*now, *then])]
+        return F.struct(at.alias("__day"), F.lit(own).alias("__own"), *named)
+
+    both = values.select(
+        *columns(keys), F.inline(F.concat(F.array(sent(day, True)), F.transform(lookers, lambda a: sent(a, False))))
     )
-    pack = F.struct(*columns(measures))
-    none = F.lit(None).cast(values.select(pack.alias("p")).schema["p"].dataType)
-    own = F.array(F.struct(day.alias("__day"), pack.alias("__now"), none.alias("__then")))
-    sent = F.transform(lookers, lambda a: F.struct(a.alias("__day"), none.alias("__now"), pack.alias("__then")))
-    both = values.select(*columns(keys), F.inline(F.concat(own, F.coalesce(sent, F.array().cast(_array_of(values, own))))))
     met = both.groupBy(*columns(keys), F.col("__day").alias(order)).agg(
-        F.max("__now").alias("__now"), F.max("__then").alias("__then")
+        F.max("__own").alias("__own"), *[F.max(c).alias(c) for c in (*now, *then)]
     )
-    return met.where("__now IS NOT NULL").select(
-        *[F.col(f"`{c}`") if c not in measures else F.col("__now")[c].alias(c) for c in values.columns],
-        *[F.col("__then")[m].alias(f"{m}{suffix}") for m in measures],
+    back_to = dict(zip(measures, now))
+    return met.where("__own").select(
+        *[F.col(f"`{back_to.get(c, c)}`").alias(c) for c in values.columns],
+        *[F.col(t).alias(f"{m}{suffix}") for m, t in zip(measures, then)],
     )
 
 
-def _array_of(df: DataFrame, c: Column):
-    return df.select(c.alias("a")).schema["a"].dataType
-
-
 def date_shift(mv, spark, measure, d, n, unit, grain=None, dims=(), where=None, suffix="_prior") -> DataFrame:
     """Value beside the value `n` units away (T8). The grain defaults to the shifted unit."""
     early, late = _split(mv, d, where)

@@ -67,7 +67,7 @@ class Cells:
 
     def part_names(self, i: int) -> dict[str, str]:
         leaf = self.leaves[i]
-        if leaf.distinct:
+        if not leaf.mergeable:
             return {"v": f"__{i}v"}
         return {p: f"__{i}{p}" for p in leaf.partials(F.lit(None))}
 
@@ -170,7 +170,7 @@ def part_columns(leaves: Sequence[Agg]) -> list[Column]:
     cols = []
     for i, leaf in enumerate(leaves):
         col = F.col(f"__a{i}")
-        parts = {"v": leaf.direct(col)} if leaf.distinct else leaf.partials(col)
+        parts = leaf.partials(col) if leaf.mergeable else {"v": leaf.direct(col)}
         cols += [c.alias(f"__{i}{p}") for p, c in parts.items()]
     return cols
 

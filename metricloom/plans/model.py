@@ -220,6 +220,52 @@ class MetricView:
 
         return run(self, spark, measures, dims, where, limit, use_relationship)
 
+    # ------------------------------------------------------------ definition documents
+
+    def definition(self) -> dict:
+        """The view as a document of plain values (keys as in rendered YAML)."""
+        comments = self.version != "0.1"
+
+        def entry(**fields) -> dict:
+            return {k: v for k, v in fields.items() if v and (comments or k != "comment")}
+
+        doc = entry(version=self.version, comment=self.comment, source=self.source, filter=self.filter)
+        doc["joins"] = [entry(name=j.name, source=j.source, on=j.on, using=list(j.using)) for j in self.joins]
+        doc["dimensions"] = [entry(name=d.name, expr=d.expr, comment=d.comment) for d in self.dimensions]
+        doc["measures"] = [
+            entry(
+                name=m.name,
+                expr=m.expr,
+                comment=m.comment,
+                window=[{"order": w.order, "range": w.normal_range, "semiadditive": w.semiadditive} for w in m.window],
+            )
+            for m in self.measures
+        ]
+        return {k: v for k, v in doc.items() if v}
+
+    @classmethod
+    def from_definition(cls, name: str, doc: Mapping, tables: Mapping[str, Source] | None = None) -> MetricView:
+        """View of a definition document; `tables` may stand in for named tables."""
+        place = lambda t: (tables or {}).get(t, t)
+        joins = [
+            Join(j["name"], place(j["source"]), j.get("on"), tuple(j.get("using") or ()))
+            for j in doc.get("joins") or ()
+        ]
+        measures = [
+            Measure(
+                m["name"],
+                m["expr"],
+                m.get("comment"),
+                tuple(Window(w["order"], w["range"], w.get("semiadditive") or "last") for w in m.get("window") or ()),
+            )
+            for m in doc["measures"]
+        ]
+        dims = unique(Dimension(d["name"], d["expr"], d.get("comment")) for d in doc.get("dimensions") or ())
+        return cls(
+            name, place(doc["source"]), tuple(joins), dims, tuple(measures), doc.get("filter"), doc.get("comment"),
+            doc.get("version"),
+        )
+
     # ------------------------------------------------------------ construction from models
 
     @classmethod

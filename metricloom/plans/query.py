@@ -150,7 +150,7 @@ def windowed(
     keys = list(dict.fromkeys(d.name for d in (*entity, *currents)))
     names = [d.name for d in grain]
 
-    distinct = [leaf for leaf in C.leaves_of(measures) if leaf.distinct]
+    distinct = [leaf for leaf in C.leaves_of(measures) if not leaf.mergeable]
     if shared:
         cells = shared.only(measures).regroup(names)
     elif main.normal_range != "current" and distinct:

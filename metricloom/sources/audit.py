@@ -6,10 +6,13 @@ state is the newest event per key, so concurrent writers never touch each other'
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from metricloom.functions.text import clip
 from metricloom.operators.assembly import assemble_views, view_stats, warnings
+from metricloom.plans.model import MetricView
 from metricloom.plans.settle import settle
 
 # Columns of the audit table, and how much of a text is kept.
@@ -225,6 +228,22 @@ def publish(definitions: DataFrame, table: str) -> None:
     _register(definitions.withColumn("dropped", F.lit(False)), table)
 
 
+def publish_view(spark: SparkSession, mv: MetricView, table: str) -> None:
+    """Create or replace one declared view; its source and joins must be table names or paths."""
+    row = spark.createDataFrame(
+        [(mv.name, mv.version, json.dumps(mv.definition()))], "view_name string, version string, definition string"
+    )
+    publish(row, table)
+
+
+def load_view(spark: SparkSession, name: str, table: str) -> MetricView:
+    """A published view, ready to be queried."""
+    row = published(spark.table(table).where(F.col("view_name") == name)).first()
+    if row is None:
+        raise KeyError(f"no view {name}")
+    return MetricView.from_definition(name, json.loads(row["definition"]))
+
+
 def drop(spark: SparkSession, name: str, table: str) -> None:
     gone = spark.createDataFrame([(name, None, None, True)], "view_name string, version string, definition string, dropped boolean")
     _register(gone, table)

@@ -46,3 +46,26 @@ def test_registry(spark):
     audit.publish(views.where("view_name = 'a'").withColumn("definition", F.lit("new")), "registry_t")
     audit.drop(spark, "b", "registry_t")
     assert rows(audit.published(spark.table("registry_t")).select("view_name", "definition")) == [("a", "new")]
+
+
+def test_declared_view_round_trip(spark, star):
+    from metricloom import Dimension, Join, Measure, MetricView, Window
+
+    star.source.write.mode("overwrite").saveAsTable("fact_sales_t")
+    star.joins[2].source.write.mode("overwrite").saveAsTable("dim_date_t")
+    mv = MetricView(
+        "mv_round", "fact_sales_t", (Join("calendar", "dim_date_t", "source.date_key = calendar.date"),),
+        (Dimension("Date", "calendar.date", "day"), Dimension("Year", "calendar.year")),
+        (Measure("Total", "SUM(amount)", "all"), Measure("YTD", "SUM(amount)", window=(Window("Date", "cumulative"), Window("Year", "current")))),
+        filter="status = 'Active'", comment="sales",
+    )
+    assert "comment" not in str(mv.definition())
+    audit.publish_view(spark, mv, "registry_t")
+    again = audit.load_view(spark, "mv_round", "registry_t")
+    assert rows(again.query(spark, ["Total", "YTD"], ["Year"])) == rows(mv.query(spark, ["Total", "YTD"], ["Year"]))
+    audit.drop(spark, "mv_round", "registry_t")
+    try:
+        audit.load_view(spark, "mv_round", "registry_t")
+        raise AssertionError("dropped views must be gone")
+    except KeyError:
+        pass

@@ -283,3 +283,62 @@ def test_compare_without_keys_and_with_an_empty_side(spark):
     assert validate.compare_frames(one, one, [], ["v"]).first().passed
     got = validate.compare_frames(one, one.where("v > 5"), [], ["v"]).collect()
     assert [(r.passed, r.error) for r in got] == [(False, "direct SQL has no row for this group")]
+
+
+# ---------------------------------------------------------------- stored answers
+
+
+def test_answer_windows_are_tidied(spark):
+    answer = (
+        '{"expr": "SUM(amount)", "needs_window": true, "window": [{"order": "calendar.date", "range": "trailing_3_months"},'
+        ' {"order": "year_dim", "range": "current", "semiadditive": "first"}, {"order": "Nothing", "range": " all "}],'
+        ' "dimensions_needed": ["Date:calendar.date", "Year:calendar.year", "Yea:y"], "joins_needed": []}'
+    )
+    st = staging(spark, [("A", "x")]).withColumn("ai_result", F.lit(answer))
+    r = assembly.parse_answers(st).first()
+    assert [tuple(w) for w in r.window] == [
+        ("Date", "trailing 3 month", "last"), ("Year", "current", "first"), ("Nothing", "all", "last")
+    ]
+
+
+def test_reports(spark):
+    st = staging(spark, [("A", "x"), ("B", "y"), ("C", "z"), ("D", "w")])
+    answers = {"A": '{"expr": "SUM(a)"}', "B": '{"expr": "SUM(b)", "warning_type": "time_intelligence", "warning_message": "m"}',
+               "C": '{"expr": null, "warning_type": "unsupported_dax"}', "D": "no"}
+    text = F.create_map(*[F.lit(x) for kv in answers.items() for x in kv])[F.col("measure_name")]
+    report = assembly.batch_report(assembly.parse_answers(st.withColumn("ai_result", text)))
+    assert rows(report["views"]) == [("main.s.fact_sales", 4, 1, 2, 1, "partial")]
+    assert {r.measure_name: r.status for r in report["measures"].collect()} == {"A": "success", "B": "partial", "C": "warning", "D": "failed"}
+    assert {r.measure_name: r.approximation for r in report["warnings"].collect()} == {"B": "SUM(b)", "C": None, "D": None}
+
+
+# ---------------------------------------------------------------- from export to result
+
+
+def test_export_to_result(spark, star, sales, tmp_path):
+    """A cube script and a CSV export, translated, rendered, read back and evaluated on the star."""
+    from metricloom import MetricView
+
+    (tmp_path / "m.csv").write_text(
+        "TableName,MeasureName,Expression,Description\n"
+        "Sales,Total Sales,SUM(Sales[Amount]),x\n"
+        'Sales,Active,"CALCULATE([Total Sales], Sales[Status]=""Active"")",x\n'
+        'Sales,Share,"DIVIDE([Active], [Total Sales], 0)",x\n'
+        'Sales,Best,"MAX(RELATED(DimCustomer[Name]))",x\n'
+        'Sales,YTD Sales,"TOTALYTD([Total Sales], Calendar[Date])",x\n'
+        'Sales,Rank,"RANKX(ALL(Sales), [Total Sales])",x\n'
+    )
+    st = E.read_measure_csv(spark, str(tmp_path), MAPPING)
+    tr = rules.translate_rules(references.resolve_composites(st))
+    text = assembly.render_views(tr).first().yaml
+    tables = {"main.s.fact_sales": star.source, "main.s.dim_customer": star.joins[0].source, "main.s.dim_date": star.joins[2].source}
+    mv = MetricView.from_definition("mv", yaml.safe_load(text), tables)
+    assert [m.name for m in mv.measures] == ["Total Sales", "Active", "Share", "Best", "YTD Sales"]
+    got = mv.query(spark, ["Total Sales", "Active", "Share", "Best"]).first()
+    total, active = sales.amount.sum(), sales[sales.status == "Active"].amount.sum()
+    assert (float(got[0]), float(got[1]), got[3]) == (total, active, "Zeta Group")
+    assert float(got[2]) == pytest.approx(active / total)
+    by_year = {r.year: float(r["YTD Sales"]) for r in mv.query(spark, ["YTD Sales"], ["year"]).collect()}
+    assert by_year == sales.groupby(sales.date_key.dt.year).amount.sum().to_dict()
+    checked = validate.validate_all(mv, spark, [], ["YTD Sales"])
+    assert checked.count() == 4 and checked.where("NOT passed").count() == 0

@@ -139,3 +139,9 @@ def test_answers(spark, text, ok):
     df = spark.createDataFrame([(text,)], "t string")
     got = df.select(TX.parse_answer_json(df.t).alias("a")).first()["a"]
     assert (got is not None and got["expr"] == "SUM(a)") == ok
+
+
+def test_approximate_distinct(spark):
+    df = spark.range(1000).selectExpr("id % 10 AS k", "id % 2 AS g")
+    mv = MetricView("v", df, (), (Dimension("g", "g"),), (Measure("a", A.approx_distinct("k")), Measure("n", "COUNT(1)")))
+    assert sorted(tuple(r) for r in mv.query(spark, ["a", "n"], ["g"]).collect()) == [(0, 5, 500), (1, 5, 500)]

@@ -189,3 +189,31 @@ def test_spans_at_month_ends(spark, side, n, unit, anchor):
     assert [r.m3 for r in got] == [v or 0 for v in distinct]
     mean = brute(days, values, side, n, unit_name, anchor, lambda x: sum(x) / len(x))
     assert [r.m4 for r in got] == pytest.approx(mean)
+
+
+@pytest.mark.parametrize("n,unit", [(-1, "month"), (1, "month"), (-12, "month"), (-1, "quarter"), (5, "day"), (-1, "week")])
+def test_shift_finds_one_row_per_anchor(spark, n, unit):
+    days = [d for i, d in enumerate(pd.date_range("2023-12-20", "2025-03-31")) if i % 7 != 2]
+    value = {d: i for i, d in enumerate(days)}
+    fact = spark.createDataFrame([(d.date(), v) for d, v in value.items()] + [(None, 5)], "d date, v int")
+    mv = MetricView("m", fact, (), (Dimension("d", "d"),), (Measure("s", "SUM(v)"),))
+    got = {r.d: r.s_prior for r in timeline.date_shift(mv, spark, "s", "d", n, unit, grain="day").collect()}
+    step = {"month": pd.DateOffset(months=n), "quarter": pd.DateOffset(months=3 * n), "day": pd.Timedelta(days=n), "week": pd.Timedelta(weeks=n)}[unit]
+    assert got == {None: None} | {d.date(): value.get(d + step) for d in days}
+
+
+def test_two_distinct_counts_and_the_whole_range(spark):
+    fact = spark.createDataFrame([(f"2024-01-{d:02d}", d % 3, d % 4 if d % 5 else None, d % 2) for d in range(1, 25)], "d string, a int, b int, g int")
+    fact = fact.selectExpr("CAST(d AS DATE) AS d", "a", "b", "g")
+    for span, keep in (("trailing 4 day", lambda x, y: 0 < (y - x).days <= 4), ("all", lambda x, y: True), ("cumulative", lambda x, y: x <= y)):
+        w = (Window("d", span),)
+        ms = [Measure(n, e, window=w) for n, e in (("da", "COUNT(DISTINCT a)"), ("db", "COUNT(DISTINCT b)"), ("n", "COUNT(1)"))]
+        mv = MetricView("m", fact, (), (Dimension("d", "d"), Dimension("g", "g")), tuple(ms))
+        data = fact.collect()
+        want = []
+        for y in data:
+            seen = [x for x in data if x.g == y.g and keep(x.d, y.d)]
+            want.append((y.g, y.d, len({x.a for x in seen}), len({x.b for x in seen} - {None}), len(seen)))
+        assert [tuple(r) for r in mv.query(spark, ms, ["g", "d"]).orderBy("g", "d").collect()] == sorted(want)
+        one = mv.query(spark, [ms[1], ms[2]], ["g", "d"]).orderBy("g", "d").collect()
+        assert [(r.db, r.n) for r in one] == [(x[3], x[4]) for x in sorted(want)]
