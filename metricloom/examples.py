@@ -147,11 +147,41 @@ FROM (
 """
 
 
+# Ten cube members per block, in the same way.
+CUBE_SQL = """
+SELECT p_partkey AS k, r, concat('cube_', CAST(b % 7 AS VARCHAR(9))) AS model, concat('C', CAST(p_partkey AS VARCHAR(20))) AS measure_name,
+  CASE r
+    WHEN 0 THEN 'SUM([Measures].[Amount])'
+    WHEN 1 THEN 'COUNT([Measures].[Order Id])'
+    WHEN 2 THEN 'DISTINCTCOUNT([Customer].[Customer Id].[Customer Id].MEMBERS)'
+    WHEN 3 THEN concat('([Brand].&[', p_brand, '], [Size].&[', CAST(p_size AS VARCHAR(9)), '], [Measures].[Amount])')
+    WHEN 4 THEN concat('[Measures].[C', CAST(p_partkey - 4 AS VARCHAR(20)), '] / [Measures].[C', CAST(p_partkey - 3 AS VARCHAR(20)), ']')
+    WHEN 5 THEN concat('IIF([Type].CURRENTMEMBER IS [Type].&[(a, b)], [Measures].[C', CAST(p_partkey - 5 AS VARCHAR(20)), '], NULL)')
+    WHEN 6 THEN concat('IIF([Measures].[Amount] > 0, [Measures].[C', CAST(p_partkey - 3 AS VARCHAR(20)), '] / [Measures].[Amount], 0)')
+    WHEN 7 THEN concat('AGGREGATE(PERIODSTODATE([Date].[Calendar].[Year], [Date].[Calendar].CURRENTMEMBER), [Measures].[C', CAST(p_partkey - 7 AS VARCHAR(20)), '])')
+    WHEN 8 THEN concat('(PARALLELPERIOD([Date].[Calendar].[Year], 1, [Date].[Calendar].CURRENTMEMBER), [Measures].[C', CAST(p_partkey - 8 AS VARCHAR(20)), '])')
+    ELSE concat('RANK([P].[N].CURRENTMEMBER, ORDER([P].[N].MEMBERS, [Measures].[C', CAST(p_partkey - 9 AS VARCHAR(20)), '], BDESC))')
+  END AS measure_expr
+FROM (
+  SELECT *, p_partkey % 10 AS r, CAST(floor(p_partkey / 10) AS BIGINT) AS b FROM part
+) AS blocks
+"""
+
+
+def cube_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    """Staging rows of the derived cube members."""
+    return _catalog(spark, sf, CUBE_SQL, "mdx").withColumn("fact_columns", F.array(*map(F.lit, ("amount", "order_id"))))
+
+
 def catalog(spark: SparkSession, sf: str) -> DataFrame:
     """Staging rows of the derived catalog."""
+    return _catalog(spark, sf, CATALOG_SQL, "dax")
+
+
+def _catalog(spark: SparkSession, sf: str, sql: str, mode: str) -> DataFrame:
     from metricloom.sources.exports import DIM_TABLE, _staged
 
-    rows = spark.sql(CATALOG_SQL.replace("FROM part", "FROM {part}"), part=table(spark, sf, "part"))
+    rows = spark.sql(sql.replace("FROM part", "FROM {part}"), part=table(spark, sf, "part"))
     calendar = F.array(
         F.struct(
             F.lit("calendar").alias("alias"),
@@ -164,11 +194,11 @@ def catalog(spark: SparkSession, sf: str) -> DataFrame:
     return _staged(
         rows,
         position=F.col("k"),
-        source_format=F.lit("bim"),
-        source_table=F.lit("Sales"),
+        source_format=F.lit("bim" if mode == "dax" else "mdx_script"),
+        source_table=F.lit("Sales" if mode == "dax" else "Cube"),
         description=F.lit(""),
-        mode=F.lit("dax"),
-        fact_table_fqn=F.concat(F.lit("main.sales.fact_"), (F.col("b") % 7).cast("string")),
+        mode=F.lit(mode),
+        fact_table_fqn=F.concat(F.lit("main.sales.fact_"), F.substring_index("model", "_", -1)),
         fact_columns=F.array().cast("array<string>"),
         dim_tables=calendar,
         col_map=F.lit(None),

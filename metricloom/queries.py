@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from metricloom import examples as X
 from metricloom.functions import aggs as A
@@ -34,25 +34,28 @@ def dbl(x: str) -> str:
     return f"CAST({x} AS DOUBLE)"
 
 
-def query(name: str, sql: str | None = None):
-    """Register a query; decimals of the result become doubles."""
+def query(name: str, sql: str | None = None, dates: str = ""):
+    """Register a query; decimals of the result become doubles, dates ISO texts.
+
+    `dates` names the date columns of the SQL side.
+    """
+
+    def plain(field: T.StructField) -> Column:
+        c = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, T.DecimalType):
+            return c.cast("double").alias(field.name)
+        return c.cast("string").alias(field.name) if isinstance(field.dataType, T.DateType) else c
 
     def register(fn):
         def run(spark: SparkSession, sf: str) -> DataFrame:
             df = fn(spark, sf)
-            return df.select(
-                *[
-                    F.col(f"`{f.name}`").cast("double").alias(f.name)
-                    if isinstance(f.dataType, T.DecimalType)
-                    else F.col(f"`{f.name}`")
-                    for f in df.schema.fields
-                ]
-            )
+            return df.select(*[plain(f) for f in df.schema.fields])
 
         run.__name__, run.__doc__ = name, fn.__doc__
         QUERIES[name] = run
         if sql is not None:
-            ORACLE[name] = sql
+            texts = ", ".join(f"CAST({d} AS VARCHAR) AS {d}" for d in dates.split())
+            ORACLE[name] = f"SELECT * REPLACE ({texts}) FROM ({sql}) AS q" if texts else sql
         return fn
 
     return register
@@ -476,6 +479,7 @@ def check_one_side(spark, sf):
     v AS (SELECT c_mktsegment AS segment, o_orderdate::DATE AS day, SUM({AMT}) AS total FROM {OC} WHERE o_orderstatus = 'P' GROUP BY 1, 2)
     SELECT s.segment, p.day, {dbl('v.total')} AS total FROM s CROSS JOIN p
     LEFT JOIN v ON v.segment IS NOT DISTINCT FROM s.segment AND v.day = p.day""",
+    dates="day",
 )
 def cross_members(spark, sf):
     """Cells of all segment and day members; empty cells stay."""
@@ -544,6 +548,7 @@ def over_periods_avg(spark, sf):
     "q_new_members",
     """WITH f AS (SELECT o_custkey, MIN(o_orderdate) AS first_day FROM orders GROUP BY 1)
     SELECT CAST(date_trunc('month', first_day) AS DATE) AS period, COUNT(*) AS new_members FROM f GROUP BY 1""",
+    dates="period",
 )
 def new_members(spark, sf):
     return members.new_members(X.orders_view(spark, sf), spark, "custkey", "day", "month")
@@ -701,6 +706,7 @@ def order_members(spark, sf):
     f"""WITH {DAILY}, y AS (SELECT day, SUM(v) OVER (PARTITION BY year(day) ORDER BY day) AS ytd, SUM(v) OVER () AS total_all FROM dd),
     p AS (SELECT o_orderdate::DATE AS day, SUM({AMT}) AS total, COUNT(*) AS orders FROM orders GROUP BY 1)
     SELECT p.day, {dbl('total')} AS total, orders, {dbl('ytd')} AS ytd, {dbl('total_all')} AS total_all FROM p JOIN y ON p.day = y.day""",
+    dates="day",
 )
 def mixed_windows(spark, sf):
     """Plain measures and measures of two window kinds in one query."""
@@ -714,6 +720,7 @@ def mixed_windows(spark, sf):
     "q_running_total",
     f"""WITH g AS (SELECT c_mktsegment AS segment, o_orderdate::DATE AS day, SUM({AMT}) AS v FROM {OC} GROUP BY 1, 2)
     SELECT segment, day, {dbl('SUM(v) OVER (PARTITION BY segment ORDER BY day)')} AS total FROM g""",
+    dates="day",
 )
 def running_total(spark, sf):
     return timeline.running_total(X.orders_view(spark, sf), spark, "total", "day", ["segment"])
@@ -724,6 +731,7 @@ def running_total(spark, sf):
     f"""WITH g AS (SELECT c_mktsegment AS segment, o_orderdate::DATE AS day, SUM({AMT}) AS v FROM {OC} GROUP BY 1, 2),
     y AS (SELECT *, SUM(v) OVER (PARTITION BY segment, year(day) ORDER BY day) AS ytd FROM g)
     SELECT segment, CAST(date_trunc('month', day) AS DATE) AS month, {dbl('max_by(ytd, day)')} AS ytd FROM y GROUP BY 1, 2""",
+    dates="month",
 )
 def ytd(spark, sf):
     """A window over days within years, asked for by month: the last day of each month."""
@@ -734,6 +742,7 @@ def ytd(spark, sf):
     "q_ytd_time_filter",
     f"""WITH {DAILY}, y AS (SELECT day, SUM(v) OVER (PARTITION BY year(day) ORDER BY day) AS ytd FROM dd)
     SELECT day, {dbl('ytd')} AS ytd FROM y WHERE day >= DATE '1997-06-15' AND day < DATE '1997-09-01'""",
+    dates="day",
 )
 def ytd_time_filter(spark, sf):
     """A condition on the order dimension does not cut the days before it out of the window."""
@@ -746,6 +755,7 @@ def ytd_time_filter(spark, sf):
     "q_qtd_mtd",
     f"""WITH {DAILY} SELECT day, {dbl("SUM(v) OVER (PARTITION BY date_trunc('quarter', day) ORDER BY day)")} AS qtd,
     {dbl("SUM(v) OVER (PARTITION BY date_trunc('month', day) ORDER BY day)")} AS mtd FROM dd""",
+    dates="day",
 )
 def qtd_mtd(spark, sf):
     mv = X.orders_view(spark, sf)
@@ -762,6 +772,7 @@ def _trail(name: str, bounds: str, range_: str, anchor: bool):
         CAST(COALESCE(SUM(n) OVER w, 0) AS BIGINT) AS orders,
         {dbl('SUM(v) OVER w')} / SUM(n) OVER w AS avg_order
         FROM g WINDOW w AS (PARTITION BY status ORDER BY day RANGE BETWEEN {bounds})""",
+        dates="day",
     )
     def run(spark, sf):
         mv = X.orders_view(spark, sf)
@@ -779,6 +790,7 @@ _trail("q_trailing_months", "INTERVAL 2 MONTH PRECEDING AND INTERVAL 1 DAY PRECE
     "q_leading_month_anchor",
     f"""WITH {DAILY} SELECT a.day, {dbl('SUM(b.v)')} AS total, {dbl('MAX(b.v)')} AS best FROM dd a JOIN dd b
     ON b.day >= a.day AND b.day < CAST(a.day + INTERVAL 1 MONTH AS DATE) GROUP BY 1""",
+    dates="day",
 )
 def leading_month_anchor(spark, sf):
     mv = X.orders_view(spark, sf)
@@ -796,6 +808,7 @@ _trail("q_leading_days", "INTERVAL 1 DAY FOLLOWING AND INTERVAL 14 DAY FOLLOWING
     "q_trailing_month_anchor",
     f"""WITH {DAILY} SELECT a.day, {dbl('SUM(b.v)')} AS total FROM dd a JOIN dd b
     ON b.day > CAST(a.day - INTERVAL 1 MONTH AS DATE) AND b.day <= a.day GROUP BY 1""",
+    dates="day",
 )
 def trailing_month_anchor(spark, sf):
     return timeline.trailing(X.orders_view(spark, sf), spark, "total", "day", 1, "month", include_anchor=True)
@@ -846,6 +859,7 @@ def running_total_timestamps(spark, sf):
     "q_rolling_month_avg",
     f"""WITH {MONTHLY} SELECT month AS day, {dbl('v')} AS total,
     {dbl('SUM(v) OVER w')} / COUNT(v) OVER w AS rolling FROM m WINDOW w AS (ORDER BY month RANGE BETWEEN INTERVAL 5 MONTH PRECEDING AND CURRENT ROW)""",
+    dates="day",
 )
 def rolling_month_avg(spark, sf):
     return timeline.rolling(X.orders_view(spark, sf), spark, "total", "day", 6, "month", "avg")
@@ -861,6 +875,7 @@ def _distinct(name: str, cond: str, range_: str, anchor: bool = False, dims=("pr
         f"""WITH g AS (SELECT DISTINCT {key}o_orderdate::DATE AS day FROM orders WHERE o_orderstatus = 'F'),
         k AS (SELECT DISTINCT {key}o_orderdate::DATE AS day, o_custkey FROM orders WHERE o_orderstatus = 'F')
         SELECT {out}a.day, COUNT(DISTINCT b.o_custkey) AS customers FROM g a LEFT JOIN k b ON {cond}{on} GROUP BY ALL""",
+        dates="day",
     )
     def run(spark, sf):
         mv = X.orders_view(spark, sf)
@@ -881,6 +896,7 @@ _distinct("q_leading_distinct", "b.day > a.day AND b.day <= a.day + INTERVAL 10
     """WITH f AS (SELECT o_custkey, MIN(o_orderdate)::DATE AS day FROM orders GROUP BY 1),
     d AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders)
     SELECT d.day, COUNT(f.o_custkey) AS customers_to_date FROM d LEFT JOIN f ON f.day <= d.day GROUP BY 1""",
+    dates="day",
 )
 def cumulative_distinct(spark, sf):
     return X.orders_view(spark, sf).query(spark, ["customers_to_date"], ["day"])
@@ -890,16 +906,44 @@ def cumulative_distinct(spark, sf):
     "q_window_all",
     f"""WITH g AS (SELECT o_orderstatus AS status, o_orderdate::DATE AS day, SUM({AMT}) AS v FROM orders GROUP BY 1, 2)
     SELECT status, day, {dbl('SUM(v) OVER (PARTITION BY status)')} AS total_all FROM g""",
+    dates="day",
 )
 def window_all(spark, sf):
     return X.orders_view(spark, sf).query(spark, ["total_all"], ["status", "day"])
 
 
+@query(
+    "q_window_current",
+    f"""SELECT o_orderstatus AS status, o_orderdate::DATE AS day, {dbl(f'SUM({AMT})')} AS closing FROM orders GROUP BY 1, 2""",
+    dates="day",
+)
+def window_current(spark, sf):
+    """The range `current` at its own grain is the plain value."""
+    return X.orders_view(spark, sf).query(spark, ["closing"], ["status", "day"])
+
+
+@query(
+    "q_trailing_ratio",
+    f"""WITH g AS (SELECT o_orderpriority AS priority, o_orderdate::DATE AS day, SUM({AMT}) AS v, SUM({AMT}) FILTER (WHERE o_orderstatus = 'F') AS f,
+    COUNT(o_totalprice) AS n FROM orders GROUP BY 1, 2)
+    SELECT priority, day, {dbl('SUM(f) OVER w')} / NULLIF({dbl('SUM(v) OVER w')}, 0) AS active_share, {dbl('SUM(v) OVER w')} / SUM(n) OVER w AS avg_order
+    FROM g WINDOW w AS (PARTITION BY priority ORDER BY day RANGE BETWEEN INTERVAL 27 DAY PRECEDING AND CURRENT ROW)""",
+    dates="day",
+)
+def trailing_ratio(spark, sf):
+    """Numerator and denominator of a ratio run through the window separately."""
+    mv = X.orders_view(spark, sf)
+    w = (Window("day", "trailing 4 weeks", include_anchor=True),)
+    ms = [Measure(n, mv.measure(n).expr, window=w) for n in ("active_share", "avg_order")]
+    return mv.query(spark, ms, ["priority", "day"])
+
+
 @query(
     "q_same_period_last_year",
     f"""WITH g AS (SELECT c_mktsegment AS segment, CAST(date_trunc('month', o_orderdate) AS DATE) AS day, SUM({AMT}) AS v FROM {OC} GROUP BY 1, 2)
     SELECT a.segment, a.day, {dbl('a.v')} AS total, {dbl('b.v')} AS total_prior FROM g a
     LEFT JOIN g b ON a.segment = b.segment AND b.day = CAST(a.day - INTERVAL 12 MONTH AS DATE) WHERE a.day >= DATE '1996-01-01'""",
+    dates="day",
 )
 def same_period_last_year(spark, sf):
     """The condition on the date applies after the lookup, so 1996 finds 1995."""
@@ -912,6 +956,7 @@ def same_period_last_year(spark, sf):
     "q_same_day_last_year",
     f"""WITH {DAILY} SELECT a.day, {dbl('a.v')} AS total, {dbl('b.v')} AS total_prior FROM dd a
     LEFT JOIN dd b ON b.day = CAST(a.day - INTERVAL 12 MONTH AS DATE)""",
+    dates="day",
 )
 def same_day_last_year(spark, sf):
     return timeline.same_period_last_year(X.orders_view(spark, sf), spark, "total", "day", "day")
@@ -921,6 +966,7 @@ def same_day_last_year(spark, sf):
     "q_date_shift_month",
     f"""WITH {MONTHLY} SELECT a.month AS day, {dbl('a.v')} AS total, {dbl('b.v')} AS total_prior FROM m a
     LEFT JOIN m b ON b.month = CAST(a.month - INTERVAL 1 MONTH AS DATE)""",
+    dates="day",
 )
 def date_shift_month(spark, sf):
     return timeline.date_shift(X.orders_view(spark, sf), spark, "total", "day", -1, "month")
@@ -930,6 +976,7 @@ def date_shift_month(spark, sf):
     "q_date_shift_week",
     f"""WITH {DAILY} SELECT a.day, {dbl('a.v')} AS total, {dbl('b.v')} AS total_prior FROM dd a
     LEFT JOIN dd b ON b.day = CAST(a.day + INTERVAL 14 DAY AS DATE)""",
+    dates="day",
 )
 def date_shift_week(spark, sf):
     return timeline.date_shift(X.orders_view(spark, sf), spark, "total", "day", 2, "week", grain="day")
@@ -940,6 +987,7 @@ def date_shift_week(spark, sf):
     f"""WITH {MONTHLY} SELECT a.month AS day, {dbl('a.v')} AS total, {dbl('b.v')} AS total_prior,
     ({dbl('a.v')} - {dbl('b.v')}) / NULLIF({dbl('b.v')}, 0) AS growth FROM m a
     LEFT JOIN m b ON b.month = CAST(a.month - INTERVAL 12 MONTH AS DATE)""",
+    dates="day",
 )
 def yoy(spark, sf):
     return timeline.yoy(X.orders_view(spark, sf), spark, "total", "day", "month")
@@ -950,6 +998,7 @@ def yoy(spark, sf):
     f"""WITH {MONTHLY}, y AS (SELECT month, SUM(v) OVER (PARTITION BY year(month) ORDER BY month) AS ytd FROM m)
     SELECT a.month AS day, {dbl('a.ytd')} AS total, {dbl('b.ytd')} AS total_prior, {dbl('a.ytd - b.ytd')} AS difference FROM y a
     LEFT JOIN y b ON b.month = CAST(a.month - INTERVAL 12 MONTH AS DATE)""",
+    dates="day",
 )
 def ytd_vs_prior(spark, sf):
     return timeline.ytd_vs_py(X.orders_view(spark, sf), spark, "total", "day")
@@ -960,6 +1009,7 @@ def ytd_vs_prior(spark, sf):
     f"""WITH g AS (SELECT c_mktsegment AS segment, o_orderdate::DATE AS day, SUM({AMT}) AS v FROM {OC} GROUP BY 1, 2)
     SELECT segment, CAST(date_trunc('month', day) AS DATE) AS period, MAX(day) AS closing_date, {dbl('max_by(v, day)')} AS total
     FROM g GROUP BY 1, 2""",
+    dates="period closing_date",
 )
 def closing_month(spark, sf):
     return timeline.closing(X.orders_view(spark, sf), spark, "total", "day", "month", ["segment"])
@@ -986,6 +1036,7 @@ def semi_additive_last(spark, sf):
     ax AS (SELECT p.priority, CAST(u.t AS DATE) AS day FROM (SELECT DISTINCT priority FROM g) p, x, unnest(generate_series(x.lo::TIMESTAMP, x.hi::TIMESTAMP, INTERVAL 1 MONTH)) AS u(t))
     SELECT ax.priority, ax.day, {dbl('g.v')} AS total, {dbl('LAG(g.v, 2) OVER w')} AS total_lag, {dbl('LEAD(g.v, 1) OVER w')} AS total_lead
     FROM ax LEFT JOIN g ON g.priority = ax.priority AND g.day = ax.day WINDOW w AS (PARTITION BY ax.priority ORDER BY ax.day)""",
+    dates="day",
 )
 def lag_lead(spark, sf):
     mv = X.orders_view(spark, sf)
@@ -1000,6 +1051,7 @@ def lag_lead(spark, sf):
     x AS (SELECT MIN(quarter) AS lo, MAX(quarter) AS hi FROM g),
     ax AS (SELECT c.custkey, CAST(u.t AS DATE) AS quarter FROM (SELECT DISTINCT custkey FROM g) c, x, unnest(generate_series(x.lo::TIMESTAMP, x.hi::TIMESTAMP, INTERVAL 3 MONTH)) AS u(t))
     SELECT ax.custkey, ax.quarter, {dbl('g.v')} AS total FROM ax LEFT JOIN g ON g.custkey = ax.custkey AND g.quarter = ax.quarter""",
+    dates="quarter",
 )
 def densify(spark, sf):
     values = X.orders_view(spark, sf).query(spark, ["total"], ["custkey", "quarter"])
@@ -1012,6 +1064,7 @@ def densify(spark, sf):
     d AS (SELECT CAST(u.t AS DATE) AS date FROM r, unnest(generate_series(r.lo::TIMESTAMP, (r.hi + INTERVAL 12 MONTH - INTERVAL 1 DAY)::TIMESTAMP, INTERVAL 1 DAY)) AS u(t))
     SELECT date, CAST(year(date) AS INT) AS year, CAST(month(date) AS INT) AS month, 'Q' || quarter(date) AS quarter,
     CAST(date_trunc('month', date) AS DATE) AS month_start FROM d""",
+    dates="date month_start",
 )
 def date_dim(spark, sf):
     return X.calendar_of(X.table(spark, sf, "lineitem"), "l_shipdate")
@@ -1160,6 +1213,18 @@ def text_functions(spark, sf):
     )
 
 
+@query(
+    "q_snake_case",
+    """SELECT p_partkey, replace(p_name, ' ', '_') || '_part_id' AS snake, lower(p_type) || '_' || lower(replace(p_brand, '#', '')) AS path FROM part""",
+)
+def snake_case(spark, sf):
+    """`Small RingPartID` to `small_ring_part_id`."""
+    p = X.table(spark, sf, "part")
+    pascal = F.concat(F.initcap("p_name"), F.lit("PartID"))
+    path = F.concat(F.initcap(F.lower("p_type")), F.translate("p_brand", "#", ""))
+    return p.select("p_partkey", TX.snake_case(pascal).alias("snake"), TX.snake_case(path).alias("path"))
+
+
 @query(
     "q_format_measure",
     f"""WITH g AS (SELECT r_name AS region_name, SUM({AMT}) AS total, COUNT(*) AS n, COUNT(*) FILTER (WHERE o_orderstatus = 'F') AS f FROM {OCNR} GROUP BY 1)
@@ -1280,6 +1345,27 @@ def translate_rules(spark, sf):
     )
 
 
+@query(
+    "q_translate_mdx",
+    f"""WITH cat AS ({X.CUBE_SQL}), c AS (SELECT cat.*, p.p_brand, p.p_size, p3.p_brand AS brand3, p3.p_size AS size3
+      FROM cat JOIN part p ON p.p_partkey = k LEFT JOIN part p3 ON p3.p_partkey = k - 3)
+    SELECT measure_name, CASE r WHEN 0 THEN 'SUM(amount)' WHEN 1 THEN 'COUNT(order_id)' WHEN 2 THEN 'COUNT(DISTINCT customer_id)'
+    WHEN 3 THEN 'SUM(amount) FILTER (WHERE brand = ''' || p_brand || ''' AND size = ''' || p_size || ''')'
+    WHEN 4 THEN 'SUM(amount) / NULLIF(COUNT(order_id), 0)' WHEN 5 THEN 'SUM(amount) FILTER (WHERE type = ''(a, b)'')'
+    WHEN 6 THEN 'CASE WHEN SUM(amount) > 0 THEN SUM(amount) FILTER (WHERE brand = ''' || brand3 || ''' AND size = ''' || size3 || ''') / NULLIF(SUM(amount), 0) ELSE 0 END'
+    WHEN 7 THEN 'SUM(amount)' WHEN 8 THEN 'SUM(amount)' END AS expr,
+    CASE WHEN r < 7 THEN 'supported' WHEN r = 7 THEN 'window' WHEN r = 8 THEN 'time_intelligence' ELSE 'unsupported' END AS class,
+    CASE r WHEN 7 THEN 'cumulative,current' WHEN 8 THEN 'trailing 1 year' ELSE '' END AS ranges,
+    CASE r WHEN 8 THEN 'time_intelligence' WHEN 9 THEN 'unsupported_dax' END AS warning_type FROM c""",
+)
+def translate_mdx(spark, sf):
+    """Cube members: tuples, member tests, safe divisions, periods to date, parallel periods."""
+    _, references, rules = _catalog_modules()
+    df = rules.translate_rules(references.resolve_composites(X.cube_catalog(spark, sf)))
+    ranges = F.transform(F.coalesce("window", F.array().cast(TX.WINDOW_TYPE)), lambda w: w["range"])
+    return df.select("measure_name", "expr", "class", F.array_join(ranges, ",").alias("ranges"), "warning_type")
+
+
 @query(
     "q_over_guard",
     f"""WITH {CATALOG} SELECT measure_name, CASE WHEN r <> 1 THEN expr END AS expr,
