@@ -36,28 +36,32 @@ def measure_edges(staging: DataFrame) -> DataFrame:
     ).otherwise(F.regexp_extract_all("expr", F.lit(DAX_REFERENCE), F.lit(1)))
     named = defs.select(*NODE, F.explode(F.array_distinct(refs)).alias("ref"))
     known = defs.select("model", F.col("measure_name").alias("ref"))
-    return S.salted_join(S.settle(named), known, ["model", "ref"]).select(*NODE, "ref")
+    return S.settle(S.salted_join(S.settle(named), known, ["model", "ref"]).select(*NODE, "ref"))
 
 
 def peel(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Dependency level of every node that leads to no cycle, and the edges of the others.
 
     Level 0 names nothing; each round finishes the nodes whose references are all finished. Every
-    edge is dropped in the round its target is finished, so the work is linear in the edges.
+    edge is dropped in the round its target is finished, so the work is linear in the edges. `edges`
+    should be settled; each round writes the edges that are still open once.
     """
-    pending = S.settle(edges)
-    fresh = S.settle(nodes.join(pending, NODE, "left_anti").select(*NODE))
+    fresh = nodes.join(edges, NODE, "left_anti").select(*NODE)
     done = [fresh.withColumn("level", F.lit(0))]
-    level = 0
-    while not pending.isEmpty() and not fresh.isEmpty():
-        target = fresh.select("model", F.col("measure_name").alias("ref"), F.lit(True).alias("__done"))
+    pending, level = edges, 0
+    while True:
+        target = fresh.select("model", F.col("measure_name").alias("ref"), F.lit(True).alias("done"))
+        joined = S.salted_join(pending, target, ["model", "ref"], "left")
+        marked = S.settle(joined.select(*NODE, "ref", F.col("done").isNotNull().alias("done")))
+        closed, still_open = marked.agg(F.count_if("done"), F.count_if(~F.col("done"))).first()
+        pending = marked.where("NOT done").drop("done")
+        if not closed:
+            break
         level += 1
-        left = S.salted_join(pending, target, ["model", "ref"], "left").where("__done IS NULL").drop("__done")
-        left = S.settle(left)
-        waiting = left.select(*NODE).distinct()
-        fresh = S.settle(pending.select(*NODE).distinct().join(waiting, NODE, "left_anti"))
+        fresh = marked.groupBy(*NODE).agg(F.every("done").alias("all")).where("all").select(*NODE)
         done.append(fresh.withColumn("level", F.lit(level)))
-        pending = left
+        if not still_open:
+            break
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -137,13 +141,13 @@ def _same_component(edges: DataFrame, colour: DataFrame) -> DataFrame:
         colour.select("model", F.col("measure_name").alias("ref"), F.col("colour").alias("__c")), ["model", "ref"]
     )
     inner = S.settle(near.where("colour = __c").select(*NODE, "ref"))
-    reached = S.settle(colour.where("colour = measure_name").select(*NODE))
-    fresh = reached
+    fresh = S.settle(colour.where("colour = measure_name").select(*NODE))
+    reached = fresh
     while not fresh.isEmpty():
         to = fresh.select("model", F.col("measure_name").alias("ref"))
         step = inner.join(to, ["model", "ref"]).select(*NODE).distinct()
         fresh = S.settle(step.join(reached, NODE, "left_anti"))
-        reached = S.settle(reached.unionByName(fresh))
+        reached = reached.unionByName(fresh)
     # A root alone lies on a path between cycles, or is a cycle only through removed nodes.
     sizes = reached.join(colour, NODE).groupBy("model", "colour").agg((F.count(F.lit(1)) > 1).alias("cyclic"))
     return S.settle(reached.join(colour, NODE).join(sizes, ["model", "colour"]).select(*NODE, "cyclic"))
@@ -171,7 +175,7 @@ def resolve_composites(staging: DataFrame) -> DataFrame:
     One round per dependency level; a row is expanded once, from definitions that are complete.
     Cyclic measures and measures that depend on them get status `error`.
     """
-    edges = S.settle(measure_edges(staging))
+    edges = measure_edges(staging)
     defs = S.settle(definitions(staging))
     level_of, residual = peel(defs, edges)
     level_of = S.settle(level_of)

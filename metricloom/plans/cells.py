@@ -196,8 +196,10 @@ def build(
     names = tuple(d.name for d in grain)
     early = _before_large_joins(mv, spark, leaves, shown, where, relationship)
     if early is not None:
-        cells = Cells(early, tuple(d.name for d in shown), leaves, resolved)
-        return cells.regroup(names)
+        additive = tuple(leaf for leaf in leaves if leaf.mergeable)
+        counted = [leaf.direct(F.col(f"__a{i}")).alias(f"__{i}v") for i, leaf in enumerate(leaves) if not leaf.mergeable]
+        cells = Cells(early, tuple(d.name for d in shown), additive, resolved).regroup(names, counted)
+        return replace(cells, leaves=leaves)
     df = project(mv, spark, leaves, shown, relationship)
     for cond in where:
         df = df.where(as_column(cond))
@@ -217,14 +219,14 @@ def _before_large_joins(
     """Aggregate the facts by foreign key first when a dimension is too large to broadcast.
 
     The facts are then shuffled once, after map-side aggregation, so that a hot key travels as one
-    row per task; the join sees one row per key. Possible when the calls read source columns only
-    and merge. Returns None when it does not apply.
+    row per task; the join sees one row per key (and value of a distinct count). Possible when the
+    calls read source columns only. Returns None when it does not apply.
     """
     texts = [d.expr for d in dims]
     joins = star.needed_joins(mv, [*texts, mv.filter or ""], relationship)
     names = {j.name for j in joins}
     inputs = [leaf.input() for leaf in leaves]
-    if not any(j.large for j in joins) or not all(leaf.mergeable for leaf in leaves):
+    if not any(j.large for j in joins):
         return None
     if any(qualifiers(t) & {j.name for j in mv.joins} for t in [*inputs, mv.filter or ""]):
         return None
@@ -242,9 +244,12 @@ def _before_large_joins(
         *[F.expr(d.expr).alias(f"__d{i}") for i, d in enumerate(own)],
         *[F.expr(t).alias(f"__a{i}") for i, t in enumerate(inputs)],
     )
-    by_key = rows.groupBy(*keys, *[f"__d{i}" for i in range(len(own))]).agg(*part_columns(leaves))
+    additive = [leaf for leaf in leaves if leaf.mergeable]
+    counted = [f"__a{i}" for i in range(len(additive), len(leaves))]
+    by_key = rows.groupBy(*keys, *[f"__d{i}" for i in range(len(own))], *counted)
+    by_key = by_key.agg(*part_columns(additive)) if additive else by_key.agg(F.lit(1).alias("__1"))
     df = star.join_dimensions(spark, by_key, joins, relationship)
-    parts = [c for c in by_key.columns if re.fullmatch(r"__\d+\w+", c)]
+    parts = [*counted, *[c for c in by_key.columns if re.fullmatch(r"__\d+[a-z]+", c)]]
     df = df.select(
         *[F.col(f"__d{i}").alias(d.name) for i, d in enumerate(own)],
         *[F.expr(d.expr).alias(d.name) for d in joined],

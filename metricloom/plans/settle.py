@@ -21,8 +21,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, in a folder of the application.
+
+    That folder may be deleted once the application has ended.
+    """
+    return f"{shared_dir(spark)}/metricloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame) -> DataFrame:

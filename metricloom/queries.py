@@ -376,7 +376,7 @@ def snowflake_join(spark, sf):
 @query(
     "q_large_dimension_join",
     f"""SELECT c_mktsegment AS segment, o_orderpriority AS order_priority, l_returnflag AS flag, {dbl(f'SUM({PRC})')} AS gross,
-    {dbl(f'SUM({PRC})')} / COUNT({PRC}) AS mean, COUNT(*) AS lines
+    {dbl(f'SUM({PRC})')} / COUNT({PRC}) AS mean, COUNT(*) AS lines, COUNT(DISTINCT l_partkey) AS parts
     FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey
     WHERE o_orderpriority <> '5-LOW' GROUP BY 1, 2, 3""",
 )
@@ -384,7 +384,7 @@ def large_dimension_join(spark, sf):
     """Facts are aggregated by foreign key before they meet a dimension too large to broadcast."""
     mv = X.lines_view(spark, sf, large=True)
     return mv.query(
-        spark, ["gross", Measure("mean", A.avg_(X.PRICE)), "lines"], ["segment", "order_priority", "flag"],
+        spark, ["gross", Measure("mean", A.avg_(X.PRICE)), "lines", "parts"], ["segment", "order_priority", "flag"],
         where="order_priority <> '5-LOW'",
     )
 

@@ -217,3 +217,12 @@ def test_two_distinct_counts_and_the_whole_range(spark):
         assert [tuple(r) for r in mv.query(spark, ms, ["g", "d"]).orderBy("g", "d").collect()] == sorted(want)
         one = mv.query(spark, [ms[1], ms[2]], ["g", "d"]).orderBy("g", "d").collect()
         assert [(r.db, r.n) for r in one] == [(x[3], x[4]) for x in sorted(want)]
+
+
+@pytest.mark.parametrize("names", [["Total Sales", "Avg Order", "Active West"], ["Unique Customers"], ["Unique Customers", "Total Sales", "YTD"]])
+def test_large_dimensions_give_the_same(spark, star, names):
+    import dataclasses
+
+    large = dataclasses.replace(star, joins=tuple(dataclasses.replace(j, large=True) for j in star.joins))
+    for dims, where in ((["Segment"], None), (["Region", "Category"], "Status = 'Active' AND Segment <> 'SMB'"), (["Month"], None), ([], "Segment = 'SMB'")):
+        assert rows(large.query(spark, names, dims, where)) == rows(star.query(spark, names, dims, where))
