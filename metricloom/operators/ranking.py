@@ -51,7 +51,7 @@ def rank_rows(
     runs = S.prefix_sums(steps, list(groups), "__v", {"__rows": "__n", "__values": "__one"}, descending)
     rank = F.col("__values") if ties == "dense" else F.col("__rows") - F.col("__n") + 1
     ranked = runs.select(*columns(groups), "__v", rank.cast("int").alias("rank"))
-    return C.join_on(keyed, ranked, [*groups, "__v"]).drop("__v")
+    return C.join_hot(keyed, ranked, [*groups, "__v"]).drop("__v")
 
 
 def topn(mv, spark, measure, member, n, within=(), where=None, descending=True, strict=False) -> DataFrame:

@@ -38,7 +38,7 @@ def pct_of(
     conds = C.conditions(where)
     if selected or not conds:
         whole = C.build(mv, spark, [resolved], grain, conds)
-        inside = whole = whole.settled() if whole.mergeable else whole
+        inside = whole = whole.settled()
     else:
         inside, whole = both_sides(mv, spark, [resolved], grain, conds)
     if whole.mergeable:
@@ -46,7 +46,7 @@ def pct_of(
     else:
         total = C.build(mv, spark, [resolved], scope, conds if selected else None)
     totals = total.values().withColumnRenamed(m, "scope_total")
-    joined = C.join_on(inside.values(), totals, scope)
+    joined = C.join_hot(inside.values(), totals, scope)
     pct = F.try_divide(F.col(f"`{m}`").cast("double"), F.col("scope_total").cast("double"))
     return joined.select(*columns(names), F.col(f"`{m}`"), "scope_total", pct.alias("pct"))
 

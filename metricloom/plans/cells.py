@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from metricloom.functions.aggs import Agg, lift
 from metricloom.plans import star
 from metricloom.plans.model import Condition, Dimension, Measure, MetricView, mentions, qualifiers
-from metricloom.plans.settle import settle
+from metricloom.plans.settle import salted_join, settle
 
 
 def conditions(where: Condition | Iterable[Condition] | None) -> list[Condition]:
@@ -56,6 +56,20 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(right, cond, how).drop(*taken.values())
 
 
+def join_hot(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`join_on` for a settled left side of which a few keys may hold most rows.
+
+    The right side has one row per key. Keys are packed into one struct, which is never NULL, and
+    hot ones are split over tasks.
+    """
+    if not keys:
+        return join_on(left, right, keys)
+    pack = F.struct(*[F.col(f"`{k}`") for k in keys])
+    rest = [F.col(f"`{c}`") for c in right.columns if c not in keys]
+    joined = salted_join(left.withColumn("__keys", pack), right.select(pack.alias("__keys"), *rest), ["__keys"], "left")
+    return joined.drop("__keys")
+
+
 @dataclass(frozen=True)
 class Cells:
     """`df` holds the dimension columns and one column per part of each aggregate call."""

@@ -265,7 +265,7 @@ def over_frame(cells: C.Cells, keys: Sequence[str], order: str, w: Window) -> C.
         names = [n for i in leaves for n in cells.part_names(i).values()]
         cells = cells.settled()
         plain = C.replace(cells, leaves=tuple(cells.leaves[i] for i in leaves))
-        return C.replace(cells, df=C.join_on(cells.df.drop(*names), plain.regroup(keys).df, keys))
+        return C.replace(cells, df=C.join_hot(cells.df.drop(*names), plain.regroup(keys).df, keys))
     side, n, unit = w.span
     if unit in MONTHS:
         return _over_months(cells, keys, order, side, n * MONTHS[unit], w.include_anchor, leaves)

@@ -81,3 +81,15 @@ def test_running_total_beyond_one_window(spark, skewed, monkeypatch):
     plain = rows(mv.query(spark, ms, ["k", "ts"]))
     monkeypatch.setattr(S, "WINDOW_ROWS", 0)
     assert rows(mv.query(spark, ms, ["k", "ts"])) == plain
+
+
+def test_join_on_hot_and_missing_keys(spark, monkeypatch):
+    from metricloom.plans import cells as C
+
+    left = S.settle(spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 5).alias("k"), (F.col("id") % 2).alias("g"), "id"))
+    right = left.groupBy("k", "g").agg(F.count(F.lit(1)).alias("n"))
+    plain = rows(C.join_on(left, right, ["k", "g"]).select("k", "g", "id", "n"))
+    assert len(plain) == 3000 and all(r[3] is not None for r in plain)
+    assert rows(C.join_hot(left, right, ["k", "g"]).select("k", "g", "id", "n")) == plain
+    monkeypatch.setattr(C, "salted_join", lambda *a: S.salted_join(*a, share=0.01, plain_rows=0))
+    assert rows(C.join_hot(left, right, ["k", "g"]).select("k", "g", "id", "n")) == plain
