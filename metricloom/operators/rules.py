@@ -84,6 +84,27 @@ def _show_literals(text: Column, literals: Column) -> Column:
     )
 
 
+def _variables(value: Column) -> Column:
+    """VAR a = x VAR b = y RETURN z: the last expression with the variables put in."""
+    found = r"(?i)\bVAR (\w+) ?= ?(.+?)(?= VAR \w+ ?=| RETURN )"
+
+    def put(text: Column) -> Column:
+        pairs = F.arrays_zip(
+            F.regexp_extract_all(text, F.lit(found), F.lit(1)).alias("name"),
+            F.regexp_extract_all(text, F.lit(found), F.lit(2)).alias("body"),
+        )
+        last = F.regexp_extract(text, r"(?i)\bRETURN (.+)$", 1)
+
+        def one(acc: Column, v: Column) -> Column:
+            use = F.concat(F.lit(r"(?<![\w\[.])"), v["name"], F.lit(r"(?![\w\]\[(])"))
+            body = F.replace(F.replace(v["body"], F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+            return F.regexp_replace(acc, use, F.concat(F.lit("("), body, F.lit(")")))
+
+        return F.when(text.rlike(r"(?i)^VAR \w+ ?="), F.aggregate(F.reverse(pairs), last, one)).otherwise(text)
+
+    return _bind(value, put)
+
+
 def _dax_columns(text: Column) -> Column:
     """`Sales[Amount]` -> `amount`; columns of other tables get their join name."""
     def physical(ref: Column) -> Column:
@@ -120,6 +141,10 @@ def _mdx_names(text: Column) -> Column:
         r"(?i)\bDISTINCTCOUNT\(\s*" + MEMBER + r"\.MEMBERS\s*\)",
         lambda r: F.concat(F.lit("DISTINCTCOUNT("), last(r), F.lit(")")),
     )
+    # A product of base measures is a product per row.
+    base = r"\[Measures\]\.\[[^\]]+\]"
+    product = rf"^\s*({base}(?:\s*\*\s*{base})+)\s*$"
+    text = _each(text, product, lambda r: F.concat(F.lit("SUM("), _each(r, base, last), F.lit(")")))
     # A base measure sums the column of its name, provided the fact table is known to have it.
     columns = F.coalesce(F.col("fact_columns"), F.array().cast("array<string>"))
     return _each(
@@ -176,7 +201,7 @@ def _round(acc: Column, mdx: Column) -> Column:
         found = F.when(mdx, F.lit(divisor)).otherwise(F.lit("(?!)()"))
         acc = F.regexp_replace(acc, found, F.lit("/ NULLIF⟨$1‚ 0⟩"))
     sub(rf"(?<![\w⟩])\(\s*({AGG})\s*\)", "$1")
-    acc = _apply_filters(acc, rf"(?i)\bCALCULATE\({ARG},([^()]*)\)", 1, 2)
+    acc = _apply_filters(acc, rf"(?i)\bCALCULATE\({ARG},([^()⟨⟩]*)\)", 1, 2)
     acc = _apply_filters(acc, r"(?i)\bIIF\(\s*(\w+ = §\d+§)\s*,([^(),]*),\s*NULL\s*\)", 2, 1)
     acc = _apply_filters(acc, r"(?<!\w)\(((?:\s*\w+ = §\d+§\s*,)+)([^(),]*)\)", 2, 1)
     sub(rf"(?i)^\s*DIVIDE\(\s*([^(),]+?)\s*,\s*([^(),]+?)\s*(?:,[^(),]*)?\)\s*$", "$1 / NULLIF⟨$2‚ 0⟩")
@@ -252,7 +277,7 @@ def translate_rules(staging: DataFrame) -> DataFrame:
     df = df.withColumn("__lits", F.regexp_extract_all("__inner", F.lit(quoted), F.lit(0)))
     hidden = F.regexp_replace(_hide_literals(F.col("__inner"), F.col("__lits"), quoted), r"\s+", " ")
     df = df.withColumn("__text", hidden)
-    named = F.when(mdx, _mdx_names(F.col("__text"))).otherwise(_dax_columns(F.col("__text")))
+    named = F.when(mdx, _mdx_names(F.col("__text"))).otherwise(_dax_columns(_variables(F.col("__text"))))
     df = df.withColumn("__text", named)
     rounds = F.sequence(F.lit(1), F.lit(ROUNDS))
     df = df.withColumn("__mdx", mdx)

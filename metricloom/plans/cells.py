@@ -217,11 +217,39 @@ def build(
     df = project(mv, spark, leaves, shown, relationship)
     for cond in where:
         df = df.where(as_column(cond))
+    if _same_distinct(leaves):
+        return Cells(_dedupe_first(mv, spark, leaves, shown, names, where, relationship), names, leaves, resolved)
     grouped = [F.col(f"`{n}`") for n in names]
     df = df.groupBy(*grouped).agg(*part_columns(leaves)) if leaves else df.select(*grouped).distinct()
     return Cells(df, names, leaves, resolved)
 
 
+def _same_distinct(leaves: Sequence[Agg]) -> bool:
+    """Several distinct counts of the same expression under different filters."""
+    counted = [leaf for leaf in leaves if leaf.distinct]
+    return len(counted) > 1 and len({leaf.arg for leaf in counted}) == 1 and all(
+        leaf.distinct or leaf.mergeable for leaf in leaves
+    )
+
+
+def _dedupe_first(mv, spark, leaves, shown, names, where, relationship) -> DataFrame:
+    """Group by the counted value first, with a flag per filter, then count the flags.
+
+    Otherwise every row would be expanded once per distinct count.
+    """
+    additive = [leaf for leaf in leaves if leaf.mergeable]
+    flags = [f"__{i}v" for i in range(len(additive), len(leaves))]
+    key = Dimension("__key", leaves[-1].arg)
+    df = project(mv, spark, leaves, [*shown, key], relationship)
+    for cond in where:
+        df = df.where(as_column(cond))
+    grouped = [F.col(f"`{n}`") for n in names]
+    seen = [F.max(F.col(f"__a{i}").isNotNull()).alias(f"__{i}v") for i in range(len(additive), len(leaves))]
+    by_value = df.groupBy(*grouped, "__key").agg(*part_columns(additive), *seen)
+    cells = Cells(by_value, tuple(names), tuple(additive), ())
+    return cells.regroup(names, [F.count_if(f).alias(f) for f in flags]).df
+
+
 def _before_large_joins(
     mv: MetricView,
     spark: SparkSession,

@@ -122,6 +122,26 @@ _filtered("q_filtered_numeric", "l_quantity > 30 AND l_extendedprice <= 50000")
 _filtered("q_filtered_not_equal", "l_returnflag <> 'N'")
 
 
+@query(
+    "q_filtered_distincts",
+    f"""SELECT c_mktsegment AS segment, COUNT(DISTINCT o_custkey) AS customers, COUNT(DISTINCT o_custkey) FILTER (WHERE o_orderstatus = 'F') AS active,
+    COUNT(DISTINCT o_custkey) FILTER (WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 300000) AS urgent, {dbl(f'SUM({AMT})')} AS total,
+    {dbl(f'SUM({AMT})')} / COUNT({AMT}) AS avg_order, MAX(o_totalprice) AS best FROM {OC} WHERE o_orderpriority <> '5-LOW' GROUP BY 1""",
+)
+def filtered_distincts(spark, sf):
+    """Distinct counts of one column under several filters, beside other measures."""
+    n = A.distinct_count("o_custkey")
+    ms = [
+        "customers",
+        Measure("active", A.filtered(n, "o_orderstatus = 'F'")),
+        Measure("urgent", A.filtered(n, "o_orderpriority = '1-URGENT'", "o_totalprice > 300000")),
+        "total",
+        "avg_order",
+        Measure("best", A.max_("o_totalprice")),
+    ]
+    return X.orders_view(spark, sf).query(spark, ms, ["segment"], where="priority <> '5-LOW'")
+
+
 @query("q_sumx_product", f"SELECT l_returnflag AS flag, {dbl(f'SUM({PRC} * {QTY})')} AS v FROM lineitem GROUP BY 1")
 def sumx_product(spark, sf):
     return X.lines_view(spark, sf).query(spark, [Measure("v", A.sumx(f"{X.PRICE} * {X.QTY}"))], ["flag"])

@@ -108,6 +108,10 @@ DAX = [
     ("DIVIDE(SUM(Sales[Profit]), SUM(Sales[Revenue]), 0)", "SUM(profit) / NULLIF(SUM(revenue), 0)"),
     ("SUM(Sales[A]) / DISTINCTCOUNT(Sales[B])", "SUM(a) / COUNT(DISTINCT b)"),
     ("IF(SUM(Sales[A]) > 10, 1, 0)", "CASE WHEN SUM(a) > 10 THEN 1 ELSE 0 END"),
+    (
+        "VAR TotalRevenue = SUM(Sales[Revenue]) VAR Cost = SUM(Sales[Profit]) VAR Both = TotalRevenue - Cost RETURN IF(TotalRevenue > 0, Both / TotalRevenue, 0)",
+        "CASE WHEN SUM(revenue) > 0 THEN (SUM(revenue) - SUM(profit)) / SUM(revenue) ELSE 0 END",
+    ),
     ("MAX(RELATED(DimCustomer[Name]))", "MAX(customer.name)"),
 ]
 MDX = [
@@ -117,6 +121,7 @@ MDX = [
     ("([Status].&[Active], [Measures].[Amount])", "SUM(amount) FILTER (WHERE status = 'Active')"),
     ("([Status].&[Active], [Tier].&[Pre (m)], [Measures].[Amount])", "SUM(amount) FILTER (WHERE status = 'Active' AND tier = 'Pre (m)')"),
     ("IIF([Status].CURRENTMEMBER IS [Status].&[Active], [Measures].[Amount], NULL)", "SUM(amount) FILTER (WHERE status = 'Active')"),
+    ("[Measures].[Amount] * [Measures].[Profit]", "SUM(amount * profit)"),
     ("[Measures].[Profit] / [Measures].[Revenue]", "SUM(profit) / NULLIF(SUM(revenue), 0)"),
     ("([Measures].[Revenue] - [Measures].[Amount]) / [Measures].[Revenue]", "(SUM(revenue) - SUM(amount)) / NULLIF(SUM(revenue), 0)"),
     (
@@ -130,10 +135,11 @@ MDX = [
 ]
 # Texts no rule may touch.
 OPEN = [
-    "VAR x = SUM(Sales[A]) RETURN x",
+    "VAR x = SUM(Sales[A]) VAR y = FILTER(Sales, Sales[B] > 1) RETURN x + COUNTROWS(y)",
     "CALCULATE(SUM(Sales[A]), ALL(Sales))",
     "CALCULATE(SUM(Sales[A]), Sales[B] IN {1, 2})",
     "COUNTROWS(FILTER(VALUES(Sales[A]), Sales[A] > 1))",
+    "CALCULATE(SUM(Sales[A]), Sales[B] > MAX(Sales[C]))",
     "SOMETHING(Sales[A])",
     "Sales[A]",
 ]
