@@ -64,7 +64,7 @@ def orders_view(spark: SparkSession, sf: str) -> MetricView:
     )
 
 
-def lines_view(spark: SparkSession, sf: str, large: bool = False) -> MetricView:
+def lines_view(spark: SparkSession, sf: str, large: bool | None = None) -> MetricView:
     """Line grain: two dates to one calendar, orders as a (possibly large) dimension."""
     path = lambda t: f"{sf}/{t}.parquet"
     calendar = calendar_of(table(spark, sf, "lineitem"), "l_shipdate")

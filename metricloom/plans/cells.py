@@ -268,7 +268,7 @@ def _before_large_joins(
     joins = star.needed_joins(mv, [*texts, mv.filter or ""], relationship)
     names = {j.name for j in joins}
     inputs = [leaf.input() for leaf in leaves]
-    if not any(j.large for j in joins):
+    if not any(star.is_large(spark, j) for j in joins):
         return None
     if any(qualifiers(t) & {j.name for j in mv.joins} for t in [*inputs, mv.filter or ""]):
         return None

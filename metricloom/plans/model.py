@@ -70,8 +70,9 @@ class Measure:
 class Join:
     """Many-to-one left join. `on` speaks of `source` and join names.
 
-    `alternates` holds further named conditions for the same dimension. `large` tells that the
-    dimension will not fit into a broadcast, see `plans.cells`.
+    `alternates` holds further named conditions for the same dimension. `large` tells whether the
+    dimension is too large for a broadcast; by default Spark's size estimate decides. Facts are
+    aggregated before they meet a large dimension, see `plans.cells`.
     """
 
     name: str
@@ -79,7 +80,7 @@ class Join:
     on: str | None = None
     using: tuple[str, ...] = ()
     alternates: Mapping[str, str] = field(default_factory=dict)
-    large: bool = False
+    large: bool | None = None
 
     def condition(self, relationship: str | None = None) -> str:
         if relationship in self.alternates:

@@ -15,6 +15,15 @@ def load(spark: SparkSession, ref: Source) -> DataFrame:
     return spark.read.parquet(ref) if "/" in ref else spark.table(ref)
 
 
+def is_large(spark: SparkSession, join: Join) -> bool:
+    """The dimension exceeds the size up to which Spark broadcasts a join side."""
+    if join.large is not None:
+        return join.large
+    plan = load(spark, join.source)._jdf.queryExecution().optimizedPlan()
+    limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(plan.stats().sizeInBytes()) > limit
+
+
 def needed_joins(mv: MetricView, texts: Iterable[str], relationship: str | None = None) -> list[Join]:
     """Joins named by the texts, and joins those depend on, in an order that resolves."""
     by_name = {j.name: j for j in mv.joins}

@@ -79,3 +79,17 @@ def test_facts_are_aggregated_before_large_joins(spark):
 def test_window_counts_join_nothing(spark):
     text = plan(X.orders_view(spark, SF).query(spark, ["customers_7d"], ["status", "day"]))
     assert "Join" not in text and text.count("FileScan") == 1
+
+
+def test_large_dimensions_are_found_by_size(spark):
+    mv = X.orders_view(spark, SF)
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    small = plan(mv.query(spark, ["total"], ["segment"]))
+    try:
+        spark.conf.set(limit, "1000")
+        large = plan(mv.query(spark, ["total"], ["segment"]))
+    finally:
+        spark.conf.set(limit, before)
+    assert "HashAggregate(keys=[o_custkey" not in small
+    assert "HashAggregate(keys=[o_custkey" in large[large.index("Join"):]
