@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from metricloom.functions.time import period_start
 from metricloom.operators.shares import both_sides
@@ -17,6 +17,8 @@ from metricloom.plans.query import columns, run
 
 # Members packed into one array while pairs are formed.
 CHUNK = 10_000
+# Members per part of a long list.
+PART = 10_000
 
 
 def members(df: DataFrame, *cols: str) -> DataFrame:
@@ -77,16 +79,29 @@ def new_members(mv, spark, member, d, period="month", where=None) -> DataFrame:
     return df
 
 
-def concatenatex(mv, spark, col: str | Dimension, dims=(), sep=", ", where=None) -> DataFrame:
-    """Sorted list of the distinct members as text (A19), column `members`.
+def concatenatex(
+    mv, spark, col: str | Dimension, dims=(), sep=", ", where=None, whole: int = S.WINDOW_ROWS, size: int = PART
+) -> DataFrame:
+    """Sorted list of the distinct members as text (A19): dims, `part`, `parts`, `members`.
 
-    Duplicates are removed before the lists are formed; a list is as long as its member set.
+    Duplicates are removed before the lists are formed. Up to `whole` distinct rows in all, every
+    group is one text. Beyond that members are numbered by range-partitioned running counts and a
+    group comes in parts of `size` members, which joined by the separator are its list.
     """
     item = mv.dim(col)
     names = [mv.dim(d).name for d in dims]
-    rows = _rows(mv, spark, [*dims, item], where).distinct()
-    text = F.array_join(F.array_sort(F.collect_list(F.col(f"`{item.name}`").cast("string"))), sep)
-    return rows.groupBy(*columns(names)).agg(text.alias("members"))
+    rows = _rows(mv, spark, [*dims, item], where).where(F.expr(f"`{item.name}` IS NOT NULL"))
+    rows = S.settle(rows.withColumn(item.name, F.col(f"`{item.name}`").cast("string")).distinct())
+    text = F.array_join(F.array_sort(F.collect_list(F.col(f"`{item.name}`"))), sep).alias("members")
+    if S.within(rows, whole):
+        one = rows.groupBy(*columns(names)).agg(text)
+        return one.select(*columns(names), F.lit(0).alias("part"), F.lit(1).alias("parts"), "members")
+    counted = rows.withColumn("__one", F.lit(1).cast("bigint"))
+    numbered = S.settle(S.prefix_sums(counted, names, item.name, {"__n": "__one"}))
+    part = F.floor((F.col("__n") - 1) / F.lit(size)).cast("int")
+    listed = numbered.withColumn("part", part).groupBy(*columns(names), "part").agg(text)
+    last = numbered.groupBy(*columns(names)).agg((F.max(part) + 1).alias("parts"))
+    return C.join_on(listed, last, names).select(*columns(names), "part", "parts", "members")
 
 
 def _rows(mv: MetricView, spark: SparkSession, dims: Sequence, where=None) -> DataFrame:
@@ -101,20 +116,26 @@ def _rows(mv: MetricView, spark: SparkSession, dims: Sequence, where=None) -> Da
 def pair_members(left: DataFrame, right: DataFrame) -> DataFrame:
     """Every combination of the rows of two member sets, each combination once.
 
-    The right set is packed into numbered chunks of bounded size, every left row meets each chunk
-    by number and unpacks it: tasks stay even and no side has to fit into one place.
+    The right set is packed into numbered chunks of bounded size, the left set is cut into pieces;
+    each piece meets each chunk in a task of its own. No side has to fit into one place.
     """
-    spark = left.sparkSession
     right = S.settle(right)
     chunks = right.count() // CHUNK + 1
+    pieces = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packed = right.select(
-        F.pmod(F.xxhash64(*columns(right.columns)), F.lit(chunks)).alias("__chunk"),
-        F.struct(*columns(right.columns)).alias("__row"),
+        _bucket(right, chunks).alias("__chunk"), F.struct(*columns(right.columns)).alias("__row")
     ).groupBy("__chunk").agg(F.collect_list("__row").alias("__rows"))
-    numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))
-    numbered = left.withColumn("__chunk", F.explode(numbers))
-    met = numbered.join(packed, "__chunk")
-    return met.select(*columns(left.columns), F.inline("__rows"))
+    packed = packed.withColumn("__piece", F.explode(_numbers(pieces)))
+    cut = left.withColumn("__piece", _bucket(left, pieces)).withColumn("__chunk", F.explode(_numbers(chunks)))
+    return cut.join(packed, ["__chunk", "__piece"]).select(*columns(left.columns), F.inline("__rows"))
+
+
+def _bucket(df: DataFrame, n: int) -> Column:
+    return F.pmod(F.xxhash64(*columns(df.columns)), F.lit(n).cast("bigint"))
+
+
+def _numbers(n: int) -> Column:
+    return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
 
 
 def cross_members(mv, spark, dims: Sequence, measures: Sequence, where=None, dense=True) -> DataFrame:

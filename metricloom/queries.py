@@ -576,7 +576,7 @@ def new_members(spark, sf):
 
 @query(
     "q_concatenatex",
-    """SELECT p_brand AS brand, string_agg(DISTINCT p_type, ', ' ORDER BY p_type) AS members FROM part GROUP BY 1""",
+    """SELECT p_brand AS brand, 0 AS part, 1 AS parts, string_agg(DISTINCT p_type, ', ' ORDER BY p_type) AS members FROM part GROUP BY 1""",
 )
 def concatenatex(spark, sf):
     mv = MetricView("mv_part", X.table(spark, sf, "part"), (), (Dimension("brand", "p_brand"), Dimension("type", "p_type")))

@@ -110,8 +110,15 @@ def test_members(spark, star, sales):
     assert {r[0]: float(r[1]) for r in got.collect()} == by.groupby("region").max().to_dict()
     n = members.count_members_where(star, spark, "Total Sales", "Customer", "value > 5000", ["Region"])
     assert {r[0]: r[1] for r in n.collect()} == (by > 5000).groupby("region").sum().to_dict()
-    text = members.concatenatex(star, spark, "Region").first()[0]
-    assert text == "East, North, South, West"
+    text = members.concatenatex(star, spark, "Region").first()
+    assert tuple(text) == (0, 1, "East, North, South, West")
+    parts = members.concatenatex(star, spark, "Customer Name", ["Status"], whole=0, size=4).orderBy("Status", "part").collect()
+    lists = sales.groupby("status").name.unique()
+    for status in ("Active", "Inactive"):
+        mine = [r for r in parts if r.Status == status]
+        assert [(r.part, r.parts) for r in mine] == [(i, len(mine)) for i in range(len(mine))]
+        assert ", ".join(r.members for r in mine) == ", ".join(sorted(lists[status]))
+        assert all(len(r.members.split(", ")) <= 4 for r in mine)
 
 
 def test_new_members(spark, star, sales):
