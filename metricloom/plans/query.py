@@ -181,6 +181,10 @@ def over_distinct(mv, spark, measures, distinct, grain, early, relationship, key
     leaves = C.leaves_of(measures)
     additive = tuple(leaf for leaf in leaves if leaf.mergeable)
     keyed = [[*grain, Dimension("__key", leaf.input())] for leaf in distinct]
+    if w.span:
+        kind = dict(C.project(mv, spark, [], grain, relationship).dtypes)[w.order]
+        if kind != "date":
+            raise ValueError(f"distinct counts over {w.normal_range} need a date as their order, not {kind}")
     if len(distinct) == 1 and w.normal_range != "all":
         fine = C.build(mv, spark, measures, keyed[0], early, relationship, leaves=additive)
         cells = _count_along(fine, [d.name for d in grain], keys, w)
@@ -228,8 +232,7 @@ def _count_along(fine: C.Cells, names: Sequence[str], keys: Sequence[str], w: Wi
         *[merged[n](f"c{i}").alias(n) for i, n in enumerate(parts)],
         *[F.max(f"c{len(parts) + i}").alias(n) for i, n in enumerate(others)],
     )
-    total = F.sum("__delta").over(W.partitionBy(*columns(keys)).orderBy("__day").rowsBetween(W.unboundedPreceding, 0))
-    df = daily.withColumn(f"__{len(fine.leaves)}v", total).where("__anchor").withColumnRenamed("__day", order)
+    df = _running_sum(daily, keys, f"__{len(fine.leaves)}v").where("__anchor").withColumnRenamed("__day", order)
     return C.replace(fine, df=df.drop("__delta", "__anchor"), dims=tuple(names))
 
 
@@ -267,6 +270,8 @@ def over_frame(cells: C.Cells, keys: Sequence[str], order: str, w: Window) -> C.
         plain = C.replace(cells, leaves=tuple(cells.leaves[i] for i in leaves))
         return C.replace(cells, df=C.join_hot(cells.df.drop(*names), plain.regroup(keys).df, keys))
     side, n, unit = w.span
+    if unit in MONTHS and not by_day:
+        raise ValueError(f"a window of {unit}s needs a date as its order, {order} is none")
     if unit in MONTHS:
         return _over_months(cells, keys, order, side, n * MONTHS[unit], w.include_anchor, leaves)
     if not by_day:
@@ -403,9 +408,15 @@ def running_count(
     daily = marked.groupBy(*part, F.col("__day")).agg(
         F.sum("__delta").alias("__delta"), F.max("__anchor").alias("__anchor")
     )
-    total = F.sum("__delta").over(W.partitionBy(*part).orderBy("__day").rowsBetween(W.unboundedPreceding, 0))
-    return (
-        daily.withColumn("__count", total)
-        .where("__anchor = 1")
-        .select(*part, F.col("__day").alias(order), "__count")
-    )
+    counted = _running_sum(daily, keys, "__count").where("__anchor = 1")
+    return counted.select(*part, F.col("__day").alias(order), "__count")
+
+
+def _running_sum(daily: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
+    """Running sum of the events: a window over days, else by counted size as in `_cumulative`."""
+    by_day = dict(daily.dtypes)["__day"] == "date"
+    daily = daily if by_day else S.settle(daily)
+    if by_day or S.within(daily, S.WINDOW_ROWS):
+        order = W.partitionBy(*columns(keys)).orderBy("__day").rowsBetween(W.unboundedPreceding, 0)
+        return daily.withColumn(out, F.sum("__delta").over(order))
+    return S.running(daily, list(keys), "__day", {out: ("sum", "__delta")})

@@ -875,6 +875,20 @@ def running_total_timestamps(spark, sf):
     return df.withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
+@query(
+    "q_cumulative_distinct_timestamps",
+    """WITH e AS (SELECT event_type AS kind, ts, user_id, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts) AS n FROM events)
+    SELECT kind, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at, CAST(SUM(CASE WHEN n = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY kind ORDER BY ts) AS BIGINT) AS users
+    FROM e""",
+)
+def cumulative_distinct_timestamps(spark, sf):
+    """Users seen so far at every event of a kind."""
+    mv = _events(spark, sf)
+    m = Measure("users", A.distinct_count("user_id"), window=(Window("at", "cumulative"),))
+    df = mv.query(spark, [m], ["kind", "at"])
+    return df.withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
 @query(
     "q_rolling_month_avg",
     f"""WITH {MONTHLY} SELECT month AS day, {dbl('v')} AS total,

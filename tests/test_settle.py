@@ -76,11 +76,18 @@ def test_running_total_beyond_one_window(spark, skewed, monkeypatch):
 
     df = skewed.select("k", F.timestamp_seconds(F.col("id") * 61).alias("ts"), "v")
     w = (Window("ts", "cumulative"),)
-    ms = [Measure(f"m{i}", e, window=w) for i, e in enumerate([A.sum_("v"), A.avg_("v"), A.min_("v"), A.max_("v")])]
+    exprs = [A.sum_("v"), A.avg_("v"), A.min_("v"), A.max_("v"), A.distinct_count("v % 50")]
+    ms = [Measure(f"m{i}", e, window=w) for i, e in enumerate(exprs)]
     mv = MetricView("m", df, (), (Dimension("k", "k"), Dimension("ts", "ts")), tuple(ms))
     plain = rows(mv.query(spark, ms, ["k", "ts"]))
+    data = skewed.where("k = 0").orderBy("id").select("v").toPandas().v
+    seen = [r[6] for r in plain if r[0] == 0]
+    assert sorted(seen) == [len(set((data[: i + 1] % 50).tolist())) for i in range(len(data))]
     monkeypatch.setattr(S, "WINDOW_ROWS", 0)
     assert rows(mv.query(spark, ms, ["k", "ts"])) == plain
+    for expr, span in (("SUM(v)", "trailing 1 month"), ("COUNT(DISTINCT v)", "trailing 3 day")):
+        with pytest.raises(ValueError, match="date"):
+            mv.query(spark, [Measure("x", expr, window=(Window("ts", span),))], ["k", "ts"])
 
 
 def test_join_on_hot_and_missing_keys(spark, monkeypatch):
