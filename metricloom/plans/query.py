@@ -20,6 +20,10 @@ from metricloom.plans.model import (
 )
 
 
+# A sliding frame is aggregated anew for every row; from this length on blocks are cheaper.
+SLIDING_DAYS = 31
+
+
 def run(
     mv: MetricView,
     spark: SparkSession,
@@ -274,10 +278,15 @@ def over_frame(cells: C.Cells, keys: Sequence[str], order: str, w: Window) -> C.
         raise ValueError(f"a window of {unit}s needs a date as its order, {order} is none")
     if unit in MONTHS:
         return _over_months(cells, keys, order, side, n * MONTHS[unit], w.include_anchor, leaves)
-    if not by_day:
-        return _over_hours(cells, keys, order, side, n * 24 * DAYS.get(unit, 0) or n, w.include_anchor, leaves)
+    day = F.col(f"`{order}`")
+    if not by_day or unit == "hour":
+        micros = (n * 24 * DAYS.get(unit, 0) or n) * 3600 * 1_000_000
+        at = F.unix_micros(day.cast("timestamp"))
+        return _over_blocks(cells, keys, at, micros, side, w.include_anchor, leaves)
     word = "PRECEDING" if side == "trailing" else "FOLLOWING"
     width = n * DAYS[unit]
+    if width > SLIDING_DAYS:
+        return _over_blocks(cells, keys, F.unix_date(day), width, side, w.include_anchor, leaves)
     near = "CURRENT ROW" if w.include_anchor else f"{interval(1, 'day')} {word}"
     far = f"{interval(width - 1 if w.include_anchor else width, 'day')} {word}"
     bounds = f"{far} AND {near}" if side == "trailing" else f"{near} AND {far}"
@@ -301,29 +310,43 @@ def _cumulative(cells: C.Cells, keys: Sequence[str], order: str, leaves: list[in
     return C.replace(cells, df=S.running(cells.df, list(keys), order, parts))
 
 
-def _over_hours(
-    cells: C.Cells, keys: Sequence[str], order: str, side: str, hours: int, anchor: bool, leaves: list[int]
+def _over_blocks(
+    cells: C.Cells, keys: Sequence[str], at: Column, span: int, side: str, anchor: bool, leaves: list[int]
 ) -> C.Cells:
-    """Frames of hours over timestamps: the N hours before (after) the anchor, or up to it.
+    """Frames of a fixed length on an axis of whole numbers (days, microseconds).
 
-    Time is cut into slices at least as long as the frame; a row also enters the neighbouring slice
-    if frames there reach it. A group of any size is thus spread over its slices.
+    The axis is cut into blocks as long as the frame, so a frame is the end of one block and the
+    beginning of the next. Every anchor asks both blocks, and running values from either end of a
+    block answer: the work per row does not depend on how many rows a frame holds, and a group of any
+    size is spread over its blocks.
     """
-    micros = 1_000_000
-    width = max(hours, 24) * 3600 * micros
-    at = F.unix_micros(F.col(f"`{order}`").cast("timestamp"))
-    reach = hours * 3600 * micros
-    slice_of = lambda c: F.floor(c / F.lit(width)).cast("bigint")
-    own = slice_of(at)
-    span = F.sequence(own, slice_of(at + reach)) if side == "trailing" else F.sequence(slice_of(at - reach), own)
-    spread = cells.df.withColumn("__own", own).withColumn("__slice", F.explode(span))
-    word = "PRECEDING" if side == "trailing" else "FOLLOWING"
-    whole, nearly = f"INTERVAL '{hours * 3600}' SECOND", f"INTERVAL '{hours * 3600 - 1}.999999' SECOND"
-    near = "CURRENT ROW" if anchor else f"INTERVAL '0.000001' SECOND {word}"
-    far = f"{nearly if anchor else whole} {word}"
-    bounds = f"{far} AND {near}" if side == "trailing" else f"{near} AND {far}"
-    out = C.replace(cells, df=spread).over(frame_text([*keys, "__slice"], order, bounds), leaves)
-    return C.replace(out, df=out.df.where("__own = __slice").drop("__own", "__slice"))
+    at, width = at.cast("bigint"), F.lit(span).cast("bigint")
+    first = {("trailing", False): -span, ("trailing", True): 1 - span, ("leading", False): 1, ("leading", True): 0}
+    low = at + F.lit(first[side, anchor])
+    functions = {"s": "sum", "n": "sum", "lo": "min", "hi": "max"}
+    parts = {n: functions[p] for i in leaves for p, n in cells.part_names(i).items()}
+    types = dict(cells.df.dtypes)
+    rest = [c for c in cells.df.columns if c not in parts]
+
+    def row(kind: int, pos: Column, block: Column) -> Column:
+        values = [(F.col(n) if kind == 0 else F.lit(None).cast(types[n])).alias(n) for n in parts]
+        return F.struct(F.lit(kind).alias("__kind"), pos.alias("__pos"), block.alias("__block"), *values)
+
+    start = lambda c: c - F.pmod(c, width)
+    sent = F.array(row(0, at, start(at)), row(1, low, start(low)), row(2, low + width - 1, start(low) + width))
+    flat = cells.df.select(*columns(rest), F.inline(sent))
+    by_block = "PARTITION BY " + ", ".join(f"`{k}`" for k in [*keys, "__block"])
+    upward = "RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    seen = {
+        n: F.expr(
+            f"CASE __kind WHEN 1 THEN {fn}({n}) OVER ({by_block} ORDER BY __pos DESC {upward}) "
+            f"WHEN 2 THEN {fn}({n}) OVER ({by_block} ORDER BY __pos {upward}) END"
+        )
+        for n, fn in parts.items()
+    }
+    asked = flat.withColumns(seen).where("__kind > 0")
+    merged = [F.expr(f"{fn}({n})").alias(n) for n, fn in parts.items()]
+    return C.replace(cells, df=asked.groupBy(*columns(rest)).agg(*merged))
 
 
 def _over_months(

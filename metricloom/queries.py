@@ -803,6 +803,7 @@ def _trail(name: str, bounds: str, range_: str, anchor: bool):
 
 _trail("q_trailing_days", "INTERVAL 7 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING", "trailing 7 day", False)
 _trail("q_trailing_days_anchor", "INTERVAL 6 DAY PRECEDING AND CURRENT ROW", "trailing 7 day", True)
+_trail("q_trailing_90_days", "INTERVAL 89 DAY PRECEDING AND CURRENT ROW", "trailing 90 day", True)
 _trail("q_trailing_months", "INTERVAL 2 MONTH PRECEDING AND INTERVAL 1 DAY PRECEDING", "trailing_2_months", False)
 
 

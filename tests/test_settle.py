@@ -100,3 +100,34 @@ def test_join_on_hot_and_missing_keys(spark, monkeypatch):
     assert rows(C.join_hot(left, right, ["k", "g"]).select("k", "g", "id", "n")) == plain
     monkeypatch.setattr(C, "salted_join", lambda *a: S.salted_join(*a, share=0.01, plain_rows=0))
     assert rows(C.join_hot(left, right, ["k", "g"]).select("k", "g", "id", "n")) == plain
+
+
+@pytest.mark.parametrize("span,anchor", [("trailing 2 hour", False), ("trailing 1 hour", True), ("leading 3 hour", False), ("leading 2 hour", True), ("trailing 1 day", True)])
+def test_hours_over_timestamps(spark, span, anchor):
+    """Timestamps on block borders, before 1970 and with gaps, against brute force."""
+    from metricloom import Dimension, Measure, MetricView, Window
+
+    step = 1800
+    ticks = sorted({(i * i * 7919) % 200 * step - 60 * step for i in range(90)})
+    data = [(t, (t // step) % 17, (t // step) % 2) for t in ticks]
+    df = spark.createDataFrame(data, "t long, v int, g int").select(F.timestamp_seconds("t").alias("ts"), "v", "g", "t")
+    w = (Window("ts", span, include_anchor=anchor),)
+    ms = [Measure(f"m{i}", e, window=w) for i, e in enumerate(["SUM(v)", "MIN(v)", "MAX(v)", "COUNT(1)", "AVG(v)"])]
+    mv = MetricView("m", df, (), (Dimension("ts", "ts"), Dimension("g", "g")), tuple(ms))
+    side, n, unit = span.split()
+    width = int(n) * (86400 if unit == "day" else 3600)
+    inside = {
+        ("trailing", False): lambda x, a: a - width <= x < a,
+        ("trailing", True): lambda x, a: a - width < x <= a,
+        ("leading", False): lambda x, a: a < x <= a + width,
+        ("leading", True): lambda x, a: a <= x < a + width,
+    }[side, anchor]
+    got = mv.query(spark, ms, ["ts", "g"]).select(F.unix_seconds("ts"), "g", *[m.name for m in ms]).collect()
+    want = []
+    for t, _, g in data:
+        seen = [v for x, v, h in data if h == g and inside(x, t)]
+        if seen:
+            want.append((t, g, sum(seen), min(seen), max(seen), len(seen), sum(seen) / len(seen)))
+        else:
+            want.append((t, g, None, None, None, 0, None))
+    assert sorted(tuple(r) for r in got) == want

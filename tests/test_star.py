@@ -178,7 +178,7 @@ def brute(days, values, side, n, unit, anchor, fn):
 
 
 @pytest.mark.parametrize("side", ["trailing", "leading"])
-@pytest.mark.parametrize("n,unit", [(1, "month"), (3, "month"), (1, "year"), (7, "day"), (2, "week")])
+@pytest.mark.parametrize("n,unit", [(1, "month"), (3, "month"), (1, "year"), (7, "day"), (2, "week"), (45, "day")])
 @pytest.mark.parametrize("anchor", [False, True])
 def test_spans_at_month_ends(spark, side, n, unit, anchor):
     """Every day around the leap day, with gaps: sums, extremes and distinct counts."""
