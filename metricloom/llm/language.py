@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from . import sample
-from .text import Flat, labelled, over_texts, segment_sums
+from .text import Flat, labelled, over_texts, parts, segment_sums
 
 SIZES = range(1, 4)
 UNKNOWN = "und"
@@ -76,12 +76,11 @@ def train(
 ) -> Languages:
     """Fit on texts and their language names; texts without letters teach nothing."""
     names = sorted(set(labels))
-    words = Flat(texts).words(letters=True)
-    use = np.flatnonzero(words.counts > 0)
+    features = [f for some in parts(texts) for f in counted(Flat(some).words(letters=True), bits)]
+    use = np.array([i for i, (bucket, _) in enumerate(features) if len(bucket)], np.int64)
     if not len(use):
         return Languages(names, np.zeros((1 << bits, len(names)), np.float32), np.zeros(len(names)), 1.0, bits)
     y = np.searchsorted(names, labels)
-    features = list(counted(words, bits))
     document = np.zeros(1 << bits)
     for bucket, _ in features:
         document[bucket] += 1
@@ -113,7 +112,7 @@ def train(
             bias -= rate * p / np.sqrt(bias_n)
     model = Languages(names, weights(z, n) * idf[:, None], bias, 1.0, bits)
     if len(kept):
-        logits = model.logits([texts[i] for i in kept])[0]
+        logits = np.concatenate([model.logits(some)[0] for some in parts([texts[i] for i in kept])])
         heats = np.exp(np.linspace(np.log(0.05), np.log(20), 200))
         losses = [-np.log(softmax(logits / t)[np.arange(len(kept)), y[kept]] + 1e-12).mean() for t in heats]
         model.temperature = float(heats[int(np.argmin(losses))])
@@ -134,14 +133,13 @@ def counted(words, bits: int):
         at = np.repeat(begin[own] - (np.cumsum(take) - take), take) + np.arange(take.sum())
         found, inverse = np.unique(bucket[at], return_inverse=True)
         tf = np.bincount(inverse, np.repeat(times, take), len(found))
-        yield found, (tf / max(tf.sum(), 1)).astype(np.float32)
+        yield found.astype(np.int32), (tf / max(tf.sum(), 1)).astype(np.float32)
 
 
-def fit(docs: DataFrame, lang: str = "lang", rows: int = 4000, chars: int = 12_000_000, text: str = "text") -> Languages:
+def fit(docs: DataFrame, lang: str = "lang", rows: int = 3000, chars: int = 8_000_000, text: str = "text") -> Languages:
     """Train on a bounded sample (`rows`, `chars`) of the documents with a language that are not held out."""
     labels = docs.where(labelled(docs)[1]).select("doc_id", F.col(f"`{lang}`").cast("string").alias("lang"))
-    _, texts, names = sample.labelled_sample(docs, labels, "doc_id", F.col("lang"), rows, chars, text)
-    return train(texts, names)
+    return sample.trained(docs, labels, "doc_id", F.col("lang"), rows, chars, text, train)
 
 
 def predict(docs: DataFrame, model: Languages, keep: list[str], text: str = "text") -> DataFrame:

@@ -1,33 +1,48 @@
-"""Bounded samples of labelled documents, the only rows that reach the driver."""
+"""Models trained on bounded samples of labelled documents."""
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .text import importable
+
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_: str, label: Column, rows: int, chars: int, text: str = "text"):
-    """At most `rows` labelled texts with `chars` characters in all: lists of ids, texts, labels.
+def trained(
+    docs: DataFrame, labels: DataFrame, id_: str, label: Column, rows: int, chars: int, text: str, train: Callable[[list, list], object]
+):
+    """What `train` makes of at most `rows` labelled texts with about `chars` characters in all.
 
-    Rows are taken in the order of a hash of their id, evenly from the different labels; null ids, texts and labels take
-    no part. Only ids are shuffled to find them: the texts are fetched with a broadcast of at most `rows` ids.
+    Rows are taken in the order of a hash of their id, evenly from the different labels; null ids, texts and labels take no
+    part. Only ids are shuffled to find them: the texts are fetched with a broadcast of at most `rows` ids. The bounded
+    sample is one task's input; the driver gets the model.
     """
+    importable(docs.sparkSession)
     ids = docs.select(F.col(f"`{id_}`").alias("id")).where("id IS NOT NULL").distinct()
     named = labels.select(F.col(f"`{id_}`").alias("id"), label.alias("label")).where("label IS NOT NULL").dropDuplicates()
     known = named.join(ids, "id")
-    kinds = [r[0] for r in known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(rows).collect()]
+    kinds = [r[0] for r in known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max(1, rows // 20)).collect()]
     order = [F.xxhash64("id"), F.col("id"), F.col("label")]
     chosen = None
-    for kind in kinds[: max(1, min(len(kinds), rows // 20))]:  # labels too many to give each twenty rows: the frequent ones
+    for kind in kinds:  # labels too many to give each twenty rows: the frequent ones
         some = known.where(F.col("label") == F.lit(kind)).orderBy(*order).limit(max(1, rows // len(kinds)))
         chosen = some if chosen is None else chosen.unionByName(some)
     if chosen is None:
-        return [], [], []
+        return train([], [])
     texts = docs.select(F.col(f"`{id_}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).where("text IS NOT NULL")
-    found, total = ([], [], []), 0
-    for r in texts.join(F.broadcast(chosen), "id").orderBy(*order).toLocalIterator():
-        total += len(r.text)
-        if total > chars and found[0]:
-            break
-        for column, value in zip(found, (r.id, r.text, r.label)):
-            column.append(value)
-    return found
+    taken = texts.join(F.broadcast(chosen), "id").select("id", "label", "text").repartition(1).sortWithinPartitions(*order, F.xxhash64("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, known, total = [], [], 0
+        for batch in batches:
+            for t, y in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
+                if not found or total + len(t) <= chars:
+                    total += len(t)
+                    found.append(t)
+                    known.append(y)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(found, known))], pa.binary())], names=["model"])
+
+    return pickle.loads(taken.mapInArrow(run, "model binary").first()[0])

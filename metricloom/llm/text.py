@@ -71,6 +71,19 @@ def pieces(column: pa.Array, size: int = CHUNK) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:]) if b > a]
 
 
+def parts(texts: list, size: int = CHUNK) -> Iterator[list]:
+    """Consecutive stretches of a list of texts with about `size` characters."""
+    some, total = [], 0
+    for t in texts:
+        some.append(t)
+        total += len(t or "")
+        if total >= size:
+            yield some
+            some, total = [], 0
+    if some:
+        yield some
+
+
 @lru_cache(1)
 def classes() -> np.ndarray:
     """For every code point whether it is a white space of `[\\x20\\x09-\\x0D]`, a letter, a digit, an upper case letter."""

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from . import sample
-from .text import Flat, labelled, over_texts, segment_sums
+from .text import Flat, labelled, over_texts, parts, segment_sums
 
 SIZES = range(3, 6)
 
@@ -72,23 +72,17 @@ def train(
     document all count as toxic, afterwards only the highest; those of clean documents always count as clean.
     """
     y = np.asarray(labels, np.int64)
-    words = Flat(texts).words().unrepeated()
-    if not len(words.starts) or len(set(y.tolist())) < 2:
+    which, tokens, member, number = vocabulary(texts, bits)
+    if not len(which) or len(set(y.tolist())) < 2:
         share = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.0
         return Bags(np.zeros(1 << bits, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3))), passage, bits)
-    grams, which = words.distinct()
-    listed = list(grams.buckets(SIZES, bits, whole=True))
-    owner = np.concatenate([np.repeat(np.arange(grams.n, dtype=np.int32), c) for _, c in listed])
-    member = np.concatenate([b for b, _ in listed]).astype(np.int32)[np.argsort(owner, kind="stable")]
-    number = np.bincount(owner, minlength=grams.n)
     begin = np.cumsum(number) - number
-    del listed, owner
 
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.05, (1 << bits, dim)).astype(np.float32)
     softmax, bias = rng.normal(0, 0.3, (dim, 2)).astype(np.float32), np.zeros(2, np.float32)
     seen = [np.full(1 << bits, 1e-12, np.float32), np.full((dim, 2), 1e-6, np.float32), np.full(2, 1e-6, np.float32)]
-    first, counts, of = passages(words.counts, passage)
+    first, counts, of = passages(tokens, passage)
 
     def step(chosen: np.ndarray, weight: np.ndarray) -> None:
         tokens, sizes = which[stretches(first[chosen], counts[chosen])], counts[chosen]
@@ -129,6 +123,30 @@ def train(
     return Bags(vectors @ (softmax[:, 1] - softmax[:, 0]), float(bias[1] - bias[0]), passage, bits)
 
 
+def vocabulary(texts: list, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of all texts in reading order (numbers of different words) and their count per text; for the different
+    words the buckets of their subwords in a row, and how many each has."""
+    hashes, members, numbers, which, tokens, seen = [], [], [], [], [], 0
+    for some in parts(texts):
+        words = Flat(some).words().unrepeated()
+        grams, local = words.distinct()
+        listed = list(grams.buckets(SIZES, bits, whole=True))
+        owner = np.concatenate([np.repeat(np.arange(grams.n, dtype=np.int32), c) for _, c in listed])
+        members.append(np.concatenate([b for b, _ in listed]).astype(np.int32)[np.argsort(owner, kind="stable")])
+        numbers.append(np.bincount(owner, minlength=grams.n))
+        hashes.append(grams.hash)
+        which.append(local + seen)
+        tokens.append(words.counts)
+        seen += grams.n
+    none = np.zeros(0, np.int64)
+    if not seen:
+        return none, np.concatenate([none, *tokens]), none, none
+    _, index, inverse = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    number = np.concatenate(numbers)
+    member = np.concatenate(members)[stretches((np.cumsum(number) - number)[index], number[index])]
+    return inverse[np.concatenate(which)].astype(np.int32), np.concatenate(tokens), member, number[index]
+
+
 def stretches(begin: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Positions of consecutive stretches."""
     return np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
@@ -146,11 +164,10 @@ def spread(grads: np.ndarray, counts: np.ndarray, member: np.ndarray, n: int) ->
     return np.add.reduceat(each[order], np.searchsorted(member[order], np.arange(n)), axis=0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 4000, chars: int = 16_000_000) -> Bags:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 3000, chars: int = 10_000_000, text: str = "text") -> Bags:
     """Train on a bounded sample (`rows`, `chars`) of the labelled documents that are not held out."""
     learn = labels.where(labelled(labels)[1])
-    _, texts, y = sample.labelled_sample(docs, learn, "doc_id", F.col(f"`{label}`").cast("int"), rows, chars)
-    return train(texts, y)
+    return sample.trained(docs, learn, "doc_id", F.col(f"`{label}`").cast("int"), rows, chars, text, train)
 
 
 def score(docs: DataFrame, model: Bags, keep: list[str], text: str = "text") -> DataFrame:
