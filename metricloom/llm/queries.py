@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language, mixing, quality, sharding, topk, toxicity
+from . import language, mixing, packing, quality, sharding, topk, toxicity, urls
 from .text import labelled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,71 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words().alias("size"))
     mix = mixing.mix(docs, F.col("size"), "source")
     return mix.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def list_entries(pages: DataFrame) -> DataFrame:
+    """Dated list entries made from the pages: every site's digest says on which lists it was, and when."""
+    site = F.regexp_extract(urls.host(F.col("url")), r"([^.]+\.[^.]+)$", 1)
+    whole = urls.host(F.col("url"))
+    path = F.concat(whole, F.lit("/"), urls.segment(F.col("url")))
+    named = [pages.select(key.alias("key")).where(F.col("key").isNotNull() & (F.col("key") != "")) for key in (site, whole, path)]
+    known = named[0].union(named[1]).union(named[2]).distinct()
+    number = lambda at: F.conv(F.substring(F.md5("key"), at, 4), 16, 10).cast("int")
+    drawn = known.withColumns({"a": number(1), "b": number(5), "c": number(9)}).where("a % 3 = 0")
+    name = F.element_at(F.array(F.lit("spam"), F.lit("adult"), F.lit("malware"), F.lit("allow")), F.col("b") % 4 + 1)
+    day = lambda days: F.date_add(F.lit("2023-01-01").cast("date"), days.cast("int"))
+    added, removed = F.col("b") % 300, F.col("b") % 300 + 30 + F.col("c") % 200
+    events = F.array(
+        F.struct(F.lit("add").alias("action"), day(added).alias("day")),
+        F.struct(F.lit("remove").alias("action"), day(removed).alias("day")),
+        F.struct(F.when(F.col("c") % 2 == 0, "add").otherwise("none").alias("action"), day(removed + 40).alias("day")),
+    )
+    return drawn.select(name.alias("list"), "key", F.explode(events).alias("event")).select("list", "key", "event.action", "event.day")
+
+
+@query
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages were fetched one after the other in 2023 and 2024; lists as in `list_entries`."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    fetched = F.date_add(F.lit("2023-01-01").cast("date"), (F.col("page_id") % 730).cast("int"))
+    found = urls.judged(pages.withColumn("fetched", fetched), "url", "fetched", list_entries(pages))
+    return found.select("row.page_id", F.col("row.fetched").cast("string").alias("fetched"), "host", "blocked", F.array_join("lists", ",").alias("lists"))
+
+
+ORACLE["op9_url_filters"] = r"""
+WITH p AS (
+  SELECT page_id, DATE '2023-01-01' + CAST(page_id % 730 AS INTEGER) AS fetched,
+    nullif(regexp_replace(lower(regexp_extract(trim(url), '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.+$', ''), '') AS host,
+    coalesce(regexp_extract(trim(url), '^(?:[^/?#]*:)?//[^/?#]*/([^/?#]+)', 1), '') AS segment FROM pages),
+k AS (
+  SELECT regexp_extract(host, '([^.]+\.[^.]+)$', 1) AS key FROM p WHERE host IS NOT NULL
+  UNION SELECT host FROM p WHERE host IS NOT NULL UNION SELECT host || '/' || segment FROM p WHERE host IS NOT NULL),
+n AS (
+  SELECT key, CAST('0x' || substr(md5(key), 1, 4) AS INTEGER) AS a, CAST('0x' || substr(md5(key), 5, 4) AS INTEGER) AS b,
+    CAST('0x' || substr(md5(key), 9, 4) AS INTEGER) AS c FROM k WHERE key <> ''),
+spans AS (
+  SELECT ['spam', 'adult', 'malware', 'allow'][b % 4 + 1] AS list, key, DATE '2023-01-01' + b % 300 AS since,
+    DATE '2023-01-01' + (b % 300 + 30 + c % 200) AS until FROM n WHERE a % 3 = 0
+  UNION ALL
+  SELECT ['spam', 'adult', 'malware', 'allow'][b % 4 + 1], key, DATE '2023-01-01' + (b % 300 + 70 + c % 200), DATE '9999-12-31'
+  FROM n WHERE a % 3 = 0 AND c % 2 = 0),
+asked AS (
+  SELECT page_id, fetched, array_to_string(list_slice(l, i, len(l)), '.') AS key, len(l) - i + 1 AS rank
+  FROM (SELECT *, string_split(host, '.') AS l, unnest(range(1, greatest(len(string_split(host, '.')), 2))) AS i FROM p WHERE host IS NOT NULL)
+  UNION ALL SELECT page_id, fetched, host || '/' || segment, 1000 FROM p WHERE host IS NOT NULL AND segment <> ''),
+hit AS (
+  SELECT page_id, max(rank) FILTER (WHERE list <> 'allow') AS denied, max(rank) FILTER (WHERE list = 'allow') AS allowed,
+    array_to_string(list_sort(list_distinct(list(list))), ',') AS lists
+  FROM asked JOIN spans USING (key) WHERE fetched >= since AND fetched < until GROUP BY page_id)
+SELECT page_id, strftime(fetched, '%Y-%m-%d') AS fetched, host, denied IS NOT NULL AND coalesce(allowed, -1) < denied AS blocked, coalesce(lists, '') AS lists
+FROM p LEFT JOIN hit USING (page_id)
+"""
+
+
+@query
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    packed = packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), ["doc_id"]))
+    return packed.select("row.doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

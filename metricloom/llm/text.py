@@ -123,7 +123,8 @@ class Flat:
     def __init__(self, texts: list, lower: bool = True):
         texts = ["" if t is None else t.lower() if lower else t for t in texts]
         self.lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        self.codes = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.text = "\n".join(texts) + "\n"
+        self.codes = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths + 1)])[:-1]
         self.n = len(texts)
 
@@ -217,6 +218,11 @@ class Grams:
                 yield (mixed(h[valid] + U(n)) >> U(64 - bits)).astype(np.int64), np.maximum(self.lengths - n + 1, 0)
 
 
+def stretches(begin: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Positions of consecutive stretches."""
+    return np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
 def segment_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Sums of consecutive stretches of the given lengths; empty stretches give 0."""
     sums = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, 0, dtype=np.float64)])

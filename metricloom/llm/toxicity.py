@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from . import sample
-from .text import Flat, labelled, over_texts, parts, segment_sums
+from .text import Flat, labelled, over_texts, parts, segment_sums, stretches
 
 SIZES = range(3, 6)
 
@@ -147,11 +147,6 @@ def vocabulary(texts: list, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return inverse[np.concatenate(which)].astype(np.int32), np.concatenate(tokens), member, number[index]
 
 
-def stretches(begin: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Positions of consecutive stretches."""
-    return np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-
-
 def means(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Means of consecutive stretches, none of them empty."""
     return np.add.reduceat(values, np.cumsum(counts) - counts, axis=0) / counts[:, None].astype(np.float32)
