@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language, mixing, packing, quality, sharding, topk, toxicity, urls
+from . import fingerprints, language, mixing, packing, quality, sharding, topk, toxicity, urls
 from .text import labelled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,9 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     packed = packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), ["doc_id"]))
     return packed.select("row.doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fingerprints.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    return made.select("row.doc_id", *[c for c in made.columns if c != "row"])
