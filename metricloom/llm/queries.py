@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprints, language, mixing, packing, quality, sharding, topk, toxicity, urls
+from . import fingerprints, jaccard, language, mixing, packing, quality, sharding, topk, toxicity, urls
 from .text import labelled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +150,9 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fingerprints.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
     return made.select("row.doc_id", *[c for c in made.columns if c != "row"])
+
+
+@query
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return joined.select("row.doc_id", *[c for c in joined.columns if c != "row"])
