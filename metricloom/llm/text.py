@@ -158,6 +158,13 @@ class Words:
         self.counts = np.diff(np.append(first, len(starts)))
         self.of = np.repeat(np.arange(flat.n), self.counts)
 
+    def trimmed(self) -> "Words":
+        """Without what stands before the first and after the last letter or digit; words without any fall away."""
+        at = np.flatnonzero(classes()[self.flat.codes] & (LETTER | DIGIT))
+        first, last = np.searchsorted(at, self.starts), np.searchsorted(at, self.ends) - 1
+        some = first <= last
+        return Words(self.flat, at[first[some]], at[last[some]] + 1)
+
     def unrepeated(self) -> "Words":
         """Without words that repeat the word before them."""
         again = np.diff(self.hash, prepend=self.hash[:1] + U(1)) == 0

@@ -30,7 +30,7 @@ class Bags:
 
     def margins(self, texts: list) -> np.ndarray:
         """Highest margin of any passage; texts without words get the bias alone."""
-        words = Flat(texts).words().unrepeated()
+        words = Flat(texts).words().trimmed().unrepeated()
         out = np.full(len(texts), self.bias)
         if not len(words.starts):
             return out
@@ -128,7 +128,7 @@ def vocabulary(texts: list, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     words the buckets of their subwords in a row, and how many each has."""
     hashes, members, numbers, which, tokens, seen = [], [], [], [], [], 0
     for some in parts(texts):
-        words = Flat(some).words().unrepeated()
+        words = Flat(some).words().trimmed().unrepeated()
         grams, local = words.distinct()
         listed = list(grams.buckets(SIZES, bits, whole=True))
         owner = np.concatenate([np.repeat(np.arange(grams.n, dtype=np.int32), c) for _, c in listed])
