@@ -21,21 +21,24 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..plans.settle import settle
 from .rows import numbered
-from .text import Flat, importable, parts, segment_sums, stretches
+from .text import LETTER, SPACE, Flat, Words, classes, importable, parts, segment_sums, stretches
 
 SEQUENCE = 2048
 # Lengths above a share of the sequence are large, and are rounded in so many groups: the schemes of which the best is kept.
 SCHEMES = [(share, groups) for share in (1 / 5, 1 / 4, 1 / 3, 0.4999) for groups in (5, 10, 20, 40)]
-# Words whose ids a worker remembers.
-KNOWN = 800_000
+# Units whose ids a worker remembers.
+KNOWN = 2_000_000
 
 
 class Tokens:
-    """Token ids of texts (little-endian bytes, 32 bits each), put together from the ids of their words.
+    """Token ids of texts (little-endian bytes, 32 bits each), put together from the ids of their units.
 
-    The tokenizer's pre-tokens never reach across white space and its normaliser, which lower-cases, maps white space to
-    white space. So the ids of a text are those of its runs of anything but ASCII white space, and these repeat.
+    The tokenizer's normaliser lower-cases and maps white space to white space, and its pre-tokens never reach across white
+    space, nor from letters to ASCII digits or marks other than an apostrophe. So the ids of a text are those of the units
+    between such places, and units repeat. A worker remembers them by their 64-bit hashes: sorted hashes, and for each where
+    its ids lie.
     """
 
     def __init__(self, path: str):
@@ -43,35 +46,79 @@ class Tokens:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def learn(self, words: list[str]) -> None:
-        """Encode a thousand words at a time; a token belongs to the word in which it begins."""
-        for at in range(0, len(words), 1000):
-            some = words[at : at + 1000]
-            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            begin = np.cumsum([0, *[len(w) + 1 for w in some]])
-            starts = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
-            cuts = 4 * np.searchsorted(starts, begin)
-            ids = np.array(found.ids, "<u4").tobytes()
-            for word, a, b in zip(some, cuts.tolist(), cuts[1:].tolist()):
-                self.known[word] = ids[a:b]
+        vocabulary = self.tokenizer.get_vocab()
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a pre-token
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes, self.begin, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
+
+    def encode(self, units: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units in a row, and their number per unit. Units of letters only are one pre-token each, which its
+        last token tells; others are told apart by the place where a token begins."""
+        counts, found = np.zeros(len(units), np.int64), [np.zeros(0, np.uint32)] * len(units)
+        for kind in (True, False):
+            which = np.flatnonzero(letters == kind)
+            for at in range(0, len(which), 1000):
+                some = which[at : at + 1000]
+                words = [units[i] for i in some]
+                text = " ".join(words)
+                if kind:
+                    ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+                    cuts = np.concatenate([[0], np.flatnonzero(self.last[ids]) + 1])
+                if not kind or len(cuts) != len(some) + 1:
+                    made = self.tokenizer.encode(text, add_special_tokens=False)
+                    ids, starts = np.array(made.ids, np.uint32), np.array(made.offsets, np.int64).reshape(-1, 2)[:, 0]
+                    cuts = np.searchsorted(starts, np.cumsum([0, *[len(w) + 1 for w in words]]))
+                counts[some] = np.diff(cuts)
+                for i, x, y in zip(some.tolist(), cuts.tolist(), cuts[1:].tolist()):
+                    found[i] = ids[x:y]
+        return np.concatenate([np.zeros(0, np.uint32), *found]), counts
+
+    def learn(self, hashes: np.ndarray, units: list[str], letters: np.ndarray) -> None:
+        ids, counts = self.encode(units, letters)
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        begin = self.used + np.cumsum(counts) - counts
+        self.used += len(ids)
+        every = np.concatenate([self.hashes, hashes])
+        order = np.argsort(every, kind="stable")
+        self.hashes = every[order]
+        self.begin, self.count = np.concatenate([self.begin, begin])[order], np.concatenate([self.count, counts])[order]
 
     def ids(self, texts: list) -> list[bytes]:
         flat = Flat([lowered(t) for t in texts], lower=False)
-        words = flat.words()
-        _, index, which = np.unique(words.hash, return_index=True, return_inverse=True)
-        spans = zip(words.starts[index].tolist(), words.ends[index].tolist())
-        distinct = [flat.text[a:b] for a, b in spans]
-        if len(self.known) > KNOWN:
-            self.known.clear()
-        self.learn([w for w in distinct if w not in self.known])
-        found = [self.known[w] for w in distinct]
-        number = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        every = np.frombuffer(b"".join(found), "<u4")
-        counts = number[which]
-        ids = every[stretches((np.cumsum(number) - number)[which], counts)].tobytes()
-        cuts = 4 * np.concatenate([[0], np.cumsum(segment_sums(counts, words.counts).astype(np.int64))])
+        kinds = classes()[flat.codes]
+        # U+0130 is lowered to a letter and a mark.
+        letter, other = ((kinds & LETTER) != 0) & (flat.codes != 0x130), (kinds & SPACE) == 0
+        mark = other & ~letter & (flat.codes < 128) & (flat.codes != ord("'"))
+        if any(t in flat.text for t in self.special):
+            mark[:] = False  # special tokens are made of marks and letters: units are then only cut at white space
+        cut = np.zeros(len(other) + 1, bool)
+        cut[1:-1] = (letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:]) | (other[:-1] != other[1:])
+        cut[0] = cut[-1] = True
+        edges = np.flatnonzero(cut)
+        inside = other[edges[:-1]]
+        units = Words(flat, edges[:-1][inside], edges[1:][inside])
+        hashes, index, which = np.unique(units.hash, return_index=True, return_inverse=True)
+        if len(self.hashes) > KNOWN:
+            self.forget()
+        new = np.ones(len(hashes), bool)
+        if len(self.hashes):
+            new = self.hashes[np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)] != hashes
+        if new.any():
+            starts, ends = units.starts[index[new]], units.ends[index[new]]
+            before = np.concatenate([[0], np.cumsum(letter)])
+            strings = [flat.text[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+            self.learn(hashes[new], strings, before[ends] - before[starts] == ends - starts)
+        at = np.searchsorted(self.hashes, hashes)[which]
+        counts = self.count[at]
+        ids = self.pool[stretches(self.begin[at], counts)].astype("<u4").tobytes()
+        cuts = 4 * np.concatenate([[0], np.cumsum(segment_sums(counts, units.counts).astype(np.int64))])
         return [ids[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
 
 
@@ -255,6 +302,7 @@ def pack(cut: DataFrame) -> DataFrame:
     broadcast are the runs of the plan, whose number depends on SEQUENCE and not on the table.
     """
     importable(cut.sparkSession)
+    cut = settle(cut)  # numbering reads it twice
     made = numbered(cut.withColumn("h", F.xxhash64("row", "piece", "ids_crc32")), ["length", "h"])
     counts = {r[0]: r[1] for r in made.groupBy("length").count().collect()}  # SEQUENCE rows at most
     runs = np.array(sorted(plan(counts).placed), np.int64).reshape(-1, 4)

@@ -25,7 +25,7 @@ class Bags:
 
     toxic: np.ndarray
     bias: float
-    passage: int = 8
+    passage: int = 4
     bits: int = 18
 
     def margins(self, texts: list) -> np.ndarray:
@@ -64,7 +64,7 @@ def word_means(grams, value, bits: int) -> np.ndarray:
 
 
 def train(
-    texts: list, labels: list, dim: int = 8, bits: int = 18, passage: int = 8, steps: int = 1500, rate: float = 0.1, seed: int = 7
+    texts: list, labels: list, dim: int = 8, bits: int = 18, passage: int = 4, steps: int = 1500, rate: float = 0.1, seed: int = 7
 ) -> Bags:
     """Fit on texts with labels 0/1. Without examples of both classes the bias alone answers.
 
