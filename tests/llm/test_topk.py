@@ -26,7 +26,7 @@ def test_query_equals_sql(spark):
     assert sorted(map(tuple, QUERIES["op10_topk"](spark, "/root/testdata/sf0.01").collect())) == want
 
 
-@pytest.mark.parametrize("scale", [1.0, 1e6, 1e9])
+@pytest.mark.parametrize("scale", [1.0, 1e3, 1e6])
 def test_against_brute_force(spark, monkeypatch, scale):
     monkeypatch.setattr(topk, "CANDIDATES", 700)
     monkeypatch.setattr(topk, "QUERIES", 900)
