@@ -29,6 +29,10 @@ from .components import components
 from .text import Flat, U, importable, mixed, over_texts, segment_sums
 
 
+# So many candidate classes (about 100 bytes each) are broadcast to the texts; more meet them by key.
+FEW = 100_000
+
+
 @dataclass(frozen=True)
 class Settings:
     """`values` MinHash values in bands of `band`; at similarity s a pair is no candidate with probability
@@ -279,6 +283,8 @@ def _verified(docs: DataFrame, member: DataFrame, id_: str, text: str, s: Settin
     other): a spanning forest of the links."""
     from_docs = docs.select(F.col(f"`{id_}`").alias("id"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("tid"), F.col(f"`{text}`").alias("text"))
     wanted = member.select(F.col("class_id").alias("wid"), F.col("tid").alias("wtid"), "key", "component", "copies")
+    if member.count() <= FEW:
+        wanted = F.broadcast(wanted)
     texts = from_docs.join(wanted, F.col("id").eqNullSafe(F.col("wid")) & (F.col("tid") == F.col("wtid")))
     again = over_texts(texts, "text", ["key", "component", "copies"], lambda t: [listed(shingled(t, s.words)[1])], "shingles array<bigint>")
     sets = settle(again.select("row.*", "shingles").dropDuplicates(["key"]))

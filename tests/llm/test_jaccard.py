@@ -81,10 +81,12 @@ def family():
     return rows
 
 
-def test_large_group_in_blocks(spark, family):
+def test_large_group_in_blocks(spark, family, monkeypatch):
+    monkeypatch.setattr(jaccard, "FEW", 0)
     docs = spark.createDataFrame(family, "doc_id long, text string")
     small = jaccard.Settings(block=16, weight=3000)
     got = found(jaccard.join(docs, s=small))
+    monkeypatch.undo()
     assert got == expected(family) == found(jaccard.join(docs))
 
 
