@@ -1,8 +1,8 @@
 """Classification and rule-based translation of measure texts.
 
 Rules are column expressions applied to every row of a catalog. A text is rewritten from its
-innermost calls outwards, a fixed number of rounds; what no rule covers stays visible as an open
-parenthesis and is reported as `untranslated`, never guessed.
+innermost calls outwards; what no rule covers stays visible as an open parenthesis or a free comma
+and is reported as `untranslated`, never guessed.
 """
 
 from __future__ import annotations
@@ -26,8 +26,6 @@ PATTERNS = [
 # ( ) , of finished calls; the filter list of an aggregate; parentheses inside conditions; a literal.
 OPEN, CLOSE, COMMA, FILTERS, AND, COND_OPEN, COND_CLOSE, LIT = "⟨", "⟩", "‚", "‖", "¦", "⟦", "⟧", "§"
 
-ROUNDS = 12
-
 ARG = r"([^(),]*)"
 AGG = r"(?:SUM|COUNT|AVG|MIN|MAX)⟨[^⟨⟩]*⟩"
 GROUP = "⟨[^⟨⟩]*⟩"
@@ -151,22 +149,30 @@ def _mdx_names(text: Column) -> Column:
         text,
         r"\[Measures\]\.\[[^\]]+\]",
         lambda r: F.when(
-            (F.size(columns) == 0) | F.array_contains(columns, last(r)), F.concat(F.lit("SUM("), last(r), F.lit(")"))
+            F.array_contains(columns, last(r)), F.concat(F.lit("SUM("), last(r), F.lit(")"))
         ).otherwise(r),
     )
 
 
 def _filter_all(call: Column, conditions: Column) -> Column:
     """Add conditions (separated by commas) to the filter list of every aggregate in a text."""
-    cond = F.array_join(F.transform(F.split(conditions, ","), lambda x: F.trim(x)), AND)
-    cond = F.regexp_replace(cond, r"\s*&&\s*", AND)
-    cond = F.regexp_replace(F.replace(cond, F.lit("=="), F.lit("=")), r"\s*(<>|>=|<=|=|<|>)\s*", " $1 ")
-    cond = F.regexp_replace(cond, r"^(.*)\|\|(.*)$", f"{COND_OPEN}$1||$2{COND_CLOSE}")
-    cond = F.regexp_replace(cond, r"\s*\|\|\s*", " OR ")
+
+    def one(x: Column) -> Column:
+        x = F.regexp_replace(F.trim(x), r"\s*&&\s*", " AND ")
+        x = F.regexp_replace(F.replace(x, F.lit("=="), F.lit("=")), r"\s*(<>|>=|<=|=|<|>)\s*", " $1 ")
+        either = F.concat(F.lit(COND_OPEN), F.regexp_replace(x, r"\s*\|\|\s*", " OR "), F.lit(COND_CLOSE))
+        return F.when(x.contains("||"), either).otherwise(x)
+
+    cond = F.array_join(F.transform(F.split(conditions, ","), one), AND)
     safe = F.replace(F.replace(cond, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
     return F.regexp_replace(call, F.lit(r"‖([^‖⟩]*)⟩"), F.concat(F.lit("‖$1¦"), safe, F.lit("⟩")))
 
 
+def _conditions_only(given: Column) -> Column:
+    """Every argument compares something."""
+    return F.forall(F.split(given, ","), lambda x: x.rlike(r"(?i)[=<>]| IN ⟦"))
+
+
 def _apply_filters(value: Column, pattern: str, inner: int, conds: int) -> Column:
     """Rewrite the first call that matches as its inner expression under conditions."""
 
@@ -178,7 +184,34 @@ def _apply_filters(value: Column, pattern: str, inner: int, conds: int) -> Colum
         done = F.regexp_replace(
             F.concat(F.lit(OPEN), _filter_all(body, given), F.lit(CLOSE)), f"^⟨({AGG})⟩$", "$1"
         )
-        return F.when((call != "") & body.contains(FILTERS), F.replace(acc, call, done)).otherwise(acc)
+        usable = (call != "") & body.contains(FILTERS) & _conditions_only(given)
+        return F.when(usable, F.replace(acc, call, done)).otherwise(acc)
+
+    return _bind(value, rewritten)
+
+
+def _lists(text: Column) -> Column:
+    """`IN {1, 2}` with marks instead of braces and commas; TRUE() and BLANK() without parentheses."""
+    text = _each(text, r"(?i)\bIN\s*\{[^{}]*\}", lambda r: F.concat(F.lit("IN "), F.translate(F.regexp_extract(r, r"\{.*\}", 0), "{},", COND_OPEN + COND_CLOSE + COMMA)))
+    return F.regexp_replace(F.regexp_replace(text, r"(?i)\bTRUE\(\s*\)", "TRUE"), r"(?i)\bBLANK\(\s*\)", "NULL")
+
+
+def _switch(value: Column) -> Column:
+    """SWITCH(x, v, r, ..., other) as CASE x WHEN v THEN r ..., and CASE WHEN for SWITCH(TRUE, ...)."""
+
+    def rewritten(acc: Column) -> Column:
+        call = F.regexp_extract(acc, r"(?i)\bSWITCH\(([^()]*)\)", 0)
+        given = F.transform(F.split(F.regexp_extract(call, r"\((.*)\)", 1), ","), lambda x: F.trim(x))
+        subject, rest = F.get(given, F.lit(0)), F.slice(given, F.lit(2), F.greatest(F.size(given) - 1, F.lit(0)))
+        arms = F.transform(
+            F.filter(rest, lambda x, i: (i % 2 == 0) & (i + 1 < F.size(rest))),
+            lambda x, i: F.concat(F.lit("WHEN "), x, F.lit(" THEN "), F.get(rest, i * 2 + 1)),
+        )
+        head = F.when(F.upper(subject) == "TRUE", F.lit("CASE ")).otherwise(F.concat(F.lit("CASE "), subject, F.lit(" ")))
+        other = F.when(F.size(rest) % 2 == 1, F.concat(F.lit(" ELSE "), F.element_at(rest, -1))).otherwise(F.lit(""))
+        done = F.concat(head, F.array_join(arms, " "), other, F.lit(" END"))
+        usable = (call != "") & call.contains(FILTERS) & (F.size(given) > 2)
+        return F.when(usable, F.replace(acc, call, done)).otherwise(acc)
 
     return _bind(value, rewritten)
 
@@ -204,14 +237,22 @@ def _round(acc: Column, mdx: Column) -> Column:
     acc = _apply_filters(acc, rf"(?i)\bCALCULATE\({ARG},([^()⟨⟩]*)\)", 1, 2)
     acc = _apply_filters(acc, r"(?i)\bIIF\(\s*(\w+ = §\d+§)\s*,([^(),]*),\s*NULL\s*\)", 2, 1)
     acc = _apply_filters(acc, r"(?<!\w)\(((?:\s*\w+ = §\d+§\s*,)+)([^(),]*)\)", 2, 1)
-    sub(rf"(?i)^\s*DIVIDE\(\s*([^(),]+?)\s*,\s*([^(),]+?)\s*(?:,[^(),]*)?\)\s*$", "$1 / NULLIF⟨$2‚ 0⟩")
-    sub(rf"(?i)\bDIVIDE\(\s*([^(),]+?)\s*,\s*([^(),]+?)\s*(?:,[^(),]*)?\)", "⟨$1 / NULLIF⟨$2‚ 0⟩⟩")
+    # CALCULATE without conditions, as it is left when a time function was taken out.
+    sub(rf"(?i)\bCALCULATE\(\s*({AGG})\s*\)", "$1")
+    sub(r"(?i)\bCALCULATE\(\s*([^(),]*‖[^(),]*?)\s*\)", "⟨$1⟩")
+    # Zero denominators give the alternate; none, 0 and NULL are the plain NULL.
+    two, none = r"\s*([^(),]+?)\s*,\s*([^(),]+?)\s*", r"(?:,\s*(?:0(?:\.0*)?|NULL|)\s*)?"
+    sub(rf"(?i)^\s*DIVIDE\({two}{none}\)\s*$", "$1 / NULLIF⟨$2‚ 0⟩")
+    sub(rf"(?i)\bDIVIDE\({two}{none}\)", "⟨$1 / NULLIF⟨$2‚ 0⟩⟩")
+    sub(rf"(?i)\bDIVIDE\({two},\s*([^(),]+?)\s*\)", "COALESCE⟨$1 / NULLIF⟨$2‚ 0⟩‚ $3⟩")
+    acc = _switch(acc)
+    sub(r"(?i)\bI?IF\(\s*([^(),]*‖[^(),]*?)\s*,\s*([^(),]+?)\s*\)", "CASE WHEN $1 THEN $2 END")
     sub(
         r"(?i)\bI?IF\(\s*([^(),]*‖[^(),]*?)\s*,\s*([^(),]+?)\s*,\s*([^(),]+?)\s*\)",
         "CASE WHEN $1 THEN $2 ELSE $3 END",
     )
     sub(rf"(?<![\w⟩])\(\s*({AGG}|{GROUP})\s*\)", "$1")
-    sub(r"(?<![\w⟩])\(\s*([^(),]+?)\s*\)", "⟨$1⟩")
+    sub(rf"(?<![\w⟩])\((?!\s*(?:{AGG}|{GROUP})\s*\))\s*([^(),]+?)\s*\)", "⟨$1⟩")
     return acc
 
 
@@ -223,37 +264,45 @@ def _finish(text: Column) -> Column:
     return F.translate(text, OPEN + CLOSE + COMMA + COND_OPEN + COND_CLOSE, "(),()")
 
 
-# Wrappers around a whole measure. The inner expression is what stays.
+# Wrappers around a whole measure, and what stays of it. A date column is table[column]; what else a time function is given
+# are conditions, or no rule applies.
+DATES = r"(?:'[^']+'|\w+)\[[^\]]+\]"
+CONDITIONS = r"([^()]*[=<>][^()]*|[^()]*\bIN\s*\{[^()]*)"
+SHIFT = r"(?:SAMEPERIODLASTYEAR|DATEADD|LASTDATE)\([^()]*\)"
 TO_DATE = [
-    r"(?is)^TOTAL(?:YTD|QTD|MTD)\((.+),[^(),]+\)$",
-    r"(?is)^(?:AGGREGATE|SUM)\(\s*(?:PERIODSTODATE|YTD)\([^()]*\)\s*,(.+)\)$",
+    (rf"(?is)^TOTAL(?:YTD|QTD|MTD)\((.+),\s*{DATES}\s*\)$", "$1"),
+    (rf"(?is)^TOTAL(?:YTD|QTD|MTD)\((.+?),\s*{DATES}\s*,{CONDITIONS}\)$", "CALCULATE($1,$2)"),
+    (r"(?is)^(?:AGGREGATE|SUM)\(\s*(?:PERIODSTODATE|YTD)\([^()]*\)\s*,(.+)\)$", "$1"),
 ]
 SHIFTED = [
-    r"(?is)^CALCULATE\((.+),\s*SAMEPERIODLASTYEAR\([^()]*\)\s*\)$",
-    r"(?is)^\(\s*PARALLELPERIOD\([^()]*\)\s*,(.+)\)$",
-    r"(?is)^CALCULATE\((.+),\s*DATEADD\([^()]*\)\s*\)$",
-    r"(?is)^AVG\(\s*LASTPERIODS\([^()]*\)\s*,(.+)\)$",
-    r"(?is)^\(\s*CLOSINGPERIOD\([^()]*\)\s*,(.+)\)$",
-    r"(?is)^CALCULATE\((.+),\s*LASTDATE\([^()]*\)\s*\)$",
+    (rf"(?is)^CALCULATE\((.+),\s*{SHIFT}\s*\)$", "CALCULATE($1)"),
+    (rf"(?is)^CALCULATE\((.+?),\s*{SHIFT}\s*,{CONDITIONS}\)$", "CALCULATE($1,$2)"),
+    (r"(?is)^\(\s*(?:PARALLELPERIOD|CLOSINGPERIOD)\([^()]*\)\s*,(.+)\)$", "$1"),
+    (r"(?is)^AVG\(\s*LASTPERIODS\([^()]*\)\s*,(.+)\)$", "AVG($1)"),
 ]
 
 
-def _unwrap(text: Column, patterns: list[str]) -> Column:
-    for p in patterns:
-        text = F.trim(F.regexp_replace(text, p, "$1"))
-    return text
+def _unwrap(text: Column) -> Column:
+    """The measure inside a time function; one wrapper at most, as a window stands for one."""
+    out = F.when(F.lit(False), text)
+    for pattern, inner in (*TO_DATE, *SHIFTED):
+        out = out.when(text.rlike(pattern), F.trim(F.regexp_replace(text, pattern, inner)))
+    return out.otherwise(text)
 
 
 def _window_range(text: Column) -> Column:
-    """Range that approximates a shifted or rolling period."""
-    back = F.regexp_extract(text, r"(?i)\bDATEADD\([^()]*,\s*-?(\d+)\s*,\s*\w+", 1)
-    unit = F.lower(F.regexp_extract(text, r"(?i)\bDATEADD\([^()]*,\s*-?\d+\s*,\s*(\w+)", 1))
-    last = F.regexp_extract(text, r"(?i)\bLASTPERIODS\(\s*(\d+)", 1)
+    """Range that approximates a shifted or rolling period; null where there is none."""
+    part = lambda pattern, i: F.regexp_extract(text, "(?i)" + pattern, i)
+    shift = r"\bDATEADD\([^()]*,\s*(-?)(\d+)\s*,\s*(\w+)"
+    level = r"\bPARALLELPERIOD\([^(),]*\[(\w+)\]\s*,\s*(-?)(\d+)"
+    rolling = part(r"\bLASTPERIODS\(\s*(\d+)", 1)
+    span = lambda ahead, n, unit: F.concat(F.when(ahead, "leading ").otherwise("trailing "), n, F.lit(" "), F.lower(unit))
     return (
-        F.when(text.rlike(r"(?i)\b(SAMEPERIODLASTYEAR|PARALLELPERIOD)\b"), "trailing 1 year")
-        .when(back != "", F.concat(F.lit("trailing "), back, F.lit(" "), unit))
-        .when(last != "", F.concat(F.lit("trailing "), last, F.lit(" month")))
-        .otherwise("current")
+        F.when(text.rlike(r"(?i)\bSAMEPERIODLASTYEAR\b"), "trailing 1 year")
+        .when(part(level, 3) != "", span(part(level, 2) == "-", part(level, 3), part(level, 1)))
+        .when(part(shift, 2) != "", span(part(shift, 1) == "", part(shift, 2), part(shift, 3)))
+        .when(rolling != "", F.concat(F.lit("trailing "), rolling, F.lit(" month")))
+        .when(text.rlike(r"(?i)\b(LASTDATE|CLOSINGPERIOD)\b"), "current")
     )
 
 
@@ -272,19 +321,21 @@ def translate_rules(staging: DataFrame) -> DataFrame:
     raw = F.trim(F.coalesce("resolved_expr", "measure_expr"))
     df = df.withColumn("class", classify(raw))
     df = df.withColumn("__raw", F.when(mdx, F.regexp_replace(raw, r"&\[([^\]]+)\]", '&"$1"')).otherwise(raw))
-    df = df.withColumn("__inner", _unwrap(_unwrap(F.col("__raw"), TO_DATE), SHIFTED))
+    df = df.withColumn("__inner", _unwrap(F.col("__raw")))
     quoted = r'"(?:[^"]|"")*"'
     df = df.withColumn("__lits", F.regexp_extract_all("__inner", F.lit(quoted), F.lit(0)))
     hidden = F.regexp_replace(_hide_literals(F.col("__inner"), F.col("__lits"), quoted), r"\s+", " ")
     df = df.withColumn("__text", hidden)
-    named = F.when(mdx, _mdx_names(F.col("__text"))).otherwise(_dax_columns(_variables(F.col("__text"))))
+    named = F.when(mdx, _mdx_names(F.col("__text"))).otherwise(_dax_columns(_variables(_lists(F.col("__text")))))
     df = df.withColumn("__text", named)
-    rounds = F.sequence(F.lit(1), F.lit(ROUNDS))
+    # A round closes the innermost parentheses, so there are never more rounds than parentheses.
+    opened = F.length("__text") - F.length(F.replace(F.col("__text"), F.lit("("), F.lit("")))
+    df = df.withColumn("__rounds", F.sequence(F.lit(0), opened))
     df = df.withColumn("__mdx", mdx)
     # A text without open parentheses is finished.
     step = lambda acc, i: F.when(acc.contains("("), _round(acc, F.col("__mdx"))).otherwise(acc)
-    df = df.withColumn("__text", F.aggregate(rounds, F.col("__text"), step))
-    closed = ~F.col("__text").rlike(r"[()\[\]{}]|(?i)\b(VAR|RETURN|BLANK|CURRENTMEMBER|ALL|VALUES)\b")
+    df = df.withColumn("__text", F.aggregate("__rounds", F.col("__text"), step))
+    closed = ~F.col("__text").rlike(r"[()\[\]{},]|(?i)\b(VAR|RETURN|BLANK|CURRENTMEMBER|ALL|VALUES)\b")
     translated = closed & F.col("__text").contains(FILTERS)
     sql = F.trim(_show_literals(_finish(F.col("__text")), F.col("__lits")))
     kind = F.col("class")
@@ -298,7 +349,9 @@ def translate_rules(staging: DataFrame) -> DataFrame:
     )
     df = df.withColumn("__cal", calendar)
     timed = kind.isin("window", "time_intelligence") & F.col("expr").isNotNull() & F.col("__cal").isNotNull()
-    df = df.withColumn("expr", F.when((kind == "window") & ~timed, None).otherwise(F.col("expr")))
+    span = _window_range(F.col("__raw"))
+    timed = timed & ((kind == "window") | span.isNotNull())
+    df = df.withColumn("expr", F.when(kind.isin("window", "time_intelligence") & ~timed, None).otherwise(F.col("expr")))
     period = F.lit("year")
     for fn, unit in PERIOD_OF.items():
         period = F.when(F.col("__raw").rlike(rf"(?i)\b{fn}\("), unit).otherwise(period)
@@ -310,7 +363,7 @@ def translate_rules(staging: DataFrame) -> DataFrame:
     df = df.withColumn(
         "window",
         F.when(timed & (kind == "window"), F.array(entry("date", "cumulative"), entry(period, "current")))
-        .when(timed, F.array(entry("date", _window_range(F.col("__raw")))))
+        .when(timed, F.array(entry("date", span)))
         .cast(WINDOW_TYPE),
     )
     df = df.withColumn("needs_window", F.col("window").isNotNull())
@@ -323,7 +376,8 @@ def translate_rules(staging: DataFrame) -> DataFrame:
     df = df.withColumn(
         "warning_message",
         F.when(kind == "unsupported", "no metric-view form")
-        .when(kind == "time_intelligence", "approximated by a window")
+        .when((kind == "time_intelligence") & F.col("expr").isNotNull(), "approximated by a window")
+        .when(kind == "time_intelligence", "no window stands for this expression")
         .when(F.col("expr").isNull(), "no rule covers this expression"),
     )
     cal = F.col("__cal")

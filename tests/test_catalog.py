@@ -100,6 +100,16 @@ DAX = [
     ("CALCULATE(COUNTROWS(Sales), Sales[Amount] > 1000, Sales[Status]<>\"It's\")",
      "COUNT(1) FILTER (WHERE amount > 1000 AND status <> 'It''s')"),
     ('CALCULATE(SUM(Sales[A]), Sales[B] = 1 || Sales[C] = 2)', "SUM(a) FILTER (WHERE (b = 1 OR c = 2))"),
+    ("CALCULATE(SUM(S[A]), S[B]=1 || S[C]=2, S[D]=3)", "SUM(s.a) FILTER (WHERE (s.b = 1 OR s.c = 2) AND s.d = 3)"),
+    ("CALCULATE(SUM(Sales[A]), Sales[B]=1 && Sales[C]=2 || Sales[D]=3, Sales[E]<>4)", "SUM(a) FILTER (WHERE (b = 1 AND c = 2 OR d = 3) AND e <> 4)"),
+    ('CALCULATE(SUM(Sales[A]), Sales[B] IN {"x, y", "z"}, Sales[C] IN {1, 2})', "SUM(a) FILTER (WHERE b IN ('x, y', 'z') AND c IN (1, 2))"),
+    ("DIVIDE(SUM(Sales[A]), SUM(Sales[B]), 1)", "COALESCE(SUM(a) / NULLIF(SUM(b), 0), 1)"),
+    ("DIVIDE(SUM(Sales[A]), SUM(Sales[B]), BLANK())", "SUM(a) / NULLIF(SUM(b), 0)"),
+    ("IF(SUM(Sales[A]) > 10, 1)", "CASE WHEN SUM(a) > 10 THEN 1 END"),
+    ('SWITCH(TRUE(), SUM(Sales[A]) > 10, "High, or so", SUM(Sales[A]) > 5, "Mid", "Low")', "CASE WHEN SUM(a) > 10 THEN 'High, or so' WHEN SUM(a) > 5 THEN 'Mid' ELSE 'Low' END"),
+    ("SWITCH(MAX(Sales[A]), 1, SUM(Sales[B]), 2, SUM(Sales[C]))", "CASE MAX(a) WHEN 1 THEN SUM(b) WHEN 2 THEN SUM(c) END"),
+    ("(" * 30 + "SUM(Sales[A])" + ")" * 30, "SUM(a)"),
+    ("IF(" * 20 + "SUM(Sales[A])" + " > 1, 1, 0)" * 20, "CASE WHEN " * 20 + "SUM(a)" + " > 1 THEN 1 ELSE 0 END" * 20),
     ('CALCULATE(DISTINCTCOUNT(Sales[CustomerID]), Sales[Status]="Active")', "COUNT(DISTINCT customer_id) FILTER (WHERE status = 'Active')"),
     ('CALCULATE(CALCULATE(SUM(Sales[A]), Sales[B]="(x, y)"), Sales[C]=3)', "SUM(a) FILTER (WHERE b = '(x, y)' AND c = 3)"),
     ("SUMX(Sales, Sales[Quantity]*Sales[UnitPrice])", "SUM(quantity*unit_price)"),
@@ -137,7 +147,9 @@ MDX = [
 OPEN = [
     "VAR x = SUM(Sales[A]) VAR y = FILTER(Sales, Sales[B] > 1) RETURN x + COUNTROWS(y)",
     "CALCULATE(SUM(Sales[A]), ALL(Sales))",
-    "CALCULATE(SUM(Sales[A]), Sales[B] IN {1, 2})",
+    "SUM(Sales[A]), SUM(Sales[B])",
+    "CALCULATE(SUM(Sales[A]), Sales[Flag])",
+    "SWITCH(Sales[A], 1, 2, 3)",
     "COUNTROWS(FILTER(VALUES(Sales[A]), Sales[A] > 1))",
     "CALCULATE(SUM(Sales[A]), Sales[B] > MAX(Sales[C]))",
     "SOMETHING(Sales[A])",
@@ -171,6 +183,8 @@ def test_texts_without_a_rule_are_reported(spark):
 
 # Texts with their class and approximated window.
 TIMED = [
+    ("dax", "CALCULATE(SUM(Sales[Amount]), DATEADD(Calendar[Date], 2, QUARTER))", "time_intelligence", ["date leading 2 quarter"]),
+    ("mdx", "(ParallelPeriod([Date].[Calendar].[Month], 3, [Date].[Calendar].CurrentMember), [Measures].[Amount])", "time_intelligence", ["date trailing 3 month"]),
     ("dax", "TOTALYTD(SUM(Sales[Amount]), Calendar[Date])", "window", ["date cumulative", "year current"]),
     ("dax", "TOTALQTD(SUM(Sales[Amount]), Calendar[Date])", "window", ["date cumulative", "quarter current"]),
     ("dax", "CALCULATE(SUM(Sales[Amount]), SAMEPERIODLASTYEAR(Calendar[Date]))", "time_intelligence", ["date trailing 1 year"]),
@@ -186,11 +200,44 @@ TIMED = [
 
 def test_time_rules(spark):
     for mode, text, kind, spans in TIMED:
-        r = translated(spark, [text], mode)[0]
-        assert (r["class"], r.expr, [f"{w.order} {w.range}" for w in r.window]) == (kind, "SUM(amount)", spans), text
+        r = translated(spark, [text], mode, columns=["amount"])[0]
+        expr = "AVG(amount)" if text.startswith("AVG") else "SUM(amount)"
+        assert (r["class"], r.expr, [f"{w.order} {w.range}" for w in r.window]) == (kind, expr, spans), text
         assert r.dimensions_needed[0] == "date:date.date"
 
 
+def test_time_functions_with_conditions(spark):
+    texts = [
+        'TOTALYTD(SUM(Sales[Amount]), Calendar[Date], Sales[Status]="Active")',
+        'CALCULATE(SUM(Sales[Amount]), Sales[Status]="Active", SAMEPERIODLASTYEAR(Calendar[Date]))',
+        'CALCULATE(SUM(Sales[Amount]), DATEADD(Calendar[Date], -1, MONTH), Sales[Status]="Active")',
+    ]
+    got = translated(spark, texts, "dax")
+    assert {r.expr for r in got} == {"SUM(amount) FILTER (WHERE status = 'Active')"}
+    assert [r.window[0].range for r in got] == ["cumulative", "trailing 1 year", "trailing 1 month"]
+
+
+def test_time_functions_without_a_window(spark):
+    """A fiscal year end, two time functions at once, none that a window stands for, no calendar."""
+    texts = [
+        'TOTALYTD(SUM(Sales[Amount]), Calendar[Date], "06-30")',
+        'TOTALYTD(SUM(Sales[Amount]), Calendar[Date], Sales[Status]="Active", "06-30")',
+        "TOTALYTD(CALCULATE(SUM(Sales[Amount]), SAMEPERIODLASTYEAR(Calendar[Date])), Calendar[Date])",
+        "CALCULATE(SUM(Sales[Amount]), DATESINPERIOD(Calendar[Date], MAX(Calendar[Date]), -3, MONTH))",
+        "TOTALYTD(SUM(Sales[Amount]), Calendar[Date]) + 0 * TOTALYTD(SUM(Sales[B]), Calendar[Date])",
+    ]
+    got = translated(spark, texts, "dax")
+    assert [(r.expr, r.window) for r in got] == [(None, None)] * len(texts)
+    assert all(r.warning_type in ("untranslated", "time_intelligence") for r in got)
+    assert not any("approximated" in r.warning_message for r in got)
+    one = staging(spark, [("A", TIMED[4][1])]).withColumn("dim_tables", F.expr("filter(dim_tables, d -> d.alias = 'customer')"))
+    assert tuple(rules.translate_rules(one).select("expr", "warning_message").first()) == (None, "no window stands for this expression")
+
+
+def test_unknown_columns_are_not_guessed(spark):
+    assert translated(spark, ["[Measures].[Distinct Customer Count]"], "mdx")[0].warning_type == "untranslated"
+
+
 @pytest.mark.parametrize(
     "text",
     ["RANKX(ALL(Sales), [T])", "CALCULATE(SUM(S[a]), USERELATIONSHIP(S[a], C[b]))", "DIVIDE(1, CALCULATE(SUM(S[a]), ALLSELECTED(S)))",
