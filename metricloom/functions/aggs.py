@@ -208,6 +208,25 @@ def lift(expr: str) -> list[str | Agg]:
     return [p for p in parts if p != ""]
 
 
+_OPERAND = re.compile(r"\s*[+-]?\s*(?:`[^`]*`|[\w.]+)?")
+
+
+def guard_division(expr: str) -> str:
+    """Every plain division by NULLIF(divisor, 0): a zero divisor gives NULL and never an error."""
+    bare = _QUOTED.sub(lambda m: "_" * len(m.group()), expr)
+    out, pos = [], 0
+    while (at := bare.find("/", pos)) >= 0:
+        end = _OPERAND.match(bare, at + 1).end()
+        if bare[end : end + 1] == "(":
+            end = _closing(bare, end + 1) + 1
+        divisor = expr[at + 1 : end].strip()
+        number = re.fullmatch(r"[0-9.]*[1-9][0-9.]*", divisor)
+        safe = divisor if number or re.match(r"(?i)NULLIF\s*\(", divisor) else f"NULLIF({guard_division(divisor)}, 0)"
+        out += [expr[pos:at], "/ ", safe]
+        pos = end
+    return "".join([*out, expr[pos:]])
+
+
 def aggregates(expr: str) -> list[Agg]:
     return [p for p in lift(expr) if isinstance(p, Agg)]
 

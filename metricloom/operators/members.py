@@ -4,19 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import replace
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from metricloom.functions.time import period_start
-from metricloom.operators.shares import both_sides
 from metricloom.plans import cells as C
 from metricloom.plans import settle as S
 from metricloom.plans.model import Dimension, Measure, MetricView
 from metricloom.plans.query import columns, run
 
-# Members packed into one array while pairs are formed.
-CHUNK = 10_000
 # Members per part of a long list.
 PART = 10_000
 
@@ -79,23 +75,18 @@ def new_members(mv, spark, member, d, period="month", where=None) -> DataFrame:
     return df
 
 
-def concatenatex(
-    mv, spark, col: str | Dimension, dims=(), sep=", ", where=None, whole: int = S.WINDOW_ROWS, size: int = PART
-) -> DataFrame:
+def concatenatex(mv, spark, col: str | Dimension, dims=(), sep=", ", where=None, size: int = PART) -> DataFrame:
     """Sorted list of the distinct members as text (A19): dims, `part`, `parts`, `members`.
 
-    Duplicates are removed before the lists are formed. Up to `whole` distinct rows in all, every
-    group is one text. Beyond that members are numbered by range-partitioned running counts and a
-    group comes in parts of `size` members, which joined by the separator are its list.
+    Duplicates are removed before the lists are formed. Members are numbered by range-partitioned
+    running counts and a group comes in parts of `size` members, which joined by the separator are
+    its list; a group of up to `size` members is one part, whatever else the query returns.
     """
     item = mv.dim(col)
     names = [mv.dim(d).name for d in dims]
     rows = _rows(mv, spark, [*dims, item], where).where(F.expr(f"`{item.name}` IS NOT NULL"))
-    rows = S.settle(rows.withColumn(item.name, F.col(f"`{item.name}`").cast("string")).distinct())
+    rows = rows.withColumn(item.name, F.col(f"`{item.name}`").cast("string")).distinct()
     text = F.array_join(F.array_sort(F.collect_list(F.col(f"`{item.name}`"))), sep).alias("members")
-    if S.within(rows, whole):
-        one = rows.groupBy(*columns(names)).agg(text)
-        return one.select(*columns(names), F.lit(0).alias("part"), F.lit(1).alias("parts"), "members")
     counted = rows.withColumn("__one", F.lit(1).cast("bigint"))
     numbered = S.settle(S.prefix_sums(counted, names, item.name, {"__n": "__one"}))
     part = F.floor((F.col("__n") - 1) / F.lit(size)).cast("int")
@@ -113,40 +104,9 @@ def _rows(mv: MetricView, spark: SparkSession, dims: Sequence, where=None) -> Da
     return df.select(*columns(d.name for d in grain))
 
 
-def pair_members(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Every combination of the rows of two member sets, each combination once.
+def cross_members(mv, spark, dims: Sequence, measures: Sequence, where=None) -> DataFrame:
+    """Measures over the combinations of several member sets that have facts.
 
-    The right set is packed into numbered chunks of bounded size, the left set is cut into pieces;
-    each piece meets each chunk in a task of its own. No side has to fit into one place.
+    Empty combinations are not produced: their number is the product of the sets.
     """
-    right = S.settle(right)
-    chunks = right.count() // CHUNK + 1
-    pieces = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = right.select(
-        _bucket(right, chunks).alias("__chunk"), F.struct(*columns(right.columns)).alias("__row")
-    ).groupBy("__chunk").agg(F.collect_list("__row").alias("__rows"))
-    packed = packed.withColumn("__piece", F.explode(_numbers(pieces)))
-    cut = left.withColumn("__piece", _bucket(left, pieces)).withColumn("__chunk", F.explode(_numbers(chunks)))
-    return cut.join(packed, ["__chunk", "__piece"]).select(*columns(left.columns), F.inline("__rows"))
-
-
-def _bucket(df: DataFrame, n: int) -> Column:
-    return F.pmod(F.xxhash64(*columns(df.columns)), F.lit(n).cast("bigint"))
-
-
-def _numbers(n: int) -> Column:
-    return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
-
-
-def cross_members(mv, spark, dims: Sequence, measures: Sequence, where=None, dense=True) -> DataFrame:
-    """Measures over the cross join of member sets (J7): empty cells are shown as NULL.
-
-    With `dense=False` only the cells that have facts.
-    """
-    grain = [mv.dim(d) for d in dims]
-    names = [d.name for d in grain]
-    if not dense:
-        return run(mv, spark, measures, dims, where)
-    inside, whole = both_sides(mv, spark, [mv.measure(m) for m in measures], grain, C.conditions(where))
-    sets = [whole.df.select(F.col(f"`{n}`")).distinct() for n in names]
-    return C.join_on(reduce(pair_members, sets), inside.values(), names)
+    return run(mv, spark, measures, dims, where)

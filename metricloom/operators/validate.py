@@ -6,6 +6,7 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from metricloom.functions.aggs import guard_division
 from metricloom.plans import star
 from metricloom.plans.model import Measure, MetricView
 
@@ -30,7 +31,7 @@ def direct_query(mv: MetricView, spark: SparkSession, measures: Sequence[Measure
     where = f"WHERE {mv.filter}" if mv.filter else ""
     group = "GROUP BY ALL" if grain else ""
     rows = f"SELECT source.*{structs} FROM {{__src}} AS source {joins}"
-    values = ", ".join(f"{m.expr} AS `{m.name}`" for m in measures)
+    values = ", ".join(f"{guard_division(m.expr)} AS `{m.name}`" for m in measures)
     return spark.sql(f"SELECT {shown}{values} FROM ({rows}) AS source {where} {group}", **tables)
 
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from metricloom.functions.aggs import Agg, lift
+from metricloom.functions.aggs import Agg, guard_division, lift
 from metricloom.plans import star
 from metricloom.plans.model import Condition, Dimension, Measure, MetricView, mentions, qualifiers
 from metricloom.plans.settle import salted_join, settle
@@ -133,7 +133,7 @@ class Cells:
         text = "".join(
             p if isinstance(p, str) else f"__{self.leaves.index(p)}" for p in lift(measure.expr)
         )
-        return F.expr(text)
+        return F.expr(guard_division(text))
 
     def values(self, keep: Sequence[str] = ()) -> DataFrame:
         """Dimension columns and measure values."""

@@ -215,7 +215,14 @@ def _count_along(fine: C.Cells, names: Sequence[str], keys: Sequence[str], w: Wi
     start, end = _run_of(day, W.partitionBy(*columns(keys), F.col("__key")).orderBy(day), w)
     parts = [n for i in range(len(fine.leaves)) for n in fine.part_names(i).values()]
     others = [n for n in names if n not in (*keys, order)]
-    marked = fine.df.withColumn("__start", start).withColumn("__end", end)
+    if w.normal_range == "cumulative" and dict(fine.df.dtypes)[order] != "date":
+        # A frequent value may have any number of timestamps: its first one is an aggregate.
+        fine = fine.settled()
+        known = fine.df.where("__key IS NOT NULL").groupBy(*columns(keys), "__key").agg(F.min(day).alias(order))
+        firsts = known.withColumn("__start", day).unionByName(fine.df.drop("__key"), allowMissingColumns=True)
+        marked = firsts.withColumn("__end", F.lit(None).cast("date"))
+    else:
+        marked = fine.df.withColumn("__start", start).withColumn("__end", end)
     in_sight = F.col("__key").isNotNull() & F.col("__start").isNotNull()
     carried = [F.col(f"`{n}`") for n in (*parts, *others)]
     types = dict(fine.df.dtypes)
@@ -296,15 +303,13 @@ def over_frame(cells: C.Cells, keys: Sequence[str], order: str, w: Window) -> C.
 def _cumulative(cells: C.Cells, keys: Sequence[str], order: str, leaves: list[int], by_day: bool) -> C.Cells:
     """Running values: one window per group over days, whose number the calendar bounds.
 
-    Other order columns, such as raw timestamps, may have any number of members per group. Their
-    cells are settled and counted, and beyond the size of one window the work is range-partitioned.
+    Other order columns, such as raw timestamps, may have any number of members per group: the work
+    is range-partitioned.
     """
     frame = frame_text(keys, order, "UNBOUNDED PRECEDING AND CURRENT ROW")
-    if by_day:
+    if by_day or not leaves:
         return cells.over(frame, leaves)
     cells = cells.settled()
-    if S.within(cells.df, S.WINDOW_ROWS):
-        return cells.over(frame, leaves)
     fns = {"s": "sum", "n": "sum", "lo": "min", "hi": "max"}
     parts = {n: (fns[p], n) for i in leaves for p, n in cells.part_names(i).items()}
     return C.replace(cells, df=S.running(cells.df, list(keys), order, parts))
@@ -391,8 +396,11 @@ def distinct_over(
     if w.normal_range == "all":
         totals = rows.groupBy(*part).agg(F.count_distinct("__key").alias("__count"))
         return C.join_on(anchors, totals, list(keys))
-    start, end = _run_of(d, W.partitionBy(*part, F.col("__key")).orderBy(d), w)
-    runs = rows.select(*part, start.alias("__start"), end.alias("__end"))
+    if w.normal_range == "cumulative":
+        runs = rows.groupBy(*part, "__key").agg(F.min(d).alias("__start")).withColumn("__end", F.lit(None).cast("date"))
+    else:
+        start, end = _run_of(d, W.partitionBy(*part, F.col("__key")).orderBy(d), w)
+        runs = rows.select(*part, start.alias("__start"), end.alias("__end"))
     runs = runs.where("__start IS NOT NULL AND (__end IS NULL OR __start <= __end)")
     events = runs.select(
         *part,
@@ -436,10 +444,8 @@ def running_count(
 
 
 def _running_sum(daily: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
-    """Running sum of the events: a window over days, else by counted size as in `_cumulative`."""
-    by_day = dict(daily.dtypes)["__day"] == "date"
-    daily = daily if by_day else S.settle(daily)
-    if by_day or S.within(daily, S.WINDOW_ROWS):
+    """Running sum of the events: a window over days, else by range as in `_cumulative`."""
+    if dict(daily.dtypes)["__day"] == "date":
         order = W.partitionBy(*columns(keys)).orderBy("__day").rowsBetween(W.unboundedPreceding, 0)
         return daily.withColumn(out, F.sum("__delta").over(order))
     return S.running(daily, list(keys), "__day", {out: ("sum", "__delta")})

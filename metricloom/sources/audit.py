@@ -10,12 +10,11 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from metricloom.functions.text import clip
 from metricloom.operators.assembly import assemble_views, view_stats, warnings
 from metricloom.plans.model import MetricView
 from metricloom.plans.settle import settle
 
-# Columns of the audit table, and how much of a text is kept.
+# Columns of the audit table.
 AUDIT_COLUMNS = {
     "id": "string",
     "event": "string",
@@ -38,14 +37,6 @@ AUDIT_COLUMNS = {
     "error_message": "string",
     "user_name": "string",
 }
-CLIPPED = {
-    "dimension_tables": 4000,
-    "measures_input": 4000,
-    "warnings": 4000,
-    "yaml_body": 8000,
-    "sql_output": 8000,
-    "error_message": 4000,
-}
 
 
 # ---------------------------------------------------------------- staging
@@ -106,7 +97,7 @@ def ensure_audit(spark: SparkSession, table: str) -> None:
 
 
 def audit_rows(df: DataFrame, event: str = "translation") -> DataFrame:
-    """Rows in the shape of the audit table: ids and times given, long texts clipped."""
+    """Rows in the shape of the audit table: ids and times given, texts whole."""
     def column(name: str, kind: str) -> Column:
         if name in df.columns:
             c = F.col(f"`{name}`")
@@ -118,64 +109,101 @@ def audit_rows(df: DataFrame, event: str = "translation") -> DataFrame:
             c = F.current_timestamp()
         else:
             c = F.lit("") if kind == "string" else F.lit(0)
-        return (clip(c, CLIPPED[name]) if name in CLIPPED else c).cast(kind).alias(name)
+        return c.cast(kind).alias(name)
 
     return df.select(*[column(n, t) for n, t in AUDIT_COLUMNS.items()])
 
 
 def audit_append(df: DataFrame, table: str, event: str = "translation") -> None:
     """Append outcomes, successes and failures alike."""
-    ensure_audit(df.sparkSession, table)
-    audit_rows(df, event).write.mode("append").insertInto(table)
-
-
-def audit_of_batch(translated: DataFrame, batch_id: str, model: str = "rules") -> DataFrame:
-    """One audit row per view of a batch, with its warnings as a JSON text.
-
-    Warnings are ordered by measure and cut to what fits into the text before they are gathered, so
-    a view with any number of warnings gathers a bounded list.
+    spark = df.sparkSession
+    ensure_audit(spark, table)
+    spark.catalog.refreshTable(table)
+    rows, have = audit_rows(df, event), spark.table(table).schema.fields
+    # Tables are written by position: the columns come in the table's own order.
+    rows.select(
+        *[F.col(f"`{f.name}`") if f.name in AUDIT_COLUMNS else F.lit(None).cast(f.dataType).alias(f.name) for f in have]
+    ).write.mode("append").insertInto(table)
+
+
+def audit_of_batch(
+    translated: DataFrame, batch_id: str, model: str = "rules", views: DataFrame | None = None, user: str = "",
+    catalog: str = "main", schema: str = "sales",
+) -> DataFrame:
+    """One audit row per view of a batch: what went in, what came out, its warnings as JSON.
+
+    `views` are the rendered texts of the batch (`view_name`, `part`, `yaml`, `ddl`); the first part
+    stands for a view whose text comes in several. Measures and warnings are listed up to `LISTED`
+    characters of whole entries, their numbers are given beside; all of them are rows of the reports.
     """
     translated = settle(translated)
     stats = view_stats(translated)
-    views = assemble_views(translated).select(
-        F.col("source").alias("source_table"), "version", "measure_count", "dimension_count"
-    )
+    names = assemble_views(translated, catalog, schema)
+    about = names.select(F.col("source").alias("source_table"), "view_name", "version", "measure_count", "dimension_count")
     listed = warnings_json(warnings(translated), "source_table")
-    formats = translated.groupBy(F.col("fact_table_fqn").alias("source_table")).agg(F.min("source_format").alias("fmt"))
-    df = stats.join(views, "source_table", "left").join(listed, "source_table", "left")
+    entry = F.struct(F.col("measure_name").alias("name"), F.col("measure_expr").alias("expression"))
+    given = json_list(
+        translated.select(F.col("fact_table_fqn").alias("source_table"), "model", "position", F.to_json(entry).alias("item")),
+        "source_table", ["model", "position", "item"], "measures_input",
+    )
+    tables = F.to_json(F.transform("dim_tables", lambda d: d["table"]))
+    formats = translated.groupBy(F.col("fact_table_fqn").alias("source_table")).agg(
+        F.min("source_format").alias("fmt"), F.min(tables).alias("dimension_tables")
+    )
+    df = stats.join(about, "source_table", "left").join(listed, "source_table", "left").join(given, "source_table", "left")
     df = df.join(formats, "source_table")
+    if views is not None:
+        first = views.where("part = 0").select("view_name", F.col("yaml").alias("yaml_body"), F.col("ddl").alias("sql_output"))
+        df = df.join(first, "view_name", "left")
+    else:
+        df = df.withColumns({"yaml_body": F.lit(None).cast("string"), "sql_output": F.lit(None).cast("string")})
+    text = lambda c, none="": F.coalesce(c, F.lit(none)).alias(c)
     return df.select(
         F.concat(F.lit(batch_id), F.lit("/"), F.col("source_table")).alias("id"),
         F.concat(F.lit("batch_"), F.col("fmt")).alias("mode"),
         F.lit(model).alias("model"),
         "source_table",
+        text("dimension_tables", "[]"),
+        text("measures_input", "[]"),
         "status",
-        F.coalesce("version", F.lit("")).alias("version"),
+        text("version"),
         F.coalesce("measure_count", F.lit(0)).alias("measure_count"),
         F.coalesce("dimension_count", F.lit(0)).alias("dimension_count"),
         (F.col("measures_warning") + F.col("measures_failed")).alias("warning_count"),
-        F.coalesce("warnings", F.lit("[]")).alias("warnings"),
+        text("warnings", "[]"),
+        text("yaml_body"),
+        text("sql_output"),
+        F.lit(user).alias("user_name"),
     )
 
 
-def warnings_json(warned: DataFrame, key: str, limit: int = 4000) -> DataFrame:
-    """JSON array of the warnings per key, up to `limit` characters.
+# Characters of a JSON list in the audit table.
+LISTED = 4000
+
+
+def json_list(rows: DataFrame, key: str, order: list[str], name: str, limit: int = LISTED) -> DataFrame:
+    """JSON array of the first entries (`item`, JSON texts) per key whose text stays within `limit`.
 
-    Spark keeps the first rows of each key in every task before the shuffle. An entry is longer than
-    thirty characters, so rows after `limit / 30` could never show.
+    The array is always valid JSON: entries are whole or absent. Spark keeps the first rows of each
+    key in every task before the shuffle; an entry has ten characters at least, so rows after
+    `limit / 10` could never show.
     """
     from pyspark.sql import Window as W
 
-    order = W.partitionBy(key).orderBy("measure_name", "warning_type", "message")
-    first = warned.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= limit // 30 + 1)
-    item = F.struct(
-        F.col("__n"),
-        F.struct(
-            F.col("measure_name").alias("name"), F.col("warning_type").alias("type"), F.col("message").alias("msg")
-        ).alias("w"),
-    )
-    listed = F.transform(F.array_sort(F.collect_list(item)), lambda x: x["w"])
-    return first.groupBy(key).agg(F.substring(F.to_json(listed), 1, limit).alias("warnings"))
+    by = W.partitionBy(key).orderBy(*order)
+    first = rows.withColumn("__n", F.row_number().over(by)).where(F.col("__n") <= limit // 10)
+    upto = F.sum(F.length("item") + 1).over(by.rowsBetween(W.unboundedPreceding, 0))
+    fitting = first.withColumn("__upto", upto).where(F.col("__upto") + 1 <= limit)
+    items = F.transform(F.array_sort(F.collect_list(F.struct("__n", "item"))), lambda x: x["item"])
+    listed = fitting.groupBy(key).agg(items.alias("__items"))
+    return listed.select(key, F.concat(F.lit("["), F.array_join("__items", ","), F.lit("]")).alias(name))
+
+
+def warnings_json(warned: DataFrame, key: str, limit: int = LISTED) -> DataFrame:
+    """JSON array of the warnings per key, whole entries up to `limit` characters."""
+    entry = F.struct(F.col("measure_name").alias("name"), F.col("warning_type").alias("type"), F.col("message").alias("msg"))
+    rows = warned.select(key, "measure_name", "warning_type", "message", F.to_json(entry).alias("item"))
+    return json_list(rows, key, ["measure_name", "warning_type", "message"], "warnings", limit)
 
 
 def audit_deploy(spark: SparkSession, table: str, audit_id: str, view: str, ok: bool, message: str = "", user: str = ""):
@@ -220,11 +248,14 @@ def audit_history(current: DataFrame, n: int = 50) -> DataFrame:
 # ---------------------------------------------------------------- registry
 
 
-REGISTRY = "view_name string, changed_at timestamp, version string, definition string, dropped boolean"
+REGISTRY = "view_name string, changed_at timestamp, version string, part int, definition string, dropped boolean"
 
 
 def publish(definitions: DataFrame, table: str) -> None:
-    """Create or replace views (S19): rows (view_name, version, definition) appended to the registry."""
+    """Create or replace views (S19): rows (view_name, version, definition) appended to the registry.
+
+    Definitions are YAML texts. One that comes in parts has a row for each, numbered by `part`.
+    """
     _register(definitions.withColumn("dropped", F.lit(False)), table)
 
 
@@ -237,11 +268,13 @@ def publish_view(spark: SparkSession, mv: MetricView, table: str) -> None:
 
 
 def load_view(spark: SparkSession, name: str, table: str) -> MetricView:
-    """A published view, ready to be queried."""
-    row = published(spark.table(table).where(F.col("view_name") == name)).first()
-    if row is None:
+    """A published view, ready to be queried: its parts in order are one YAML text (JSON is YAML)."""
+    import yaml
+
+    rows = published(spark.table(table).where(F.col("view_name") == name)).orderBy("part").collect()
+    if not rows:
         raise KeyError(f"no view {name}")
-    return MetricView.from_definition(name, json.loads(row["definition"]))
+    return MetricView.from_definition(name, yaml.safe_load("\n".join(r["definition"] for r in rows)))
 
 
 def drop(spark: SparkSession, name: str, table: str) -> None:
@@ -252,14 +285,19 @@ def drop(spark: SparkSession, name: str, table: str) -> None:
 def _register(df: DataFrame, table: str) -> None:
     spark = df.sparkSession
     spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({REGISTRY}) USING parquet")
-    df.select("view_name", F.current_timestamp().alias("changed_at"), "version", "definition", "dropped").write.mode(
+    part = F.col("part").cast("int") if "part" in df.columns else F.lit(0)
+    df.select("view_name", F.current_timestamp().alias("changed_at"), "version", part.alias("part"), "definition", "dropped").write.mode(
         "append"
     ).insertInto(table)
 
 
 def published(registry: DataFrame) -> DataFrame:
-    """The views that exist now: the newest entry of each name unless it is a drop."""
-    latest = registry.groupBy("view_name").agg(
-        F.max_by(F.struct("changed_at", "version", "definition", "dropped"), "changed_at").alias("r")
-    )
-    return latest.select("view_name", "r.*").where("NOT dropped").drop("dropped")
+    """The views that exist now: the rows of each name's newest event, unless that is a drop.
+
+    An event replaces all parts of the ones before it.
+    """
+    if "part" not in registry.columns:
+        registry = registry.withColumn("part", F.lit(0))
+    latest = registry.groupBy("view_name").agg(F.max("changed_at").alias("changed_at"))
+    rows = registry.join(latest, ["view_name", "changed_at"])
+    return rows.where("NOT dropped").select("view_name", "changed_at", "version", "part", "definition")

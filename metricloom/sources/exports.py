@@ -180,11 +180,11 @@ def _column_entries(table: Column) -> Column:
     return F.map_entries(_column_map(table))
 
 
-def read_bim(spark: SparkSession, path: str, catalog: str = "main", schema: str = "sales") -> DataFrame:
+def read_bim(spark: SparkSession, path: str | list[str], catalog: str = "main", schema: str = "sales") -> DataFrame:
     return parse_bim(read_texts(spark, path), catalog, schema)
 
 
-def read_texts(spark: SparkSession, path: str) -> DataFrame:
+def read_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row per file: `path`, `value`."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
@@ -226,7 +226,7 @@ def _mapped(mapping: Mapping) -> dict[str, Column]:
     }
 
 
-def read_measure_csv(spark: SparkSession, path: str, mapping: Mapping) -> DataFrame:
+def read_measure_csv(spark: SparkSession, path: str | list[str], mapping: Mapping) -> DataFrame:
     """Staging rows of measure CSV files."""
     raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
 
@@ -271,7 +271,7 @@ def parse_mdx_scripts(texts: DataFrame, mapping: Mapping) -> DataFrame:
     )
 
 
-def read_mdx_scripts(spark: SparkSession, path: str, mapping: Mapping) -> DataFrame:
+def read_mdx_scripts(spark: SparkSession, path: str | list[str], mapping: Mapping) -> DataFrame:
     return parse_mdx_scripts(read_texts(spark, path), mapping)
 
 
@@ -283,9 +283,16 @@ def stage_all(frames: Iterable[DataFrame]) -> DataFrame:
 # ---------------------------------------------------------------- schema enrichment
 
 
+def named_tables(staging: DataFrame) -> list[str]:
+    """Fact and dimension tables that staging rows name: as many as the catalog has tables."""
+    listed = F.concat(F.array("fact_table_fqn"), F.transform(F.coalesce("dim_tables", F.array().cast(T.ArrayType(DIM_TABLE))), lambda d: d["table"]))
+    names = staging.select("fact_table_fqn", "dim_tables").distinct().select(F.explode(listed).alias("name")).distinct()
+    return [r.name for r in names.where("name <> ''").orderBy("name").collect()]
+
+
 def table_columns(spark: SparkSession, tables: Sequence[str]) -> DataFrame:
-    """Columns of the named tables, in order: `table`, `columns`. Unknown tables are left out."""
-    rows = [(t, spark.table(t).columns) for t in tables if spark.catalog.tableExists(t)]
+    """Columns of the named tables, in order: `table`, `columns`, which is null for unknown tables."""
+    rows = [(t, spark.table(t).columns if spark.catalog.tableExists(t) else None) for t in tables]
     return spark.createDataFrame(rows, "table string, columns array<string>")
 
 

@@ -36,7 +36,7 @@ def test_audit_events(spark):
     audit.audit_deploy(spark, "audit_t", "b1/main.s.fact_sales", "v", True)
     r = audit.audit_current(spark.table("audit_t")).where("id LIKE 'b1/%'").first()
     assert (r.deploy_status, r.error_message) == ("success", "")
-    assert max(len(r.measures_input) for r in current.collect()) == 4000
+    assert max(len(r.measures_input) for r in current.collect()) == 5000
     assert audit.audit_history(current, 1).count() == 1
 
 

@@ -145,3 +145,20 @@ def test_approximate_distinct(spark):
     df = spark.range(1000).selectExpr("id % 10 AS k", "id % 2 AS g")
     mv = MetricView("v", df, (), (Dimension("g", "g"),), (Measure("a", A.approx_distinct("k")), Measure("n", "COUNT(1)")))
     assert sorted(tuple(r) for r in mv.query(spark, ["a", "n"], ["g"]).collect()) == [(0, 5, 500), (1, 5, 500)]
+
+
+@pytest.mark.parametrize(
+    "text, guarded",
+    [
+        ("a / b", "a / NULLIF(b, 0)"),
+        ("a / (b - c) * 2", "a / NULLIF((b - c), 0) * 2"),
+        ("a / NULLIF(b, 0) / 100", "a / NULLIF(b, 0) / 100"),
+        ("a / -b + 'x/y' / `c/d`", "a / NULLIF(-b, 0) + 'x/y' / NULLIF(`c/d`, 0)"),
+        ("(a / (b / c)) / 0", "(a / NULLIF((b / NULLIF(c, 0)), 0)) / NULLIF(0, 0)"),
+        ("a / COALESCE(b / c, 0)", "a / NULLIF(COALESCE(b / NULLIF(c, 0), 0), 0)"),
+    ],
+)
+def test_division_is_guarded(text, guarded):
+    from metricloom.functions.aggs import guard_division
+
+    assert guard_division(text) == guarded
