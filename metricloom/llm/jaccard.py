@@ -29,19 +29,19 @@ from .components import components
 from .text import Flat, U, importable, mixed, over_texts, segment_sums
 
 
-# So many candidate classes (about 100 bytes each) are broadcast to the texts; more meet them by key.
-FEW = 100_000
+# Frames of so many rows (of a hundred bytes at most) are broadcast to texts and signatures; larger ones meet them by key.
+FEW = 200_000
 
 
 @dataclass(frozen=True)
 class Settings:
     """`values` MinHash values in bands of `band`; at similarity s a pair is no candidate with probability
-    (1 - s**band) ** (values / band), 4e-7 for 0.8. `tolerance` bounds the chance that pruning drops a pair of the threshold
+    (1 - s**band) ** (values / band), 3e-6 for 0.8. `tolerance` bounds the chance that pruning drops a pair of the threshold
     at a check, of which there is one per `step` values. `block` classes, or `weight` shingles, make a block."""
 
     words: int = 5
     threshold: float = 0.8
-    values: int = 112
+    values: int = 96
     band: int = 4
     step: int = 16
     tolerance: float = 1e-7
@@ -230,15 +230,17 @@ def join(docs: DataFrame, id_: str = "doc_id", text: str = "text", s: Settings =
 
     numbered = docs.withColumn("__tid", F.xxhash64(F.col(f"`{text}`").cast("string")))
     made = over_texts(numbered, text, [*keep, "__tid"], sign, "key binary, sig binary, shingles int")
-    found = settle(made.withColumns({"id": F.col(f"row.`{id_}`"), "tid": F.col("row.__tid")}))
+    # In the search for candidates a class goes by 64 bits of its digest. Should two classes share them, they are candidates
+    # for each other, and verified like all others.
+    found = settle(made.withColumns({"id": F.col(f"row.`{id_}`"), "tid": F.col("row.__tid"), "code": F.xxhash64("key")}))
+    worded = found.where("key IS NOT NULL")
     classes = settle(
-        found.where("key IS NOT NULL").groupBy("key").agg(F.min(F.struct("id", "tid", "sig", "shingles")).alias("f"), F.count(F.lit(1)).alias("copies"))
-        .select("key", F.col("f.id").alias("class_id"), F.col("f.tid").alias("tid"), F.col("f.sig").alias("sig"), F.col("f.shingles").alias("shingles"), "copies")
+        worded.groupBy("key").agg(F.min(F.struct("id", "tid")).alias("f"), F.count(F.lit(1)).alias("copies"))
+        .select("key", F.xxhash64("key").alias("code"), F.col("f.id").alias("class_id"), F.col("f.tid").alias("tid"), "copies")
     )
 
-    pruned = _candidates(classes.select("key", "sig"), s)
-    group = components(pruned.select("a", "b"))
-    member = settle(classes.select("key", "class_id", "tid", "shingles", "copies").join(group.withColumnRenamed("node", "key"), "key"))
+    group = components(_candidates(worded.select("code", "sig"), s)).withColumnRenamed("node", "code")
+    member = settle(matched(classes, settle(group), ["code"]).select("key", "class_id", "tid", "copies", "component"))
     verified = _verified(docs, member, id_, text, s)
     counted = verified.where("other IS NULL").groupBy("key").agg(F.sum("links").alias("links"), F.sum("linked").alias("linked_classes"))
     joined = components(verified.where("other IS NOT NULL").select(F.col("key").alias("a"), F.col("other").alias("b")))
@@ -259,23 +261,33 @@ def join(docs: DataFrame, id_: str = "doc_id", text: str = "text", s: Settings =
     )
 
 
-def _candidates(classes: DataFrame, s: Settings) -> DataFrame:
-    """Edges (a, b) that connect whatever pairs survive pruning connect."""
+def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join whose right side, a settled frame, is broadcast while it has few rows."""
+    return left.join(F.broadcast(right) if right.count() <= FEW else right, keys, how)
+
+
+def _candidates(signatures: DataFrame, s: Settings) -> DataFrame:
+    """Edges (a, b) of class codes that connect whatever pairs survive pruning connect."""
     width = 4 * s.band
     band = lambda b: F.xxhash64(F.substring("sig", b * width + 1, width), F.lit(b))
-    bands = classes.select("key", F.explode(F.array(*[band(b) for b in range(s.values // s.band)])).alias("bucket"))
-    often = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    blocks = settle(often.select("bucket", F.ceil(F.col("size") / s.block).cast("int").alias("n")))
-    dealt = in_block_pairs(bands.join(blocks.select("bucket"), "bucket", "left_semi"), "bucket", blocks, "key")
-    ready = dealt.join(classes, "key").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "key")
+    bands = signatures.select("code", F.explode(F.array(*[band(b) for b in range(s.values // s.band)])).alias("bucket"))
+    # Copies fall into the same buckets: a bucket is of use if it has two different classes.
+    often = bands.groupBy("bucket").agg(F.min("code").alias("lo"), F.max("code").alias("hi")).where("lo <> hi")
+    members = settle(matched(bands, settle(often.select("bucket")), ["bucket"], "left_semi").distinct())
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    blocks = settle(sizes.select("bucket", F.ceil(F.col("size") / s.block).cast("int").alias("n")))
+    codes = settle(members.select("code").distinct())
+    wanted = settle(matched(signatures, codes, ["code"], "left_semi").groupBy("code").agg(F.max("sig").alias("sig")))
+    dealt = in_block_pairs(members, "bucket", blocks, "code")
+    ready = dealt.join(wanted, "code").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "code")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_groups(batches, ["bucket", "x", "y"]):
             child, root = surviving(rows, s)
-            keys = rows.column("key").combine_chunks()
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(child)), keys.take(pa.array(root))], names=["a", "b"])
+            codes = rows.column("code").combine_chunks()
+            yield pa.RecordBatch.from_arrays([codes.take(pa.array(child)), codes.take(pa.array(root))], names=["a", "b"])
 
-    return ready.select("bucket", "x", "y", "block", "key", "sig").mapInArrow(run, "a binary, b binary").distinct()
+    return ready.select("bucket", "x", "y", "block", "code", "sig").mapInArrow(run, "a long, b long").distinct()
 
 
 def _verified(docs: DataFrame, member: DataFrame, id_: str, text: str, s: Settings) -> DataFrame:
@@ -336,8 +348,19 @@ def distinct_documents(docs: DataFrame, id_: str = "doc_id", text: str = "text",
     shown = F.col(f"`{text}`").cast("string")
     words = F.coalesce(shown.rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
     identity = docs.select(F.col(f"`{id_}`").alias("id"), F.xxhash64(shown).alias("tid"), shown.alias("text")).where(F.col("text").isNotNull())
-    told = join(identity, "id", "text", s).where("has_words")
-    best = told.groupBy("group_id").agg(F.min(F.struct("row.id", "row.tid")).alias("f")).select("f.id", "f.tid")
+    told = settle(join(identity, "id", "text", s).where("has_words").select("row.id", "row.tid", "group_id"))
+    best = told.groupBy("group_id").agg(F.min(F.struct("id", "tid")).alias("f")).select("f.id", "f.tid").withColumn("stays", F.lit(True))
+    # What goes is far less than what stays. Rows that are repeated as a whole are merged apart.
+    pairs = told.groupBy("id", "tid").agg(F.count(F.lit(1)).alias("n"))
+    same = [F.col("p.id").eqNullSafe(F.col("b.id")), F.col("p.tid") == F.col("b.tid")]
+    judged = settle(pairs.alias("p").join(best.alias("b"), same, "left").select("p.id", "p.tid", "n", "b.stays"))
     whole = docs.where(words).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_}`").alias("own"), F.xxhash64(shown).alias("h"))
-    kept = whole.join(best, F.col("own").eqNullSafe(F.col("id")) & (F.col("h") == F.col("tid")), "left_semi")
-    return kept.dropDuplicates(["own", "h"]).select("row.*").unionByName(docs.where(~words))
+
+    def at(frame: DataFrame, some: DataFrame, how: str) -> DataFrame:
+        some = settle(some.select("id", "tid"))
+        on = F.col("own").eqNullSafe(F.col("id")) & (F.col("h") == F.col("tid"))
+        return frame.join(F.broadcast(some) if some.count() <= FEW else some, on, how)
+
+    once = at(whole, judged.where("stays IS NULL OR n > 1"), "left_anti")
+    merged = at(whole, judged.where("stays AND n > 1"), "left_semi").dropDuplicates(["own", "h"])
+    return once.unionByName(merged).select("row.*").unionByName(docs.where(~words))

@@ -142,7 +142,26 @@ def words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("bigint")
 
 
+# Decisions on so many documents (two numbers each) are broadcast to the texts; more meet them by key.
+FEW = 400_000
+
+
 def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
-    """The mix itself: every document as many times as it is taken, in the columns of `docs`."""
-    taken = mix(docs, words(text), source).where("copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select("row.*")
+    """The mix itself: every document as many times as it is taken, in the columns of `docs`.
+
+    Texts take no part in the sampling: rows go by a hash of all their columns. Rows equal in all columns share their hash
+    and are interchangeable; together they give as many rows as they are taken.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    light = docs.select(F.xxhash64(whole).alias("h"), F.col(f"`{source}`").alias("source"), words(text).alias("size"))
+    taken = mix(light, F.col("size"), "source").groupBy("row.h").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    taken = settle(taken.where("copies > 0"))
+    rows = docs.select(whole.alias("row"), F.xxhash64(whole).alias("h"))
+
+    def met(some: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(some) if some.count() <= FEW else some, "h")
+
+    alone = met(taken.where("rows = 1").select("h", "copies")).select("row", "copies")
+    equal = met(taken.where("rows > 1").select("h", "copies")).dropDuplicates(["h"]).select("row", "copies")
+    every = alone.unionByName(equal).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+    return every.select("row.*")

@@ -89,3 +89,22 @@ def test_numbered(spark):
     got = numbered(spark.createDataFrame(rows, "v long").repartition(7), ["v"]).toPandas().sort_values("number")
     assert got.number.tolist() == list(range(200))
     assert got.v.isna().tolist() == [True] * 40 + [False] * 160 and got.v.dropna().is_monotonic_increasing
+
+
+def test_mixed_documents_are_the_mix(spark, monkeypatch):
+    rows = [(i % 90, f"text {i % 90} " * (1 + i % 7), f"s{i % 3}") for i in range(300)] + [(None, None, None), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    wanted = mixing.mix(docs, mixing.words(), "source").groupBy("row").agg(F.sum("copies").alias("n")).where("n > 0")
+    want = sorted(((r.row.doc_id, r.row.text, r.row.source), r.n) for r in wanted.collect())
+    for few in (mixing.FEW, 0):
+        monkeypatch.setattr(mixing, "FEW", few)
+        got = mixing.mixed_documents(docs).groupBy("doc_id", "text", "source").count().collect()
+        totals = {}
+        for r in got:
+            totals[r.source] = totals.get(r.source, 0) + r["count"] * len((r.text or "").split())
+        expected = {}
+        for (_, text, source), n in want:
+            expected[source] = expected.get(source, 0) + n * len((text or "").split())
+        assert {s for s, n in totals.items() if n} == {s for s, n in expected.items() if n}
+        for s, n in expected.items():
+            assert abs(totals[s] - n) <= 40  # equal rows may be taken otherwise than single ones
