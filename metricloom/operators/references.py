@@ -62,10 +62,7 @@ def peel(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         done.append(fresh.withColumn("level", F.lit(level)))
         if not still_open:
             break
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out, pending
+    return _union(done), pending
 
 
 def levels(staging: DataFrame) -> DataFrame:
@@ -73,22 +70,23 @@ def levels(staging: DataFrame) -> DataFrame:
     return peel(definitions(staging), measure_edges(staging))[0]
 
 
-def cycles(edges: DataFrame) -> DataFrame:
+def cycles(edges: DataFrame, peeled: bool = False) -> DataFrame:
     """Nodes that reach themselves: model, measure_name (B2).
 
-    Nodes that lead to no cycle, and nodes no cycle leads to, are peeled off first. In what is left
-    the strongly connected components are found by colouring: the greatest name that reaches a node
-    is its colour; a component is what reaches its own colour backwards. Both sweeps carry one value
-    per node, never pairs of nodes.
+    Nodes that lead to no cycle (gone already if the edges are `peeled`), and nodes no cycle leads
+    to, are peeled off first. In what is left the strongly connected components are found by
+    colouring: the greatest name that reaches a node is its colour; a component is what reaches its
+    own colour backwards. Both sweeps carry one value per node, never pairs of nodes, and the length
+    of their hops doubles.
     """
     loops = edges.where("measure_name = ref").select(*NODE).distinct()
-    rest = edges.where("measure_name <> ref")
     found = [S.settle(loops.withColumn("cyclic", F.lit(True)))]
-    rest = S.settle(rest)
+    rest = S.settle(edges.where("measure_name <> ref"))
     while not rest.isEmpty():
-        rest = _core(rest)
+        rest = _core(rest, peeled and not loops_only(found))
         if rest.isEmpty():
             break
+        peeled = False
         colour = _colours(rest)
         members = _same_component(rest, colour)
         found.append(members)
@@ -96,16 +94,17 @@ def cycles(edges: DataFrame) -> DataFrame:
         for end in ("measure_name", "ref"):
             rest = rest.join(gone.withColumnRenamed("__n", end), ["model", end], "left_anti")
         rest = S.settle(rest.select(*NODE, "ref"))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.where("cyclic").select(*NODE).distinct()
+    return _union(found).where("cyclic").select(*NODE).distinct()
+
+
+def loops_only(found: list[DataFrame]) -> bool:
+    """Edges from a node to itself keep nodes from being peeled, and are gone now."""
+    return not found[0].isEmpty()
 
 
-def _core(edges: DataFrame) -> DataFrame:
+def _core(edges: DataFrame, peeled: bool) -> DataFrame:
     """Edges among nodes that lie between cycles: peeled from both ends."""
-    nodes = _nodes(edges)
-    forward = peel(nodes, edges)[1]
+    forward = edges if peeled else peel(_nodes(edges), edges)[1]
     if forward.isEmpty():
         return forward
     turned = forward.select("model", F.col("ref").alias("measure_name"), F.col("measure_name").alias("ref"))
@@ -120,19 +119,26 @@ def _nodes(edges: DataFrame) -> DataFrame:
 
 
 def _colours(edges: DataFrame) -> DataFrame:
-    """Greatest name that reaches each node along the edges."""
-    colour = S.settle(_nodes(edges).withColumn("colour", F.col("measure_name")))
+    """Greatest name that reaches each node along the edges.
+
+    Beside its colour a node keeps a node that reaches it, and takes that one's colour as well; the
+    distance to it doubles from round to round, so long paths take few rounds.
+    """
+    start = edges.groupBy("model", F.col("ref").alias("measure_name")).agg(F.max("measure_name").alias("via"))
+    state = S.settle(_nodes(edges).join(start, NODE, "left").select(*NODE, F.col("measure_name").alias("colour"), F.coalesce("via", "measure_name").alias("via")))
     while True:
-        sent = edges.join(colour, NODE).select("model", F.col("ref").alias("measure_name"), "colour")
-        best = S.settle(
-            colour.withColumn("before", F.col("colour"))
-            .unionByName(sent.withColumn("before", F.lit(None).cast("string")))
+        known = state.select("model", F.col("measure_name").alias("n"), F.col("colour").alias("c"), F.col("via").alias("v"))
+        direct = S.salted_join(edges.withColumnRenamed("measure_name", "n"), known, ["model", "n"]).select("model", F.col("ref").alias("measure_name"), F.col("c").alias("colour"))
+        jumped = S.salted_join(state.withColumnRenamed("via", "n"), known, ["model", "n"])
+        own = jumped.select(*NODE, F.greatest("colour", "c").alias("colour"), F.col("colour").alias("before"), F.col("v").alias("via"))
+        none = F.lit(None).cast("string")
+        state = S.settle(
+            own.unionByName(direct.withColumns({"before": none, "via": none}))
             .groupBy(*NODE)
-            .agg(F.max("colour").alias("colour"), F.max("before").alias("before"))
+            .agg(F.max("colour").alias("colour"), F.max("before").alias("before"), F.max("via").alias("via"))
         )
-        if best.where("colour <> before").isEmpty():
-            return best.select(*NODE, "colour")
-        colour = S.settle(best.select(*NODE, "colour"))
+        if state.where("colour <> before").isEmpty():
+            return state.select(*NODE, "colour")
 
 
 def _same_component(edges: DataFrame, colour: DataFrame) -> DataFrame:
@@ -141,13 +147,23 @@ def _same_component(edges: DataFrame, colour: DataFrame) -> DataFrame:
         colour.select("model", F.col("measure_name").alias("ref"), F.col("colour").alias("__c")), ["model", "ref"]
     )
     inner = S.settle(near.where("colour = __c").select(*NODE, "ref"))
-    fresh = S.settle(colour.where("colour = measure_name").select(*NODE))
-    reached = fresh
-    while not fresh.isEmpty():
-        to = fresh.select("model", F.col("measure_name").alias("ref"))
-        step = inner.join(to, ["model", "ref"]).select(*NODE).distinct()
-        fresh = S.settle(step.join(reached, NODE, "left_anti"))
-        reached = reached.unionByName(fresh)
+    ahead = inner.groupBy(*NODE).agg(F.max("ref").alias("via"))
+    state = S.settle(
+        colour.join(ahead, NODE, "left").select(*NODE, (F.col("colour") == F.col("measure_name")).alias("reached"), F.coalesce("via", "measure_name").alias("via"))
+    )
+    while True:
+        known = state.select("model", F.col("measure_name").alias("n"), F.col("reached").alias("r"), F.col("via").alias("v"))
+        direct = S.salted_join(inner.withColumnRenamed("ref", "n"), known.where("r"), ["model", "n"]).select(*NODE, F.lit(True).alias("reached"))
+        jumped = S.salted_join(state.withColumnRenamed("via", "n"), known, ["model", "n"])
+        own = jumped.select(*NODE, (F.col("reached") | F.col("r")).alias("reached"), F.col("reached").alias("before"), F.col("v").alias("via"))
+        state = S.settle(
+            own.unionByName(direct.withColumns({"before": F.lit(False), "via": F.lit(None).cast("string")}))
+            .groupBy(*NODE)
+            .agg(F.max("reached").alias("reached"), F.max("before").alias("before"), F.max("via").alias("via"))
+        )
+        if state.where("reached AND NOT before").isEmpty():
+            break
+    reached = state.where("reached").select(*NODE)
     # A root alone lies on a path between cycles, or is a cycle only through removed nodes.
     sizes = reached.join(colour, NODE).groupBy("model", "colour").agg((F.count(F.lit(1)) > 1).alias("cyclic"))
     return S.settle(reached.join(colour, NODE).join(sizes, ["model", "colour"]).select(*NODE, "cyclic"))
@@ -169,28 +185,47 @@ def _put(expr: Column, refs: Column, mode: Column) -> Column:
     return F.aggregate(refs, expr, one)
 
 
+def expand(defs: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Whole texts of all nodes that lead to no cycle: model, measure_name, expr; and the edges of the others.
+
+    A node is finished once all its references are: a finished node sends its text along the edges
+    that name it, and a node whose edges have all got theirs is put together. One round per
+    dependency level, each of which writes the open edges and the new texts once.
+    """
+    fresh = S.settle(defs.join(edges, NODE, "left_anti").select(*NODE, "expr"))
+    done, pending = [fresh], edges.withColumn("text", F.lit(None).cast("string"))
+    while True:
+        sent = fresh.select("model", F.col("measure_name").alias("ref"), F.concat(F.lit("("), "expr", F.lit(")")).alias("new"))
+        met = S.salted_join(pending, sent, ["model", "ref"], "left")
+        marked = S.settle(met.select(*NODE, "ref", F.coalesce("text", "new").alias("text"), (F.col("new").isNotNull() & F.col("text").isNull()).alias("got")))
+        if marked.where("got").isEmpty():
+            return _union(done), marked.select(*NODE, "ref")
+        whole = marked.groupBy(*NODE).agg(
+            F.every(F.col("text").isNotNull()).alias("all"), F.array_sort(F.collect_list(F.struct("ref", _literal(F.col("text")).alias("text")))).alias("refs")
+        )
+        ready = defs.join(whole.where("all"), NODE)
+        fresh = S.settle(ready.select(*NODE, _put(F.col("expr"), F.col("refs"), F.col("mode")).alias("expr")))
+        done.append(fresh)
+        pending = S.settle(marked.drop("got").join(fresh, NODE, "left_anti"))
+        if pending.isEmpty():
+            return _union(done), pending.select(*NODE, "ref")
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def resolve_composites(staging: DataFrame) -> DataFrame:
     """Staging rows with `resolved_expr` where references were inlined.
 
-    One round per dependency level; a row is expanded once, from definitions that are complete.
-    Cyclic measures and measures that depend on them get status `error`.
+    A row is expanded once, from definitions that are complete. Cyclic measures and measures that
+    depend on them get status `error`.
     """
-    edges = measure_edges(staging)
-    defs = S.settle(definitions(staging))
-    level_of, residual = peel(defs, edges)
-    level_of = S.settle(level_of)
-    resolved = S.settle(defs.join(level_of.where("level = 0"), NODE).select(*NODE, "expr"))
-    deepest = level_of.agg(F.max("level").alias("n")).first()["n"] or 0
-    for level in range(1, deepest + 1):
-        here = S.settle(edges.join(level_of.where(F.col("level") == level), NODE, "left_semi"))
-        texts = resolved.select("model", F.col("measure_name").alias("ref"), F.col("expr").alias("__ref_expr"))
-        text = _literal(F.concat(F.lit("("), F.col("__ref_expr"), F.lit(")")))
-        refs = S.salted_join(here, texts, ["model", "ref"]).groupBy(*NODE).agg(
-            F.array_sort(F.collect_list(F.struct("ref", text.alias("text")))).alias("refs")
-        )
-        fresh = defs.join(refs, NODE).select(*NODE, _put(F.col("expr"), F.col("refs"), F.col("mode")).alias("expr"))
-        resolved = resolved.unionByName(S.settle(fresh))
-    cyclic = cycles(residual).withColumn("__cyclic", F.lit(True))
+    resolved, residual = expand(S.settle(definitions(staging)), measure_edges(staging))
+    cyclic = cycles(residual, peeled=True).withColumn("__cyclic", F.lit(True))
     done = resolved.select(*NODE, F.col("expr").alias("__expr"))
     df = staging.drop("resolved_expr").join(done, NODE, "left").join(cyclic, NODE, "left")
     own = F.concat(F.lit("Circular measure reference: "), F.col("measure_name"))

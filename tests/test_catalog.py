@@ -48,7 +48,7 @@ def test_cycles_and_paths(spark):
 
 
 def test_long_cycle_and_dense_component(spark):
-    ring = [(f"r{i}", f"[r{(i + 1) % 9}]") for i in range(9)]
+    ring = [(f"r{i}", f"[r{(i + 1) % 200}]") for i in range(200)]
     clique = [(f"c{i}", " + ".join(f"[c{j}]" for j in range(4) if j != i)) for i in range(4)]
     e = references.measure_edges(staging(spark, ring + clique))
     assert names(references.cycles(e)) == sorted(n for n, _ in ring + clique)
