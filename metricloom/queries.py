@@ -1904,3 +1904,88 @@ def batch_roundtrip(spark, sf):
         spark.sql(f"DROP TABLE IF EXISTS {views}")
     declared = MetricView("mv_loaded", _order_facts(spark, sf), (), (Dimension("priority", "priority"),), loaded.measures)
     return declared.query(spark, ["Total", "In F", "In O", "In P"], ["priority"])
+
+
+def _called(spark, sf, texts: dict[str, str], dims=(), date: str | None = None) -> dict[str, DataFrame]:
+    """Results of texts that stand for operators, over a view of the orders."""
+    from metricloom.operators import calls
+    from metricloom.sources import exports as E
+
+    rows = spark.createDataFrame([(i, n, e) for i, (n, e) in enumerate(texts.items())], "position long, measure_name string, measure_expr string")
+    staging = E._staged(
+        rows, model=F.lit("m"), source_format=F.lit("csv"), source_table=F.lit("Sales"), description=F.lit(""),
+        mode=F.lit("dax"), fact_table_fqn=F.lit("orders"), fact_columns=F.lit(None), dim_tables=F.lit(None), col_map=F.lit(None),
+    )
+    found = {r["measure_name"]: r for r in calls.find_calls(_catalog_modules()[1].resolve_composites(staging)).collect()}  # the few declared texts
+    named = {"priority": "priority", "status": "status", "custkey": "customer_id", "date": "date"}
+    view = MetricView("mv_called", _order_facts(spark, sf), (), tuple(Dimension(n, e) for n, e in named.items()), ())
+    return {name: calls.evaluate(found[name], view, spark, dims, date) for name in texts if name != "Total Sales"}
+
+
+@query(
+    "q_migrated_shares",
+    f"""WITH g AS (SELECT o_orderstatus AS status, o_orderpriority AS priority, {dbl(f'SUM({AMT})')} AS v FROM orders GROUP BY 1, 2),
+    t AS (SELECT *, SUM(v) OVER () AS a, SUM(v) OVER (PARTITION BY status) AS s FROM g)
+    SELECT 'all' AS measure, status, priority, round(v / a, 9) AS pct FROM t UNION ALL SELECT 'selected', status, priority, round(v / a, 9) FROM t
+    UNION ALL SELECT 'kept', status, priority, round(v / s, 9) FROM t UNION ALL SELECT 'removed', status, priority, round(v / s, 9) FROM t""",
+)
+def migrated_shares(spark, sf):
+    """Shares of the total, of what is selected, of kept and without removed columns, from measure texts."""
+    texts = {
+        "Total Sales": "SUM(Sales[Amount])",
+        "all": "DIVIDE([Total Sales], CALCULATE([Total Sales], ALL(Sales)), 0)",
+        "selected": "DIVIDE(SUM(Sales[Amount]), CALCULATE(SUM(Sales[Amount]), ALLSELECTED(Sales)), 0)",
+        "kept": "DIVIDE(SUM(Sales[Amount]), CALCULATE(SUM(Sales[Amount]), ALLEXCEPT(Sales, Sales[Status])))",
+        "removed": "DIVIDE(SUM(Sales[Amount]), CALCULATE(SUM(Sales[Amount]), ALL(Sales[Priority])), 0)",
+    }
+    frames = [
+        df.select(F.lit(name).alias("measure"), "status", "priority", F.round("pct", 9).alias("pct"))
+        for name, df in _called(spark, sf, texts, ["status", "priority"]).items()
+    ]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+@query(
+    "q_migrated_ranks",
+    f"""WITH g AS (SELECT o_custkey AS k, {dbl(f'SUM({AMT})')} AS v FROM orders GROUP BY 1), r AS (SELECT *, RANK() OVER (ORDER BY v DESC) AS r FROM g)
+    SELECT 'rank' AS measure, CAST(k AS VARCHAR) AS key, CAST(r AS DOUBLE) AS value FROM r
+    UNION ALL SELECT 'top', 'all', round(SUM(v), 2) FROM r WHERE r <= 10
+    UNION ALL SELECT 'list', (SELECT string_agg(DISTINCT o_orderpriority, '; ' ORDER BY o_orderpriority) FROM orders), 1.0""",
+)
+def migrated_ranks(spark, sf):
+    """Ranks, the sum of the first ten and a list, from measure texts."""
+    texts = {
+        "rank": "RANKX(ALL(Sales[CustomerID]), CALCULATE(SUM(Sales[Amount])))",
+        "top": "SUMX(TOPN(10, VALUES(Sales[CustomerID]), CALCULATE(SUM(Sales[Amount]))), CALCULATE(SUM(Sales[Amount])))",
+        "list": 'CONCATENATEX(VALUES(Sales[Priority]), Sales[Priority], "; ")',
+    }
+    got = _called(spark, sf, texts)
+    shape = lambda name, key, value: got[name].select(F.lit(name).alias("measure"), key.cast("string").alias("key"), value.cast("double").alias("value"))
+    top = shape("top", F.lit("all"), F.round(F.col("top_sum").cast("double"), 2))
+    return shape("rank", F.col("custkey"), F.col("rank")).unionByName(top).unionByName(shape("list", F.col("members"), F.col("parts")))
+
+
+@query(
+    "q_migrated_time",
+    f"""WITH {DAILY}, {MONTHLY}, p AS (SELECT a.month, {dbl('a.v')} AS v, {dbl('b.v')} AS b FROM m a LEFT JOIN m b ON b.month = CAST(a.month - INTERVAL 12 MONTH AS DATE))
+    SELECT 'running' AS measure, CAST(day AS VARCHAR) AS date, round({dbl('SUM(v) OVER (ORDER BY day)')}, 2) AS value FROM dd
+    UNION ALL SELECT 'growth', CAST(month AS VARCHAR), round(COALESCE((v - b) / NULLIF(b, 0), 0), 9) FROM p
+    UNION ALL SELECT 'rolling', CAST(month AS VARCHAR), round({dbl('AVG(v) OVER (ORDER BY month RANGE BETWEEN INTERVAL 6 MONTH PRECEDING AND CURRENT ROW)')}, 2) FROM m""",
+)
+def migrated_time(spark, sf):
+    """Running total, growth over the prior year and a rolling average of seven months, from measure texts."""
+    texts = {
+        "running": "CALCULATE(SUM(Sales[Amount]), FILTER(ALL(Calendar), Calendar[Date] <= MAX(Calendar[Date])))",
+        "growth": "VAR a = SUM(Sales[Amount]) VAR b = CALCULATE(SUM(Sales[Amount]), SAMEPERIODLASTYEAR(Calendar[Date])) RETURN DIVIDE(a - b, b, 0)",
+        "rolling": "AVERAGEX(DATESINPERIOD(Calendar[Date], MAX(Calendar[Date]), -7, MONTH), CALCULATE(SUM(Sales[Amount])))",
+    }
+    got = _called(spark, sf, texts, (), "date")
+    column = {"running": ("running", 2), "growth": ("growth", 9), "rolling": ("rolling", 2)}
+    frames = [
+        df.select(F.lit(n).alias("measure"), F.col("date").cast("string").alias("date"), F.round(F.col(column[n][0]).cast("double"), column[n][1]).alias("value"))
+        for n, df in got.items()
+    ]
+    return frames[0].unionByName(frames[1]).unionByName(frames[2])
