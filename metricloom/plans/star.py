@@ -16,10 +16,16 @@ def load(spark: SparkSession, ref: Source) -> DataFrame:
 
 
 def is_large(spark: SparkSession, join: Join) -> bool:
-    """The dimension exceeds the size up to which Spark broadcasts a join side."""
+    """The dimension exceeds the size up to which Spark broadcasts a join side.
+
+    Where the session gives no estimate (a remote one), a dimension is large if it is declared so.
+    """
     if join.large is not None:
         return join.large
-    plan = load(spark, join.source)._jdf.queryExecution().optimizedPlan()
+    frame = load(spark, join.source)
+    if not hasattr(frame, "_jdf"):
+        return False
+    plan = frame._jdf.queryExecution().optimizedPlan()
     limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     return int(plan.stats().sizeInBytes()) > limit
 

@@ -33,6 +33,7 @@ BIM = _struct(name=S, model=_struct(**MODEL_FIELDS), **MODEL_FIELDS)
 
 DIM_TABLE = _struct(alias=S, table=S, join_key=S, dim_key=S, columns=T.ArrayType(S))
 
+# Columns of the staging table.
 STAGING = _struct(
     model=S,
     position=T.LongType(),
@@ -88,11 +89,15 @@ def _staged(df: DataFrame, **given: Column) -> DataFrame:
 # ---------------------------------------------------------------- tabular models
 
 
+# Fixed value: how a partition expression names its table.
+PARTITION_ITEM = 'Item="(\\w+)"'
+
+
 def infer_table_fqn(table: Column, catalog: str, schema: str) -> Column:
     """Physical name: `Item="x"` of the first partition that has one, else the snake-cased name."""
     items = F.transform(
         F.coalesce(table["partitions"], F.array().cast(TABLE["partitions"].dataType)),
-        lambda p: F.regexp_extract(F.coalesce(p["source"]["expression"], F.lit("")), 'Item="(\\w+)"', 1),
+        lambda p: F.regexp_extract(F.coalesce(p["source"]["expression"], F.lit("")), PARTITION_ITEM, 1),
     )
     found = F.get(F.filter(items, lambda x: x != ""), F.lit(0))
     return F.concat_ws(".", F.lit(catalog), F.lit(schema), F.coalesce(found, snake_case(table["name"])))

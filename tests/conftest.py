@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 
 from metricloom import Dimension, Join, Measure, MetricView, Window  # noqa: E402
 from metricloom.functions import aggs as A  # noqa: E402
-from metricloom.sources.sample_star import sample_dims, sample_fact  # noqa: E402
+from star_fixture import sample_dims, sample_fact  # noqa: E402
 
 
 @pytest.fixture(scope="session")

@@ -12,7 +12,7 @@ from metricloom.operators import validate as V
 
 
 def test_fixture(spark, star):
-    assert star.source.count() == 100
+    assert star.source.count() == 120
     assert star.joins[2].source.count() == 1096
 
 
