@@ -185,11 +185,10 @@ def over_distinct(mv, spark, measures, distinct, grain, early, relationship, key
     leaves = C.leaves_of(measures)
     additive = tuple(leaf for leaf in leaves if leaf.mergeable)
     keyed = [[*grain, Dimension("__key", leaf.input())] for leaf in distinct]
-    if w.span:
-        kind = dict(C.project(mv, spark, [], grain, relationship).dtypes)[w.order]
-        if kind != "date":
-            raise ValueError(f"distinct counts over {w.normal_range} need a date as their order, not {kind}")
-    if len(distinct) == 1 and w.normal_range != "all":
+    by_day = not w.span or dict(C.project(mv, spark, [], grain, relationship).dtypes)[w.order] == "date"
+    if not by_day and w.span[2] in MONTHS:
+        raise ValueError(f"distinct counts over {w.normal_range} need a date as their order")
+    if len(distinct) == 1 and w.normal_range != "all" and by_day:
         fine = C.build(mv, spark, measures, keyed[0], early, relationship, leaves=additive)
         cells = _count_along(fine, [d.name for d in grain], keys, w)
         return C.replace(cells, leaves=leaves)
@@ -282,7 +281,7 @@ def over_frame(cells: C.Cells, keys: Sequence[str], order: str, w: Window) -> C.
         return C.replace(cells, df=C.join_hot(cells.df.drop(*names), plain.regroup(keys).df, keys))
     side, n, unit = w.span
     if unit in MONTHS and not by_day:
-        raise ValueError(f"a window of {unit}s needs a date as its order, {order} is none")
+        return _over_month_timestamps(cells, keys, order, side, n * MONTHS[unit], w.include_anchor, leaves)
     if unit in MONTHS:
         return _over_months(cells, keys, order, side, n * MONTHS[unit], w.include_anchor, leaves)
     day = F.col(f"`{order}`")
@@ -382,6 +381,38 @@ def _over_months(
     return C.replace(cells, df=cells.df.withColumns(cols))
 
 
+def _over_month_timestamps(
+    cells: C.Cells, keys: Sequence[str], order: str, side: str, months: int, anchor: bool, leaves: list[int]
+) -> C.Cells:
+    """Frames of whole months before or after a timestamp, for sums and counts.
+
+    A frame's value is the difference of two running values. Every anchor asks at both ends of its
+    frame, before or after the rows of that very time; the running values are range-partitioned.
+    """
+    if any(cells.leaves[i].fn in ("MIN", "MAX") for i in leaves):
+        raise ValueError(f"extremes over windows of months need a date as their order, {order} is none")
+    names = [n for i in leaves for n in cells.part_names(i).values()]
+    types = dict(cells.df.dtypes)
+    rest = [c for c in cells.df.columns if c not in names]
+    day = F.col(f"`{order}`")
+    far = F.expr(f"`{order}` {'-' if side == 'trailing' else '+'} INTERVAL '{months}' MONTH")
+    low, high = (far, day) if side == "trailing" else (day, far)
+    after = anchor if side == "trailing" else not anchor
+
+    def row(kind: int, at: Column, sign: int) -> Column:
+        values = [(F.col(n) if kind == 1 else F.lit(None).cast(types[n])).alias(f"v_{n}") for n in names]
+        known = [(F.col(n).isNotNull().cast("bigint") if kind == 1 else F.lit(0).cast("bigint")).alias(f"k_{n}") for n in names]
+        return F.struct(F.struct(at.alias("at"), F.lit(kind).alias("kind")).alias("__pos"), F.lit(sign).alias("__sign"), *values, *known)
+
+    asks = 2 if after else 0
+    flat = S.settle(cells.df.select(*columns(rest), F.inline(F.array(row(1, day, 0), row(asks, low, -1), row(asks, high, 1)))))
+    parts = {f"{p}_{n}": ("sum", f"{p}_{n}") for n in names for p in "vk"}
+    asked = S.running(flat, list(keys), "__pos", parts).where("__sign <> 0")
+    signed = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0)) * F.col("__sign"))
+    merged = asked.groupBy(*columns(rest)).agg(*[F.when(signed(f"k_{n}") > 0, signed(f"v_{n}")).cast(types[n]).alias(n) for n in names])
+    return C.replace(cells, df=merged)
+
+
 def distinct_over(
     rows: DataFrame, anchors: DataFrame, keys: Sequence[str], order: str, w: Window
 ) -> DataFrame:
@@ -396,6 +427,8 @@ def distinct_over(
     if w.normal_range == "all":
         totals = rows.groupBy(*part).agg(F.count_distinct("__key").alias("__count"))
         return C.join_on(anchors, totals, list(keys))
+    if w.span and dict(rows.dtypes)[order] != "date":
+        return _distinct_over_timestamps(rows, anchors, keys, order, w)
     if w.normal_range == "cumulative":
         runs = rows.groupBy(*part, "__key").agg(F.min(d).alias("__start")).withColumn("__end", F.lit(None).cast("date"))
     else:
@@ -414,6 +447,27 @@ def distinct_over(
     return running_count(events.where("__day IS NOT NULL"), anchors, keys, order)
 
 
+def _distinct_over_timestamps(rows: DataFrame, anchors: DataFrame, keys: Sequence[str], order: str, w: Window) -> DataFrame:
+    """`distinct_over` on an axis of microseconds, for windows of hours, days and weeks."""
+    side, n, unit = w.span
+    width = (n * 24 * DAYS.get(unit, 0) or n) * 3600 * 1_000_000
+    part, at = columns(keys), F.unix_micros(F.col(f"`{order}`").cast("timestamp"))
+    t = F.col("__at")
+    near = W.partitionBy(*part, F.col("__key")).orderBy(t)
+    if side == "trailing":
+        first = t if w.include_anchor else t + 1
+        start, end = first, F.least(first + F.lit(width - 1), F.lead(first).over(near) - 1)
+    else:
+        last = t if w.include_anchor else t - 1
+        start, end = F.greatest(last - F.lit(width - 1), F.lag(last).over(near) + 1), last
+    runs = rows.withColumn("__at", at).select(*part, start.alias("__start"), end.alias("__end")).where("__start <= __end")
+    event = lambda day, delta: F.struct(day.alias("__day"), F.lit(delta).alias("__delta"))
+    events = runs.select(*part, F.inline(F.array(event(F.col("__start"), 1), event(F.col("__end") + 1, -1))))
+    counted = running_count(events, anchors.withColumn(order, at), keys, order)
+    kind = dict(anchors.dtypes)[order]
+    return counted.withColumn(order, F.timestamp_micros(F.col(f"`{order}`")).cast(kind))
+
+
 def _last_anchor(d: Column, n: int, unit: str) -> Column:
     """Latest anchor whose trailing frame still reaches back to `d`."""
     end = shift(d, n, unit)

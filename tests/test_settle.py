@@ -85,11 +85,45 @@ def test_running_total_beyond_one_window(spark, skewed, monkeypatch):
     assert sorted(seen) == [len(set((data[: i + 1] % 50).tolist())) for i in range(len(data))]
     zero = sorted((r for r in plain if r[0] == 0), key=lambda r: r[1])
     assert [r[2] for r in zero] == data.cumsum().tolist() and [r[5] for r in zero] == data.cummax().tolist()
-    for expr, span in (("SUM(v)", "trailing 1 month"), ("COUNT(DISTINCT v)", "trailing 3 day")):
+    for expr, span in (("MAX(v)", "trailing 1 month"), ("COUNT(DISTINCT v)", "trailing 1 month")):
         with pytest.raises(ValueError, match="date"):
             mv.query(spark, [Measure("x", expr, window=(Window("ts", span),))], ["k", "ts"])
 
 
+SPANS = [("trailing 2 month", False), ("trailing 1 month", True), ("leading 1 month", False), ("leading 2 month", True)]
+SPANS += [("trailing 3 day", False), ("trailing 2 day", True), ("leading 5 hour", False), ("leading 1 week", True)]
+
+
+@pytest.mark.parametrize("span,anchor", SPANS)
+def test_months_and_distinct_counts_over_timestamps(spark, span, anchor):
+    import pandas as pd
+
+    from metricloom import Dimension, Measure, MetricView, Window
+
+    data = [(1_700_000_000 + (i * i * 40_009) % (200 * 86_400) // 10_800 * 10_800, i * 7 % 5, i % 2) for i in range(140)]
+    df = spark.createDataFrame(data, "t long, v int, g int").select(F.timestamp_seconds("t").alias("ts"), "v", "g")
+    side, n, unit = span.split()
+    exprs = ["SUM(v)", "COUNT(1)", "AVG(v)"] if unit == "month" else ["COUNT(DISTINCT v)", "SUM(v)"]
+    ms = [Measure(f"m{i}", e, window=(Window("ts", span, include_anchor=anchor),)) for i, e in enumerate(exprs)]
+    mv = MetricView("m", df, (), (Dimension("ts", "ts"), Dimension("g", "g")), tuple(ms))
+    step = pd.DateOffset(**{unit + "s": int(n)})
+    times = [(pd.Timestamp(t, unit="s"), v, g) for t, v, g in data]
+    inside = {
+        ("trailing", False): lambda x, a: a - step <= x < a,
+        ("trailing", True): lambda x, a: a - step < x <= a,
+        ("leading", False): lambda x, a: a < x <= a + step,
+        ("leading", True): lambda x, a: a <= x < a + step,
+    }[side, anchor]
+    got = {(pd.Timestamp(r[0], unit="s"), r[1]): tuple(r)[2:] for r in mv.query(spark, ms, ["ts", "g"]).withColumn("ts", F.unix_seconds("ts")).collect()}
+    assert len(got) == len({(t, g) for t, _, g in times})
+    for (a, g), values in got.items():
+        seen = [v for x, v, h in times if h == g and inside(x, a)]
+        if unit == "month":
+            assert values == ((sum(seen), len(seen), sum(seen) / len(seen)) if seen else (None, 0, None)), a
+        else:
+            assert values == (len(set(seen)), sum(seen) if seen else None), a
+
+
 def test_join_on_hot_and_missing_keys(spark, monkeypatch):
     from metricloom.plans import cells as C
 
