@@ -271,6 +271,8 @@ def _run_of(day: Column, by_key, w: Window) -> tuple[Column, Column]:
 def over_frame(cells: C.Cells, keys: Sequence[str], order: str, w: Window) -> C.Cells:
     """Cells with each mergeable part merged over the frame."""
     leaves = [i for i, leaf in enumerate(cells.leaves) if leaf.mergeable]
+    if not leaves:
+        return cells
     by_day = dict(cells.df.dtypes)[order] == "date"
     if w.normal_range == "cumulative":
         return _cumulative(cells, keys, order, leaves, by_day)
@@ -306,7 +308,7 @@ def _cumulative(cells: C.Cells, keys: Sequence[str], order: str, leaves: list[in
     is range-partitioned.
     """
     frame = frame_text(keys, order, "UNBOUNDED PRECEDING AND CURRENT ROW")
-    if by_day or not leaves:
+    if by_day:
         return cells.over(frame, leaves)
     cells = cells.settled()
     fns = {"s": "sum", "n": "sum", "lo": "min", "hi": "max"}

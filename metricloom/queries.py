@@ -914,6 +914,33 @@ def cumulative_distinct_timestamps(spark, sf):
     return df.withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
+@query(
+    "q_trailing_month_timestamps",
+    f"""WITH e AS (SELECT event_type AS kind, ts, CAST(value AS DECIMAL(12,2)) AS v FROM events)
+    SELECT kind, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at, {dbl('SUM(v) OVER w')} AS value, COUNT(*) OVER w AS events
+    FROM e WINDOW w AS (PARTITION BY kind ORDER BY ts RANGE BETWEEN INTERVAL '1 month -1 microsecond' PRECEDING AND CURRENT ROW)""",
+)
+def trailing_month_timestamps(spark, sf):
+    """Sums over a calendar month up to every event."""
+    mv = _events(spark, sf)
+    w = (Window("at", "trailing 1 month", include_anchor=True),)
+    df = mv.query(spark, [Measure(m.name, m.expr, window=w) for m in mv.measures if m.name in ("value", "events")], ["kind", "at"])
+    return df.withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+@query(
+    "q_trailing_distinct_timestamps",
+    """WITH e AS (SELECT DISTINCT event_type AS kind, ts FROM events)
+    SELECT e.kind, strftime(e.ts, '%Y-%m-%d %H:%M:%S.%f') AS at, COUNT(DISTINCT b.user_id) AS users FROM e
+    LEFT JOIN events b ON b.event_type = e.kind AND b.ts > e.ts - INTERVAL 3 DAY AND b.ts <= e.ts GROUP BY e.kind, e.ts""",
+)
+def trailing_distinct_timestamps(spark, sf):
+    """Users of the last three days at every event."""
+    mv = _events(spark, sf)
+    m = Measure("users", A.distinct_count("user_id"), window=(Window("at", "trailing 3 day", include_anchor=True),))
+    return mv.query(spark, [m], ["kind", "at"]).withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
 @query(
     "q_rolling_month_avg",
     f"""WITH {MONTHLY} SELECT month AS day, {dbl('v')} AS total,
