@@ -245,8 +245,15 @@ class MetricView:
         return {k: v for k, v in doc.items() if v}
 
     @classmethod
-    def from_definition(cls, name: str, doc: Mapping, tables: Mapping[str, Source] | None = None) -> MetricView:
-        """View of a definition document; `tables` may stand in for named tables."""
+    def from_definition(
+        cls, name: str, doc: Mapping, tables: Mapping[str, Source] | None = None, fact: Source | None = None
+    ) -> MetricView:
+        """View of a definition document; `tables` may stand in for named tables.
+
+        Where the document leaves its source blank, `fact` is the source (Q14).
+        """
+        if not doc.get("source") and fact is None:
+            raise ValueError(f"{name} has no source")
         place = lambda t: (tables or {}).get(t, t)
         joins = [
             Join(j["name"], place(j["source"]), j.get("on"), tuple(j.get("using") or ()))
@@ -263,7 +270,7 @@ class MetricView:
         ]
         dims = unique(Dimension(d["name"], d["expr"], d.get("comment")) for d in doc.get("dimensions") or ())
         return cls(
-            name, place(doc["source"]), tuple(joins), dims, tuple(measures), doc.get("filter"), doc.get("comment"),
+            name, place(doc["source"]) if doc.get("source") else fact, tuple(joins), dims, tuple(measures), doc.get("filter"), doc.get("comment"),
             doc.get("version"),
         )
 

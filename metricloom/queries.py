@@ -2016,3 +2016,101 @@ def migrated_time(spark, sf):
         for n, df in got.items()
     ]
     return frames[0].unionByName(frames[1]).unionByName(frames[2])
+
+
+@query(
+    "q_staging_batches",
+    f"""WITH {CATALOG}, s AS (SELECT 'b1' AS batch_id, k, 'first' AS note FROM cat WHERE k % 2 = 0 UNION ALL SELECT 'b2', k, 'again' FROM cat WHERE k % 5 = 0)
+    SELECT batch_id, CASE WHEN note = 'again' THEN 'again' END AS note, 'batch_bim' AS batch_mode, COUNT(*) AS rows, COUNT(*) FILTER (WHERE k % 15 = 9) AS windows FROM s GROUP BY ALL""",
+)
+def staging_batches(spark, sf):
+    """A batch written again, with one more column, replaces itself; the pending rows of both are translated."""
+    import uuid
+
+    from metricloom.sources import audit
+
+    assembly, _, rules = _catalog_modules()
+    staging = X.catalog(spark, sf)
+    batch = lambda b, n: assembly.with_batch(staging.where(F.col("position") % n == 0), b)
+    name = f"staging_{uuid.uuid4().hex}"
+    try:
+        audit.write_staging(batch("b1", 2), name)
+        audit.write_staging(batch("b2", 3), name)
+        audit.write_staging(batch("b2", 5).withColumn("note", F.lit("again")), name)
+        frames = []
+        for b in ("b1", "b2"):
+            done = audit.translate_batch(spark.table(name), b, f"{name}_{b}", rules.translate_rules)
+            frames.append(done.groupBy("batch_id", "note", "batch_mode").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("class") == "window").alias("windows")))
+        return settle.settle(frames[0].unionByName(frames[1]))
+    finally:
+        for table in (name, f"{name}_b1", f"{name}_b2"):
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+@query("q_mapping_file", "SELECT 'main.s.fact_sales' AS fact_table, 'main.s.dim_' || lower(replace(r_name, ' ', '_')) AS \"table\", 'k' || r_regionkey AS join_key, 'id' AS dim_key FROM region")
+def mapping_file(spark, sf):
+    """A mapping file written to the shared folder and read back."""
+    from metricloom.sources import exports as E
+
+    name = F.concat(F.lit("main.s.dim_"), F.lower(F.replace("r_name", F.lit(" "), F.lit("_"))))
+    entry = F.concat(F.lit("- table: "), name, F.lit("\n  join_key: k"), F.col("r_regionkey").cast("string"), F.lit("\n  dim_key: id"))
+    listed = X.table(spark, sf, "region").agg(F.array_join(F.array_sort(F.collect_list(entry)), "\n").alias("e"))
+    path = settle.scratch(spark, "mapping")
+    listed.select(F.concat(F.lit("fact_table: main.s.fact_sales\ndimension_tables:\n"), "e")).coalesce(1).write.text(path)
+    mapping = E.load_mapping(spark, path)
+    dims = spark.createDataFrame([(d["table"], d["join_key"], d["dim_key"]) for d in mapping["dimension_tables"]], "table string, join_key string, dim_key string")
+    return dims.select(F.lit(mapping["fact_table"]).alias("fact_table"), "*")
+
+
+@query(
+    "q_guarded_view",
+    f"""SELECT o_orderpriority AS priority, {dbl(f'SUM({AMT})')} AS total, 'partial' AS status, 'bad' AS left_out FROM orders GROUP BY 1""",
+)
+def guarded_view(spark, sf):
+    """A measure with a SQL window is left out with a warning, the others stay."""
+    view = X.orders_view(spark, sf)
+    mv = MetricView("mv", view.source, (), view.dimensions[:2], (Measure("total", A.sum_(X.AMOUNT)), Measure("bad", f"SUM(SUM({X.AMOUNT})) OVER ()")))
+    clean, warnings, status = mv.validate()
+    df = clean.query(spark, [m.name for m in clean.measures], ["priority"])
+    return df.withColumns({"status": F.lit(status), "left_out": F.lit(",".join(w.measure_name for w in warnings))})
+
+
+@query(
+    "q_order_resolution",
+    f"""WITH {DAILY} SELECT day, {dbl('SUM(v) OVER (ORDER BY day)')} AS by_name, {dbl('SUM(v) OVER (ORDER BY day)')} AS by_expression, {dbl('SUM(v) OVER (ORDER BY day)')} AS by_part FROM dd""",
+    dates="day",
+)
+def order_resolution(spark, sf):
+    """Windows whose order is the name, the expression, or a text that contains the name of a dimension."""
+    view = X.orders_view(spark, sf)
+    orders = {"by_name": "day", "by_expression": view.dim("day").expr, "by_part": "order_day"}
+    dims = tuple(d for d in view.dimensions if d.name == "day")
+    mv = MetricView("mv", view.source, (), dims, tuple(Measure(n, A.sum_(X.AMOUNT), window=(Window(o, "cumulative"),)) for n, o in orders.items()))
+    return mv.query(spark, list(orders), ["day"])
+
+
+@query(
+    "q_source_fallback",
+    f"""SELECT o_orderstatus AS status, COUNT(*) AS orders, {dbl(f'SUM({AMT})')} AS total FROM orders GROUP BY 1""",
+)
+def source_fallback(spark, sf):
+    """A definition without a source is one over the model's fact table."""
+    doc = {
+        "source": "", "dimensions": [{"name": "status", "expr": "o_orderstatus"}],
+        "measures": [{"name": "orders", "expr": "COUNT(1)"}, {"name": "total", "expr": A.sum_(X.AMOUNT)}],
+    }
+    mv = MetricView.from_definition("mv", doc, fact=f"{sf}/orders.parquet")
+    return mv.query(spark, ["orders", "total"], ["status"])
+
+
+@query(
+    "q_format_percent",
+    f"""WITH g AS (SELECT o_orderpriority AS priority, COUNT(*) AS n, COUNT(*) FILTER (WHERE o_orderstatus = 'F') AS f FROM orders GROUP BY 1)
+    SELECT priority, format('{{:,.2f}}', round(100.0 * f / n, 2)) || '%' AS share, priority || ' - ' || format('{{:,.2f}}', round(100.0 * f / n, 2)) || '%' AS label FROM g""",
+)
+def format_percent(spark, sf):
+    """Percent formats of tabular models and cubes."""
+    share = Measure("share", A.divide(A.filtered("COUNT(1)", "o_orderstatus = 'F'"), "COUNT(1)"))
+    df = X.orders_view(spark, sf).query(spark, [share], ["priority"])
+    part = F.round("share", 4)
+    return df.select("priority", TX.format_measure(part, "Percent").alias("share"), TX.member_label(F.col("priority"), part, "0.00%").alias("label"))
