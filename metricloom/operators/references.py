@@ -52,8 +52,9 @@ def peel(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     while True:
         target = fresh.select("model", F.col("measure_name").alias("ref"), F.lit(True).alias("done"))
         joined = S.salted_join(pending, target, ["model", "ref"], "left")
-        marked = S.settle(joined.select(*NODE, "ref", F.col("done").isNotNull().alias("done")))
-        closed, still_open = marked.agg(F.count_if("done"), F.count_if(~F.col("done"))).first()
+        marked, (closed, still_open) = S.settle_counting(
+            joined.select(*NODE, "ref", F.col("done").isNotNull().alias("done")), F.col("done"), ~F.col("done")
+        )
         pending = marked.where("NOT done").drop("done")
         if not closed:
             break
@@ -126,18 +127,20 @@ def _colours(edges: DataFrame) -> DataFrame:
     """
     start = edges.groupBy("model", F.col("ref").alias("measure_name")).agg(F.max("measure_name").alias("via"))
     state = S.settle(_nodes(edges).join(start, NODE, "left").select(*NODE, F.col("measure_name").alias("colour"), F.coalesce("via", "measure_name").alias("via")))
+    along = edges.select("model", F.col("measure_name").alias("n"), F.col("ref").alias("to"), F.lit(False).alias("jump"))
     while True:
         known = state.select("model", F.col("measure_name").alias("n"), F.col("colour").alias("c"), F.col("via").alias("v"))
-        direct = S.salted_join(edges.withColumnRenamed("measure_name", "n"), known, ["model", "n"]).select("model", F.col("ref").alias("measure_name"), F.col("c").alias("colour"))
-        jumped = S.salted_join(state.withColumnRenamed("via", "n"), known, ["model", "n"])
-        own = jumped.select(*NODE, F.greatest("colour", "c").alias("colour"), F.col("colour").alias("before"), F.col("v").alias("via"))
-        none = F.lit(None).cast("string")
-        state = S.settle(
-            own.unionByName(direct.withColumns({"before": none, "via": none}))
+        asked = along.unionByName(state.select("model", F.col("via").alias("n"), F.col("measure_name").alias("to"), F.lit(True).alias("jump")))
+        met = S.salted_join(asked, known, ["model", "n"])
+        sent = met.select("model", F.col("to").alias("measure_name"), F.col("c").alias("colour"), F.when(F.col("jump"), F.col("v")).alias("via"))
+        own = state.select(*NODE, "colour", F.col("colour").alias("before"))
+        best = (
+            own.unionByName(sent, allowMissingColumns=True)
             .groupBy(*NODE)
             .agg(F.max("colour").alias("colour"), F.max("before").alias("before"), F.max("via").alias("via"))
         )
-        if state.where("colour <> before").isEmpty():
+        state, (changed,) = S.settle_counting(best, F.col("colour") != F.col("before"))
+        if not changed:
             return state.select(*NODE, "colour")
 
 
@@ -151,17 +154,20 @@ def _same_component(edges: DataFrame, colour: DataFrame) -> DataFrame:
     state = S.settle(
         colour.join(ahead, NODE, "left").select(*NODE, (F.col("colour") == F.col("measure_name")).alias("reached"), F.coalesce("via", "measure_name").alias("via"))
     )
+    along = inner.select("model", F.col("ref").alias("n"), F.col("measure_name").alias("to"), F.lit(False).alias("jump"))
     while True:
         known = state.select("model", F.col("measure_name").alias("n"), F.col("reached").alias("r"), F.col("via").alias("v"))
-        direct = S.salted_join(inner.withColumnRenamed("ref", "n"), known.where("r"), ["model", "n"]).select(*NODE, F.lit(True).alias("reached"))
-        jumped = S.salted_join(state.withColumnRenamed("via", "n"), known, ["model", "n"])
-        own = jumped.select(*NODE, (F.col("reached") | F.col("r")).alias("reached"), F.col("reached").alias("before"), F.col("v").alias("via"))
-        state = S.settle(
-            own.unionByName(direct.withColumns({"before": F.lit(False), "via": F.lit(None).cast("string")}))
+        asked = along.unionByName(state.select("model", F.col("via").alias("n"), F.col("measure_name").alias("to"), F.lit(True).alias("jump")))
+        met = S.salted_join(asked, known, ["model", "n"]).where("r OR jump")
+        sent = met.select("model", F.col("to").alias("measure_name"), F.col("r").alias("reached"), F.when(F.col("jump"), F.col("v")).alias("via"))
+        own = state.select(*NODE, "reached", F.col("reached").alias("before"))
+        best = (
+            own.unionByName(sent, allowMissingColumns=True)
             .groupBy(*NODE)
             .agg(F.max("reached").alias("reached"), F.max("before").alias("before"), F.max("via").alias("via"))
         )
-        if state.where("reached AND NOT before").isEmpty():
+        state, (changed,) = S.settle_counting(best, F.col("reached") & ~F.col("before"))
+        if not changed:
             break
     reached = state.where("reached").select(*NODE)
     # A root alone lies on a path between cycles, or is a cycle only through removed nodes.
@@ -197,8 +203,9 @@ def expand(defs: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     while True:
         sent = fresh.select("model", F.col("measure_name").alias("ref"), F.concat(F.lit("("), "expr", F.lit(")")).alias("new"))
         met = S.salted_join(pending, sent, ["model", "ref"], "left")
-        marked = S.settle(met.select(*NODE, "ref", F.coalesce("text", "new").alias("text"), (F.col("new").isNotNull() & F.col("text").isNull()).alias("got")))
-        if marked.where("got").isEmpty():
+        got = F.col("new").isNotNull() & F.col("text").isNull()
+        marked, (some,) = S.settle_counting(met.select(*NODE, "ref", F.coalesce("text", "new").alias("text"), got.alias("got")), F.col("got"))
+        if not some:
             return _union(done), marked.select(*NODE, "ref")
         whole = marked.groupBy(*NODE).agg(
             F.every(F.col("text").isNotNull()).alias("all"), F.array_sort(F.collect_list(F.struct("ref", _literal(F.col("text")).alias("text")))).alias("refs")
@@ -206,8 +213,8 @@ def expand(defs: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         ready = defs.join(whole.where("all"), NODE)
         fresh = S.settle(ready.select(*NODE, _put(F.col("expr"), F.col("refs"), F.col("mode")).alias("expr")))
         done.append(fresh)
-        pending = S.settle(marked.drop("got").join(fresh, NODE, "left_anti"))
-        if pending.isEmpty():
+        pending, (left,) = S.settle_counting(marked.drop("got").join(fresh, NODE, "left_anti"), F.lit(True))
+        if not left:
             return _union(done), pending.select(*NODE, "ref")
 
 

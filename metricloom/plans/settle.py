@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window as W, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +40,14 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle_counting(df: DataFrame, *conditions: Column) -> tuple[DataFrame, list[int]]:
+    """`settle`, and how many rows met each condition, counted while they were written."""
+    seen = Observation()
+    counts = [F.count_if(c).alias(f"n{i}") for i, c in enumerate(conditions)]
+    out = settle(df.observe(seen, *counts))
+    return out, [seen.get[f"n{i}"] or 0 for i in range(len(conditions))]
+
+
 def running(
     df: DataFrame,
     group: list[str],
