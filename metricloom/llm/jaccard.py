@@ -20,13 +20,12 @@ from dataclasses import dataclass
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.settle import salted_join, settle
 from .components import components
-from .text import Flat, U, importable, mixed, over_texts, segment_sums
+from .text import Flat, U, importable, mixed, over_texts
 
 
 # Frames of so many rows (of a hundred bytes at most) are broadcast to texts and signatures; larger ones meet them by key.
