@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from metricloom.operators import members, ranking, rules, shares, timeline
 from metricloom.plans.model import Dimension, Measure, MetricView, Window
