@@ -1,7 +1,8 @@
 """Mixing sources to target weights by cube-method balanced sampling.
 
 A source whose target is r times its size takes floor(r) copies of every document, and one more of some: all documents that
-are small against the words still missing have the same inclusion probability. The flight phase moves these probabilities through the null space of the balancing
+are small against the words still missing (or, where nearly all are taken, against the words too many) have the same inclusion
+probability, large ones none (or 1). The flight phase moves these probabilities through the null space of the balancing
 constraints (token total and document total) until all but two of a block are 0 or 1; what is left of the blocks meets in
 larger blocks, and so on until one block per source remains. Its last two undecided documents, its smallest, are the landing
 problem.
@@ -22,8 +23,9 @@ MOST = 3.0
 # A table of this many sources is broadcast; more are joined by key, split where a source is hot.
 FEW_SOURCES = 10_000
 EPS = 1e-9
-# Documents larger than this part of what a source is short of get no extra copy, unless the others are too few.
-FIT = 8
+# Documents larger than such a part of what a source is short of get no extra copy, or, where less than half is too much,
+# those larger than such a part of that all get one: the first part that leaves enough documents to choose from.
+FIT = (8, 4, 2, 1)
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -106,14 +108,21 @@ def mix(docs: DataFrame, size: Column, source: str) -> DataFrame:
 
     ratio = F.when(F.col("source_size") > 0, F.least(F.lit(MOST), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
     floor = F.floor(ratio + EPS)
-    parts = wanted.select("key", floor.alias("floor"), ((ratio - floor) * F.col("source_size")).alias("more"))
+    parts = wanted.select("key", "source_size", floor.alias("floor"), ((ratio - floor) * F.col("source_size")).alias("more"))
     light = numbered(base.select("id", "key", "size", F.xxhash64("row").alias("h")), ["key", "h", "id"])
-    fits = F.col("size") <= F.col("more") / FIT
-    fitting = by_source(light, parts).groupBy("key").agg(F.sum(F.when(fits, F.col("size"))).alias("fit"))
-    parts = settle(parts.join(fitting, "key").join(wanted.select("key", "source_size"), "key"))
-    some = F.coalesce(F.col("fit") >= F.col("more"), F.lit(False)) & (F.col("more") > 0)
-    p = F.when(F.col("source_size") <= 0, 0.0).when(some, F.when(fits, F.col("more") / F.col("fit")).otherwise(0.0))
-    p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), p.otherwise(F.col("more") / F.col("source_size"))))
+    gap = F.col("source_size") - F.col("more")
+    # For each part, the words of the documents that are small enough, against what is short and against what is too much.
+    small = {(side, f): F.col("size") <= much / f for f in FIT for side, much in (("short", F.col("more")), ("over", gap))}
+    sums = {k: F.coalesce(F.sum(F.when(c, F.col("size"))), F.lit(0)).alias(f"{k[0]}{k[1]}") for k, c in small.items()}
+    parts = settle(parts.join(by_source(light, parts).groupBy("key").agg(*sums.values()), "key"))
+    p = F.when(F.col("source_size") <= 0, F.lit(0.0))
+    for f in FIT:
+        enough = (gap > 0) & (gap < F.col("more")) & (F.col(f"over{f}") >= gap)
+        p = p.when(enough, F.when(small["over", f], 1 - gap / F.col(f"over{f}")).otherwise(F.lit(1.0)))
+        enough = (F.col("more") > 0) & (gap >= F.col("more")) & (F.col(f"short{f}") >= F.col("more"))
+        p = p.when(enough, F.when(small["short", f], F.col("more") / F.col(f"short{f}")).otherwise(F.lit(0.0)))
+    p = p.otherwise(F.col("more") / F.col("source_size"))
+    p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), p))
     now = by_source(light, parts).select("id", "key", "number", "size", "floor", p.cast("double").alias("p"))
     schema = now.schema
     decided, last, width = [], False, BLOCK
