@@ -28,6 +28,13 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/metricloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+def clear(spark: SparkSession) -> bool:
+    """Delete what this application has written to the shared folder; its results must have been read or saved."""
+    root = f"{shared_dir(spark)}/metricloom/{spark.sparkContext.applicationId}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and go on from the files.
 

@@ -165,3 +165,14 @@ def test_hours_over_timestamps(spark, span, anchor):
         else:
             want.append((t, g, None, None, None, 0, None))
     assert sorted(tuple(r) for r in got) == want
+
+
+def test_clear_deletes_the_files_of_the_application(spark):
+    import os
+
+    frame = S.settle(spark.range(10))
+    files = frame.inputFiles()
+    assert files and all(os.path.exists(f.removeprefix("file://")) for f in files)
+    assert S.clear(spark)
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in files)
+    assert S.settle(spark.range(3)).count() == 3
