@@ -131,12 +131,15 @@ def train(
         share = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.5
         parts["out"][:], parts["out0"][:] = 0, np.log((share + 1e-3) / (1 - share + 1e-3))
         return Bags(np.zeros(SIZE), np.ones(SIZE), parts, size)
-    found = [encoded(texts[i : i + 200], size) for i in range(0, len(texts), 200)]
-    x = np.concatenate([f for f, _ in found]).astype(np.float64)
-    of = np.concatenate([o + 200 * i for i, (_, o) in enumerate(found)])
-    centre, spread = x.mean(0), x.std(0)
-    model = Bags(centre, 1 / (spread + 0.01), parts, size)
-    x = np.clip((x - model.centre) * model.scale, -6, 6)
+    found = [encoded(texts[i : i + 100], size) for i in range(0, len(texts), 100)]
+    of = np.concatenate([o + 100 * i for i, (_, o) in enumerate(found)])
+    x = np.concatenate([f for f, _ in found])
+    del found
+    centre, spread = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64)
+    model = Bags(centre.astype(np.float32), (1 / (spread + 0.01)).astype(np.float32), parts, size)
+    x -= model.centre
+    x *= model.scale
+    np.clip(x, -6, 6, out=x)
     begin = np.searchsorted(of, np.arange(len(y) + 1))
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     m = {k: np.zeros_like(v) for k, v in parts.items()}
@@ -144,7 +147,7 @@ def train(
     for t in range(1, steps + 1):
         some = np.sort(rng.choice(len(y), min(batch, len(y)), replace=False))
         rows = np.concatenate([np.arange(begin[i], begin[i + 1]) for i in some])
-        bx, bof = x[rows], np.repeat(np.arange(len(some)), begin[some + 1] - begin[some])
+        bx, bof = x[rows].astype(np.float64), np.repeat(np.arange(len(some)), begin[some + 1] - begin[some])
         h, a, g, w, z, logit, starts, counts = model.forward(bx, bof)
         d = (1 / (1 + np.exp(-logit)) - y[some]) * weight[some] / len(some)
         dz = np.repeat(d[:, None] * parts["out"], counts, axis=0)
@@ -165,7 +168,7 @@ def train(
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = 3000, chars: int = 12_000_000, text: str = "text") -> Bags:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = 2000, chars: int = 6_000_000, text: str = "text") -> Bags:
     """Train on a bounded sample (`rows`, `chars`) of the labelled documents that are not held out."""
     learn = labels.where(labelled(labels)[1])
     return sample.trained(docs, learn, "doc_id", F.col(f"`{label}`").cast("int"), rows, chars, text, train)

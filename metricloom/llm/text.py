@@ -38,18 +38,24 @@ def over_texts(docs: DataFrame, text: str, keep: list[str], fn: Callable[[list],
     names: they travel inside `row`.
     """
     importable(docs.sparkSession)
-    frame = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
+    # A text that is kept is sent once.
+    inside = keep.index(text) if text in keep and isinstance(docs.schema[text].dataType, T.StringType) else None
+    frame = docs.select(whole) if inside is not None else docs.select(whole, F.col(f"`{text}`").cast("string").alias("text"))
     added = T.StructType.fromDDL(schema)
     types = [pa_type(f.dataType) for f in added]
     out = T.StructType([frame.schema["row"], *added.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+
         for batch in batches:
-            for at, n in pieces(batch.column("text")):
-                part = batch.slice(at, n)
-                got = fn(part.column("text").to_pylist())
+            rows = batch.column("row")
+            column = pc.struct_field(rows, [inside]) if inside is not None else batch.column("text")
+            for at, n in pieces(column):
+                got = fn(column.slice(at, n).to_pylist())
                 arrays = [x if isinstance(x, pa.Array) else pa.array(x, type=t) for x, t in zip(got, types)]
-                yield pa.RecordBatch.from_arrays([part.column("row"), *arrays], names=["row", *added.names])
+                yield pa.RecordBatch.from_arrays([rows.slice(at, n), *arrays], names=["row", *added.names])
 
     return frame.mapInArrow(run, out)
 
