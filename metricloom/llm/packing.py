@@ -29,7 +29,7 @@ SEQUENCE = 2048
 # Lengths above a share of the sequence are large, and are rounded in so many groups: the schemes of which the best is kept.
 SCHEMES = [(share, groups) for share in (1 / 5, 1 / 4, 1 / 3, 0.4999) for groups in (5, 10, 20, 40)]
 # Units whose ids a worker remembers.
-KNOWN = 2_000_000
+KNOWN = 600_000
 
 
 class Tokens:

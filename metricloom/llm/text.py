@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 SPACE, LETTER, DIGIT, UPPER = 1, 2, 4, 8
 BASE = np.uint64(0x9E3779B97F4A7C15)
 U = np.uint64
