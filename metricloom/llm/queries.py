@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprints, jaccard, language, mixing, packing, quality, sharding, topk, toxicity, urls
+from ..plans.settle import scratch
+from . import alignment, archive, fingerprints, jaccard, language, mixing, packing, quality, sharding, topk, toxicity, urls, whitening
 from .text import labelled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +157,56 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return joined.select("row.doc_id", *[c for c in joined.columns if c != "row"])
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    model = whitening.fit(vectors, "embedding", 32)
+    made = whitening.whiten(vectors, model, "embedding", ["vec_id"], 32)
+    share = F.array(*[F.lit(float(e / model.trace) if model.trace else 0.0) for e in model.values[:32]]).cast("array<double>")
+    each = made.select("row.vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return each.select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        F.lit(model.n).cast("bigint").alias("n"),
+        F.col("deviation").try_cast("bigint").alias("deviation"),
+        "whitened",
+        F.get(share, F.col("at")).alias("explained"),
+        F.lit(model.identity_error).alias("identity_error"),
+    )
+
+
+@query
+def op12_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "archive")
+    archive.write(table(spark, sf_dir, "pages"), path, "page_id", "url", "html")
+    records = archive.read(spark, path)
+    number = lambda c: F.col(c).cast("bigint")
+    return records.select(
+        number("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to")
+    )
+
+
+ORACLE["op12_archive"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS sha, coalesce(html, '') AS html FROM pages),
+f AS (SELECT html, min(page_id) AS first FROM p GROUP BY html),
+d AS (SELECT page_id, payload_bytes, first, list_transform(range(0, 8), lambda i: CAST('0x' || substr(sha, CAST(5 * i + 1 AS INTEGER), 5) AS INTEGER)) AS fives
+  FROM p JOIN f USING (html))
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(fives, lambda v: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v >> 15) + 1, 1) ||
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 10) & 31) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 5) & 31) + 1, 1) ||
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+"""
+
+
+@query
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    made = alignment.aligned(table(spark, sf_dir, "documents"), *paths, ["doc_id"])
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    return made.select("row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)
