@@ -31,9 +31,12 @@ BUCKET = 1 << 14  # pairs of a bucket, on average
 SLICE = 64  # buckets whose counts one task makes
 HELD = 1 << 22  # pairs whose counts are broadcast at once; more take further passes
 FAN = 16
-KNOWN, KNOWN_CHARS, KNOWN_PAIRS = 250_000, 1 << 24, 1 << 20  # what a worker remembers before it starts anew
+KNOWN, KNOWN_CHARS, KNOWN_PAIRS = 450_000, 1 << 24, 1 << 20  # what a worker remembers before it starts anew
 BATCH = 1000  # units encoded together
 WIDE = 4096  # links of a group from which they are taken from the different tokens of the group
+# Fixed value: how the byte-level tokenizer cuts a text before it merges.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+NEWER = re.compile("[\u0530-\U0010ffff]")  # letters that Unicode added of late: pattern libraries may differ in them
 BLANKS = re.compile(r"\s ")
 CUT = re.compile(r"(?<=\S)(?= )")
 
@@ -96,10 +99,8 @@ class Aligned:
         """Per text its groups as `a1,a2|b1;a3|b2,b3`."""
         size_a, size_b = self.sizes()
         a, b = list(map(str, self.a.tolist())), list(map(str, self.b.tolist()))
-        out, i, j = [], 0, 0
-        for m, n in zip(size_a.tolist(), size_b.tolist()):
-            out.append(f"{a[i]}|{b[j]}" if m == n == 1 else f"{','.join(a[i : i + m])}|{','.join(b[j : j + n])}")
-            i, j = i + m, j + n
+        spans = zip((np.cumsum(size_a) - size_a).tolist(), (np.cumsum(size_b) - size_b).tolist(), size_a.tolist(), size_b.tolist())
+        out = [f"{a[i]}|{b[j]}" if m == 1 == n else f"{','.join(a[i : i + m])}|{','.join(b[j : j + n])}" for i, j, m, n in spans]
         ends = np.cumsum(np.bincount(self.text_of, minlength=self.texts)).tolist()
         return [";".join(out[x:y]) for x, y in zip([0, *ends], ends)]
 
@@ -124,12 +125,36 @@ class Aligner:
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
             for i, p in ((i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))
         ]
+        self.merging = self._merging(path_a, shown)
         self.length_a = np.fromiter(map(len, self.bytes_a), np.int64)
         self.length_b = np.fromiter(map(len, self.bytes_b), np.int64)
 
+    def _merging(self, path: str, shown: dict[str, int]):
+        """The first tokenizer's merges by the rank of what they make, which is several times as fast; None where that can
+        differ. It can't if ids are ranks and every entry is what its own text is merged to: two tokens that are merged to an
+        entry have been left by merges inside its text, as has the listed pair, so they are that pair."""
+        import json
+
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            given = json.load(file)
+        model, cut = given["model"], given["pre_tokenizer"] or {}
+        entries = {t: i for t, i in model["vocab"].items() if all(c in shown for c in t)}
+        made = [entries.get("".join(m) if isinstance(m, list) else m.replace(" ", ""), -1) for m in model["merges"]]
+        plain = given["normalizer"] is None and cut.get("type") == "ByteLevel" and cut["use_regex"] and not cut["add_prefix_space"]
+        merged = [[t.id for t in self.a.model.tokenize(entry)] for entry in entries]
+        if not plain or made != sorted(set(made)) or merged != [[i] for i in entries.values()]:
+            return None
+        ranks = {bytes(shown[c] for c in t): i for t, i in entries.items()}
+        return tiktoken.Encoding("merges", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of a blank and the text; None if the tokens' bytes aren't these."""
-        a = self.a.encode(" " + text, add_special_tokens=False).ids
+        if self.merging is not None and not NEWER.search(text):
+            a = self.merging.encode_ordinary(" " + text)
+        else:
+            a = self.a.encode(" " + text, add_special_tokens=False).ids
         b = self.b.encode(text)
         raw = (" " + text).encode("utf-8", "surrogatepass")
         if b"".join(map(self.bytes_a.__getitem__, a)) != raw or b"".join(map(self.bytes_b.__getitem__, b)) != raw:
@@ -143,7 +168,7 @@ class Aligner:
         for i in range(0, len(texts), BATCH):
             some = texts[i : i + BATCH]
             lengths = np.cumsum([len(t.encode("utf-8", "surrogatepass")) + 1 for t in some])
-            plain = all(t and not t[-1].isspace() for t in some)
+            plain = _joinable(some)
             made = self.encode(" ".join(some)) if plain else None
             if made is not None and self._ends(made, lengths):
                 found.append(made)
@@ -192,6 +217,11 @@ def aligner(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)
 
 
+def _joinable(some: list[str]) -> bool:
+    """Whether units can be encoded together: none begins with a blank or ends in white space."""
+    return BLANKS.search(f" {' '.join(some)} ") is None
+
+
 class Grown:
     """An array that rows are appended to."""
 
@@ -222,17 +252,17 @@ class Remembered:
         return len(self.number) > KNOWN or self.chars > KNOWN_CHARS
 
     def numbers(self, keys: list[str]) -> np.ndarray:
-        found = list(map(self.number.get, keys))
-        if None in found:
-            # Units that end in white space can't be encoded together with others.
-            new = sorted(dict.fromkeys(k for k, f in zip(keys, found) if f is None), key=lambda k: not k or k[-1].isspace())
+        new = list(set(keys).difference(self.number))
+        if new:
+            if not _joinable(new):
+                single = [k for k in new if not _joinable([k])]
+                new = [*set(new).difference(single), *single]
             self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
             self.chars += sum(map(len, new))
             aligned, bad = self.model.align(new)
             self.bad.append(bad)
             self.learn(aligned)
-            found = list(map(self.number.__getitem__, keys))
-        return np.array(found, np.int64)
+        return np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))
 
     def learn(self, aligned: Aligned) -> None:
         raise NotImplementedError
