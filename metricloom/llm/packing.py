@@ -11,6 +11,7 @@ order of length, go to sequences with consecutive numbers, at one offset. Each p
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -30,24 +31,33 @@ SEQUENCE = 2048
 SCHEMES = [(share, groups) for share in (1 / 5, 1 / 4, 1 / 3, 0.4999) for groups in (5, 10, 20, 40)]
 # Units whose ids a worker remembers.
 KNOWN = 600_000
+# Code points from which on letters aren't told from other characters, and those that composition can change or reorder.
+NEWER = 0x530
+COMPOSED = re.compile("[\u0300-\u200f\u2028-\u202f\u205f-\U0010ffff]")
 
 
 class Tokens:
     """Token ids of texts (little-endian bytes, 32 bits each), put together from the ids of their units.
 
-    The tokenizer's normaliser lower-cases and maps white space to white space, and its pre-tokens never reach across white
-    space, nor from letters to ASCII digits or marks other than an apostrophe. So the ids of a text are those of the units
-    between such places, and units repeat. A worker remembers them by their 64-bit hashes: sorted hashes, and for each where
-    its ids lie.
+    Texts are normalised first, as the tokenizer does it (canonical composition, lower case), so that what is cut is what the
+    tokenizer cuts. Its pre-tokens never reach across white space, nor from letters to ASCII digits or marks other than an
+    apostrophe; letters count as such below `NEWER`, beyond which Unicode is still given new ones. So the ids of a text are
+    those of the units between such places, and units repeat. A worker remembers them by their 64-bit hashes: sorted hashes,
+    and for each where its letters and its ids lie. Letters are compared: a hash alone decides nothing. Texts with a special
+    token, in whatever case, are encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.normalizers import Sequence
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer = Tokenizer.from_file(path)
+        self.whole = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)  # for texts that are normalised
+        self.tokenizer.normalizer = Sequence([])
         vocabulary = self.tokenizer.get_vocab()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.named = re.compile("|".join(map(re.escape, self.special)) or "(?!)", re.IGNORECASE)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a pre-token
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.forget()
@@ -55,6 +65,12 @@ class Tokens:
     def forget(self) -> None:
         self.hashes, self.begin, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.letter, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.letters, self.lettered = np.zeros(1 << 20, np.uint32), 0
+
+    def normalised(self, text: str) -> str:
+        """What the tokenizer cuts, but for white space, which it drops."""
+        return self.whole.normalizer.normalize_str(text) if COMPOSED.search(text) else text.lower()
 
     def encode(self, units: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all units in a row, and their number per unit. Units of letters only are one pre-token each, which its
@@ -80,24 +96,43 @@ class Tokens:
 
     def learn(self, hashes: np.ndarray, units: list[str], letters: np.ndarray) -> None:
         ids, counts = self.encode(units, letters)
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.used : self.used + len(ids)] = ids
-        begin = self.used + np.cumsum(counts) - counts
+        self.pool, begin = _put(self.pool, self.used, ids, counts)
         self.used += len(ids)
+        codes, sizes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32), np.array([len(u) for u in units])
+        self.letters, letter = _put(self.letters, self.lettered, codes, sizes)
+        self.lettered += len(codes)
         every = np.concatenate([self.hashes, hashes])
         order = np.argsort(every, kind="stable")
         self.hashes = every[order]
         self.begin, self.count = np.concatenate([self.begin, begin])[order], np.concatenate([self.count, counts])[order]
+        self.letter, self.size = np.concatenate([self.letter, letter])[order], np.concatenate([self.size, sizes])[order]
+
+    def same(self, units: Words, at: np.ndarray) -> bool:
+        """Whether all units are, letter by letter, those that are remembered in the given places."""
+        sizes = units.ends - units.starts
+        if (sizes != self.size[at]).any():
+            return False
+        return bool((units.flat.codes[stretches(units.starts, sizes)] == self.letters[stretches(self.letter[at], sizes)]).all())
+
+    def encoded(self, text: str | None) -> bytes:
+        """Ids of a text, by the tokenizer alone."""
+        return np.array(self.whole.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, texts: list) -> list[bytes]:
-        flat = Flat([lowered(t) for t in texts], lower=False)
+        shown = [self.normalised(t or "") for t in texts]
+        odd = [i for i, (t, n) in enumerate(zip(texts, shown)) if "|" in n and self.named.search(n) or t and "|" in t and self.named.search(t)]
+        for i in odd:
+            shown[i] = ""
+        out = self.put_together(shown)
+        for i in odd:
+            out[i] = self.encoded(texts[i])
+        return out
+
+    def put_together(self, texts: list[str]) -> list[bytes]:
+        flat = Flat(texts, lower=False)
         kinds = classes()[flat.codes]
-        # U+0130 is lowered to a letter and a mark.
-        letter, other = ((kinds & LETTER) != 0) & (flat.codes != 0x130), (kinds & SPACE) == 0
+        letter, other = ((kinds & LETTER) != 0) & (flat.codes < NEWER), (kinds & SPACE) == 0
         mark = other & ~letter & (flat.codes < 128) & (flat.codes != ord("'"))
-        if any(t in flat.text for t in self.special):
-            mark[:] = False  # special tokens are made of marks and letters: units are then only cut at white space
         cut = np.zeros(len(other) + 1, bool)
         cut[1:-1] = (letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:]) | (other[:-1] != other[1:])
         cut[0] = cut[-1] = True
@@ -116,22 +151,31 @@ class Tokens:
             strings = [flat.text[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
             self.learn(hashes[new], strings, before[ends] - before[starts] == ends - starts)
         at = np.searchsorted(self.hashes, hashes)[which]
+        if not self.same(units, at):  # two units with one hash
+            return [self._spaced(t) for t in texts]
         counts = self.count[at]
         ids = self.pool[stretches(self.begin[at], counts)].astype("<u4").tobytes()
         cuts = 4 * np.concatenate([[0], np.cumsum(segment_sums(counts, units.counts).astype(np.int64))])
         return [ids[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
 
 
+    def _spaced(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def _put(pool: np.ndarray, used: int, values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pool, larger if need be, with the values after what is used, and where their stretches begin."""
+    while used + len(values) > len(pool):
+        pool = np.concatenate([pool, np.zeros_like(pool)])
+    pool[used : used + len(values)] = values
+    return pool, used + np.cumsum(counts) - counts
+
+
 @lru_cache(2)
 def tokens(path: str) -> Tokens:
     return Tokens(path)
 
 
-def lowered(text: str | None) -> str:
-    """In lower case, but for texts with letters that Python lowers by their neighbours or to several characters."""
-    return "" if text is None else text if "\u03a3" in text or "\u0130" in text else text.lower()
-
-
 def pieces(docs: DataFrame, tokenizer: str, keep: list[str], text: str = "text") -> DataFrame:
     """Pieces of every document: `row` (struct of the columns `keep`), `piece`, `start`, `length`, `ids_crc32`.
 

@@ -9,12 +9,14 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 CHUNK = 1 << 18
+LONG = 64  # code points from which on a stretch is hashed by digest
 SPACE, LETTER, DIGIT, UPPER = 1, 2, 4, 8
 BASE = np.uint64(0x9E3779B97F4A7C15)
 U = np.uint64
@@ -140,12 +142,18 @@ class Flat:
         return edges[::2], edges[1::2]
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """64-bit hashes of the given stretches, equal for equal stretches."""
+        """64-bit hashes of the given stretches, equal for equal stretches.
+
+        Polynomials modulo 2**64 have known collisions among stretches of some thousand code points, so long ones get a digest.
+        """
         up, down = powers(len(self.codes) + 1)
         sums = np.empty(len(self.codes) + 1, np.uint64)
         sums[0] = 0
         np.cumsum((self.codes + np.uint32(1)).astype(np.uint64) * up[: len(self.codes)], out=sums[1:])
-        return mixed((sums[ends] - sums[starts]) * down[starts])
+        out = mixed((sums[ends] - sums[starts]) * down[starts])
+        for i in np.flatnonzero(ends - starts > LONG).tolist():
+            out[i] = int.from_bytes(blake2b(self.codes[starts[i] : ends[i]], digest_size=8).digest(), "little")
+        return out
 
     def words(self, letters: bool = False) -> "Words":
         """Runs of letters, or of anything but white space."""

@@ -1,5 +1,7 @@
 """Packing: exact round trips to the tokenizer, gapless sequences, few of them."""
 
+import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -24,6 +26,53 @@ def test_ids_are_the_tokenizers():
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text or "", add_special_tokens=False).ids
 
 
+def same_ids(texts):
+    model, plain = packing.Tokens(PATH), tokenizer()
+    for at in range(0, len(texts), 500):
+        some = texts[at : at + 500]
+        want = [e.ids for e in plain.encode_batch(some, add_special_tokens=False)]
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in model.ids(some)] == want
+
+
+def test_ids_of_composed_letters_before_marks():
+    changed = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.normalize("NFC", chr(c)) != chr(c)]
+    marks = [chr(m) for m in range(0x21, 0x7F) if not chr(m).isalnum()]
+    assert len(changed) > 1000
+    same_ids([" ".join(f"a{c}{m}b" for m in marks) for c in changed])
+
+
+def test_ids_of_random_texts():
+    random.seed(7)
+    scripts = [(0x20, 0x7F), (0xA0, 0x250), (0x300, 0x370), (0x370, 0x530), (0x590, 0x700), (0x900, 0xE00), (0xF00, 0x1000), (0x1100, 0x1200)]
+    scripts += [(0x1E00, 0x2100), (0x2100, 0x2200), (0x3040, 0x3100), (0x4E00, 0x4F00), (0xAC00, 0xAD00), (0xF900, 0xFB50), (0x1D15E, 0x1D165), (0x1F600, 0x1F650)]
+    texts = []
+    for _ in range(20_000):
+        some = random.choices(scripts, k=2) + [(0x20, 0x7F)]
+        texts.append("".join(chr(random.randrange(*random.choice(some))) for _ in range(random.randint(1, 25))))
+    same_ids(texts)
+
+
+def test_ids_of_special_tokens_in_any_case():
+    same_ids(["a <|ENDOFTEXT|> b", "<|endoftext|>", "x<|endoftext|>\u0338", "<|startoftext|>İ", "İ\u0316.", "| <|"])
+
+
+def thue_morse(bits):
+    word = "a"
+    for _ in range(bits):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+def test_words_whose_polynomials_agree():
+    one, other = thue_morse(11), thue_morse(11).translate(str.maketrans("ab", "ba"))
+    same_ids([f"x {one} y", f"x {other} y", one + other])
+
+
+def test_equal_hashes_decide_nothing(monkeypatch):
+    monkeypatch.setattr(packing.Flat, "hashes", lambda self, starts, ends: (ends - starts).astype(np.uint64))
+    same_ids(["one two six", "ten is red", "", "as we go"])
+
+
 def check(frame, texts, plain):
     assert (frame.groupby("sequence_id").length.sum() <= packing.SEQUENCE).all()
     for _, g in frame.sort_values("offset").groupby("sequence_id"):
