@@ -1,11 +1,12 @@
 """Mixing sources to target weights by cube-method balanced sampling.
 
-A source whose target is r times its size takes floor(r) copies of every document, and one more of some: all documents that
-are small against the words still missing (or, where nearly all are taken, against the words too many) have the same inclusion
-probability, large ones none (or 1). The flight phase moves these probabilities through the null space of the balancing
-constraints (token total and document total) until all but two of a block are 0 or 1; what is left of the blocks meets in
-larger blocks, and so on until one block per source remains. Its last two undecided documents, its smallest, are the landing
-problem.
+A source whose target is r times its size takes floor(r) copies of every document, and one more of some: all documents, large
+or small, are included with the same probability, the rest of r. The flight phase moves these probabilities through the null
+space of the balancing constraints (token total and document total) until all but two of a block are 0 or 1; what is left of
+the blocks meets in larger blocks, and so on until one block per source remains. A document so large that the others cannot
+make way for it with both totals kept moves with the token total alone. The landing problem are the last undecided documents:
+with two of them the token total is still kept, the last is drawn. They are the smallest ones, unless taking a single document
+is more than all the source is short of.
 """
 
 from __future__ import annotations
@@ -23,9 +24,6 @@ MOST = 3.0
 # A table of this many sources is broadcast; more are joined by key, split where a source is hot.
 FEW_SOURCES = 10_000
 EPS = 1e-9
-# Documents larger than such a part of what a source is short of get no extra copy, or, where less than half is too much,
-# those larger than such a part of that all get one: the first part that leaves enough documents to choose from.
-FIT = (8, 4, 2, 1)
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -45,38 +43,28 @@ def targets(sizes: DataFrame) -> DataFrame:
     return summed.select("key", F.col("size").alias("source_size"), share.cast("double").alias("target"))
 
 
-def flight(p: np.ndarray, size: np.ndarray, land: bool) -> np.ndarray:
-    """Inclusion probabilities after the flight: all 0 or 1 but for two, with the sums of p and of p * size kept.
+def flight(p: np.ndarray, size: np.ndarray, land: bool, seed: int = 0) -> np.ndarray:
+    """Inclusion probabilities after the flight: all 0 or 1 but for two, with the sum of p * size kept, and that of p unless a
+    large unit needs it given up.
 
-    Units are decided from the largest down, while there is mass left to balance them. Each step goes along a direction of
-    the constraints' null space: the unit at hand moves, and all undecided smaller ones yield in proportion to p (1 - p)
-    and to what solves both constraints, until a probability gets to 0 or 1. Of the two ways to go one is drawn so that the
-    expectation stays, by a generator that depends on the block alone. With `land` the last two, the smallest units, are
-    decided as well: keeping the token total as long as there are two, by a draw in the end.
+    Units are decided from the largest down. Each step goes along a direction of the constraints' null space: the unit at hand
+    moves, and all undecided smaller ones yield in proportion to p (1 - p), until a probability gets to 0 or 1. Of the two ways
+    to go one is drawn so that every expectation stays, by a generator that depends on the block and the seed alone. With
+    `land` the last two, the smallest units, are decided as well: keeping the token total as long as there are two, by a draw
+    in the end.
     """
-    rng = np.random.default_rng([len(p), int(size.sum()) & 0x7FFFFFFF])
+    rng = np.random.default_rng([len(p), int(size.sum()) & 0x7FFFFFFF, seed])
     order = np.argsort(-size, kind="stable")
     q, s = np.clip(p[order].astype(np.float64), 0, 1), size[order].astype(np.float64)
     q[q <= EPS], q[q >= 1 - EPS] = 0, 1
     inside = np.flatnonzero((q > 0) & (q < 1))
     while len(inside) > 2 or land and len(inside):
-        i, others = inside[0], inside[1:]
-        u = np.zeros(len(inside))
-        w, t = q[others] * (1 - q[others]), s[others]
-        n0, n1, n2 = w.sum(), (w * t).sum(), (w * t * t).sum()
-        det = n0 * n2 - n1 * n1
-        if len(inside) > 2 and det > 1e-9 * n0 * n2:
-            u[0], u[1:] = 1, w * ((n1 * s[i] - n2) + (n1 - n0 * s[i]) * t) / det
-        elif len(inside) > 2:  # equal sizes: two of them make way for each other
-            u[1], u[2] = 1, -1
-        elif len(inside) == 2 and t[0] > 0 and s[i] > 0:
-            u[0], u[1] = 1 / s[i], -1 / t[0]
-        else:
-            u[0] = 1
         x = q[inside]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            up = np.where(u > 0, (1 - x) / u, np.where(u < 0, -x / u, np.inf)).min()
-            down = np.where(u > 0, x / u, np.where(u < 0, (x - 1) / u, np.inf)).min()
+        u, up, down = _step(x, s[inside], both=True)
+        if up < 1 - x[0] - EPS or down < x[0] - EPS:
+            alone = _step(x, s[inside], both=False)
+            if alone[1] >= 1 - x[0] - EPS and alone[2] >= x[0] - EPS:
+                u, up, down = alone
         x = x + (up if rng.random() * (up + down) < down else -down) * u
         q[inside] = np.where(x <= EPS, 0, np.where(x >= 1 - EPS, 1, x))
         inside = inside[(q[inside] > 0) & (q[inside] < 1)]
@@ -85,7 +73,27 @@ def flight(p: np.ndarray, size: np.ndarray, land: bool) -> np.ndarray:
     return out
 
 
-def mix(docs: DataFrame, size: Column, source: str) -> DataFrame:
+def _step(x: np.ndarray, s: np.ndarray, both: bool) -> tuple[np.ndarray, float, float]:
+    """A direction that keeps the token total, with `both` the sum of x too, and how far it leads up and down."""
+    u = np.zeros(len(x))
+    w, t = x[1:] * (1 - x[1:]), s[1:]
+    n0, n1, n2 = w.sum(), (w * t).sum(), (w * t * t).sum()
+    det = n0 * n2 - n1 * n1
+    if len(x) > 2 and both and det > 1e-9 * n0 * n2:
+        u[0], u[1:] = 1, w * ((n1 * s[0] - n2) + (n1 - n0 * s[0]) * t) / det
+    elif len(x) > 2 and both:  # equal sizes: two of them make way for each other
+        u[1], u[2] = 1, -1
+    elif n1 > 0 and s[0] > 0:
+        u[0], u[1:] = 1, -w * s[0] / n1
+    else:
+        u[0] = 1
+    with np.errstate(divide="ignore", invalid="ignore"):
+        up = np.where(u > 0, (1 - x) / u, np.where(u < 0, -x / u, np.inf)).min()
+        down = np.where(u > 0, x / u, np.where(u < 0, (x - 1) / u, np.inf)).min()
+    return u, up, down
+
+
+def mix(docs: DataFrame, size: Column, source: str, seed: int = 0) -> DataFrame:
     """`row` (struct of all columns of `docs`), `size`, `source_size`, `target`, `copies` (how often the mix takes it).
 
     Sources are ordered by code point, null last (null is a source of its own). Documents of size 0, and sources without any
@@ -108,22 +116,10 @@ def mix(docs: DataFrame, size: Column, source: str) -> DataFrame:
 
     ratio = F.when(F.col("source_size") > 0, F.least(F.lit(MOST), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
     floor = F.floor(ratio + EPS)
-    parts = wanted.select("key", "source_size", floor.alias("floor"), ((ratio - floor) * F.col("source_size")).alias("more"))
+    share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), ratio - floor))
+    parts = wanted.select("key", floor.alias("floor"), share.cast("double").alias("p"))
     light = numbered(base.select("id", "key", "size", F.xxhash64("row").alias("h")), ["key", "h", "id"])
-    gap = F.col("source_size") - F.col("more")
-    # For each part, the words of the documents that are small enough, against what is short and against what is too much.
-    small = {(side, f): F.col("size") <= much / f for f in FIT for side, much in (("short", F.col("more")), ("over", gap))}
-    sums = {k: F.coalesce(F.sum(F.when(c, F.col("size"))), F.lit(0)).alias(f"{k[0]}{k[1]}") for k, c in small.items()}
-    parts = settle(parts.join(by_source(light, parts).groupBy("key").agg(*sums.values()), "key"))
-    p = F.when(F.col("source_size") <= 0, F.lit(0.0))
-    for f in FIT:
-        enough = (gap > 0) & (gap < F.col("more")) & (F.col(f"over{f}") >= gap)
-        p = p.when(enough, F.when(small["over", f], 1 - gap / F.col(f"over{f}")).otherwise(F.lit(1.0)))
-        enough = (F.col("more") > 0) & (gap >= F.col("more")) & (F.col(f"short{f}") >= F.col("more"))
-        p = p.when(enough, F.when(small["short", f], F.col("more") / F.col(f"short{f}")).otherwise(F.lit(0.0)))
-    p = p.otherwise(F.col("more") / F.col("source_size"))
-    p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), p))
-    now = by_source(light, parts).select("id", "key", "number", "size", "floor", p.cast("double").alias("p"))
+    now = by_source(light, parts).select("id", "key", "number", "size", "floor", "p")
     schema = now.schema
     decided, last, width = [], False, BLOCK
     while not last:
@@ -133,7 +129,7 @@ def mix(docs: DataFrame, size: Column, source: str) -> DataFrame:
 
         def fly(frame: pd.DataFrame, last: bool = last) -> pd.DataFrame:
             frame = frame.sort_values("number", kind="stable")
-            return frame.assign(p=flight(frame["p"].to_numpy(), frame["size"].to_numpy(), last))
+            return frame.assign(p=flight(frame["p"].to_numpy(), frame["size"].to_numpy(), last, seed))
 
         flown = settle(now.withColumn("block", group).groupBy("key", "block").applyInPandas(lambda f: fly(f).drop(columns="block"), schema))
         inside = (F.col("p") > 0) & (F.col("p") < 1)
