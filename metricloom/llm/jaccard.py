@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..plans.settle import salted_join, settle
 from .components import components
-from .text import Flat, U, importable, mixed, over_texts
+from .text import Flat, U, Words, importable, mixed, over_texts
 
 
 # Frames of so many rows (of a hundred bytes at most) are broadcast to texts and signatures; larger ones meet them by key.
@@ -61,14 +61,27 @@ def least_matches(s: Settings) -> list[tuple[int, int]]:
     return out
 
 
-def shingled(texts: list, size: int) -> tuple[list, list[np.ndarray]]:
-    """For each text the digest of its lower-cased words (None without words) and the sorted hashes of its shingles."""
-    words = Flat(texts).words()
+def shingled(words: Words, size: int) -> list[np.ndarray]:
+    """For each text the sorted hashes of its shingles."""
     hashes, counts = words.shingles(size)
     ends = np.cumsum(counts)
-    sets = [np.unique(hashes[e - c : e]) for e, c in zip(ends.tolist(), counts.tolist())]
-    keys = [hashlib.md5(words.hash[f : f + c].tobytes()).digest() if c else None for f, c in zip(words.first.tolist(), words.counts.tolist())]
-    return keys, sets
+    return [np.unique(hashes[e - c : e]) for e, c in zip(ends.tolist(), counts.tolist())]
+
+
+def digests(words: Words) -> list:
+    """For each text the digest of its lower-cased words, letter by letter; None without words."""
+    flat = words.flat
+    codes, wanted = flat.codes.copy(), np.zeros(len(flat.codes) + 1, bool)
+    codes[words.ends] = 10  # whatever white space ends a word
+    wanted[words.ends] = True
+    inside = np.zeros(len(flat.codes) + 1, np.int32)
+    np.add.at(inside, words.starts, 1)
+    np.add.at(inside, words.ends, -1)
+    wanted |= np.cumsum(inside) > 0
+    before = np.concatenate([[0], np.cumsum(wanted[:-1])])
+    cuts = before[np.append(flat.starts, len(flat.codes))].tolist()
+    kept = codes[wanted[:-1]]
+    return [hashlib.md5(kept[a:b]).digest() if b > a else None for a, b in zip(cuts, cuts[1:])]
 
 
 def listed(sets: list[np.ndarray]) -> pa.Array:
@@ -224,14 +237,16 @@ def join(docs: DataFrame, id_: str = "doc_id", text: str = "text", s: Settings =
     keep = [c for c in docs.columns if c != text]
 
     def sign(texts: list) -> list:
-        keys, sets = shingled(texts, s.words)
-        return [keys, signed(sets, s), [len(x) for x in sets]]
+        words = Flat(texts).words()
+        sets = shingled(words, s.words)
+        return [digests(words), signed(sets, s), [len(x) for x in sets]]
 
-    numbered = docs.withColumn("__tid", F.xxhash64(F.col(f"`{text}`").cast("string")))
-    made = over_texts(numbered, text, [*keep, "__tid"], sign, "key binary, sig binary, shingles int")
+    shown = F.col(f"`{text}`").cast("string")
+    whole = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept")
+    made = over_texts(docs.select(whole, shown.alias("text"), F.xxhash64(shown).alias("tid")), "text", ["kept", "tid"], sign, "key binary, sig binary, shingles int")
     # In the search for candidates a class goes by 64 bits of its digest. Should two classes share them, they are candidates
     # for each other, and verified like all others.
-    found = settle(made.withColumns({"id": F.col(f"row.`{id_}`"), "tid": F.col("row.__tid"), "code": F.xxhash64("key")}))
+    found = settle(made.withColumns({"id": F.col(f"row.kept.`{id_}`"), "tid": F.col("row.tid"), "code": F.xxhash64("key")}))
     worded = found.where("key IS NOT NULL")
     classes = settle(
         worded.groupBy("key").agg(F.min(F.struct("id", "tid")).alias("f"), F.count(F.lit(1)).alias("copies"))
@@ -248,13 +263,12 @@ def join(docs: DataFrame, id_: str = "doc_id", text: str = "text", s: Settings =
     heads = parts.groupBy("component").agg(F.min("class_id").alias("group_id"))
     grouped = salted_join(parts, heads, ["component"], plain_rows=0).select("key", "group_id")
     about = classes.select("key", "class_id", "copies").join(counted, "key", "left").join(grouped, "key", "left")
-    rows = found.select("row", "key", "id")
+    rows = found.select(F.col("row.kept").alias("row"), "key", "id")
     told = salted_join(settle(rows), settle(about), ["key"], how="left", plain_rows=0)
-    whole = F.struct(*[F.col(f"row.`{c}`").alias(c) for c in keep]).alias("row")
     class_id = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("class_id"))
     copies = F.coalesce("copies", F.lit(1).cast("bigint"))
     return told.select(
-        whole, class_id.alias("class_id"), copies.alias("copies"), (copies - 1 + F.coalesce("links", F.lit(0))).cast("bigint").alias("links"),
+        "row", class_id.alias("class_id"), copies.alias("copies"), (copies - 1 + F.coalesce("links", F.lit(0))).cast("bigint").alias("links"),
         F.coalesce("linked_classes", F.lit(0)).cast("bigint").alias("linked_classes"),
         F.when(F.col("group_id").isNull(), class_id).otherwise(F.col("group_id")).alias("group_id"), F.col("key").isNotNull().alias("has_words"),
     )
@@ -297,7 +311,7 @@ def _verified(docs: DataFrame, member: DataFrame, id_: str, text: str, s: Settin
     if member.count() <= FEW:
         wanted = F.broadcast(wanted)
     texts = from_docs.join(wanted, F.col("id").eqNullSafe(F.col("wid")) & (F.col("tid") == F.col("wtid")))
-    again = over_texts(texts, "text", ["key", "component", "copies"], lambda t: [listed(shingled(t, s.words)[1])], "shingles array<bigint>")
+    again = over_texts(texts, "text", ["key", "component", "copies"], lambda t: [listed(shingled(Flat(t).words(), s.words))], "shingles array<bigint>")
     sets = settle(again.select("row.*", "shingles").dropDuplicates(["key"]))
     sizes = sets.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum(F.size("shingles")).alias("w"))
     blocks = settle(sizes.select("component", F.ceil(F.greatest(F.col("m") / s.block, F.col("w") / s.weight)).cast("int").alias("n")))

@@ -136,3 +136,14 @@ def test_components(spark):
             parent[max(x, y)] = min(x, y)
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for x in list(parent)}
+
+
+def test_clashing_names_and_agreeing_polynomials(spark):
+    one = "a"
+    for _ in range(11):
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, one), (2, other), (3, f"{one}\t"), (4, "x y"), (5, "x\ty"), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("__tid", "tid", "kept", "key", "row", "copies")})
+    got = {r.row.doc_id: (r.class_id, r.copies, r.links) for r in jaccard.join(docs).collect()}
+    assert got == {1: (1, 2, 1), 3: (1, 2, 1), 2: (2, 1, 0), 4: (4, 2, 1), 5: (4, 2, 1), 6: (6, 1, 0)}
