@@ -116,6 +116,18 @@ class Bags:
         return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
 
+def bags(texts: list, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """`encoded` of many texts, a hundred at a time: they are held once, whatever their number."""
+    found = [encoded(texts[i : i + 100], size) for i in range(0, len(texts), 100)]
+    of = np.concatenate([o + 100 * i for i, (_, o) in enumerate(found)])
+    x, at = np.empty((len(of), SIZE), np.float32), 0
+    for i, (part, _) in enumerate(found):
+        found[i] = None
+        x[at : at + len(part)] = part
+        at += len(part)
+    return x, of
+
+
 def train(
     texts: list, labels: list, size: int = 64, hidden: int = 16, steps: int = 600, batch: int = 256, rate: float = 0.01, seed: int = 3
 ) -> Bags:
@@ -131,12 +143,10 @@ def train(
         share = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.5
         parts["out"][:], parts["out0"][:] = 0, np.log((share + 1e-3) / (1 - share + 1e-3))
         return Bags(np.zeros(SIZE), np.ones(SIZE), parts, size)
-    found = [encoded(texts[i : i + 100], size) for i in range(0, len(texts), 100)]
-    of = np.concatenate([o + 100 * i for i, (_, o) in enumerate(found)])
-    x = np.concatenate([f for f, _ in found])
-    del found
-    centre, spread = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64)
-    model = Bags(centre.astype(np.float32), (1 / (spread + 0.01)).astype(np.float32), parts, size)
+    x, of = bags(texts, size)
+    mean = sum(part.sum(0, dtype=np.float64) for part in np.array_split(x, 1 + len(x) // 4096)) / len(x)
+    spread = np.sqrt(sum(((part - mean) ** 2).sum(0) for part in np.array_split(x, 1 + len(x) // 4096)) / len(x))
+    model = Bags(mean.astype(np.float32), (1 / (spread + 0.01)).astype(np.float32), parts, size)
     x -= model.centre
     x *= model.scale
     np.clip(x, -6, 6, out=x)
@@ -168,7 +178,7 @@ def train(
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = 2000, chars: int = 6_000_000, text: str = "text") -> Bags:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = 3000, chars: int = 12_000_000, text: str = "text") -> Bags:
     """Train on a bounded sample (`rows`, `chars`) of the labelled documents that are not held out."""
     learn = labels.where(labelled(labels)[1])
     return sample.trained(docs, learn, "doc_id", F.col(f"`{label}`").cast("int"), rows, chars, text, train)

@@ -6,7 +6,7 @@ import pickle
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .text import importable
 
@@ -16,9 +16,10 @@ def trained(
 ):
     """What `train` makes of at most `rows` labelled texts with about `chars` characters in all.
 
-    Rows are taken in the order of a hash of their id, evenly from the different labels; null ids, texts and labels take no
-    part. Only ids are shuffled to find them: the texts are fetched with a broadcast of at most `rows` ids. The bounded
-    sample is one task's input; the driver gets the model.
+    Rows are taken in the order of a hash of their id, evenly from the different labels, up to the first text that exceeds
+    `chars`; null ids, texts and labels take no part, and of texts with one id one is taken. Only ids are shuffled to find
+    them: the texts are fetched with a broadcast of at most `rows` ids. The bounded sample is one task's input; the driver
+    gets the model.
     """
     importable(docs.sparkSession)
     ids = docs.select(F.col(f"`{id_}`").alias("id")).where("id IS NOT NULL").distinct()
@@ -26,21 +27,23 @@ def trained(
     known = named.join(ids, "id")
     kinds = [r[0] for r in known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max(1, rows // 20)).collect()]
     order = [F.xxhash64("id"), F.col("id"), F.col("label")]
-    chosen = None
-    for kind in kinds:  # labels too many to give each twenty rows: the frequent ones
-        some = known.where(F.col("label") == F.lit(kind)).orderBy(*order).limit(max(1, rows // len(kinds)))
-        chosen = some if chosen is None else chosen.unionByName(some)
-    if chosen is None:
+    if not kinds:
         return train([], [])
+    # Labels too many to give each twenty rows: the frequent ones.
+    place = F.row_number().over(W.partitionBy("label").orderBy(*order))
+    some = known.where(F.col("label").isin(kinds)).withColumn("place", place)
+    chosen = some.where(F.col("place") <= max(1, rows // len(kinds))).drop("place")
     texts = docs.select(F.col(f"`{id_}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).where("text IS NOT NULL")
-    taken = texts.join(F.broadcast(chosen), "id").select("id", "label", "text").repartition(1).sortWithinPartitions(*order, F.xxhash64("text"))
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first")  # a task sends one text of an id
+    taken = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(first).select("id", "label", "first.text")
+    taken = taken.repartition(1).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, known, total = [], [], 0
         for batch in batches:
             for t, y in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-                if not found or total + len(t) <= chars:
-                    total += len(t)
+                total += len(t)
+                if not found or total <= chars:
                     found.append(t)
                     known.append(y)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(found, known))], pa.binary())], names=["model"])
