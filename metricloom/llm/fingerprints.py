@@ -20,14 +20,17 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 from .text import CHUNK, Flat, U, importable, mixed, stretches
 
 CELLS = 24
-PASSAGE = 4
+PASSAGE = 4  # words, on average
+LONGEST = 16
+LOAD = 32 << 20  # characters of a range of ids, about
 GROWTH = 4
 
 
 def digests(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Digests of the passages of all texts, their number per text, and a hash of each whole text.
 
-    A passage is `PASSAGE` words in a row of one line (fewer at its end), told apart by how often it came before, so that
+    A passage ends with a line, with a word whose hash is a multiple of `PASSAGE`, or with `LONGEST` words: what is put in or
+    taken out changes the passages around it and no others. Passages are told apart by how often they came before, so that
     the digests of a text are a set.
     """
     flat = Flat(texts, lower=False)
@@ -36,15 +39,17 @@ def digests(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(words.starts)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64), whole
+    h = words.hash
     line = np.cumsum(flat.codes == 10)[words.starts]
-    first = np.flatnonzero(np.diff(line, prepend=-1))
+    after = np.concatenate([[True], (h[:-1] % U(PASSAGE) == 0) | (np.diff(line) != 0)])
+    first = np.flatnonzero(after)
     place = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
-    begin = np.flatnonzero(place % PASSAGE == 0)
+    begin = np.flatnonzero(place % LONGEST == 0)
     size = np.diff(np.append(begin, n))
-    h, out = words.hash, size.astype(np.uint64)
-    for k in range(PASSAGE):
-        at = np.minimum(begin + k, n - 1)
-        out = np.where(k < size, mixed(out * U(0x9E3779B97F4A7C15) + h[at]), out)
+    out = size.astype(np.uint64)
+    for k in range(int(size.max())):
+        some = np.flatnonzero(k < size)
+        out[some] = mixed(out[some] * U(0x9E3779B97F4A7C15) + h[begin[some] + k])
     of = words.of[begin]
     order = np.lexsort((out, of))
     same = (np.diff(out[order], prepend=U(0)) == 0) & (np.diff(of[order], prepend=-1) == 0)
@@ -180,8 +185,12 @@ def fingerprints(docs: DataFrame, keep: list[str], id_: str = "doc_id", text: st
     row comes the first; equal rows have equal fingerprints. One row is its own next, an empty table gives no rows. Other
     columns travel inside `row`.
 
-    The ids' quantiles cut the table into ranges. Texts are moved once, to their range, and each range also gets the first
-    row of the range after it; a task reads its sorted rows as a stream and holds about CHUNK characters of it.
+    The ids' quantiles cut the table into ranges of about LOAD characters; rows of an id (or of null ids) that fill several
+    ranges are dealt by the hash of their text. Texts are moved once, to their range, and each range also gets the first row of
+    the range after it; a task reads its sorted rows as a stream and holds about CHUNK characters of it.
+
+    A fingerprint of `CELLS` cells resolves some eighteen differences by itself; likeness is taken from larger sketches of
+    the texts where they differ in more.
     """
     spark = docs.sparkSession
     importable(spark)
@@ -189,19 +198,24 @@ def fingerprints(docs: DataFrame, keep: list[str], id_: str = "doc_id", text: st
     base = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{id_}`").cast("bigint").alias("id"), F.xxhash64(shown).alias("h"), shown.alias("text")
     )
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.select(F.col(f"`{id_}`").cast("double").alias("id")).approxQuantile("id", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []
-    edges = np.unique(np.array(cuts))
+    chars = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // LOAD))
+    by = F.coalesce(F.col(f"`{id_}`").cast("bigint").cast("double"), F.lit(-np.inf))
+    cuts = np.array(docs.select(by.alias("by")).approxQuantile("by", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else [], np.float64)
 
     @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        known = ids.notna().to_numpy()
-        out = np.zeros(len(ids), np.int32)
-        out[known] = np.searchsorted(edges, ids.to_numpy()[known].astype(np.float64), "right")
-        return pd.Series(out)
-
-    placed = base.withColumn("range", range_of("id"))
-    firsts = base.select("id", "h").withColumn("range", range_of("id")).groupBy("range").agg(F.min(F.struct("id", "h")).alias("f"))
+    def range_of(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        """Ranges between the cuts. An id that is several cuts has so many rows that it fills ranges of its own: they are
+        dealt by hash. (Beyond 2**53 several ids have one double, and stay together.)"""
+        known = ids.fillna(-np.inf).to_numpy(np.float64)
+        below, upto = np.searchsorted(cuts, known, "left"), np.searchsorted(cuts, known, "right")
+        share = (hashes.to_numpy().astype(np.float64) + 2.0**63) / 2.0**64
+        spread = below + 1 + np.minimum((share * (upto - below)).astype(np.int64), upto - below - 1)
+        many = (upto - below > 1) & ((np.abs(known) < 2.0**53) | np.isinf(known))
+        return pd.Series(np.where(many, spread, upto).astype(np.int32))
+
+    placed = base.withColumn("range", range_of("id", "h"))
+    firsts = base.select("id", "h").withColumn("range", range_of("id", "h")).groupBy("range").agg(F.min(F.struct("id", "h")).alias("f"))
     order = W.orderBy("range")
     everywhere = W.orderBy("range").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     before = F.coalesce(F.lag("range").over(order), F.last("range").over(everywhere))  # of at most n ranges

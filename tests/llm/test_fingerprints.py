@@ -1,6 +1,7 @@
 import hashlib
 import re
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -9,12 +10,23 @@ from metricloom.llm import fingerprints as f
 from metricloom.llm.queries import QUERIES
 
 
+@lru_cache(None)
+def hashed(word):
+    return int(f.Flat([word], lower=False).hashes(np.array([0]), np.array([len(word)]))[0])
+
+
 def passages(text):
     out = Counter()
     for line in text.split("\n"):
         words = re.findall(r"[^ \t\n\r\f\v]+", line)
-        for i in range(0, len(words), f.PASSAGE):
-            out[tuple(words[i : i + f.PASSAGE])] += 1
+        now = []
+        for word in words:
+            now.append(word)
+            if hashed(word) % f.PASSAGE == 0 or len(now) == f.LONGEST:
+                out[tuple(now)] += 1
+                now = []
+        if now:
+            out[tuple(now)] += 1
     return out
 
 
@@ -80,3 +92,37 @@ def test_too_small_a_sketch_fails_and_grows():
     zero = np.zeros(1, int)
     assert not (a.sketch(zero, f.CELLS) - b.sketch(zero, f.CELLS)).peel()[3].any()
     assert f.likeness(a, zero, b, zero).tolist() == [0.0] and f.likeness(a, zero, a, zero).tolist() == [1.0]
+
+
+def test_an_inserted_word_changes_few_passages():
+    words = [f"w{i}" for i in range(2000)]
+    before, after = f.Sets([" ".join(words)]), f.Sets([" ".join(["new", *words])])
+    zero = np.zeros(1, int)
+    assert f.likeness(before, zero, after, zero)[0] > 0.99
+
+
+def test_words_whose_polynomials_agree():
+    one = "a"
+    for _ in range(11):
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    a, b = f.Sets([one]), f.Sets([other])
+    zero = np.zeros(1, int)
+    assert f.likeness(a, zero, b, zero)[0] == 0.0 and a.whole[0] != b.whole[0]
+
+
+@pytest.mark.parametrize("hot", [None, 7])
+def test_an_id_of_many_rows_is_split(spark, hot):
+    rows = [(i, f"text number {i}") for i in range(100)] + [(hot, f"hot text {i} {i * i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = f.fingerprints(docs, ["doc_id", "text"]).collect()
+    texts = {r.row.text: r for r in got}
+    assert len(got) == 500 and len(texts) == 500
+    # every text is edited with the next one's letters, so each one but its own gives them once
+    follows = {t: [u for u in texts if hashlib.sha256((t[: len(t) - len(t) // 4] + u[: len(t) // 4]).encode()).hexdigest() == r.edited_sha256] for t, r in texts.items()}
+    assert all(follows.values())
+    ids = dict((t, i) for i, t in rows)
+    for t, after in follows.items():
+        i = ids[t]
+        if i is not None and i != hot and i != (hot or 0) - 1 and i != 99:
+            assert f"text number {i + 1}" in after
