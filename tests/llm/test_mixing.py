@@ -64,8 +64,9 @@ def test_every_document_has_the_same_share(p):
     assert np.abs(rows.mean(0) - p).max() < 5 * np.sqrt(p * (1 - p) / 1500)
     # The large ones make way, or are made way for, where the others are enough for it.
     off = np.abs(rows @ size - p * size.sum())
-    if p == 0.46:
     assert off.max() <= 20_020
+    if p == 0.46:
+        assert np.median(off) <= 40
 
 
 def test_shares_of_a_mix(spark):
