@@ -47,6 +47,12 @@ def snake_case(c: Column) -> Column:
     return F.translate(F.lower(F.regexp_replace(c, word_edges, "_")), " ", "_")
 
 
+def without_comments(c: Column) -> Column:
+    """A measure text without `-- ...`, `// ...` and `/* ... */`, which are no comments inside quotes and brackets."""
+    kept = r'''("(?:[^"]|"")*"|'(?:[^']|'')*'|\[(?:[^\]]|\]\])*\])'''
+    return F.regexp_replace(c, kept + r"|--[^\r\n]*|//[^\r\n]*|/\*(?s:.*?)\*/", "$1")
+
+
 def last_part(c: Column) -> Column:
     return F.element_at(F.split(c, r"\."), -1)
 

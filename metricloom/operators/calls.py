@@ -12,6 +12,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
+from metricloom.functions.text import without_comments
 from metricloom.operators import members, ranking, rules, shares, timeline
 from metricloom.plans.model import Dimension, Measure, MetricView, Window
 from metricloom.plans.settle import settle
@@ -52,7 +53,7 @@ def find_calls(staging: DataFrame) -> DataFrame:
     no rule covers are left out. Columns are physical names, `alias.column` for joined tables.
     """
     df = staging.where("final_status = 'pending'")
-    text = F.regexp_replace(F.trim(F.coalesce("resolved_expr", "measure_expr")), r"\s+", " ")
+    text = F.regexp_replace(F.trim(without_comments(F.coalesce("resolved_expr", "measure_expr"))), r"\s+", " ")
     mdx = F.col("mode") == "mdx"
     found = F.when(F.lit(False), F.struct(*[F.lit("").alias(k) for k in ("kind", "base", "columns", "n", "unit", "argument")]))
     for kind, mode, pattern, groups in PATTERNS:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from metricloom.functions.text import without_comments
 from metricloom.plans import settle as S
 
 NODE = ["model", "measure_name"]
@@ -22,10 +23,10 @@ MDX_REFERENCE = r"\[Measures\]\.\[([^\]]+)\]"
 
 
 def definitions(staging: DataFrame) -> DataFrame:
-    """One definition per name and model: the last."""
-    return staging.groupBy(*NODE).agg(
-        F.max_by("measure_expr", "position").alias("expr"), F.max_by("mode", "position").alias("mode")
-    )
+    """One definition per name and model: the last. A comment would swallow what follows where the text is put in, so texts
+    come without."""
+    last = staging.groupBy(*NODE).agg(F.max_by("measure_expr", "position").alias("expr"), F.max_by("mode", "position").alias("mode"))
+    return last.withColumn("expr", without_comments(F.col("expr")))
 
 
 def measure_edges(staging: DataFrame) -> DataFrame:
@@ -239,7 +240,7 @@ def resolve_composites(staging: DataFrame) -> DataFrame:
     message = F.when(F.col("__cyclic"), own).when(
         F.col("__expr").isNull(), F.lit("Depends on a circular measure reference")
     )
-    df = df.withColumn("resolved_expr", F.when(F.col("__expr") != F.col("measure_expr"), F.col("__expr")))
+    df = df.withColumn("resolved_expr", F.when(F.col("__expr") != without_comments(F.col("measure_expr")), F.col("__expr")))
     df = df.withColumn("error_message", F.coalesce(message, F.col("error_message")))
     df = df.withColumn("final_status", F.when(message.isNotNull(), "error").otherwise(F.col("final_status")))
     return df.select(*staging.columns)

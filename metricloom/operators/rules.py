@@ -1,15 +1,18 @@
 """Classification and rule-based translation of measure texts.
 
-Rules are column expressions applied to every row of a catalog. A text is rewritten from its
-innermost calls outwards; what no rule covers stays visible as an open parenthesis or a free comma
-and is reported as `untranslated`, never guessed.
+Rules are column expressions applied to every row of a catalog. Comments go, literals, operators
+and names that are no plain words are turned into marks first, so that a rule sees tokens and not
+what happens to be inside them. A text is rewritten from its innermost calls outwards; what a rule
+puts next to an operator that binds more tightly gets parentheses. What no rule covers stays visible
+as an open parenthesis, a free comma or an operator that isn't on the list, and is reported as
+`untranslated`, never guessed.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from metricloom.functions.text import WINDOW_TYPE, snake_case, uses_over
+from metricloom.functions.text import WINDOW_TYPE, snake_case, uses_over, without_comments
 
 # Patterns by class, in order of priority. The first match decides.
 PATTERNS = [
@@ -26,14 +29,32 @@ PATTERNS = [
 # ( ) , of finished calls; the filter list of an aggregate; parentheses inside conditions; a literal.
 OPEN, CLOSE, COMMA, FILTERS, AND, COND_OPEN, COND_CLOSE, LIT = "⟨", "⟩", "‚", "‖", "¦", "⟦", "⟧", "§"
 
+# Both languages and SQL agree that AND binds more tightly than OR, and both less than comparisons.
+BOTH, EITHER = "∧", "∨"
+# Characters of names that are no plain words, and what stands for them until the text is finished.
+SPECIAL = "()[]{},%-+*/&^=<>|!'\"#$@:;~?.\\"
+HIDDEN = "".join(chr(0xE000 + i) for i in range(len(SPECIAL)))
+NAME = r"(?:[\w.]|`[^`]*`)+"
+# What an expression may hold besides names, numbers and marks: - + * / comparisons, AND, OR, NOT, IN, IS NULL, CASE.
+FORBIDDEN = r"[\^&|!~%;:@#$\\?\"']|--|//|/\*|[=<>]\s*NULL\b|\bNULL\s*[-+*/=<>]|[-+*/]\s*NULL\b"
+KEYWORD = r"(?:AND|OR|THEN|ELSE|END|WHEN|IN|IS|NOT|FILTER)\b"
+# Two terms without an operator between them.
+ADJACENT = rf"(?i)(?:⟩|§\d+§)\s*(?!{KEYWORD})[\w⟨`]|(?<![\w.`])(?!CASE\b|{KEYWORD})[\w.`]+\s+⟨"
+
 ARG = r"([^(),]*)"
 AGG = r"(?:SUM|COUNT|AVG|MIN|MAX)⟨[^⟨⟩]*⟩"
 GROUP = "⟨[^⟨⟩]*⟩"
 for _ in range(5):
     GROUP = f"⟨(?:[^⟨⟩]|{GROUP})*⟩"
+# A term that needs no parentheses beside a division.
+TERM = rf"(?:\w*{GROUP}|{NAME})"
 MEMBER = r"\[[^\]]+\](?:\.\[[^\]]+\])*"
 
 
+# Functions over the rows of a table and their aggregates.
+ROWS = {"COUNTROWS": "COUNT", "SUMX": "SUM", "AVERAGEX": "AVG", "MINX": "MIN", "MAXX": "MAX", "COUNTX": "COUNT"}
+
+
 def classify(c: Column) -> Column:
     """supported, window, time_intelligence or unsupported."""
     out = F.when(F.lit(False), F.lit(None).cast("string"))
@@ -103,14 +124,18 @@ def _variables(value: Column) -> Column:
     return _bind(value, put)
 
 
+def _identifier(name: Column) -> Column:
+    """A column's name as SQL; quoted, with its special characters hidden, unless it is a plain word."""
+    quoted = F.concat(F.lit("`"), F.translate(F.replace(name, F.lit("`"), F.lit("``")), SPECIAL, HIDDEN), F.lit("`"))
+    return F.when(name.rlike(r"^\w+$"), name).otherwise(quoted)
+
+
 def _dax_columns(text: Column) -> Column:
     """`Sales[Amount]` -> `amount`; columns of other tables get their join name."""
     def physical(ref: Column) -> Column:
         table = F.regexp_extract(ref, r"^'?([^'\[]+)'?\[", 1)
         col = F.regexp_extract(ref, r"\[([^\]]+)\]", 1)
-        mapped = F.coalesce(
-            F.try_element_at(F.col("col_map"), F.concat(table, F.lit("."), col)), snake_case(col)
-        )
+        mapped = _identifier(F.coalesce(F.try_element_at(F.col("col_map"), F.concat(table, F.lit("."), col)), snake_case(col)))
         alias = F.regexp_replace(snake_case(F.regexp_replace(table, "^Dim(?=[A-Z])", "")), "^dim_", "")
         return F.when(table == F.col("source_table"), mapped).otherwise(F.concat(alias, F.lit("."), mapped))
 
@@ -119,14 +144,15 @@ def _dax_columns(text: Column) -> Column:
 
 def _mdx_names(text: Column) -> Column:
     """Members, base measures and attribute sets of a cube text to columns and conditions."""
-    last = lambda ref: snake_case(F.regexp_extract(ref, r"\[([^\]]+)\][^\[\]]*$", 1))
+    plain = lambda ref: snake_case(F.regexp_extract(ref, r"\[([^\]]+)\][^\[\]]*$", 1))
+    last = lambda ref: _identifier(plain(ref))
     text = F.regexp_replace(text, r"(?i)" + MEMBER + r"\.CURRENTMEMBER\s+IS\s+", "")
     # [Status].&"x" -> status = "x"
     text = _each(
         text,
         MEMBER + r"\.&§\d+§",
         lambda r: F.concat(
-            snake_case(F.regexp_extract(r, r"\[([^\]]+)\]\.&", 1)), F.lit(" = "), F.regexp_extract(r, r"§\d+§", 0)
+            _identifier(snake_case(F.regexp_extract(r, r"\[([^\]]+)\]\.&", 1))), F.lit(" = "), F.regexp_extract(r, r"§\d+§", 0)
         ),
     )
     text = _each(
@@ -149,28 +175,52 @@ def _mdx_names(text: Column) -> Column:
         text,
         r"\[Measures\]\.\[[^\]]+\]",
         lambda r: F.when(
-            F.array_contains(columns, last(r)), F.concat(F.lit("SUM("), last(r), F.lit(")"))
+            F.array_contains(columns, plain(r)), F.concat(F.lit("SUM("), last(r), F.lit(")"))
         ).otherwise(r),
     )
 
 
-def _filter_all(call: Column, conditions: Column) -> Column:
-    """Add conditions (separated by commas) to the filter list of every aggregate in a text."""
+def _conditions(given: Column) -> Column:
+    """Conditions separated by commas, one each, OR in parentheses."""
 
     def one(x: Column) -> Column:
-        x = F.regexp_replace(F.trim(x), r"\s*&&\s*", " AND ")
-        x = F.regexp_replace(F.replace(x, F.lit("=="), F.lit("=")), r"\s*(<>|>=|<=|=|<|>)\s*", " $1 ")
-        either = F.concat(F.lit(COND_OPEN), F.regexp_replace(x, r"\s*\|\|\s*", " OR "), F.lit(COND_CLOSE))
-        return F.when(x.contains("||"), either).otherwise(x)
+        x = F.regexp_replace(F.trim(x), r"\s*(<>|>=|<=|=|<|>)\s*", " $1 ")
+        either = F.concat(F.lit(COND_OPEN), x, F.lit(COND_CLOSE))
+        return F.when(x.contains(EITHER), either).otherwise(x)
+
+    return F.transform(F.split(given, ","), one)
+
+
+def _named(condition: Column) -> Column:
+    """Columns that a condition compares."""
+    return F.regexp_extract_all(condition, F.lit(rf"({NAME}) (?:=|<>|>=|<=|<|>|(?i:IN|IS)\b)"), F.lit(1))
+
+
+def _filter_all(call: Column, given: Column) -> Column:
+    """Add conditions to the filter list of every aggregate in a text.
+
+    A condition inside replaces one from outside on the same column: the outer one is left out there.
+    """
+
+    def one(found: Column) -> Column:
+        has = lambda column: F.rlike(found, F.concat(F.lit(r"(?<![\w.`])\Q"), column, F.lit(r"\E(?![\w.`])")))
+        added = F.filter(_conditions(given), lambda c: ~F.exists(_named(c), has))
+        added = F.array_join(F.transform(added, lambda c: F.concat(F.lit(AND), c)), "")
+        return F.concat(F.substring(found, F.lit(1), F.length(found) - 1), added, F.lit("⟩"))
+
+    return _each(call, r"‖[^‖⟩]*⟩", one)
 
-    cond = F.array_join(F.transform(F.split(conditions, ","), one), AND)
-    safe = F.replace(F.replace(cond, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
-    return F.regexp_replace(call, F.lit(r"‖([^‖⟩]*)⟩"), F.concat(F.lit("‖$1¦"), safe, F.lit("⟩")))
+
+def _replaceable(call: Column, given: Column) -> Column:
+    """No condition over several columns meets one of them inside: what of it would be replaced can't be said."""
+    inside = F.array_join(F.regexp_extract_all(call, F.lit(r"‖[^‖⟩]*⟩"), F.lit(0)), " ")
+    has = lambda column: F.rlike(inside, F.concat(F.lit(r"(?<![\w.`])\Q"), column, F.lit(r"\E(?![\w.`])")))
+    return F.forall(_conditions(given), lambda c: (F.size(F.array_distinct(_named(c))) <= 1) | ~F.exists(_named(c), has))
 
 
 def _conditions_only(given: Column) -> Column:
     """Every argument compares something."""
-    return F.forall(F.split(given, ","), lambda x: x.rlike(r"(?i)[=<>]| IN ⟦"))
+    return F.forall(F.split(given, ","), lambda x: x.rlike(r"(?i)[=<>]| IN ⟦| IS (NOT )?NULL"))
 
 
 def _apply_filters(value: Column, pattern: str, inner: int, conds: int) -> Column:
@@ -184,7 +234,7 @@ def _apply_filters(value: Column, pattern: str, inner: int, conds: int) -> Colum
         done = F.regexp_replace(
             F.concat(F.lit(OPEN), _filter_all(body, given), F.lit(CLOSE)), f"^⟨({AGG})⟩$", "$1"
         )
-        usable = (call != "") & body.contains(FILTERS) & _conditions_only(given)
+        usable = (call != "") & body.contains(FILTERS) & _conditions_only(given) & _replaceable(body, given)
         return F.when(usable, F.replace(acc, call, done)).otherwise(acc)
 
     return _bind(value, rewritten)
@@ -196,6 +246,35 @@ def _lists(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(?i)\bTRUE\(\s*\)", "TRUE"), r"(?i)\bBLANK\(\s*\)", "NULL")
 
 
+def _operators(text: Column) -> Column:
+    """Logical operators as marks, one sign for equality, comparisons with nothing as tests for it."""
+    for pattern, to in (
+        (r"\s*&&\s*", f" {BOTH} "),
+        (r"\s*\|\|\s*", f" {EITHER} "),
+        (r"==", "="),
+        (r"(?i)\s*<>\s*NULL\b", " IS NOT NULL"),
+        (r"(?i)(?<![<>])\s*=\s*NULL\b", " IS NULL"),
+    ):
+        text = F.regexp_replace(text, pattern, to)
+    return text
+
+
+def _filtered_rows(value: Column) -> Column:
+    """Iterators over FILTER(table, condition): the aggregate under that condition."""
+    names = F.create_map(*[F.lit(x) for pair in ROWS.items() for x in pair])
+
+    def rewritten(acc: Column) -> Column:
+        pattern = rf"(?i)\b({'|'.join(ROWS)})\(\s*FILTER\(\s*[\w' ]+,([^(),‖]+)\)\s*(?:,([^(),‖]+))?\)"
+        part = lambda i: F.regexp_extract(acc, pattern, i)
+        counts = F.upper(part(1)) == "COUNTROWS"
+        body = F.when(counts, "1").otherwise(F.trim(part(3)))
+        aggregate = F.concat(F.try_element_at(names, F.upper(part(1))), F.lit("⟨"), body, F.lit("‖⟩"))
+        usable = (part(0) != "") & _conditions_only(part(2)) & (counts == (F.trim(part(3)) == ""))
+        return F.when(usable, F.replace(acc, part(0), _filter_all(aggregate, part(2)))).otherwise(acc)
+
+    return _bind(value, rewritten)
+
+
 def _switch(value: Column) -> Column:
     """SWITCH(x, v, r, ..., other) as CASE x WHEN v THEN r ..., and CASE WHEN for SWITCH(TRUE, ...)."""
 
@@ -222,12 +301,17 @@ def _round(acc: Column, mdx: Column) -> Column:
         nonlocal acc
         acc = F.regexp_replace(acc, pattern, to)
 
-    sub(r"(?i)\bRELATED\(\s*([\w.]+)\s*\)", "$1")
+    sub(rf"(?i)\bRELATED\(\s*({NAME})\s*\)", "$1")
+    # IF per row, inside an iterator.
+    rowwise = rf"(?i)\b((?:{'|'.join(ROWS)})\(\s*[\w' ]+,[^()]*?)\bIF\(\s*([^(),‖]+?)\s*,\s*([^(),‖]+?)\s*"
+    sub(rowwise + r"\)", "$1CASE WHEN $2 THEN $3 END")
+    sub(rowwise + r",\s*([^(),‖]+?)\s*\)", "$1CASE WHEN $2 THEN $3 ELSE $4 END")
+    acc = _filtered_rows(acc)
     sub(r"(?i)\bDISTINCTCOUNT\(\s*([^(),‖]+?)\s*\)", "COUNT⟨DISTINCT $1‖⟩")
     sub(r"(?i)\bCOUNTROWS\(\s*[\w' ]+\s*\)", "COUNT⟨1‖⟩")
     for name, fn in (("AVERAGE", "AVG"), ("AVG", "AVG"), ("SUM", "SUM"), ("COUNT", "COUNT"), ("MIN", "MIN"), ("MAX", "MAX")):
         sub(rf"(?i)\b{name}\(\s*([^(),‖]+?)\s*\)", f"{fn}⟨$1‖⟩")
-    for name, fn in (("SUMX", "SUM"), ("AVERAGEX", "AVG"), ("MINX", "MIN"), ("MAXX", "MAX"), ("COUNTX", "COUNT")):
+    for name, fn in list(ROWS.items())[1:]:
         sub(rf"(?i)\b{name}\(\s*[\w' ]+,\s*([^(),‖]+?)\s*\)", f"{fn}⟨$1‖⟩")
     for divisor in (r"/\s*\(\s*([^(),]+?)\s*\)", rf"/\s*({AGG})"):
         # In cubes every division is a safe one.
@@ -240,11 +324,13 @@ def _round(acc: Column, mdx: Column) -> Column:
     # CALCULATE without conditions, as it is left when a time function was taken out.
     sub(rf"(?i)\bCALCULATE\(\s*({AGG})\s*\)", "$1")
     sub(r"(?i)\bCALCULATE\(\s*([^(),]*‖[^(),]*?)\s*\)", "⟨$1⟩")
-    # Zero denominators give the alternate; none, 0 and NULL are the plain NULL.
-    two, none = r"\s*([^(),]+?)\s*,\s*([^(),]+?)\s*", r"(?:,\s*(?:0(?:\.0*)?|NULL|)\s*)?"
-    sub(rf"(?i)^\s*DIVIDE\({two}{none}\)\s*$", "$1 / NULLIF⟨$2‚ 0⟩")
-    sub(rf"(?i)\bDIVIDE\({two}{none}\)", "⟨$1 / NULLIF⟨$2‚ 0⟩⟩")
-    sub(rf"(?i)\bDIVIDE\({two},\s*([^(),]+?)\s*\)", "COALESCE⟨$1 / NULLIF⟨$2‚ 0⟩‚ $3⟩")
+    # Zero denominators give the alternate; none, 0 and NULL are the plain NULL. A numerator of several terms keeps together.
+    none = r"(?:,\s*(?:0(?:\.0*)?|NULL|)\s*)?"
+    for numerator, shown in ((rf"({TERM})", "$1"), (r"([^(),]+?)", "⟨$1⟩")):
+        two = rf"\s*{numerator}\s*,\s*([^(),]+?)\s*"
+        sub(rf"(?i)^\s*DIVIDE\({two}{none}\)\s*$", f"{shown} / NULLIF⟨$2‚ 0⟩")
+        sub(rf"(?i)\bDIVIDE\({two}{none}\)", f"⟨{shown} / NULLIF⟨$2‚ 0⟩⟩")
+        sub(rf"(?i)\bDIVIDE\({two},\s*([^(),]+?)\s*\)", f"COALESCE⟨{shown} / NULLIF⟨$2‚ 0⟩‚ $3⟩")
     acc = _switch(acc)
     sub(r"(?i)\bI?IF\(\s*([^(),]*‖[^(),]*?)\s*,\s*([^(),]+?)\s*\)", "CASE WHEN $1 THEN $2 END")
     sub(
@@ -260,8 +346,8 @@ def _finish(text: Column) -> Column:
     """Plain SQL from the marked text."""
     text = F.regexp_replace(text, "‖⟩", "⟩")
     text = F.regexp_replace(text, "‖¦", "⟩ FILTER ⟨WHERE ")
-    text = F.regexp_replace(text, AND, " AND ")
-    return F.translate(text, OPEN + CLOSE + COMMA + COND_OPEN + COND_CLOSE, "(),()")
+    text = F.regexp_replace(F.regexp_replace(text, f"{AND}| ?{BOTH} ?", " AND "), f" ?{EITHER} ?", " OR ")
+    return F.translate(text, OPEN + CLOSE + COMMA + COND_OPEN + COND_CLOSE + HIDDEN, "(),()" + SPECIAL)
 
 
 # Wrappers around a whole measure, and what stays of it. A date column is table[column]; what else a time function is given
@@ -318,7 +404,7 @@ def translate_rules(staging: DataFrame) -> DataFrame:
     """
     df = staging.where("final_status = 'pending'")
     mdx = F.col("mode") == "mdx"
-    raw = F.trim(F.coalesce("resolved_expr", "measure_expr"))
+    raw = F.trim(without_comments(F.coalesce("resolved_expr", "measure_expr")))
     df = df.withColumn("class", classify(raw))
     df = df.withColumn("__raw", F.when(mdx, F.regexp_replace(raw, r"&\[([^\]]+)\]", '&"$1"')).otherwise(raw))
     df = df.withColumn("__inner", _unwrap(F.col("__raw")))
@@ -327,7 +413,7 @@ def translate_rules(staging: DataFrame) -> DataFrame:
     hidden = F.regexp_replace(_hide_literals(F.col("__inner"), F.col("__lits"), quoted), r"\s+", " ")
     df = df.withColumn("__text", hidden)
     named = F.when(mdx, _mdx_names(F.col("__text"))).otherwise(_dax_columns(_variables(_lists(F.col("__text")))))
-    df = df.withColumn("__text", named)
+    df = df.withColumn("__text", _operators(named))
     # A round closes the innermost parentheses, so there are never more rounds than parentheses.
     opened = F.length("__text") - F.length(F.replace(F.col("__text"), F.lit("("), F.lit("")))
     df = df.withColumn("__rounds", F.sequence(F.lit(0), opened))
@@ -336,6 +422,7 @@ def translate_rules(staging: DataFrame) -> DataFrame:
     step = lambda acc, i: F.when(acc.contains("("), _round(acc, F.col("__mdx"))).otherwise(acc)
     df = df.withColumn("__text", F.aggregate("__rounds", F.col("__text"), step))
     closed = ~F.col("__text").rlike(r"[()\[\]{},]|(?i)\b(VAR|RETURN|BLANK|CURRENTMEMBER|ALL|VALUES)\b")
+    closed = closed & ~F.col("__text").rlike(FORBIDDEN) & ~F.col("__text").rlike(ADJACENT)
     translated = closed & F.col("__text").contains(FILTERS)
     sql = F.trim(_show_literals(_finish(F.col("__text")), F.col("__lits")))
     kind = F.col("class")

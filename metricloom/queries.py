@@ -1870,6 +1870,69 @@ def translate_nested(spark, sf):
     return _catalog_modules()[2].translate_rules(staging).select(F.col("position").alias("k"), "expr", "warning_type")
 
 
+@query(
+    "q_translate_precedence",
+    """SELECT p_partkey AS k, CASE p_partkey % 12
+      WHEN 0 THEN '(SUM(amount) - SUM(cost)) / NULLIF(SUM(amount) + ' || p_size || ', 0)'
+      WHEN 1 THEN 'SUM(x) / ((SUM(c) + ' || p_size || ') / NULLIF(2, 0))'
+      WHEN 2 THEN 'SUM(amount) + SUM(cost) FILTER (WHERE brand = ''' || p_brand || ' -- no // comment'')'
+      WHEN 3 THEN 'SUM(amount) > ' || p_size || ' OR SUM(cost) > 0 AND SUM(amount) IS NOT NULL'
+      WHEN 4 THEN 'CASE WHEN SUM(amount) IS NULL THEN ' || p_size || ' ELSE SUM(amount) END'
+      WHEN 5 THEN 'SUM(amount) FILTER (WHERE size = ' || p_size || ' AND brand IS NOT NULL)'
+      WHEN 6 THEN 'SUM(`amount_(' || p_size || ')`) / SUM(`' || p_size || '%_net`)'
+      WHEN 7 THEN 'SUM(amount * cost) FILTER (WHERE size > ' || p_size || ' AND brand = ''x'')'
+      WHEN 8 THEN 'SUM(CASE WHEN size > ' || p_size || ' THEN amount ELSE 0 END)'
+      END AS expr, CASE WHEN p_partkey % 12 >= 9 THEN 'untranslated' END AS warning_type FROM part""",
+)
+def translate_precedence(spark, sf):
+    """Texts whose operators bind or mean otherwise in SQL, comments, blanks, names with marks, and operators without a form."""
+    from metricloom.sources import exports as E
+
+    text = """CASE p_partkey % 12
+      WHEN 0 THEN concat('DIVIDE(SUM(Sales[Amount]) - SUM(Sales[Cost]), SUM(Sales[Amount]) + ', p_size, ')')
+      WHEN 1 THEN concat('SUM(Sales[X]) / DIVIDE(SUM(Sales[C]) + ', p_size, ', 2)')
+      WHEN 2 THEN concat('SUM(Sales[Amount]) -- gross, (all)\\n + /* and */ CALCULATE(SUM(Sales[Cost]), Sales[Brand]="', p_brand, ' -- no // comment") // ', p_brand)
+      WHEN 3 THEN concat('SUM(Sales[Amount]) > ', p_size, ' || SUM(Sales[Cost]) > 0 && SUM(Sales[Amount]) <> BLANK()')
+      WHEN 4 THEN concat('IF(SUM(Sales[Amount]) = BLANK(), ', p_size, ', SUM(Sales[Amount]))')
+      WHEN 5 THEN concat('CALCULATE(CALCULATE(SUM(Sales[Amount]), Sales[Size] = ', p_size, '), Sales[Size] = 0, Sales[Brand] <> BLANK())')
+      WHEN 6 THEN concat('SUM(Sales[Amount (', p_size, ')]) / SUM(Sales[', p_size, '% Net])')
+      WHEN 7 THEN concat('SUMX(FILTER(Sales, Sales[Size] > ', p_size, ' && Sales[Brand] = "x"), Sales[Amount] * Sales[Cost])')
+      WHEN 8 THEN concat('SUMX(Sales, IF(Sales[Size] > ', p_size, ', Sales[Amount], 0))')
+      WHEN 9 THEN concat('SUM(Sales[Amount])^', p_size)
+      WHEN 10 THEN concat('SUM(Sales[Amount]) & "', p_brand, '"')
+      ELSE concat('SUM(Sales[Amount]) SUM(Sales[', p_brand, '])') END"""
+    rows = X.table(spark, sf, "part").select(F.col("p_partkey").alias("position"), F.col("p_partkey").cast("string").alias("measure_name"), F.expr(text).alias("measure_expr"))
+    staging = E._staged(
+        rows, model=F.lit("m"), source_format=F.lit("csv"), source_table=F.lit("Sales"), description=F.lit(""),
+        mode=F.lit("dax"), fact_table_fqn=F.lit("orders"), fact_columns=F.lit(None), dim_tables=F.lit(None), col_map=F.lit(None),
+    )
+    return _catalog_modules()[2].translate_rules(staging).select(F.col("position").alias("k"), "expr", "warning_type")
+
+
+@query(
+    "q_translated_margin",
+    f"""WITH g AS (SELECT o_custkey AS custkey, {dbl(f"SUM({AMT}) FILTER (WHERE o_orderstatus = 'F')")} AS f, {dbl(f"SUM({AMT})")} AS t,
+      {dbl(f"SUM({AMT}) FILTER (WHERE o_orderstatus = 'O')")} AS o, {dbl(f"SUM(CASE WHEN o_orderstatus = 'P' THEN {AMT} ELSE 0 END)")} AS p, COUNT(*) AS n,
+      COUNT(*) FILTER (WHERE o_orderstatus = 'F') AS nf, COUNT(*) FILTER (WHERE o_orderstatus = 'O') AS n_o FROM orders GROUP BY 1)
+    SELECT custkey, round((t - f) / NULLIF(t, 0), 9) AS margin, CAST(n AS DOUBLE) / NULLIF((nf + n_o) / 2.0, 0) AS halves,
+      f IS NULL OR o > f AS none_or_less, round(p, 2) AS pending FROM g""",
+)
+def translated_margin(spark, sf):
+    """Compound numerators, logical operators and rows under a condition, translated and evaluated."""
+    texts = {
+        "total": "SUM(Sales[Amount]) -- all of it",
+        "done": 'CALCULATE([total], Sales[Status]="F")',
+        "open": 'SUMX(FILTER(Sales, Sales[Status]="O"), Sales[Amount])',
+        "margin": "DIVIDE([total] - [done], [total])",
+        "halves": 'COUNTROWS(Sales) / DIVIDE(CALCULATE(COUNTROWS(Sales), Sales[Status]="F") + COUNTROWS(FILTER(Sales, Sales[Status]="O")), 2)',
+        "none_or_less": "[done] = BLANK() || [open] > [done]",
+        "pending": 'SUMX(Sales, IF(Sales[Status]="P", Sales[Amount], 0))',
+    }
+    df = _translated_orders(spark, sf, texts).query(spark, ["margin", "halves", "none_or_less", "pending"], ["custkey"])
+    number = lambda c, places: F.round(F.col(c).cast("double"), places).alias(c)
+    return df.select("custkey", number("margin", 9), F.col("halves").cast("double").alias("halves"), "none_or_less", number("pending", 2))
+
+
 @query(
     "q_salted_join",
     """SELECT p_brand, COUNT(*) AS lines, COUNT(DISTINCT l_orderkey) AS orders FROM lineitem LEFT JOIN part ON l_partkey % 3 = p_partkey GROUP BY 1""",

@@ -124,6 +124,37 @@ DAX = [
     ),
     ("MAX(RELATED(DimCustomer[Name]))", "MAX(customer.name)"),
 ]
+# Texts whose operators bind differently, or mean something else, in SQL.
+TOKENS = [
+    ("DIVIDE(SUM(Sales[A]) - SUM(Sales[B]), SUM(Sales[A]))", "(SUM(a) - SUM(b)) / NULLIF(SUM(a), 0)"),
+    ("SUM(Sales[X]) / DIVIDE(SUM(Sales[C]) + SUM(Sales[D]), 2)", "SUM(x) / ((SUM(c) + SUM(d)) / NULLIF(2, 0))"),
+    ("DIVIDE(SUM(Sales[A]) * 100, SUM(Sales[B]) + 1, 5)", "COALESCE((SUM(a) * 100) / NULLIF(SUM(b) + 1, 0), 5)"),
+    ("DIVIDE(DIVIDE(SUM(Sales[A]), 2) + 1, SUM(Sales[B]))", "((SUM(a) / NULLIF(2, 0)) + 1) / NULLIF(SUM(b), 0)"),
+    ("SUM(Sales[A]) -- gross\n + SUM(Sales[B])", "SUM(a) + SUM(b)"),
+    ("SUM(Sales[A]) // gross", "SUM(a)"),
+    ("SUM(Sales[A]) /* gross (no, net) */ - 1", "SUM(a) - 1"),
+    ('CALCULATE(SUM(Sales[A]), Sales[B] = "--x // y") -- z', "SUM(a) FILTER (WHERE b = '--x // y')"),
+    ("SUM(Sales[A])^2", None),
+    ('SUM(Sales[A]) & "x"', None),
+    ("SUM(Sales[A]) % 2", None),
+    ("SUM(Sales[A]) SUM(Sales[B])", None),
+    ("SUM(Sales[A]) > 0 || SUM(Sales[B]) > 0", "SUM(a) > 0 OR SUM(b) > 0"),
+    ("IF(SUM(Sales[A])>0 && SUM(Sales[B])>0, 1, 0)", "CASE WHEN SUM(a)>0 AND SUM(b)>0 THEN 1 ELSE 0 END"),
+    ("IF(SUM(Sales[A]) = BLANK(), 0, SUM(Sales[A]))", "CASE WHEN SUM(a) IS NULL THEN 0 ELSE SUM(a) END"),
+    ("CALCULATE(SUM(Sales[A]), Sales[B] <> BLANK())", "SUM(a) FILTER (WHERE b IS NOT NULL)"),
+    ("CALCULATE(SUM(Sales[A]), Sales[B] == BLANK() || Sales[C] = 1)", "SUM(a) FILTER (WHERE (b IS NULL OR c = 1))"),
+    ("SUM(Sales[A]) + BLANK()", None),
+    ("CALCULATE(CALCULATE(SUM(Sales[A]), Sales[C] = 1), Sales[C] = 2)", "SUM(a) FILTER (WHERE c = 1)"),
+    ("CALCULATE(CALCULATE(SUM(Sales[A]), Sales[C] = 1) / SUM(Sales[B]), Sales[C] = 2, Sales[D] > 3)", "(SUM(a) FILTER (WHERE c = 1 AND d > 3) / SUM(b) FILTER (WHERE c = 2 AND d > 3))"),
+    ("CALCULATE(CALCULATE(SUM(Sales[A]), Sales[C] = 1), Sales[C] = 2 || Sales[D] = 3)", None),
+    ("CALCULATE(SUM(Sales[A]), Sales[B] > 1, Sales[B] < 5)", "SUM(a) FILTER (WHERE b > 1 AND b < 5)"),
+    ("SUM(Sales[Amount (USD)]) / SUM(Sales[Profit %])", "SUM(`amount_(usd)`) / SUM(`profit_%`)"),
+    ('CALCULATE(SUM(Sales[Net-Sales]), Sales[Type, old] = "x")', "SUM(`net-sales`) FILTER (WHERE `type,_old` = 'x')"),
+    ("SUMX(FILTER(Sales, Sales[B] > 1), Sales[A] * Sales[C])", "SUM(a * c) FILTER (WHERE b > 1)"),
+    ("COUNTROWS(FILTER(Sales, Sales[B] > 1 && Sales[C] = 2)) * 2", "COUNT(1) FILTER (WHERE b > 1 AND c = 2) * 2"),
+    ("SUMX(Sales, IF(Sales[B] > 1, Sales[A], 0))", "SUM(CASE WHEN b > 1 THEN a ELSE 0 END)"),
+    ("AVERAGEX(Sales, 2 * IF(Sales[B] > 1 || Sales[C] = 1, Sales[A]))", "AVG(2 * CASE WHEN b > 1 OR c = 1 THEN a END)"),
+]
 MDX = [
     ("SUM([Measures].[Amount])", "SUM(amount)"),
     ("[Measures].[Amount]", "SUM(amount)"),
@@ -169,6 +200,17 @@ def test_dax_rules(spark):
     assert got[-1].joins_needed[0].on == "source.customer_id = customer.customer_id"
 
 
+def test_tokens_and_precedence(spark):
+    got = translated(spark, [t for t, _ in TOKENS], "dax")
+    assert [(t, r.expr, r.warning_type) for (t, _), r in zip(TOKENS, got)] == [(t, e, None if e else "untranslated") for t, e in TOKENS]
+
+
+def test_comments_end_where_they_are_put_in(spark):
+    texts = [("A", "SUM(Sales[x]) -- it's gross"), ("B", "[A] /* twice */ * 2 // done")]
+    got = {r.measure_name: (r.expr, r.warning_type) for r in rules.translate_rules(references.resolve_composites(staging(spark, texts))).collect()}
+    assert got == {"A": ("SUM(x)", None), "B": ("SUM(x) * 2", None)}
+
+
 def test_mdx_rules(spark):
     columns = ["amount", "profit", "revenue", "customer_id"]
     got = translated(spark, [t for t, _ in MDX], "mdx", columns=columns)
