@@ -282,19 +282,22 @@ def over_frame(cells: C.Cells, keys: Sequence[str], order: str, w: Window) -> C.
         plain = C.replace(cells, leaves=tuple(cells.leaves[i] for i in leaves))
         return C.replace(cells, df=C.join_hot(cells.df.drop(*names), plain.regroup(keys).df, keys))
     side, n, unit = w.span
-    if unit in MONTHS and not by_day:
-        return _over_month_timestamps(cells, keys, order, side, n * MONTHS[unit], w.include_anchor, leaves)
     if unit in MONTHS:
-        return _over_months(cells, keys, order, side, n * MONTHS[unit], w.include_anchor, leaves)
+        frame = (keys, order, side, n * MONTHS[unit], w.include_anchor)
+        extremes = [i for i in leaves if cells.leaves[i].fn in ("MIN", "MAX")]
+        others = [i for i in leaves if i not in extremes]
+        if others:
+            cells = (_over_months if by_day else _over_month_timestamps)(cells, *frame, others)
+        return _extremes_over_months(cells, *frame, extremes) if extremes else cells
     day = F.col(f"`{order}`")
     if not by_day or unit == "hour":
         micros = (n * 24 * DAYS.get(unit, 0) or n) * 3600 * 1_000_000
         at = F.unix_micros(day.cast("timestamp"))
-        return _over_blocks(cells, keys, at, micros, side, w.include_anchor, leaves)
+        return _over_blocks(cells, keys, at, micros, side, w.include_anchor, leaves, spread=True)
     word = "PRECEDING" if side == "trailing" else "FOLLOWING"
     width = n * DAYS[unit]
     if width > SLIDING_DAYS:
-        return _over_blocks(cells, keys, F.unix_date(day), width, side, w.include_anchor, leaves)
+        return _over_blocks(cells, keys, F.unix_date(day), width, side, w.include_anchor, leaves, spread=False)
     near = "CURRENT ROW" if w.include_anchor else f"{interval(1, 'day')} {word}"
     far = f"{interval(width - 1 if w.include_anchor else width, 'day')} {word}"
     bounds = f"{far} AND {near}" if side == "trailing" else f"{near} AND {far}"
@@ -317,18 +320,26 @@ def _cumulative(cells: C.Cells, keys: Sequence[str], order: str, leaves: list[in
 
 
 def _over_blocks(
-    cells: C.Cells, keys: Sequence[str], at: Column, span: int, side: str, anchor: bool, leaves: list[int]
+    cells: C.Cells, keys: Sequence[str], at: Column, span: int, side: str, anchor: bool, leaves: list[int], spread: bool
 ) -> C.Cells:
-    """Frames of a fixed length on an axis of whole numbers (days, microseconds).
+    """Frames of a fixed length on an axis of whole numbers (days, microseconds)."""
+    first = {("trailing", False): -span, ("trailing", True): 1 - span, ("leading", False): 1, ("leading", True): 0}
+    at = at.cast("bigint")
+    return _over_spans(cells, keys, at, [at + F.lit(first[side, anchor])], span, leaves, spread)
+
+
+def _over_spans(
+    cells: C.Cells, keys: Sequence[str], at: Column, lows: list[Column], span: int, leaves: list[int], spread: bool
+) -> C.Cells:
+    """Frames made of stretches of one length, `span`, that begin at `lows`.
 
-    The axis is cut into blocks as long as the frame, so a frame is the end of one block and the
+    The axis is cut into blocks as long as a stretch, so a stretch is the end of one block and the
     beginning of the next. Every anchor asks both blocks, and running values from either end of a
-    block answer: the work per row does not depend on how many rows a frame holds, and a group of any
-    size is spread over its blocks.
+    block answer: the work per row does not depend on how many rows a frame holds. A group of any
+    size is spread over its blocks, and with `spread`, where a block may hold any number of rows, a
+    block over ranges.
     """
     at, width = at.cast("bigint"), F.lit(span).cast("bigint")
-    first = {("trailing", False): -span, ("trailing", True): 1 - span, ("leading", False): 1, ("leading", True): 0}
-    low = at + F.lit(first[side, anchor])
     functions = {"s": "sum", "n": "sum", "lo": "min", "hi": "max"}
     parts = {n: functions[p] for i in leaves for p, n in cells.part_names(i).items()}
     types = dict(cells.df.dtypes)
@@ -339,47 +350,72 @@ def _over_blocks(
         return F.struct(F.lit(kind).alias("__kind"), pos.alias("__pos"), block.alias("__block"), *values)
 
     start = lambda c: c - F.pmod(c, width)
-    sent = F.array(row(0, at, start(at)), row(1, low, start(low)), row(2, low + width - 1, start(low) + width))
-    flat = cells.df.select(*columns(rest), F.inline(sent))
-    by_block = "PARTITION BY " + ", ".join(f"`{k}`" for k in [*keys, "__block"])
-    upward = "RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-    seen = {
-        n: F.expr(
-            f"CASE __kind WHEN 1 THEN {fn}({n}) OVER ({by_block} ORDER BY __pos DESC {upward}) "
-            f"WHEN 2 THEN {fn}({n}) OVER ({by_block} ORDER BY __pos {upward}) END"
-        )
-        for n, fn in parts.items()
-    }
-    asked = flat.withColumns(seen).where("__kind > 0")
+    asks = [r for low in lows for r in (row(1, low, start(low)), row(2, low + width - 1, start(low) + width))]
+    flat = cells.df.select(*columns(rest), F.inline(F.array(row(0, at, start(at)), *asks)))
+    if spread:
+        flat, grouped = S.settle(flat), [*keys, "__block"]
+        running = {n: (fn, n) for n, fn in parts.items()}
+
+        def answered(kind: int, sign: int) -> DataFrame:
+            """What the rows at or before (for kind 2), at or after (kind 1) an ask's place in its block come to."""
+            placed = flat.where(F.col("__kind").isin(0, kind)).withColumn("__pos", F.struct("__pos", sign * F.col("__kind")))
+            return S.running(placed, grouped, "__pos", running, descending=kind == 1).where("__kind > 0")
+
+        asked = answered(1, -1).unionByName(answered(2, 1))
+    else:
+        by_block = "PARTITION BY " + ", ".join(f"`{k}`" for k in [*keys, "__block"])
+        upward = "RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+        seen = {
+            n: F.expr(
+                f"CASE __kind WHEN 1 THEN {fn}({n}) OVER ({by_block} ORDER BY __pos DESC {upward}) "
+                f"WHEN 2 THEN {fn}({n}) OVER ({by_block} ORDER BY __pos {upward}) END"
+            )
+            for n, fn in parts.items()
+        }
+        asked = flat.withColumns(seen).where("__kind > 0")
     merged = [F.expr(f"{fn}({n})").alias(n) for n, fn in parts.items()]
     return C.replace(cells, df=asked.groupBy(*columns(rest)).agg(*merged))
 
 
+def _extremes_over_months(
+    cells: C.Cells, keys: Sequence[str], order: str, side: str, months: int, anchor: bool, leaves: list[int]
+) -> C.Cells:
+    """Extremes over whole months before or after a date or timestamp.
+
+    Months differ in length, but the shortest frame is longer than half the longest: two stretches of
+    27 days a month, one from either end of a frame, cover it, and what both of them hold does not
+    count twice in an extreme.
+    """
+    day = dict(cells.df.dtypes)[order] == "date"
+    number = (lambda c: F.unix_date(c)) if day else (lambda c: F.unix_micros(c.cast("timestamp")))
+    span = 27 * months * (1 if day else 24 * 3600 * 1_000_000)
+    here = F.col(f"`{order}`")
+    shift_by = F.lit(-months if side == "trailing" else months)
+    far = F.add_months(here, shift_by) if day else F.expr(f"`{order}` {'-' if side == 'trailing' else '+'} INTERVAL '{months}' MONTH")
+    near, away = number(here).cast("bigint"), number(far).cast("bigint")
+    inner, outer = (0, 1) if anchor else (1, 0)  # what is left out at the anchor and at the far end
+    low, high = (away + outer, near - inner) if side == "trailing" else (near + inner, away - outer)
+    return _over_spans(cells, keys, number(here), [low, high - (span - 1)], span, leaves, spread=not day)
+
+
 def _over_months(
     cells: C.Cells, keys: Sequence[str], order: str, side: str, months: int, anchor: bool, leaves: list[int]
 ) -> C.Cells:
     """Frames of whole months without the anchor's day, or without the day at their far end.
 
-    A frame bound cannot mix months and days, so the closed frame is taken and the one day is cut
-    out: sums and counts are reduced by it, extremes are taken over the other days of the frame.
+    A frame bound cannot mix months and days, so the closed frame is taken, and sums and counts are
+    reduced by the one day.
     """
     edge = f"INTERVAL '{months}' MONTH {'PRECEDING' if side == 'trailing' else 'FOLLOWING'}"
     whole = f"{edge} AND CURRENT ROW" if side == "trailing" else f"CURRENT ROW AND {edge}"
     frame = frame_text(keys, order, whole)
     cut = frame_text(keys, order, f"{edge} AND {edge}" if anchor else "CURRENT ROW AND CURRENT ROW")
-    day = F.col(f"`{order}`")
-    unwanted = F.add_months(day, -months if side == "trailing" else months) if anchor else day
     cols = {}
     for i in leaves:
         for name in cells.part_names(i).values():
-            if cells.leaves[i].fn in ("MIN", "MAX"):
-                seen = F.expr(f"collect_list(struct(`{order}` AS d, {name} AS v)) OVER ({frame})")
-                rest = F.transform(F.filter(seen, lambda x: x["d"] != unwanted), lambda x: x["v"])
-                cols[name] = F.array_min(rest) if cells.leaves[i].fn == "MIN" else F.array_max(rest)
-            else:
-                total, inner = (F.expr(f"sum({name}) OVER ({f})") for f in (frame, cut))
-                n, n_cut = (F.expr(f"count({name}) OVER ({f})") for f in (frame, cut))
-                cols[name] = F.when(n > n_cut, total - F.coalesce(inner, F.lit(0)))
+            total, inner = (F.expr(f"sum({name}) OVER ({f})") for f in (frame, cut))
+            n, n_cut = (F.expr(f"count({name}) OVER ({f})") for f in (frame, cut))
+            cols[name] = F.when(n > n_cut, total - F.coalesce(inner, F.lit(0)))
     return C.replace(cells, df=cells.df.withColumns(cols))
 
 
@@ -391,8 +427,6 @@ def _over_month_timestamps(
     A frame's value is the difference of two running values. Every anchor asks at both ends of its
     frame, before or after the rows of that very time; the running values are range-partitioned.
     """
-    if any(cells.leaves[i].fn in ("MIN", "MAX") for i in leaves):
-        raise ValueError(f"extremes over windows of months need a date as their order, {order} is none")
     names = [n for i in leaves for n in cells.part_names(i).values()]
     types = dict(cells.df.dtypes)
     rest = [c for c in cells.df.columns if c not in names]

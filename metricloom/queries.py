@@ -928,6 +928,47 @@ def trailing_month_timestamps(spark, sf):
     return df.withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
+@query(
+    "q_extremes_month_timestamps",
+    f"""WITH e AS (SELECT event_type AS kind, ts, CAST(value AS DECIMAL(12,2)) AS v FROM events), a AS (SELECT DISTINCT kind, ts FROM e)
+    SELECT a.kind, strftime(a.ts, '%Y-%m-%d %H:%M:%S.%f') AS at, {dbl('MIN(e.v)')} AS low, {dbl('MAX(e.v)')} AS high, {dbl('SUM(e.v)')} AS value
+    FROM a LEFT JOIN e ON e.kind = a.kind AND e.ts >= a.ts - INTERVAL 2 MONTH AND e.ts < a.ts GROUP BY a.kind, a.ts""",
+)
+def extremes_month_timestamps(spark, sf):
+    """Extremes, and a sum beside them, over the two months before every event."""
+    mv, w = _events(spark, sf), (Window("at", "trailing 2 month"),)
+    cents = "CAST(value AS DECIMAL(12,2))"
+    ms = [Measure(n, fn(cents), window=w) for n, fn in (("low", A.min_), ("high", A.max_), ("value", A.sum_))]
+    return mv.query(spark, ms, ["kind", "at"]).withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+@query(
+    "q_extremes_months",
+    f"""WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, MIN({AMT}) AS lo, MAX({AMT}) AS hi FROM orders GROUP BY 1)
+    SELECT a.day, {dbl('MIN(b.lo)')} AS low, {dbl('MAX(b.hi)')} AS high FROM d a
+    LEFT JOIN d b ON b.day > a.day AND b.day <= CAST(a.day + INTERVAL 3 MONTH AS DATE) GROUP BY 1""",
+    dates="day",
+)
+def extremes_months(spark, sf):
+    """Extremes over the three months after every day."""
+    w = (Window("day", "leading 3 month"),)
+    ms = [Measure("low", A.min_(X.AMOUNT), window=w), Measure("high", A.max_(X.AMOUNT), window=w)]
+    return X.orders_view(spark, sf).query(spark, ms, ["day"])
+
+
+@query(
+    "q_trailing_days_without_groups",
+    f"""WITH e AS (SELECT ts, SUM(CAST(value AS DECIMAL(12,2))) AS v, COUNT(*) AS n, MAX(CAST(value AS DECIMAL(12,2))) AS m FROM events GROUP BY 1)
+    SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at, {dbl('SUM(v) OVER w')} AS value, CAST(SUM(n) OVER w AS BIGINT) AS events, {dbl('MAX(m) OVER w')} AS top
+    FROM e WINDOW w AS (ORDER BY ts RANGE BETWEEN INTERVAL 7775999999999 MICROSECOND PRECEDING AND CURRENT ROW)""",
+)
+def trailing_days_without_groups(spark, sf):
+    """Ninety days up to every event, all kinds together: blocks of any number of rows are cut into ranges."""
+    mv, w = _events(spark, sf), (Window("at", "trailing 90 day", include_anchor=True),)
+    df = mv.query(spark, [Measure(m.name, m.expr, window=w) for m in mv.measures], ["at"])
+    return df.withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
 @query(
     "q_trailing_distinct_timestamps",
     """WITH e AS (SELECT DISTINCT event_type AS kind, ts FROM events)
@@ -1915,7 +1956,7 @@ def translate_precedence(spark, sf):
       {dbl(f"SUM({AMT}) FILTER (WHERE o_orderstatus = 'O')")} AS o, {dbl(f"SUM(CASE WHEN o_orderstatus = 'P' THEN {AMT} ELSE 0 END)")} AS p, COUNT(*) AS n,
       COUNT(*) FILTER (WHERE o_orderstatus = 'F') AS nf, COUNT(*) FILTER (WHERE o_orderstatus = 'O') AS n_o FROM orders GROUP BY 1)
     SELECT custkey, round((t - f) / NULLIF(t, 0), 9) AS margin, CAST(n AS DOUBLE) / NULLIF((nf + n_o) / 2.0, 0) AS halves,
-      f IS NULL OR o > f AS none_or_less, round(p, 2) AS pending FROM g""",
+      CASE WHEN f IS NULL OR o > f THEN 1 ELSE 0 END AS none_or_less, round(p, 2) AS pending FROM g""",
 )
 def translated_margin(spark, sf):
     """Compound numerators, logical operators and rows under a condition, translated and evaluated."""
@@ -1925,7 +1966,7 @@ def translated_margin(spark, sf):
         "open": 'SUMX(FILTER(Sales, Sales[Status]="O"), Sales[Amount])',
         "margin": "DIVIDE([total] - [done], [total])",
         "halves": 'COUNTROWS(Sales) / DIVIDE(CALCULATE(COUNTROWS(Sales), Sales[Status]="F") + COUNTROWS(FILTER(Sales, Sales[Status]="O")), 2)',
-        "none_or_less": "[done] = BLANK() || [open] > [done]",
+        "none_or_less": "IF([done] = BLANK() || [open] > [done], 1, 0)",
         "pending": 'SUMX(Sales, IF(Sales[Status]="P", Sales[Amount], 0))',
     }
     df = _translated_orders(spark, sf, texts).query(spark, ["margin", "halves", "none_or_less", "pending"], ["custkey"])

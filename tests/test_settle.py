@@ -1,5 +1,6 @@
 """Plans for skewed and very large inputs give the same rows as the plain ones."""
 
+import pandas as pd
 import pytest
 from conftest import rows
 from pyspark.sql import Window as W, functions as F
@@ -167,6 +168,33 @@ def test_hours_over_timestamps(spark, span, anchor):
     assert sorted(tuple(r) for r in got) == want
 
 
+@pytest.mark.parametrize("side", ["trailing", "leading"])
+@pytest.mark.parametrize("n,unit", [(1, "month"), (2, "month"), (1, "year")])
+@pytest.mark.parametrize("anchor", [False, True])
+def test_month_extremes_over_timestamps(spark, side, n, unit, anchor):
+    """Times on both sides of the anchors' time of day around month ends and the leap day, against brute force."""
+    from metricloom import Dimension, Measure, MetricView, Window
+
+    moments = [d + pd.Timedelta(hours=(7 * i) % 24) for i, d in enumerate(pd.date_range("2023-12-20", "2025-03-31")) if i % 6 != 3]
+    values = [(i * 37) % 101 for i in range(len(moments))]
+    rows_ = [(str(t), v, i % 2) for i, (t, v) in enumerate(zip(moments, values))]
+    df = spark.createDataFrame(rows_, "t string, v int, g int").selectExpr("CAST(t AS TIMESTAMP) AS t", "v", "g")
+    w = (Window("t", f"{side} {n} {unit}", include_anchor=anchor),)
+    ms = [Measure("lo", "MIN(v)", window=w), Measure("hi", "MAX(v)", window=w), Measure("s", "SUM(v)", window=w)]
+    mv = MetricView("m", df, (), (Dimension("t", "t"), Dimension("g", "g")), tuple(ms))
+    step = pd.DateOffset(**{f"{unit}s": n if side == "leading" else -n})
+    want = []
+    for i, a in enumerate(moments):
+        far = a + step
+        inside = {
+            ("trailing", False): lambda x: far <= x < a, ("trailing", True): lambda x: far < x <= a,
+            ("leading", False): lambda x: a < x <= far, ("leading", True): lambda x: a <= x < far,
+        }[side, anchor]
+        seen = [v for k, (x, v) in enumerate(zip(moments, values)) if k % 2 == i % 2 and inside(x)]
+        want.append((i % 2, a.to_pydatetime(), *((min(seen), max(seen), sum(seen)) if seen else (None,) * 3)))
+    assert sorted(tuple(r) for r in mv.query(spark, ms, ["g", "t"]).collect()) == sorted(want)
+
+
 def test_clear_deletes_the_files_of_the_application(spark):
     import os
 
