@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..plans.settle import settle
 from .rows import numbered
-from .text import LETTER, SPACE, Flat, Words, classes, importable, parts, segment_sums, stretches
+from .text import LETTER, SPACE, Flat, Words, classes, give_back, importable, parts, segment_sums, stretches
 
 SEQUENCE = 2048
 # Lengths above a share of the sequence are large, and are rounded in so many groups: the schemes of which the best is kept.
 SCHEMES = [(share, groups) for share in (1 / 5, 1 / 4, 1 / 3, 0.4999) for groups in (5, 10, 20, 40)]
 # Units whose ids a worker remembers.
-KNOWN = 600_000
+KNOWN = 300_000
 # Code points from which on letters aren't told from other characters, and those that composition can change or reorder.
 NEWER = 0x530
 COMPOSED = re.compile("[\u0300-\u200f\u2028-\u202f\u205f-\U0010ffff]")
@@ -52,9 +52,10 @@ class Tokens:
         from tokenizers.normalizers import Sequence
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.whole = Tokenizer.from_file(path)
-        self.tokenizer = Tokenizer.from_file(path)  # for texts that are normalised
-        self.tokenizer.normalizer = Sequence([])
+        self.path = path
+        self.tokenizer = Tokenizer.from_file(path)
+        self.normaliser = self.tokenizer.normalizer
+        self.tokenizer.normalizer = Sequence([])  # it is given texts that are normalised
         vocabulary = self.tokenizer.get_vocab()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.named = re.compile("|".join(map(re.escape, self.special)) or "(?!)", re.IGNORECASE)
@@ -70,7 +71,7 @@ class Tokens:
 
     def normalised(self, text: str) -> str:
         """What the tokenizer cuts, but for white space, which it drops."""
-        return self.whole.normalizer.normalize_str(text) if COMPOSED.search(text) else text.lower()
+        return self.normaliser.normalize_str(text) if COMPOSED.search(text) else text.lower()
 
     def encode(self, units: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all units in a row, and their number per unit. Units of letters only are one pre-token each, which its
@@ -116,7 +117,7 @@ class Tokens:
 
     def encoded(self, text: str | None) -> bytes:
         """Ids of a text, by the tokenizer alone."""
-        return np.array(self.whole.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(whole(self.path).encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, texts: list) -> list[bytes]:
         shown = [self.normalised(t or "") for t in texts]
@@ -171,6 +172,14 @@ def _put(pool: np.ndarray, used: int, values: np.ndarray, counts: np.ndarray) ->
     return pool, used + np.cumsum(counts) - counts
 
 
+@lru_cache(2)
+def whole(path: str):
+    """The tokenizer as it is; few texts need it."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @lru_cache(2)
 def tokens(path: str) -> Tokens:
     return Tokens(path)
@@ -202,6 +211,7 @@ def pieces(docs: DataFrame, tokenizer: str, keep: list[str], text: str = "text")
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
             arrays = [pa.array(c, k) for c, k in zip(columns[1:], kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(columns[0], pa.int64())), *arrays], names=out.names)
+        give_back()
 
     return frame.mapInArrow(run, out)
 

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .text import importable
+from .text import give_back, importable
 
 
 def trained(
@@ -46,6 +46,9 @@ def trained(
                 if not found or total <= chars:
                     found.append(t)
                     known.append(y)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(found, known))], pa.binary())], names=["model"])
+        model = pickle.dumps(train(found, known))
+        del found, known
+        give_back()
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
 
     return pickle.loads(taken.mapInArrow(run, "model binary").first()[0])

@@ -58,10 +58,21 @@ def over_texts(docs: DataFrame, text: str, keep: list[str], fn: Callable[[list],
                 got = fn(column.slice(at, n).to_pylist())
                 arrays = [x if isinstance(x, pa.Array) else pa.array(x, type=t) for x, t in zip(got, types)]
                 yield pa.RecordBatch.from_arrays([rows.slice(at, n), *arrays], names=["row", *added.names])
+        give_back()
 
     return frame.mapInArrow(run, out)
 
 
+def give_back() -> None:
+    """Return freed memory to the system at a task's end: workers are kept, and stages of one application add up otherwise."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def pa_type(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
