@@ -19,6 +19,7 @@ def run_batch(
     translate: Callable[[DataFrame], DataFrame] = rules.translate_rules,
     staging_table: str | None = None,
     audit_table: str | None = None,
+    entries_table: str | None = None,
     registry_table: str | None = None,
     user: str = "",
 ) -> dict[str, DataFrame]:
@@ -26,8 +27,8 @@ def run_batch(
 
     `translate` turns pending rows into answer columns; `assembly.parse_answers` takes stored answers
     in place of the rules. Tables that are named are written: the batch to the staging table, one
-    audit row per view, and the view texts to the registry. Each stage is written once and read by
-    the next; nothing is collected.
+    audit row per view, all that these rows stand for to the table of entries, and the view texts to
+    the registry. Each stage is written once and read by the next; nothing is collected.
     """
     staged = settle(assembly.with_batch(references.resolve_composites(staging), batch_id))
     if staging_table:
@@ -36,6 +37,8 @@ def run_batch(
     views = settle(assembly.render_views(translated, catalog, schema))
     if audit_table:
         audit.audit_append(audit.audit_of_batch(translated, batch_id, views=views, user=user, catalog=catalog, schema=schema), audit_table)
+    if entries_table:
+        audit.entries_append(audit.entries_of_batch(translated, batch_id, views, catalog, schema), entries_table)
     if registry_table:
         audit.publish(texts(translated, views, catalog, schema), registry_table)
     return {"staged": staged, "translated": translated, "texts": views, **assembly.batch_report(translated)}

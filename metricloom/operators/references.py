@@ -181,38 +181,76 @@ def _literal(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
 
 
+def _token(ref: Column, mode: Column) -> Column:
+    """Pattern of the references to one measure."""
+    name = F.concat(F.lit("\\Q"), ref, F.lit("\\E"))
+    dax = F.concat(F.lit(r"(?<![\w'\].])\["), name, F.lit(r"\]"))
+    mdx = F.concat(F.lit(r"\[Measures\]\.\["), name, F.lit(r"\]"))
+    return F.when(mode == "mdx", mdx).otherwise(dax)
+
+
 def _put(expr: Column, refs: Column, mode: Column) -> Column:
     """Replace every reference in an expression by its parenthesised definition."""
-    def one(acc: Column, r: Column) -> Column:
-        name = F.concat(F.lit("\\Q"), r["ref"], F.lit("\\E"))
-        dax = F.concat(F.lit(r"(?<![\w'\].])\["), name, F.lit(r"\]"))
-        mdx = F.concat(F.lit(r"\[Measures\]\.\["), name, F.lit(r"\]"))
-        return F.regexp_replace(acc, F.when(mode == "mdx", mdx).otherwise(dax), r["text"])
+    return F.aggregate(refs, expr, lambda acc, r: F.regexp_replace(acc, _token(r["ref"], mode), _literal(r["text"])))
+
+
+def _put_length(expr: Column, refs: Column, mode: Column) -> Column:
+    """Length of the text that `_put` would make."""
+    around = F.when(mode == "mdx", F.length(F.lit("[Measures].[]"))).otherwise(F.length(F.lit("[]")))
+
+    def more(total: Column, r: Column) -> Column:
+        longer = F.length(r["text"]) - F.length(r["ref"]) - around
+        return total + F.regexp_count(expr, _token(r["ref"], mode)).cast("bigint") * longer.cast("bigint")
+
+    return F.aggregate(refs, F.length(expr).cast("bigint"), more)
 
-    return F.aggregate(refs, expr, one)
 
+# Characters of an expanded text, see `expand`.
+LONGEST = 200_000
+UNDEFINED = "Measure without a definition, or one that refers to such"
 
-def expand(defs: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Whole texts of all nodes that lead to no cycle: model, measure_name, expr; and the edges of the others.
+
+def expand(defs: DataFrame, edges: DataFrame, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
+    """Whole texts of all nodes that lead to no cycle: model, measure_name, expr, why; and the edges of the others.
 
     A node is finished once all its references are: a finished node sends its text along the edges
     that name it, and a node whose edges have all got theirs is put together. One round per
     dependency level, each of which writes the open edges and the new texts once.
+
+    A text can double from level to level. The length is worked out before a text is made; a node
+    whose text would have more than `longest` characters is finished without one, and so is every
+    node that refers to it: `expr` is null and `why` says so.
     """
-    fresh = S.settle(defs.join(edges, NODE, "left_anti").select(*NODE, "expr"))
-    done, pending = [fresh], edges.withColumn("text", F.lit(None).cast("string"))
+    fresh = S.settle(
+        defs.join(edges, NODE, "left_anti").select(*NODE, "expr", F.when(F.col("expr").isNull(), UNDEFINED).alias("why"))
+    )
+    done = [fresh]
+    pending = edges.withColumns({"known": F.lit(False), "text": F.lit(None).cast("string"), "why": F.lit(None).cast("string")})
     while True:
-        sent = fresh.select("model", F.col("measure_name").alias("ref"), F.concat(F.lit("("), "expr", F.lit(")")).alias("new"))
+        sent = fresh.select(
+            "model", F.col("measure_name").alias("ref"), F.concat(F.lit("("), "expr", F.lit(")")).alias("new"),
+            F.col("why").alias("new_why"), F.lit(True).alias("sent"),
+        )
         met = S.salted_join(pending, sent, ["model", "ref"], "left")
-        got = F.col("new").isNotNull() & F.col("text").isNull()
-        marked, (some,) = S.settle_counting(met.select(*NODE, "ref", F.coalesce("text", "new").alias("text"), got.alias("got")), F.col("got"))
+        got = F.col("sent").isNotNull() & ~F.col("known")
+        marked, (some,) = S.settle_counting(
+            met.select(
+                *NODE, "ref", (F.col("known") | F.col("sent").isNotNull()).alias("known"),
+                F.coalesce("text", "new").alias("text"), F.coalesce("why", "new_why").alias("why"), got.alias("got"),
+            ),
+            F.col("got"),
+        )
         if not some:
             return _union(done), marked.select(*NODE, "ref")
         whole = marked.groupBy(*NODE).agg(
-            F.every(F.col("text").isNotNull()).alias("all"), F.array_sort(F.collect_list(F.struct("ref", _literal(F.col("text")).alias("text")))).alias("refs")
+            F.every("known").alias("all"), F.max("why").alias("why"), F.array_sort(F.collect_list(F.struct("ref", "text"))).alias("refs")
         )
         ready = defs.join(whole.where("all"), NODE)
-        fresh = S.settle(ready.select(*NODE, _put(F.col("expr"), F.col("refs"), F.col("mode")).alias("expr")))
+        size = _put_length(F.col("expr"), F.col("refs"), F.col("mode"))
+        too_long = F.lit(f"Expanded text exceeds {longest} characters")
+        ready = ready.withColumn("why", F.coalesce("why", F.when(size > longest, too_long)))
+        text = F.when(F.col("why").isNull(), _put(F.col("expr"), F.col("refs"), F.col("mode")))
+        fresh = S.settle(ready.select(*NODE, text.alias("expr"), "why"))
         done.append(fresh)
         pending, (left,) = S.settle_counting(marked.drop("got").join(fresh, NODE, "left_anti"), F.lit(True))
         if not left:
@@ -226,18 +264,19 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def resolve_composites(staging: DataFrame) -> DataFrame:
+def resolve_composites(staging: DataFrame, longest: int = LONGEST) -> DataFrame:
     """Staging rows with `resolved_expr` where references were inlined.
 
-    A row is expanded once, from definitions that are complete. Cyclic measures and measures that
-    depend on them get status `error`.
+    A row is expanded once, from definitions that are complete. Cyclic measures, measures that
+    depend on them and measures whose text would have more than `longest` characters get status
+    `error`.
     """
-    resolved, residual = expand(S.settle(definitions(staging)), measure_edges(staging))
+    resolved, residual = expand(S.settle(definitions(staging)), measure_edges(staging), longest)
     cyclic = cycles(residual, peeled=True).withColumn("__cyclic", F.lit(True))
-    done = resolved.select(*NODE, F.col("expr").alias("__expr"))
+    done = resolved.select(*NODE, F.col("expr").alias("__expr"), F.col("why").alias("__why"))
     df = staging.drop("resolved_expr").join(done, NODE, "left").join(cyclic, NODE, "left")
     own = F.concat(F.lit("Circular measure reference: "), F.col("measure_name"))
-    message = F.when(F.col("__cyclic"), own).when(
+    message = F.when(F.col("__cyclic"), own).when(F.col("__why").isNotNull(), F.col("__why")).when(
         F.col("__expr").isNull(), F.lit("Depends on a circular measure reference")
     )
     df = df.withColumn("resolved_expr", F.when(F.col("__expr") != without_comments(F.col("measure_expr")), F.col("__expr")))

@@ -1465,6 +1465,32 @@ def resolve_composites(spark, sf):
     return df.select("measure_name", "resolved_expr", "final_status", "error_message")
 
 
+@query(
+    "q_resolve_growth",
+    """WITH n AS (SELECT p_partkey, unnest(range(0, 6)) AS i, length(p_name) + 12 AS base FROM part),
+    l AS (SELECT *, CAST((base + 7) * power(2, i) AS BIGINT) - 7 AS len FROM n)
+    SELECT 'g' || p_partkey AS model, 'm' || i AS measure_name, CASE WHEN i > 0 AND len <= 400 THEN len ELSE 0 END AS chars,
+    CASE WHEN i > 0 AND len > 400 THEN 'error' ELSE 'pending' END AS final_status,
+    CASE WHEN i > 0 AND len > 400 THEN 'Expanded text exceeds 400 characters' END AS error_message FROM l""",
+)
+def resolve_growth(spark, sf):
+    """Measures that name the one before twice: texts double until they would be too long."""
+    from metricloom.sources import exports as E
+
+    rows = X.table(spark, sf, "part").select("p_partkey", "p_name", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i"))
+    before = F.concat(F.lit("[m"), (F.col("i") - 1).cast("string"), F.lit("]"))
+    staging = E._staged(
+        rows, model=F.concat(F.lit("g"), "p_partkey"), position=F.col("i"), measure_name=F.concat(F.lit("m"), "i"),
+        measure_expr=F.when(F.col("i") == 0, F.concat(F.lit("SUM(Sales["), "p_name", F.lit("])"))).otherwise(F.concat(before, F.lit(" + "), before)),
+        source_format=F.lit("csv"), source_table=F.lit("Sales"), description=F.lit(""), mode=F.lit("dax"),
+        fact_table_fqn=F.lit("main.sales.fact"), fact_columns=F.lit(None), dim_tables=F.lit(None), col_map=F.lit(None),
+    )
+    df = _catalog_modules()[1].resolve_composites(staging, 400)
+    return df.select(
+        "model", "measure_name", F.coalesce(F.length("resolved_expr"), F.lit(0)).cast("bigint").alias("chars"), "final_status", "error_message"
+    )
+
+
 @query(
     "q_classify",
     f"""WITH {CATALOG} SELECT measure_name, CASE WHEN r = 10 THEN 'unsupported' WHEN r = 9 THEN 'window' ELSE 'supported' END AS class FROM cat""",
@@ -2006,6 +2032,29 @@ def audit_append(spark, sf):
         spark.sql(f"DROP TABLE {name}")
 
 
+@query(
+    "q_audit_entries",
+    f"""WITH {CATALOG} SELECT 'b1/' || fact AS audit_id, 'measure' AS kind, row_number() OVER (PARTITION BY fact ORDER BY model, k) - 1 AS position,
+    CAST(json_object('name', measure_name, 'expression', measure_expr) AS VARCHAR) AS content FROM tr
+    UNION ALL SELECT 'b1/' || fact, 'warning', row_number() OVER (PARTITION BY fact ORDER BY measure_name) - 1,
+    '{{"name":"' || measure_name || '","type":"unsupported_dax","msg":"no metric-view form"}}' FROM tr WHERE expr IS NULL""",
+)
+def audit_entries(spark, sf):
+    """Every measure and warning of a batch, written twice to the table of entries and read back as one."""
+    import uuid
+
+    from metricloom.sources import audit
+
+    name = f"entries_{uuid.uuid4().hex}"
+    entries = settle.settle(audit.entries_of_batch(_translated(spark, sf), "b1"))
+    try:
+        audit.entries_append(entries.withColumn("content", F.lit("old")), name)
+        audit.entries_append(entries, name)
+        return settle.settle(audit.entries_current(spark.table(name)).select("audit_id", "kind", "position", "content"))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 @query(
     "q_batch_roundtrip",
     f"""SELECT o_orderpriority AS priority, {dbl(f'SUM({AMT})')} AS "Total", {dbl(f"SUM({AMT}) FILTER (WHERE o_orderstatus = 'F')")} AS "In F",

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from metricloom.operators.assembly import assemble_views, view_stats, warnings
 from metricloom.plans.model import MetricView
-from metricloom.plans.settle import settle
+from metricloom.plans.settle import prefix_sums, settle
 
 # Columns of the audit table.
 AUDIT_COLUMNS = {
@@ -134,16 +134,16 @@ def audit_of_batch(
 
     `views` are the rendered texts of the batch (`view_name`, `part`, `yaml`, `ddl`); the first part
     stands for a view whose text comes in several. Measures and warnings are listed up to `LISTED`
-    characters of whole entries, their numbers are given beside; all of them are rows of the reports.
+    characters of whole entries, their numbers are given beside; all of them, and all parts, are rows
+    of `entries_of_batch`.
     """
     translated = settle(translated)
     stats = view_stats(translated)
     names = assemble_views(translated, catalog, schema)
     about = names.select(F.col("source").alias("source_table"), "view_name", "version", "measure_count", "dimension_count")
     listed = warnings_json(warnings(translated), "source_table")
-    entry = F.struct(F.col("measure_name").alias("name"), F.col("measure_expr").alias("expression"))
     given = json_list(
-        translated.select(F.col("fact_table_fqn").alias("source_table"), "model", "position", F.to_json(entry).alias("item")),
+        translated.select(F.col("fact_table_fqn").alias("source_table"), "model", "position", measure_json().alias("item")),
         "source_table", ["model", "position", "item"], "measures_input",
     )
     tables = F.to_json(F.transform("dim_tables", lambda d: d["table"]))
@@ -159,7 +159,7 @@ def audit_of_batch(
         df = df.withColumns({"yaml_body": F.lit(None).cast("string"), "sql_output": F.lit(None).cast("string")})
     text = lambda c, none="": F.coalesce(c, F.lit(none)).alias(c)
     return df.select(
-        F.concat(F.lit(batch_id), F.lit("/"), F.col("source_table")).alias("id"),
+        audit_id(batch_id, F.col("source_table")).alias("id"),
         F.concat(F.lit("batch_"), F.col("fmt")).alias("mode"),
         F.lit(model).alias("model"),
         "source_table",
@@ -177,6 +177,18 @@ def audit_of_batch(
     )
 
 
+def audit_id(batch_id: str, source_table: Column) -> Column:
+    return F.concat(F.lit(batch_id), F.lit("/"), source_table)
+
+
+def measure_json() -> Column:
+    return F.to_json(F.struct(F.col("measure_name").alias("name"), F.col("measure_expr").alias("expression")))
+
+
+def warning_json() -> Column:
+    return F.to_json(F.struct(F.col("measure_name").alias("name"), F.col("warning_type").alias("type"), F.col("message").alias("msg")))
+
+
 # Characters of a JSON list in the audit table.
 LISTED = 4000
 
@@ -201,11 +213,81 @@ def json_list(rows: DataFrame, key: str, order: list[str], name: str, limit: int
 
 def warnings_json(warned: DataFrame, key: str, limit: int = LISTED) -> DataFrame:
     """JSON array of the warnings per key, whole entries up to `limit` characters."""
-    entry = F.struct(F.col("measure_name").alias("name"), F.col("warning_type").alias("type"), F.col("message").alias("msg"))
-    rows = warned.select(key, "measure_name", "warning_type", "message", F.to_json(entry).alias("item"))
+    rows = warned.select(key, "measure_name", "warning_type", "message", warning_json().alias("item"))
     return json_list(rows, key, ["measure_name", "warning_type", "message"], "warnings", limit)
 
 
+ENTRIES = "audit_id string, written_at timestamp, kind string, position bigint, part int, content string"
+
+
+def entries_of_batch(
+    translated: DataFrame, batch_id: str, views: DataFrame | None = None, catalog: str = "main", schema: str = "sales"
+) -> DataFrame:
+    """All that the audit rows of a batch stand for, nothing cut: audit_id, kind, position, part, content.
+
+    Kinds are `measure` and `warning` (a JSON object each, `position` from 0 in the order of the
+    lists of `audit_of_batch`) and, where `views` are given, `yaml` and `ddl` (`part` from 0; the
+    parts joined by newlines are the whole text). Entries are numbered by range-partitioned running
+    counts, so a view may own any share of the batch.
+    """
+    translated = settle(translated)
+    none, kind = F.lit(""), lambda name: F.lit(name).alias("kind")
+    measures = translated.select(
+        audit_id(batch_id, F.col("fact_table_fqn")).alias("audit_id"), kind("measure"),
+        F.struct(F.col("model").alias("a"), F.col("position").alias("b"), measure_json().alias("c"), none.alias("d")).alias("at"),
+        measure_json().alias("content"),
+    )
+    warned = warnings(translated).select(
+        audit_id(batch_id, F.col("source_table")).alias("audit_id"), kind("warning"),
+        F.struct(
+            F.col("measure_name").alias("a"), F.lit(0).cast("bigint").alias("b"), F.col("warning_type").alias("c"), F.col("message").alias("d")
+        ).alias("at"),
+        warning_json().alias("content"),
+    )
+    listed = measures.unionByName(warned).withColumn("one", F.lit(1).cast("bigint"))
+    numbered = prefix_sums(listed, ["audit_id", "kind"], "at", {"n": "one"})
+    out = numbered.select("audit_id", "kind", (F.col("n") - 1).alias("position"), F.lit(0).alias("part"), "content")
+    if views is None:
+        return out
+    owners = assemble_views(translated, catalog, schema).select("view_name", audit_id(batch_id, F.col("source")).alias("audit_id"))
+    texts = views.select("view_name", "part", F.explode(F.create_map(F.lit("yaml"), "yaml", F.lit("ddl"), "ddl")).alias("kind", "content"))
+    parts = texts.join(owners, "view_name")
+    return out.unionByName(parts.select("audit_id", "kind", F.lit(0).cast("bigint").alias("position"), F.col("part").cast("int").alias("part"), "content"))
+
+
+def entries_append(entries: DataFrame, table: str) -> None:
+    """Append the entries of a batch; a batch written again replaces what it wrote before, see `entries_current`."""
+    entries.sparkSession.sql(f"CREATE TABLE IF NOT EXISTS {table} ({ENTRIES}) USING parquet")
+    rows = entries.withColumn("written_at", F.current_timestamp())
+    rows.select("audit_id", "written_at", "kind", "position", "part", "content").write.mode("append").insertInto(table)
+
+
+def entries_current(entries: DataFrame) -> DataFrame:
+    """The entries each audit id wrote last."""
+    latest = entries.groupBy("audit_id").agg(F.max("written_at").alias("written_at"))
+    return entries.join(latest, ["audit_id", "written_at"])
+
+
+def with_entries(history: DataFrame, entries: DataFrame, n: int = 10) -> DataFrame:
+    """Audit rows with their first `n` measures and warnings as lists of JSON objects, for display.
+
+    The lists are empty where an audit id has none; `entries_current` has the rest.
+    """
+    shown = entries.join(history.select(F.col("id").alias("audit_id")), "audit_id", "left_semi")
+    first = entries_current(shown).where((F.col("position") < n) & F.col("kind").isin("measure", "warning"))
+
+    def listed(kind: str) -> Column:
+        rows = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("position", "content"))))
+        return F.transform(rows, lambda x: x["content"])
+
+    lists = first.groupBy(F.col("audit_id").alias("id")).agg(
+        listed("measure").alias("first_measures"), listed("warning").alias("first_warnings")
+    )
+    empty = F.array().cast("array<string>")
+    df = history.join(lists, "id", "left")
+    return df.withColumns({c: F.coalesce(c, empty) for c in ("first_measures", "first_warnings")})
+
+
 def audit_deploy(spark: SparkSession, table: str, audit_id: str, view: str, ok: bool, message: str = "", user: str = ""):
     """Append the outcome of a deployment (S16); the audit id says which entry it belongs to."""
     row = spark.createDataFrame(

@@ -40,6 +40,38 @@ def test_audit_events(spark):
     assert audit.audit_history(current, 1).count() == 1
 
 
+def test_entries_of_a_large_view_are_whole(spark):
+    """5,000 measures, texts in three parts, a view without warnings; a batch that is written again."""
+    import json
+
+    import yaml
+
+    texts = [(f"M{i:04}", f"SUM(Sales[c{i}])" if i % 2 else f'RANKX(Sales, "\\{i}")') for i in range(5000)]
+    tr = rules.translate_rules(staging(spark, texts))
+    small = tr.where("measure_name = 'M0001'").withColumn("fact_table_fqn", F.lit("main.s.fact_one"))
+    both = tr.unionByName(small)
+    views = assembly.render_views(both, part=1000)
+    for _ in range(2):
+        audit.entries_append(audit.entries_of_batch(both, "b9", views), "entries_t")
+    now = audit.entries_current(spark.table("entries_t")).orderBy("audit_id", "kind", "position", "part").collect()
+    kept = {}
+    for r in now:
+        kept.setdefault((r.audit_id, r.kind), []).append(r)
+    large = "b9/main.s.fact_sales"
+    assert sorted(kept) == [("b9/main.s.fact_one", k) for k in ("ddl", "measure", "yaml")] + [(large, k) for k in ("ddl", "measure", "warning", "yaml")]
+    assert [r.position for r in kept[large, "measure"]] == list(range(5000))
+    assert [tuple(json.loads(r.content).values()) for r in kept[large, "measure"]] == texts
+    assert [json.loads(r.content)["name"] for r in kept[large, "warning"]] == [n for n, _ in texts[::2]]
+    assert [r.part for r in kept[large, "yaml"]] == [0, 1, 2]
+    whole = yaml.load("\n".join(r.content for r in kept[large, "yaml"]), yaml.CSafeLoader)
+    assert [m["name"] for m in whole["measures"]] == [n for n, _ in texts[1::2]]
+    history = audit.audit_rows(audit.audit_of_batch(both, "b9", views=views)).unionByName(audit.audit_rows(spark.createDataFrame([("other",)], "id string")))
+    shown = {r.id: r for r in audit.with_entries(history, spark.table("entries_t"), 3).collect()}
+    assert [json.loads(t)["name"] for t in shown[large].first_measures] == ["M0000", "M0001", "M0002"]
+    assert [json.loads(t)["name"] for t in shown[large].first_warnings] == ["M0000", "M0002", "M0004"]
+    assert (shown["b9/main.s.fact_one"].first_warnings, shown["other"].first_measures) == ([], [])
+
+
 def test_registry(spark):
     views = spark.createDataFrame([("a", "1.1", "one"), ("b", "0.1", "two")], "view_name string, version string, definition string")
     audit.publish(views, "registry_t")

@@ -16,7 +16,7 @@ TEXTS = [("Total", "SUM(Sales[Amount])"), ("Twice", "[Total] * 2"), ("Loop", "[L
 
 
 def test_batch(spark):
-    out = run_batch(staging(spark, TEXTS), "b7", "c", "s", staging_table="bt_staging", audit_table="bt_audit", registry_table="bt_views")
+    out = run_batch(staging(spark, TEXTS), "b7", "c", "s", staging_table="bt_staging", audit_table="bt_audit", entries_table="bt_entries", registry_table="bt_views")
     assert rows(spark.table("bt_staging").select("measure_name", "final_status")) == [
         ("Loop", "error"), ("Rank", "pending"), ("Total", "pending"), ("Twice", "pending")
     ]
@@ -27,6 +27,8 @@ def test_batch(spark):
     assert [m["expr"] for m in doc["measures"]] == ["SUM(amount)", "SUM(amount) * 2"]
     entry = audit.audit_current(spark.table("bt_audit")).first()
     assert (entry.mode, entry.status, entry.measure_count, entry.warning_count) == ("batch_csv", "partial", 2, 1)
+    kinds = audit.entries_current(spark.table("bt_entries")).groupBy("kind").count()
+    assert rows(kinds) == [("ddl", 1), ("measure", 3), ("warning", 1), ("yaml", 1)]
     fact = spark.createDataFrame([("x", 3), ("y", 4)], "status string, amount int")
     mv = MetricView.from_definition("v", doc, {"main.s.fact_sales": fact})
     assert rows(mv.query(spark, ["Twice"], ["status"])) == [("x", 6), ("y", 8)]

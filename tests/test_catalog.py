@@ -81,6 +81,33 @@ def test_deep_chain_is_resolved(spark):
     assert got["m13"].count("(") == 14 and "[m" not in got["m13"]
 
 
+def test_doubling_texts_are_reported(spark):
+    """Each measure names the one before twice: 40 levels would make 10^13 characters."""
+    texts = [("m0", "SUM(Sales[x])")] + [(f"m{i}", f"[m{i - 1}] + [m{i - 1}]") for i in range(1, 41)]
+    texts += [("after", "[m40] * 2"), ("loop", "[loop] + [m40]"), ("null", None), ("of null", "[null] + 1")]
+    got = {r.measure_name: r for r in references.resolve_composites(staging(spark, texts)).collect()}
+    length = len("SUM(Sales[x])")
+    for i in range(1, 41):
+        length = 2 * (length + 2) + 3
+        r = got[f"m{i}"]
+        if length <= references.LONGEST:
+            assert (len(r.resolved_expr), r.final_status) == (length, "pending")
+        else:
+            assert (r.resolved_expr, r.final_status, r.error_message) == (None, "error", "Expanded text exceeds 200000 characters")
+    assert got["after"].error_message == "Expanded text exceeds 200000 characters"
+    assert got["loop"].error_message == "Circular measure reference: loop"
+    assert got["null"].error_message == got["of null"].error_message == references.UNDEFINED
+
+
+def test_length_of_expanded_texts_is_exact(spark):
+    texts = [("a$", r"SUM([Measures].[x]) + 'a\$1'"), ("b", "[Measures].[a$] / [Measures].[a$] - [Measures].[c]"), ("c", "1")]
+    st = staging(spark, texts, mode="mdx")
+    whole = {r.measure_name: r.resolved_expr for r in references.resolve_composites(st).collect()}["b"]
+    for longest, kept in ((len(whole), whole), (len(whole) - 1, None)):
+        got = {r.measure_name: r.resolved_expr for r in references.resolve_composites(st, longest).collect()}
+        assert got["b"] == kept
+
+
 # ---------------------------------------------------------------- rules
 
 # Measure texts and the SQL they stand for.
