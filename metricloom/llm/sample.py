@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Callable, Iterator
 
@@ -18,21 +19,27 @@ def trained(
 
     Rows are taken in the order of a hash of their id, evenly from the different labels, up to the first text that exceeds
     `chars`; null ids, texts and labels take no part, and of texts with one id one is taken. Only ids are shuffled to find
-    them: the texts are fetched with a broadcast of at most `rows` ids. The bounded sample is one task's input; the driver
-    gets the model.
+    them, and of a frequent label only those whose hash can be among the first: labels are counted, hashes are even, so the
+    first n lie below a share of the hashes that holds n rows and six deviations more (beyond that the sample would be
+    smaller). The texts are fetched with a broadcast of at most `rows` ids. The bounded sample is one task's input; the
+    driver gets the model.
     """
     importable(docs.sparkSession)
     ids = docs.select(F.col(f"`{id_}`").alias("id")).where("id IS NOT NULL").distinct()
     named = labels.select(F.col(f"`{id_}`").alias("id"), label.alias("label")).where("label IS NOT NULL").dropDuplicates()
     known = named.join(ids, "id")
-    kinds = [r[0] for r in known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max(1, rows // 20)).collect()]
+    counts = known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max(1, rows // 20))
+    kinds = {r[0]: r[1] for r in counts.collect()}
     order = [F.xxhash64("id"), F.col("id"), F.col("label")]
     if not kinds:
         return train([], [])
     # Labels too many to give each twenty rows: the frequent ones.
+    n = max(1, rows // len(kinds))
+    likely = n + 6 * math.sqrt(n) + 50
+    shares = F.create_map(*[F.lit(v) for kind, count in kinds.items() for v in (kind, min(1.0, likely / count))])
+    near = known.where(F.xxhash64("id") / F.lit(2.0**64) + 0.5 <= F.try_element_at(shares, F.col("label")))  # other labels have no share
     place = F.row_number().over(W.partitionBy("label").orderBy(*order))
-    some = known.where(F.col("label").isin(kinds)).withColumn("place", place)
-    chosen = some.where(F.col("place") <= max(1, rows // len(kinds))).drop("place")
+    chosen = near.withColumn("place", place).where(F.col("place") <= n).drop("place")
     texts = docs.select(F.col(f"`{id_}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).where("text IS NOT NULL")
     first = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first")  # a task sends one text of an id
     taken = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(first).select("id", "label", "first.text")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from metricloom.llm import language, quality, toxicity
+from metricloom.llm import language, quality, sample, toxicity
 from metricloom.llm.queries import QUERIES
 from metricloom.llm.text import Flat, labelled, segment_sums
 
@@ -36,6 +36,20 @@ def test_held_out_rule(spark):
     assert got == {i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 0}
 
 
+@pytest.mark.parametrize(("rows", "many"), [(60, 30_000), (60, 45), (4, 30_000)])
+def test_sample_takes_the_first_hashes_of_each_label(spark, rows, many):
+    """One label holds nearly all rows; labels beyond rows / 20 take no part."""
+    docs = spark.range(many).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    label = F.when(F.col("doc_id") < 40, "rare").when(F.col("doc_id") == 41, "single").otherwise("hot")
+    labels = docs.select("doc_id", label.alias("kind"))
+    got = sample.trained(docs, labels, "doc_id", F.col("kind"), rows, 10**6, "text", lambda texts, kinds: sorted(zip(kinds, texts)))
+    known = labels.select("kind", "doc_id", F.xxhash64("doc_id").alias("h")).toPandas().sort_values("h")
+    frequent = known.groupby("kind").size().reset_index(name="n").sort_values(["n", "kind"], ascending=[False, True])
+    kinds = frequent.kind[: max(1, rows // 20)]
+    want = [(k, f"text {i}") for k in kinds for i in known[known.kind == k].doc_id[: max(1, rows // len(kinds))]]
+    assert got == sorted(want)
+
+
 def test_language_held_out(spark):
     got = held_out(spark, "op2_language_id", "documents")
     assert (got.lang_pred == got.lang).mean() > 0.97
