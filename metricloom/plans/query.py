@@ -185,9 +185,7 @@ def over_distinct(mv, spark, measures, distinct, grain, early, relationship, key
     leaves = C.leaves_of(measures)
     additive = tuple(leaf for leaf in leaves if leaf.mergeable)
     keyed = [[*grain, Dimension("__key", leaf.input())] for leaf in distinct]
-    by_day = not w.span or dict(C.project(mv, spark, [], grain, relationship).dtypes)[w.order] == "date"
-    if not by_day and w.span[2] in MONTHS:
-        raise ValueError(f"distinct counts over {w.normal_range} need a date as their order")
+    by_day = _by_day(w, dict(C.project(mv, spark, [], grain, relationship).dtypes)[w.order])
     if len(distinct) == 1 and w.normal_range != "all" and by_day:
         fine = C.build(mv, spark, measures, keyed[0], early, relationship, leaves=additive)
         cells = _count_along(fine, [d.name for d in grain], keys, w)
@@ -202,6 +200,11 @@ def over_distinct(mv, spark, measures, distinct, grain, early, relationship, key
     return C.replace(cells, df=df, leaves=leaves)
 
 
+def _by_day(w: Window, kind: str) -> bool:
+    """The frame counts whole days of a date, or has no length."""
+    return not w.span or kind == "date" and w.span[2] != "hour"
+
+
 def _count_along(fine: C.Cells, names: Sequence[str], keys: Sequence[str], w: Window) -> C.Cells:
     """Cells with the distinct count of `__key` in the frame, from cells per counted value.
 
@@ -259,8 +262,6 @@ def _run_of(day: Column, by_key, w: Window) -> tuple[Column, Column]:
     if w.normal_range == "cumulative":
         return F.when(F.lag(day).over(by_key).isNull(), day), F.lit(None).cast("date")
     side, n, unit = w.span
-    if unit == "hour":
-        raise ValueError("distinct counts support windows of days and longer")
     if side == "trailing":
         seen = F.date_sub(day, 1) if w.include_anchor else day
         return F.date_add(seen, 1), F.least(_last_anchor(seen, n, unit), F.lead(seen).over(by_key))
@@ -463,7 +464,7 @@ def distinct_over(
     if w.normal_range == "all":
         totals = rows.groupBy(*part).agg(F.count_distinct("__key").alias("__count"))
         return C.join_on(anchors, totals, list(keys))
-    if w.span and dict(rows.dtypes)[order] != "date":
+    if not _by_day(w, dict(rows.dtypes)[order]):
         return _distinct_over_timestamps(rows, anchors, keys, order, w)
     if w.normal_range == "cumulative":
         runs = rows.groupBy(*part, "__key").agg(F.min(d).alias("__start")).withColumn("__end", F.lit(None).cast("date"))
@@ -484,26 +485,60 @@ def distinct_over(
 
 
 def _distinct_over_timestamps(rows: DataFrame, anchors: DataFrame, keys: Sequence[str], order: str, w: Window) -> DataFrame:
-    """`distinct_over` on an axis of microseconds, for windows of hours, days and weeks."""
-    side, n, unit = w.span
-    width = (n * 24 * DAYS.get(unit, 0) or n) * 3600 * 1_000_000
-    part, at = columns(keys), F.unix_micros(F.col(f"`{order}`").cast("timestamp"))
-    t = F.col("__at")
-    near = W.partitionBy(*part, F.col("__key")).orderBy(t)
-    if side == "trailing":
-        first = t if w.include_anchor else t + 1
-        start, end = first, F.least(first + F.lit(width - 1), F.lead(first).over(near) - 1)
+    """`distinct_over` on an axis of microseconds.
+
+    An anchor counts a value if its nearest occurrence lies in the frame. So an occurrence answers
+    the anchors between itself and its neighbour, and among them the stretches `_reach` gives. The
+    neighbours are found by ranges: one value may have any number of occurrences.
+    """
+    trailing = w.span[0] == "trailing"
+    part, t = columns(keys), F.col("__ts")
+    placed = rows.select(*part, "__key", F.col(f"`{order}`").cast("timestamp").alias("__ts")).where("__ts IS NOT NULL")
+    known = S.neighbours(placed, [*keys, "__key"], "__ts", "__near", ahead=trailing)
+    here, near = F.unix_micros(t), F.unix_micros("__near")
+    own = int(not w.include_anchor)
+    if trailing:
+        low, high = here + own, near + (own - 1)
     else:
-        last = t if w.include_anchor else t - 1
-        start, end = F.greatest(last - F.lit(width - 1), F.lag(last).over(near) + 1), last
-    runs = rows.withColumn("__at", at).select(*part, start.alias("__start"), end.alias("__end")).where("__start <= __end")
+        low, high = near + (1 - own), here - own
+    stretches = F.transform(_reach(t, w), lambda s: F.struct(F.greatest(low, s["low"]).alias("__start"), F.least(high, s["high"]).alias("__end")))
+    runs = known.select(*part, F.inline(stretches)).where("__start <= __end")
     event = lambda day, delta: F.struct(day.alias("__day"), F.lit(delta).alias("__delta"))
     events = runs.select(*part, F.inline(F.array(event(F.col("__start"), 1), event(F.col("__end") + 1, -1))))
+    at = F.unix_micros(F.col(f"`{order}`").cast("timestamp"))
     counted = running_count(events, anchors.withColumn(order, at), keys, order)
     kind = dict(anchors.dtypes)[order]
     return counted.withColumn(order, F.timestamp_micros(F.col(f"`{order}`")).cast(kind))
 
 
+def _reach(t: Column, w: Window) -> Column:
+    """Stretches of anchors whose frame reaches `t` at its far end, in microseconds, as an array of (low, high).
+
+    Months clamp: the 28th to 31st of March less a month are all the 28th of February, each at its
+    own time of day. Anchors on days that meet the day of `t` reach it up to (leading: from) its time
+    of day, so every such day is a stretch; all other days reach it whole or not at all.
+    """
+    side, n, unit = w.span
+    here, open_end = F.unix_micros(t), int(w.include_anchor)
+    stretch = lambda low, high: F.struct(low.cast("bigint").alias("low"), high.cast("bigint").alias("high"))
+    if unit not in MONTHS:
+        width = F.lit((n * 24 * DAYS.get(unit, 0) or n) * 3600 * 1_000_000)
+        if side == "trailing":
+            return F.array(stretch(F.lit(None), here + width - open_end))
+        return F.array(stretch(here - width + open_end, F.lit(None)))
+    day = t.cast("date")
+    begin = lambda d: F.unix_micros(d.cast("timestamp"))
+    same_time = lambda d: F.unix_micros(t + F.make_interval(days=F.date_diff(d, day)))
+    days = lambda first, last: F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<date>"))
+    if side == "trailing":
+        whole, last = _last_anchor(F.date_sub(day, 1), n, unit), _last_anchor(day, n, unit)
+        met = F.transform(days(F.date_add(whole, 1), last), lambda d: stretch(begin(d), same_time(d) - open_end))
+        return F.concat(F.array(stretch(F.lit(None), begin(F.date_add(whole, 1)) - 1)), met)
+    whole, first = _first_anchor(F.date_add(day, 1), n, unit), _first_anchor(day, n, unit)
+    met = F.transform(days(first, F.date_sub(whole, 1)), lambda d: stretch(same_time(d) + open_end, begin(F.date_add(d, 1)) - 1))
+    return F.concat(F.array(stretch(begin(whole), F.lit(None))), met)
+
+
 def _last_anchor(d: Column, n: int, unit: str) -> Column:
     """Latest anchor whose trailing frame still reaches back to `d`."""
     end = shift(d, n, unit)

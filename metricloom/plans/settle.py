@@ -102,6 +102,27 @@ def prefix_sums(df: DataFrame, group: list[str], order: str, sums: dict[str, str
     return running(df, group, order, {k: ("sum", c) for k, c in sums.items()}, descending)
 
 
+def neighbours(df: DataFrame, group: list[str], order: str, out: str, ahead: bool = True) -> DataFrame:
+    """The next (or, not `ahead`, the previous) value of `order` within each row's group, as column `out`.
+
+    Groups may hold more rows than one task can sort. Rows are range-partitioned by (group, order);
+    a row's neighbour is in its range, or it is the outermost row of the nearest range. One such row
+    per range is all that is exchanged.
+    """
+    key, by = [F.col(f"`{g}`") for g in group], F.col(f"`{order}`")
+    ranged = settle(df.repartitionByRange(*key, by.asc()).withColumn("__range", F.spark_partition_id()))
+    outer = F.struct(F.struct(*[c.alias(f"g{i}") for i, c in enumerate(key)], F.lit(0).alias("g")).alias("g"), by.alias("o"))
+    edges = ranged.groupBy("__range").agg((F.min if ahead else F.max)(outer).alias("__e"))
+    step = F.lead if ahead else F.lag
+    beyond = edges.select("__range", step("__e").over(W.orderBy("__range")).alias("__edge"))
+    local = W.partitionBy(*key, "__range").orderBy(by.asc())
+    joined = ranged.withColumn(out, step(by).over(local)).join(F.broadcast(beyond), "__range", "left")
+    meets = F.col("__edge").isNotNull()
+    for i, c in enumerate(key):
+        meets = meets & c.eqNullSafe(F.col(f"__edge.g.g{i}"))
+    return joined.withColumn(out, F.coalesce(out, F.when(meets, F.col("__edge.o")))).drop("__range", "__edge")
+
+
 def hot_keys(df: DataFrame, keys: list[str], share: float = 0.001) -> DataFrame:
     """Keys that hold more than `share` of all rows, with the number of pieces to split them into.
 

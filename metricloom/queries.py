@@ -982,6 +982,19 @@ def trailing_distinct_timestamps(spark, sf):
     return mv.query(spark, [m], ["kind", "at"]).withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
+@query(
+    "q_trailing_distinct_month_timestamps",
+    """WITH e AS (SELECT DISTINCT event_type AS kind, ts FROM events)
+    SELECT e.kind, strftime(e.ts, '%Y-%m-%d %H:%M:%S.%f') AS at, COUNT(DISTINCT b.user_id) AS users FROM e
+    LEFT JOIN events b ON b.event_type = e.kind AND b.ts >= e.ts - INTERVAL 1 MONTH AND b.ts < e.ts GROUP BY e.kind, e.ts""",
+)
+def trailing_distinct_month_timestamps(spark, sf):
+    """Users of the calendar month before every event."""
+    mv = _events(spark, sf)
+    m = Measure("users", A.distinct_count("user_id"), window=(Window("at", "trailing 1 month"),))
+    return mv.query(spark, [m], ["kind", "at"]).withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
 @query(
     "q_rolling_month_avg",
     f"""WITH {MONTHLY} SELECT month AS day, {dbl('v')} AS total,

@@ -86,9 +86,6 @@ def test_running_total_beyond_one_window(spark, skewed, monkeypatch):
     assert sorted(seen) == [len(set((data[: i + 1] % 50).tolist())) for i in range(len(data))]
     zero = sorted((r for r in plain if r[0] == 0), key=lambda r: r[1])
     assert [r[2] for r in zero] == data.cumsum().tolist() and [r[5] for r in zero] == data.cummax().tolist()
-    for expr, span in (("MAX(v)", "trailing 1 month"), ("COUNT(DISTINCT v)", "trailing 1 month")):
-        with pytest.raises(ValueError, match="date"):
-            mv.query(spark, [Measure("x", expr, window=(Window("ts", span),))], ["k", "ts"])
 
 
 SPANS = [("trailing 2 month", False), ("trailing 1 month", True), ("leading 1 month", False), ("leading 2 month", True)]
@@ -125,6 +122,56 @@ def test_months_and_distinct_counts_over_timestamps(spark, span, anchor):
             assert values == (len(set(seen)), sum(seen) if seen else None), a
 
 
+@pytest.mark.parametrize("group", [[], ["k"], ["k", "g"]])
+@pytest.mark.parametrize("ahead", [True, False])
+def test_neighbours_across_ranges(spark, skewed, group, ahead):
+    """One key, or one group, has a third of the rows or all; keys may be null."""
+    df = skewed.select(F.when(F.col("k") != 7, F.col("k")).alias("k"), (F.col("id") % 2).alias("g"), F.col("id").alias("at"))
+    step = F.lead if ahead else F.lag
+    want = df.withColumn("near", step("at").over(W.partitionBy(*group).orderBy("at")))
+    got = S.neighbours(df, group, "at", "near", ahead)
+    assert got.columns == want.columns and rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("side", ["trailing", "leading"])
+@pytest.mark.parametrize("n,unit", [(1, "month"), (2, "month"), (1, "quarter"), (1, "year")])
+@pytest.mark.parametrize("anchor", [False, True])
+def test_distinct_counts_over_months_of_timestamps(spark, side, n, unit, anchor):
+    """Month ends and a leap day at all times of day, equal times a month apart, one value with a third of the rows."""
+    from metricloom import Dimension, Measure, MetricView, Window
+
+    days = [d for d in pd.date_range("2023-11-26", "2025-03-31") if d.day > 26 or d.day < 2]
+    moments = [d + pd.Timedelta(hours=h) for i, d in enumerate(days) for h in {0, (5 * i) % 24, 12}]
+    values = [0 if i % 3 == 0 else 1 + (i * 37) % 23 for i in range(len(moments))]
+    data = [(str(t), v, i % 2) for i, (t, v) in enumerate(zip(moments, values))]
+    df = spark.createDataFrame(data, "t string, v int, g int").selectExpr("CAST(t AS TIMESTAMP) AS t", "v", "g")
+    w = (Window("t", f"{side} {n} {unit}", include_anchor=anchor),)
+    ms = [Measure("d", "COUNT(DISTINCT v)", window=w), Measure("s", "SUM(v)", window=w)]
+    mv = MetricView("m", df, (), (Dimension("t", "t"), Dimension("g", "g")), tuple(ms))
+    months = {"month": 1, "quarter": 3, "year": 12}[unit] * n
+    want = []
+    for i, a in enumerate(moments):
+        far = a + pd.DateOffset(months=months if side == "leading" else -months)
+        inside = {
+            ("trailing", False): lambda x: far <= x < a, ("trailing", True): lambda x: far < x <= a,
+            ("leading", False): lambda x: a < x <= far, ("leading", True): lambda x: a <= x < far,
+        }[side, anchor]
+        seen = [v for k, (x, v) in enumerate(zip(moments, values)) if k % 2 == i % 2 and inside(x)]
+        want.append((i % 2, a.to_pydatetime(), len(set(seen)), sum(seen) if seen else None))
+    assert sorted(tuple(r) for r in mv.query(spark, ms, ["g", "t"]).collect()) == sorted(want)
+
+
+def test_distinct_counts_over_hours_of_dates(spark):
+    from metricloom import Dimension, Measure, MetricView, Window
+
+    df = spark.range(60).selectExpr("date_add(DATE'2024-02-20', CAST(id * 7 % 20 AS INT)) AS day", "id % 7 AS v")
+    data = [(r.day, r.v) for r in df.collect()]
+    w = (Window("day", "trailing 36 hour", include_anchor=True),)
+    mv = MetricView("m", df, (), (Dimension("day", "day"),), ())
+    got = {r.day: r.n for r in mv.query(spark, [Measure("n", "COUNT(DISTINCT v)", window=w)], ["day"]).collect()}
+    assert got == {a: len({v for x, v in data if 0 <= (a - x).days <= 1}) for a, _ in data}
+
+
 def test_join_on_hot_and_missing_keys(spark, monkeypatch):
     from metricloom.plans import cells as C
 
