@@ -62,7 +62,7 @@ def run(
 
 def _split_by(mv: MetricView, specs: Sequence[tuple[Window, ...]], where: Sequence[Condition]):
     """Conditions before and after the windows, or None where the windows disagree."""
-    splits = [split_conditions(mv, where, mv.dim(main_entry(s).order)) for s in specs if s]
+    splits = [split_conditions(mv, where, *(mv.dim(w.order) for w in leading_entries(s))) for s in specs if s]
     # Conditions may be columns, which cannot be compared; their positions can.
     marks = {tuple(any(c is e for e in early) for c in where) for early, _ in splits}
     return splits[0] if len(marks) == 1 else None
@@ -86,12 +86,9 @@ def _shared_cells(mv, spark, measures, specs, dims, where, relationship) -> C.Ce
     return C.build(mv, spark, measures, list(grain.values()), split[0], relationship).settled()
 
 
-def main_entry(spec: tuple[Window, ...]) -> Window:
-    """The entry that gives the frame: the one that is not `current`."""
-    framed = [w for w in spec if w.normal_range != "current"]
-    if len(framed) > 1:
-        raise ValueError("a measure may have one ordered window entry besides `current` entries")
-    return framed[0] if framed else spec[0]
+def leading_entries(spec: tuple[Window, ...]) -> list[Window]:
+    """The entries that give the frame: those that are not `current`, else the first one."""
+    return [w for w in spec if w.normal_range != "current"] or [spec[0]]
 
 
 def is_period(mv: MetricView, d: Dimension, order: Dimension) -> bool:
@@ -110,13 +107,13 @@ def is_period(mv: MetricView, d: Dimension, order: Dimension) -> bool:
 
 
 def split_conditions(
-    mv: MetricView, where: Sequence[Condition], order: Dimension
+    mv: MetricView, where: Sequence[Condition], *orders: Dimension
 ) -> tuple[list[Condition], list[Condition]]:
-    """Conditions for before and after the window: those on the order dimension come after (Q3)."""
+    """Conditions for before and after the window: those on the order dimensions come after (Q3)."""
     early, late = [], []
     for cond in where:
         named = [d for d in mv.dimensions if mentions(C.condition_text(cond), d.name)]
-        timed = [d for d in named if is_period(mv, d, order)]
+        timed = [d for d in named if any(is_period(mv, d, o) for o in orders)]
         if timed and len(timed) < len(named):
             raise ValueError(f"give conditions on time and on other dimensions separately: {cond}")
         (late if timed else early).append(cond)
@@ -139,40 +136,50 @@ def windowed(
 ) -> DataFrame:
     """Measures with the same window entries.
 
-    `current` entries become partition keys. The other entry gives the frame; it runs over cells at
-    (dimensions, order) grain, so a window never sees more rows per partition than the order
-    dimension has members. When the order dimension is not queried, its last (or first) value is
-    taken per group.
+    `current` entries become partition keys. The others give the frame; it runs over cells at
+    (dimensions, orders) grain, so a window never sees more rows per partition than the order
+    dimension has members. When an order dimension is not queried, its last (or first) value is
+    taken per group; of several, first that of the later entries.
     """
-    main = main_entry(spec)
-    order = mv.dim(main.order)
-    currents = [mv.dim(w.order) for w in spec if w is not main]
-    early, late = split_conditions(mv, where, order)
-    entity = [d for d in dims if not is_period(mv, d, order)]
+    lead = leading_entries(spec)
+    orders = [mv.dim(w.order) for w in lead]
+    currents = [mv.dim(w.order) for w in spec if not any(w is x for x in lead)]
+    early, late = split_conditions(mv, where, *orders)
+    timed = lambda d: any(is_period(mv, d, o) for o in orders)
+    entity = [d for d in dims if not timed(d)]
     hidden = C.with_filtered_dims(mv, [], late)
-    grain = list({d.name: d for d in (*dims, *currents, *hidden, order)}.values())
+    grain = list({d.name: d for d in (*dims, *currents, *hidden, *orders)}.values())
     keys = list(dict.fromkeys(d.name for d in (*entity, *currents)))
     names = [d.name for d in grain]
 
     distinct = [leaf for leaf in C.leaves_of(measures) if not leaf.mergeable]
+    framed = lead[0].normal_range != "current"
+    if len(lead) > 1 and distinct:
+        raise ValueError("a distinct count may have one ordered window entry besides `current` entries")
     if shared:
         cells = shared.only(measures).regroup(names)
-    elif main.normal_range != "current" and distinct:
-        cells = over_distinct(mv, spark, measures, distinct, grain, early, relationship, keys, main)
+    elif framed and distinct:
+        cells = over_distinct(mv, spark, measures, distinct, grain, early, relationship, keys, lead[0])
     else:
         cells = C.build(mv, spark, measures, grain, early, relationship)
-    if main.normal_range != "current":
-        cells = over_frame(cells, keys, order.name, main)
+    if framed:
+        cells = over_frames(cells, keys, lead)
     df = cells.values()
     for cond in late:
         df = df.where(C.as_column(cond))
     names = [d.name for d in dims]
     extras = [d for d in grain if d.name not in names]
-    if order.name in names and all(is_period(mv, d, order) for d in extras):
+    if all(o.name in names for o in orders) and all(timed(d) for d in extras):
         return df.select(*columns(names), *columns(m.name for m in measures))
-    by = F.struct(*columns([order.name, *[d.name for d in extras if d.name != order.name]]))
-    pick = F.min_by if main.semiadditive == "first" else F.max_by
-    return df.groupBy(*columns(names)).agg(*[pick(F.col(f"`{m.name}`"), by).alias(m.name) for m in measures])
+    others = [d.name for d in extras if d.name not in [o.name for o in orders]]
+    for i in reversed(range(len(lead))):
+        if others or orders[i].name not in names:
+            kept = [*names, *[o.name for o in orders[:i] if o.name not in names]]
+            by, others = F.struct(*columns([orders[i].name, *others])), []
+            pick = F.min_by if lead[i].semiadditive == "first" else F.max_by
+            values = [pick(F.col(f"`{m.name}`"), by).alias(m.name) for m in measures]
+            df = df.groupBy(*columns(kept)).agg(*values)
+    return df
 
 
 def frame_text(keys: Sequence[str], order: str, bounds: str) -> str:
@@ -269,6 +276,80 @@ def _run_of(day: Column, by_key, w: Window) -> tuple[Column, Column]:
     return F.greatest(_first_anchor(seen, n, unit), F.lag(seen).over(by_key)), F.date_sub(seen, 1)
 
 
+def over_frames(cells: C.Cells, keys: Sequence[str], windows: Sequence[Window]) -> C.Cells:
+    """Cells with each part merged over the rows that lie in the frames of all the windows.
+
+    One window's axis is cut into dyadic stretches: every row lies in one stretch per length (1, 2,
+    4, ...), and any frame is made of at most two stretches per length. With the stretch as one more
+    key the other windows are answered as if it were not there, and what a cell's stretches come to
+    is merged. The work is the cells times the logarithm of the axis, and there is no product of the
+    two axes. Rows without a value on the axis come before all others, as in a window.
+    """
+    if len(windows) == 1:
+        return over_frame(cells, keys, windows[0].order, windows[0])
+    cells = cells.settled()
+    kinds = dict(cells.df.dtypes)
+    inner = next((w for w in windows if kinds[w.order] == "date"), windows[-1])
+    others = [w for w in windows if w is not inner]
+    here, low, high = _stretch(inner, kinds[inner.order])
+    first, last = cells.df.agg(F.min(here), F.max(here)).first()
+    first, last = first or 0, last or 0
+    top = last - first + 1
+    place = lambda c: c - F.lit(first - 1)
+    pos = F.coalesce(place(here), F.lit(0).cast("bigint"))
+    begin = F.when(here.isNull(), 0).otherwise(F.lit(0) if low is None else F.greatest(place(low), F.lit(1)))
+    end = F.when(here.isNull(), 0).otherwise(F.least(place(high), F.lit(top)))
+    if inner.normal_range == "all":
+        begin, end = F.lit(0), F.lit(top)
+    halved = lambda c, k: F.call_function("shiftright", c.cast("bigint"), k)
+    lengths = F.sequence(F.lit(0), F.lit(top.bit_length()))
+    node = lambda k, n: F.struct(k.alias("k"), n.cast("bigint").alias("n"))
+
+    def cover(k: Column) -> Column:
+        """The stretches of length 2^k in the smallest cover of begin .. end."""
+        after = halved(end + 1, k)
+        left = halved(begin + F.call_function("shiftleft", F.lit(1).cast("bigint"), k) - 1, k)
+        odd = lambda c: F.pmod(c, F.lit(2)) == 1
+        ends = F.array(F.when(odd(left), node(k, left)), F.when(odd(after), node(k, after - 1)))
+        return F.when(left < after, F.array_distinct(F.array_compact(ends))).otherwise(F.array().cast("array<struct<k:int,n:bigint>>"))
+
+    parts = [n for i in range(len(cells.leaves)) for n in cells.part_names(i).values()]
+    rest = [c for c in cells.df.columns if c not in parts]
+    stretch = f"__stretch{len(windows)}"
+    grain = list(dict.fromkeys([*keys, *[w.order for w in others], stretch]))
+    given = cells.df.withColumn(stretch, F.explode(F.transform(lengths, lambda k: node(k, halved(pos, k)))))
+    if low is None:  # a frame that is open at its beginning is made of stretches of even number
+        given = given.where(F.col(f"{stretch}.n") % 2 == 0)
+    asked = S.settle(cells.df.select(*columns(rest), F.explode_outer(F.flatten(F.transform(lengths, cover))).alias(stretch)))
+    places = asked.where(F.col(stretch).isNotNull()).select(*columns(grain)).distinct()
+    both = given.select(*columns(grain), *parts).unionByName(places, allowMissingColumns=True)
+    fine = C.replace(cells, df=both, dims=tuple(grain)).regroup(grain)
+    answers = over_frames(fine, [*keys, stretch], others).df
+    met = C.join_hot(asked, answers.select(*columns(grain), *parts), grain)
+    return C.replace(cells, df=C.replace(cells, df=met).regroup(rest).df)
+
+
+def _stretch(w: Window, kind: str) -> tuple[Column, Column | None, Column]:
+    """An order column on an axis of whole numbers (days, microseconds), and both ends of its frame, the first
+    None where it is open."""
+    day = _by_day(w, kind) and kind == "date"
+    here = F.col(f"`{w.order}`")
+    number = (lambda c: F.unix_date(c).cast("bigint")) if day else (lambda c: F.unix_micros(c.cast("timestamp")))
+    at = number(here)
+    if not w.span:
+        return at, None, at
+    side, n, unit = w.span
+    trailing = side == "trailing"
+    if unit in MONTHS:
+        months = n * MONTHS[unit] * (-1 if trailing else 1)
+        far = number(F.add_months(here, F.lit(months)) if day else here.cast("timestamp") + F.make_ym_interval(F.lit(0), F.lit(months)))
+    else:
+        width = n * DAYS[unit] if day else (n * 24 * DAYS.get(unit, 0) or n) * 3600 * 1_000_000
+        far = at + F.lit(-width if trailing else width)
+    near_out, far_out = (0, 1) if w.include_anchor else (1, 0)
+    return (at, far + far_out, at - near_out) if trailing else (at, at + near_out, far - far_out)
+
+
 def over_frame(cells: C.Cells, keys: Sequence[str], order: str, w: Window) -> C.Cells:
     """Cells with each mergeable part merged over the frame."""
     leaves = [i for i, leaf in enumerate(cells.leaves) if leaf.mergeable]

@@ -995,6 +995,27 @@ def trailing_distinct_month_timestamps(spark, sf):
     return mv.query(spark, [m], ["kind", "at"]).withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
+@query(
+    "q_two_frames",
+    f"""WITH c AS (SELECT l_returnflag AS flag, CAST(o_orderdate AS DATE) AS ordered, CAST(l_shipdate AS DATE) AS shipped, SUM({PRC}) AS v, COUNT(*) AS n, MAX({PRC}) AS m
+    FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)
+    SELECT a.flag, a.ordered, a.shipped, {dbl('SUM(b.v)')} AS gross, CAST(COALESCE(SUM(b.n), 0) AS BIGINT) AS lines, {dbl('MAX(b.m)')} AS top FROM c a
+    LEFT JOIN c b ON a.flag = b.flag AND b.ordered >= CAST(a.ordered - INTERVAL 3 MONTH AS DATE) AND b.ordered < a.ordered AND b.shipped <= a.shipped
+    GROUP BY 1, 2, 3""",
+    dates="ordered shipped",
+)
+def two_frames(spark, sf):
+    """What was ordered in the three months before a line's order and shipped by the day the line was."""
+    w = (Window("ordered", "trailing 3 month"), Window("shipped", "cumulative"))
+    orders = Join("orders", f"{sf}/orders.parquet", "source.l_orderkey = orders.o_orderkey")
+    mv = MetricView(
+        "mv_lines", f"{sf}/lineitem.parquet", (orders,),
+        (Dimension("flag", "l_returnflag"), Dimension("ordered", "CAST(orders.o_orderdate AS DATE)"), Dimension("shipped", "CAST(l_shipdate AS DATE)")),
+        tuple(Measure(n, e, window=w) for n, e in (("gross", A.sum_(PRC)), ("lines", A.count_rows()), ("top", A.max_(PRC)))),
+    )
+    return mv.query(spark, ["gross", "lines", "top"], ["flag", "ordered", "shipped"])
+
+
 @query(
     "q_rolling_month_avg",
     f"""WITH {MONTHLY} SELECT month AS day, {dbl('v')} AS total,

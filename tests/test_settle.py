@@ -161,6 +161,64 @@ def test_distinct_counts_over_months_of_timestamps(spark, side, n, unit, anchor)
     assert sorted(tuple(r) for r in mv.query(spark, ms, ["g", "t"]).collect()) == sorted(want)
 
 
+FRAMES = ["cumulative", "all", "trailing 1 month", "leading 2 month", "trailing 10 day", "leading 3 week", "trailing 50 hour"]
+
+
+SECOND = [("cumulative", "date"), ("trailing 1 month", "timestamp"), ("leading 9 day", "date"), ("all", "date"), ("leading 1 month", "date")]
+PAIRS = [(f, *SECOND[i % 5]) for i, f in enumerate(FRAMES)] + [("trailing 1 month", "cumulative", "date"), ("cumulative", "trailing 70 hour", "timestamp")]
+
+
+@pytest.mark.parametrize("first,second,kind", PAIRS)
+def test_two_framed_entries(spark, first, second, kind):
+    """Rows count that lie in the frames of both dates, for every pair of dates that has facts; against brute force."""
+    from metricloom import Dimension, Measure, MetricView, Window
+
+    start = pd.Timestamp("2024-01-28")
+    data = [(i % 2, start + pd.Timedelta(days=i * i * 7 % 41), start + pd.Timedelta(days=i * 13 % 60), i * 37 % 101) for i in range(60)]
+    df = spark.createDataFrame([(g, str(a), str(b), v) for g, a, b, v in data], "g int, a string, b string, v int")
+    df = df.selectExpr("g", "CAST(CAST(a AS TIMESTAMP) AS DATE) AS a", f"CAST(CAST(b AS TIMESTAMP) AS {kind}) AS b", "v")
+    anchored = len(first) % 2 == 0
+    w = (Window("a", first, include_anchor=anchored), Window("b", second, include_anchor=not anchored))
+    exprs = {"s": "SUM(v)", "n": "COUNT(1)", "lo": "MIN(v)", "hi": "MAX(v)"}
+    ms = [Measure(k, e, window=w) for k, e in exprs.items()]
+    mv = MetricView("m", df, (), (Dimension("a", "a"), Dimension("b", "b"), Dimension("g", "g")), tuple(ms))
+
+    def inside(x, at, text, anchor):
+        if text in ("all", "cumulative"):
+            return text == "all" or x <= at
+        side, n, unit = text.split()
+        step = pd.DateOffset(**{f"{unit}s": int(n)})
+        if side == "trailing":
+            return at - step < x <= at if anchor else at - step <= x < at
+        return at <= x < at + step if anchor else at < x <= at + step
+
+    want = {}
+    for g, a, b, _ in data:
+        seen = [v for h, x, y, v in data if h == g and inside(x, a, first, anchored) and inside(y, b, second, not anchored)]
+        want[g, str(a)[:10], str(b)[:10]] = (sum(seen), len(seen), min(seen), max(seen)) if seen else (None, 0, None, None)
+    got = mv.query(spark, ms, ["g", "a", "b"]).collect()
+    assert {(r.g, str(r.a)[:10], str(r.b)[:10]): tuple(r)[3:] for r in got} == want and len(got) == len(want)
+
+
+def test_two_framed_entries_without_their_dates(spark):
+    """The last pair of dates stands for a group; conditions on a date come after the frames; dates may be missing."""
+    from metricloom import Dimension, Measure, MetricView, Window
+
+    data = [(i % 2, i * 5 % 17, None if i % 9 == 4 else i * 11 % 23, i) for i in range(80)]
+    df = spark.createDataFrame(data, "g int, a int, b int, v int")
+    df = df.selectExpr("g", "date_add(DATE'2024-02-20', a) AS a", "date_add(DATE'2024-02-20', b) AS b", "v")
+    w = (Window("a", "trailing 7 day", include_anchor=True), Window("b", "cumulative"))
+    mv = MetricView("m", df, (), (Dimension("a", "a"), Dimension("b", "b"), Dimension("g", "g")), (Measure("s", "SUM(v)", window=w),))
+    got = {r.g: r.s for r in mv.query(spark, ["s"], ["g"], where="a <= DATE'2024-03-01'").collect()}
+    for g in (0, 1):
+        mine = [(a, b, v) for h, a, b, v in data if h == g]
+        a0 = max(a for a, _, _ in mine if a <= 10)
+        b0 = max((b for a, b, _ in mine if a == a0 and b is not None))
+        assert got[g] == sum(v for a, b, v in mine if a0 - 7 < a <= a0 and (b is None or b <= b0))
+    with pytest.raises(ValueError, match="distinct"):
+        mv.query(spark, [Measure("x", "COUNT(DISTINCT v)", window=w)], ["g"])
+
+
 def test_distinct_counts_over_hours_of_dates(spark):
     from metricloom import Dimension, Measure, MetricView, Window
 
