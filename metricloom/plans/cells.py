@@ -170,10 +170,11 @@ def project(
     leaves: Sequence[Agg],
     dims: Sequence[Dimension],
     relationship: str | None = None,
+    only: Sequence[Column] = (),
 ) -> DataFrame:
     """Fact rows reduced to the dimensions and the inputs `__a0, __a1, ...` of the calls."""
     inputs = [leaf.input() for leaf in leaves]
-    df = star.base(mv, spark, [*(d.expr for d in dims), *inputs], relationship)
+    df = star.base(mv, spark, [*(d.expr for d in dims), *inputs], relationship, only)
     return df.select(
         *[F.expr(d.expr).alias(d.name) for d in dims],
         *[F.expr(text).alias(f"__a{i}") for i, text in enumerate(inputs)],
@@ -208,22 +209,28 @@ def build(
     where = conditions(where)
     shown = with_filtered_dims(mv, grain, where)
     names = tuple(d.name for d in grain)
-    early = _before_large_joins(mv, spark, leaves, shown, where, relationship)
+    only = star.key_conditions(mv, spark, [(c, _named(mv, shown, c)) for c in where], relationship)
+    early = _before_large_joins(mv, spark, leaves, shown, where, relationship, only)
     if early is not None:
         additive = tuple(leaf for leaf in leaves if leaf.mergeable)
         counted = [leaf.direct(F.col(f"__a{i}")).alias(f"__{i}v") for i, leaf in enumerate(leaves) if not leaf.mergeable]
         cells = Cells(early, tuple(d.name for d in shown), additive, resolved).regroup(names, counted)
         return replace(cells, leaves=leaves)
-    df = project(mv, spark, leaves, shown, relationship)
+    df = project(mv, spark, leaves, shown, relationship, only)
     for cond in where:
         df = df.where(as_column(cond))
     if _same_distinct(leaves):
-        return Cells(_dedupe_first(mv, spark, leaves, shown, names, where, relationship), names, leaves, resolved)
+        return Cells(_dedupe_first(mv, spark, leaves, shown, names, where, relationship, only), names, leaves, resolved)
     grouped = [F.col(f"`{n}`") for n in names]
     df = df.groupBy(*grouped).agg(*part_columns(leaves)) if leaves else df.select(*grouped).distinct()
     return Cells(df, names, leaves, resolved)
 
 
+def _named(mv: MetricView, shown: Sequence[Dimension], cond: Condition) -> list[Dimension]:
+    """The dimensions a condition names."""
+    return [d for d in shown if mentions(condition_text(cond), d.name)]
+
+
 def _same_distinct(leaves: Sequence[Agg]) -> bool:
     """Several distinct counts of the same expression under different filters."""
     counted = [leaf for leaf in leaves if leaf.distinct]
@@ -232,7 +239,7 @@ def _same_distinct(leaves: Sequence[Agg]) -> bool:
     )
 
 
-def _dedupe_first(mv, spark, leaves, shown, names, where, relationship) -> DataFrame:
+def _dedupe_first(mv, spark, leaves, shown, names, where, relationship, only) -> DataFrame:
     """Group by the counted value first, with a flag per filter, then count the flags.
 
     Otherwise every row would be expanded once per distinct count.
@@ -240,7 +247,7 @@ def _dedupe_first(mv, spark, leaves, shown, names, where, relationship) -> DataF
     additive = [leaf for leaf in leaves if leaf.mergeable]
     flags = [f"__{i}v" for i in range(len(additive), len(leaves))]
     key = Dimension("__key", leaves[-1].arg)
-    df = project(mv, spark, leaves, [*shown, key], relationship)
+    df = project(mv, spark, leaves, [*shown, key], relationship, only)
     for cond in where:
         df = df.where(as_column(cond))
     grouped = [F.col(f"`{n}`") for n in names]
@@ -257,6 +264,7 @@ def _before_large_joins(
     dims: Sequence[Dimension],
     where: Sequence[Condition],
     relationship: str | None,
+    only: Sequence[Column] = (),
 ) -> DataFrame | None:
     """Aggregate the facts by foreign key first when a dimension is too large to broadcast.
 
@@ -279,6 +287,8 @@ def _before_large_joins(
     on = " ".join(j.condition(relationship).replace("`", "") for j in joins)
     keys = sorted(set(re.findall(r"\bsource\.(\w+)", on)))
     source = star.load(spark, mv.source)
+    for cond in only:
+        source = source.alias("source").where(cond)
     if mv.filter:
         source = source.where(mv.filter)
     rows = source.alias("source").select(

@@ -231,3 +231,80 @@ def test_large_dimensions_give_the_same(spark, star, names):
     large = dataclasses.replace(star, joins=tuple(dataclasses.replace(j, large=True) for j in star.joins))
     for dims, where in ((["Segment"], None), (["Region", "Category"], "Status = 'Active' AND Segment <> 'SMB'"), (["Month"], None), ([], "Segment = 'SMB'")):
         assert rows(large.query(spark, names, dims, where)) == rows(star.query(spark, names, dims, where))
+
+
+CONDITIONS = [
+    ["Year = 2024"],
+    ["Year = 2024", "Segment = 'Retail'"],
+    [lambda: F.col("Year") == 2024, "Status = 'Active'"],
+    ["Year = 1990"],
+    ["Year IS NULL"],
+    ["Year IS NULL OR Year = 2024"],
+    ["coalesce(Segment, 'none') = 'none'"],
+    ["Year = 2024 OR Segment = 'Retail'"],
+    ["Date >= DATE'2024-05-01'", "Date < DATE'2024-05-20'"],
+    ["`Customer Name` = 'Elm'", "Category <> 'Hall'"],
+    ["NOT (Year = 2024)"],
+]
+
+
+@pytest.mark.parametrize("where", CONDITIONS)
+def test_conditions_on_dimensions_prune_the_facts(spark, star, monkeypatch, where):
+    """Facts without a partner, and without a key, stay wherever the condition holds for them."""
+    from dataclasses import replace
+
+    from metricloom.plans import star as ST
+
+    where = [c() if callable(c) else c for c in where]
+    strangers = star.source.where("order_id < 5").withColumns({"customer_id": F.lit(99), "date_key": F.lit("1999-01-01").cast("date")})
+    keyless = star.source.where("order_id < 4").withColumns({"customer_id": F.lit(None).cast("int"), "date_key": F.lit(None).cast("date")})
+    mv = replace(star, source=star.source.unionByName(strangers).unionByName(keyless))
+    names = ["Total Sales", "Unique Customers"]
+    beyond = len(str(where)) % 2 == 0  # half of the cases aggregate the facts before a join that counts as large
+    mv = replace(mv, joins=tuple(replace(j, large=beyond and j.name == "product") for j in mv.joins))
+    got = rows(mv.query(spark, names, ["Region", "Category"], where=where))
+    monkeypatch.setattr(ST, "key_conditions", lambda *a: [])
+    assert got == rows(mv.query(spark, names, ["Region", "Category"], where=where))
+
+
+def test_key_conditions_reach_the_scan(spark, star, tmp_path, monkeypatch):
+    from dataclasses import replace
+
+    from metricloom.plans import star as ST
+
+    path = str(tmp_path / "fact")
+    star.source.withColumn("at", F.col("date_key").cast("timestamp")).write.parquet(path)
+    calendar = replace(star.joins[2], on="CAST(source.at AS DATE) = calendar.date")
+    named = star.joins[0].source.withColumn("customer_id", F.col("customer_id").cast("string"))
+    customers, products = replace(star.joins[0], source=named, large=False), replace(star.joins[1], large=False)
+    mv = replace(star, source=path, joins=(customers, products, calendar))
+
+    def scans(where):
+        plan = mv.query(spark, ["Total Sales"], ["Region"], where=where)._jdf.queryExecution().executedPlan().toString()
+        return "".join(line for line in plan.splitlines() if "PushedFilters" in line)
+
+    assert "GreaterThanOrEqual(at," in scans("Year = 2024")
+    assert "In(product_id, [" in scans("Category = 'Hall'")
+    assert "product_id" not in scans("Category IS NULL").split("PushedFilters")[1].split("ReadSchema")[0]
+    days = ST.key_conditions(mv, spark, [("Year = 2024", [mv.dim("Year")])])
+    assert "2024-01-01" in str(days[0]) and "2024-12-31" in str(days[0])
+    # Types that differ are compared by the join alone; so are keys of a dimension too large to look at.
+    assert ST.key_conditions(mv, spark, [("Segment = 'Retail'", [mv.dim("Segment")])]) == []
+    mv = replace(mv, joins=(customers, replace(products, large=True), calendar))
+    assert ST.key_conditions(mv, spark, [("Category = 'Hall'", [mv.dim("Category")])]) == []
+
+
+@pytest.mark.parametrize("on,links", [
+    ("source.a = d.k", [("source.a", "k")]),
+    ("d.`k` = CAST(source.a AS DATE)", [("CAST(source.a AS DATE)", "k")]),
+    ("source.a = d.k AND source.b = d.l", [("source.a", "k"), ("source.b", "l")]),
+    ("source.a = d.k AND d.flag = 'x'", []),
+    ("source.a = d.k OR source.b = d.k", []),
+    ("other.a = d.k", []),
+    ("source.a >= d.k", []),
+])
+def test_links_of_a_join(on, links):
+    from metricloom import Join
+    from metricloom.plans import star as ST
+
+    assert ST._links(Join("d", "t", on), None) == links
