@@ -101,3 +101,23 @@ def test_declared_view_round_trip(spark, star):
         raise AssertionError("dropped views must be gone")
     except KeyError:
         pass
+
+
+def test_current_state_of_ids_with_equal_times_without_ids_and_without_either_event(spark):
+    rows = [
+        ("a", "translation", 1, "x", ""), ("a", "translation", 1, "x", ""), ("a", "deploy", 2, "", "v1"), ("a", "deploy", 3, "", "v2"),
+        ("b", "translation", 5, "old", ""), ("b", "translation", 6, "new", ""), ("c", "deploy", 1, "", "v3"), (None, "translation", 1, "none", ""),
+        ("d", "translation", None, "never", ""),
+    ]
+    given = spark.createDataFrame(rows, "id string, event string, at long, measures_input string, deployed_view string")
+    events = audit.audit_rows(given.withColumn("timestamp", F.timestamp_seconds("at")))
+    got = audit.audit_current(events).select("id", "measures_input", "deployed_view").collect()
+    want = [("a", "x", "v2"), ("b", "new", ""), ("c", None, "v3"), (None, "none", ""), ("d", None, "")]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_texts_of_the_audit_are_neither_sorted_nor_held(spark):
+    """Texts pass by the rows that are wanted: before, every task sorted whole rows by id."""
+    events = audit.audit_rows(spark.range(100).select(F.col("id").cast("string").alias("id"), F.repeat(F.lit("x"), 100).alias("yaml_body")))
+    plan = audit.audit_current(events)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "SortMergeJoin" not in plan and plan.count("ShuffledHashJoin") >= 2
