@@ -524,3 +524,12 @@ def test_calls_are_evaluated(spark, star, sales):
     assert sum(r.new_members for r in got.collect()) == sales.customer_id.nunique()
     with pytest.raises(ValueError):
         calls.evaluate(call("relationship", columns=["other_key", "calendar.date"]), star, spark, ["Region"])
+
+
+def test_rows_of_one_file_are_translated_and_resolved_by_many_tasks(spark):
+    """A catalog is few bytes: one task read it, and did all of the work as well."""
+    st = staging(spark, [("A", "sum(Sales[x])"), ("B", 'calculate(Sum(Sales[x]), Sales[y]="if(divide(")')]).coalesce(1)
+    got = rules.translate_rules(st)
+    assert got.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert rows(got.select("measure_name", "expr")) == [("A", "SUM(x)"), ("B", "SUM(x) FILTER (WHERE y = 'if(divide(')")]
+    assert "REPARTITION_BY_NUM" in references.definitions(st)._jdf.queryExecution().executedPlan().toString()
