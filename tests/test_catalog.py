@@ -533,3 +533,17 @@ def test_rows_of_one_file_are_translated_and_resolved_by_many_tasks(spark):
     assert got.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
     assert rows(got.select("measure_name", "expr")) == [("A", "SUM(x)"), ("B", "SUM(x) FILTER (WHERE y = 'if(divide(')")]
     assert "REPARTITION_BY_NUM" in references.definitions(st)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_catalogs_are_not_broadcast(spark, monkeypatch):
+    """A frame whose files are small may have many rows: broadcasts went by the bytes."""
+    texts = [("A", "SUM(Sales[x])"), ("B", "[A] + [A]"), ("C", "[B] / [A]"), ("D", "[D] + 1"), ("E", "[D] * 2")]
+    plain = rows(references.resolve_composites(staging(spark, texts)).select("measure_name", "resolved_expr", "error_message"))
+    monkeypatch.setattr(references.S, "PLAIN_ROWS", 0)
+    made, settled = [], references.S.settle
+    monkeypatch.setattr(references.S, "settle", lambda df: made.append(df) or settled(df))
+    got = references.resolve_composites(staging(spark, texts)).select("measure_name", "resolved_expr", "error_message")
+    assert rows(got) == plain
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    edges = next(df for df in made if df.columns == ["model", "measure_name", "ref"] and "Join" in plan(df))
+    assert "SortMergeJoin" in plan(edges) and "BroadcastHashJoin" not in plan(got)
