@@ -70,7 +70,9 @@ def find_calls(staging: DataFrame) -> DataFrame:
     df = df.withColumns({"__columns": physical, "__argument": F.when(argument.rlike(COLUMN), rules._dax_columns(argument)).otherwise(argument)})
     kept = ["model", "measure_name", "mode", "fact_table_fqn"]
     based = df.withColumns({"resolved_expr": F.when(F.col("__call.base") != "", F.col("__call.base")).otherwise(F.lit("COUNTROWS(T)")), "mode": F.when(F.col("__call.base") != "", F.col("mode")).otherwise("dax")})
-    done = rules.translate_rules(settle(based.withColumn("position", F.struct("position", "__call", "__columns", "__argument"))))
+    translated = rules.translate_rules(settle(based.withColumn("position", F.struct("position", "__call", "__columns", "__argument"))))
+    # Written as well: conditions on the translated text would repeat all rules in the plan, which the driver's memory has to hold.
+    done = settle(translated.select("model", "measure_name", "fact_table_fqn", "position", "class", "expr"))
     call = F.col("position.__call")
     return done.where((F.col("class") == "supported") & F.col("expr").isNotNull()).select(
         *[c for c in kept if c != "mode"], call["kind"].alias("kind"), F.when(call["base"] != "", F.col("expr")).alias("expr"),

@@ -503,6 +503,28 @@ def test_texts_that_stand_for_operators(spark):
     assert calls.find_calls(staging(spark, [(str(i), t) for i, t in enumerate(NO_CALLS)])).count() == 0
 
 
+# Calls by operator, with what is left of the texts once they are calls: kind and expression.
+PLANNED = {
+    "ranks": {
+        "RANKX(ALL(Sales[CustomerID]), CALCULATE(SUM(Sales[Amount])))": ("rankx", "SUM(amount)"),
+        "SUMX(TOPN(10, VALUES(Sales[CustomerID]), CALCULATE(SUM(Sales[Amount]))), CALCULATE(SUM(Sales[Amount])))": ("topn_sum", "SUM(amount)"),
+        'CONCATENATEX(VALUES(Sales[Priority]), Sales[Priority], "; ")': ("concatenatex", None),
+        "RANKX(ALL(Sales[CustomerID]), Sales[Amount] ^ 2)": None,
+    },
+}
+
+
+@pytest.mark.parametrize("kind", PLANNED)
+def test_plan_of_calls_is_small(spark, kind):
+    """The driver holds the plan of the calls, which must not repeat the rules of the translation."""
+    from metricloom.operators import calls
+
+    found = calls.find_calls(staging(spark, [(str(i), t) for i, t in enumerate(PLANNED[kind])]))
+    assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+    got = {r.measure_name: (r.kind, r.expr) for r in found.collect()}
+    assert got == {str(i): c for i, c in enumerate(PLANNED[kind].values()) if c}
+
+
 def test_calls_are_evaluated(spark, star, sales):
     from pyspark.sql import Row
 
