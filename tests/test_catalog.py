@@ -511,6 +511,12 @@ PLANNED = {
         'CONCATENATEX(VALUES(Sales[Priority]), Sales[Priority], "; ")': ("concatenatex", None),
         "RANKX(ALL(Sales[CustomerID]), Sales[Amount] ^ 2)": None,
     },
+    "shares": {
+        "DIVIDE(SUM(Sales[Amount]), CALCULATE(SUM(Sales[Amount]), ALL(Sales)), 0)": ("pct_of_total", "SUM(amount)"),
+        "DIVIDE(SUM(Sales[Amount]), CALCULATE(SUM(Sales[Amount]), ALLSELECTED(Sales)), 0)": ("pct_of_selected", "SUM(amount)"),
+        "DIVIDE(SUM(Sales[Amount]), CALCULATE(SUM(Sales[Amount]), ALLEXCEPT(Sales, Sales[Status])))": ("pct_keep", "SUM(amount)"),
+        "DIVIDE(SUM(Sales[Amount]), CALCULATE(SUM(Sales[Amount]), ALL(Sales[Priority])), 0)": ("pct_remove", "SUM(amount)"),
+    },
 }
 
 
