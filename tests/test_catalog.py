@@ -517,6 +517,11 @@ PLANNED = {
         "DIVIDE(SUM(Sales[Amount]), CALCULATE(SUM(Sales[Amount]), ALLEXCEPT(Sales, Sales[Status])))": ("pct_keep", "SUM(amount)"),
         "DIVIDE(SUM(Sales[Amount]), CALCULATE(SUM(Sales[Amount]), ALL(Sales[Priority])), 0)": ("pct_remove", "SUM(amount)"),
     },
+    "time": {
+        "CALCULATE(SUM(Sales[Amount]), FILTER(ALL(Calendar), Calendar[Date] <= MAX(Calendar[Date])))": ("running_total", "SUM(amount)"),
+        "VAR a = SUM(Sales[Amount]) VAR b = CALCULATE(SUM(Sales[Amount]), SAMEPERIODLASTYEAR(Calendar[Date])) RETURN DIVIDE(a - b, b, 0)": ("yoy", "SUM(amount)"),
+        "AVERAGEX(DATESINPERIOD(Calendar[Date], MAX(Calendar[Date]), -7, MONTH), CALCULATE(SUM(Sales[Amount])))": ("rolling", "SUM(amount)"),
+    },
 }
 
 
